@@ -1,0 +1,75 @@
+"""Compare every query with its SQL: python tests/check_oracle.py [folder] [query ...]"""
+
+from __future__ import annotations
+
+import math
+import os
+import sys
+import time
+
+import duckdb
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+TABLES = (
+    "region nation customer supplier part orders lineitem events documents embeddings pages "
+    "benchmark labels conversations"
+).split()
+
+
+def connect(folder: str) -> duckdb.DuckDBPyConnection:
+    connection = duckdb.connect()
+    for name in TABLES:
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
+    return connection
+
+
+def plain(value: object) -> object:
+    if isinstance(value, float) and math.isnan(value):
+        return "nan"
+    return value
+
+
+def sorted_rows(columns: list[str], rows: list) -> tuple[list[str], list]:
+    order = sorted(range(len(columns)), key=lambda i: columns[i])
+    values = [tuple(plain(row[i]) for i in order) for row in rows]
+    return [columns[i] for i in order], sorted(values, key=repr)
+
+
+def differences(spark, connection, query, sql: str, folder: str) -> str:
+    """Empty when both give the same columns and rows."""
+    frame = query(spark, folder)
+    found = sorted_rows(frame.columns, frame.collect())
+    cursor = connection.execute(sql)
+    names = [item[0] for item in cursor.description]
+    expected = sorted_rows(names, cursor.fetchall())
+    if found[0] != expected[0]:
+        return f"columns {found[0]} / {expected[0]}"
+    if len(found[1]) != len(expected[1]):
+        return f"rows {len(found[1])} / {len(expected[1])}"
+    for left, right in zip(found[1], expected[1]):
+        if left != right or [type(v) for v in left] != [type(v) for v in right]:
+            return f"{left} / {right}"
+    return ""
+
+
+if __name__ == "__main__":
+    from __spark_entry__ import oracle_sql, queries
+    from resamplia.session import local_session
+
+    folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
+    session = local_session(8)
+    database = connect(folder)
+    statements = oracle_sql()
+    failed = 0
+    for name, query in queries().items():
+        if sys.argv[2:] and name not in sys.argv[2:]:
+            continue
+        start = time.time()
+        try:
+            problem = differences(session, database, query, statements[name], folder)
+        except Exception as error:
+            problem = f"{type(error).__name__}: {error}"[:1500]
+        failed += bool(problem)
+        print(f"{'FAIL' if problem else 'ok  '} {name} {time.time() - start:.1f}s {problem}", flush=True)
+    print("failed:", failed)
