@@ -7,46 +7,54 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from resamplia.session import reliable_checkpoint
+
+
+def _range_number(key: str, cuts: Sequence[float], low: int = 0) -> str:
+    """SQL for the number of cut points below `key`, by bisection."""
+    if not cuts:
+        return str(low)
+    middle = len(cuts) // 2
+    cut = f"{cuts[middle]!r}D" if isinstance(cuts[middle], float) else str(cuts[middle])
+    below = _range_number(key, cuts[:middle], low)
+    above = _range_number(key, cuts[middle + 1 :], low + middle + 1)
+    return f"CASE WHEN `{key}` <= {cut} THEN {below} ELSE {above} END"
+
 
 def running_totals(
-    df: DataFrame, key: str, measures: Sequence[str], buckets: int = 128
+    df: DataFrame, key: str, measures: Sequence[str], ranges: int = 128
 ) -> DataFrame:
     """Add `<measure>_before`: the total of `measure` over all smaller keys.
 
-    `df` has one row per numeric `key`, so no bucket can be filled by a single hot key. Keys
-    are cut into ranges at approximate percentiles; each range is summed on its own and shifted
-    by the totals of the ranges before it. The cut points only balance the work: any cut points
-    give the same result.
+    `df` has one row per numeric `key`, so no range can be filled by a single hot key. Keys are
+    cut into ranges at approximate percentiles; each range is summed on its own and shifted by
+    the totals of the ranges before it. The cut points only balance the work: any cut points
+    give the same result. `df` is used three times, so it is checkpointed.
     """
-    cuts = [i / buckets for i in range(1, buckets)]
-    bounds = df.select(F.percentile_approx(key, cuts, 10_000)).scalar()
-    bucketed = df.withColumn("_bounds", bounds).select(
-        "*", F.size(F.filter("_bounds", lambda bound: bound < F.col(key))).alias("_bucket")
-    ).drop("_bounds")
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    # At most `buckets` rows: safe in one task, and safe to broadcast.
-    offsets = bucketed.groupBy("_bucket").agg(*[F.sum(m).alias(m) for m in measures]).select(
-        "_bucket",
+    source = reliable_checkpoint(df)
+    shares = [i / ranges for i in range(1, ranges)]
+    cuts = source.select(F.percentile_approx(key, shares, 10_000)).first()[0] or []
+    ranged = source.withColumn("_range", F.expr(_range_number(key, sorted(set(cuts)))))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    # At most `ranges` rows: safe in one task, and safe to broadcast.
+    offsets = ranged.groupBy("_range").agg(*[F.sum(m).alias(m) for m in measures]).select(
+        "_range",
         *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"_{m}_offset") for m in measures],
     )
-    inside = (
-        Window.partitionBy("_bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_range").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.select(
+        "*", *[F.coalesce(F.sum(m).over(inside), F.lit(0)).alias(f"_{m}_inside") for m in measures]
     )
-    return (
-        bucketed.select(
-            "*", *[F.coalesce(F.sum(m).over(inside), F.lit(0)).alias(f"_{m}_inside") for m in measures]
-        )
-        .join(F.broadcast(offsets), "_bucket")
-        .select(
-            *df.columns,
-            *[(F.col(f"_{m}_offset") + F.col(f"_{m}_inside")).alias(f"{m}_before") for m in measures],
-        )
+    return totals.join(F.broadcast(offsets), "_range").select(
+        *df.columns,
+        *[(F.col(f"_{m}_offset") + F.col(f"_{m}_inside")).alias(f"{m}_before") for m in measures],
     )
 
 
 def dense_codes(df: DataFrame, key: str, code: str = "code") -> DataFrame:
     """(key, code): distinct keys numbered 1..k in key order."""
-    ones = df.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_one", F.lit(1).cast("bigint"))
+    keys = df.select(key).where(F.col(key).isNotNull()).distinct()
+    ones = keys.withColumn("_one", F.lit(1).cast("bigint"))
     return running_totals(ones, key, ["_one"]).select(
         key, (F.col("_one_before") + 1).alias(code)
     )
