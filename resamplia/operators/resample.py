@@ -22,6 +22,13 @@ def _hash63(seed: int, *counters: str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed).cast("bigint"), *counters), 1)
 
 
+def _random_row(seed: int, size: int, *counters: str) -> Column:
+    """Uniform row index in [0, size)."""
+    row = _hash63(seed, *counters) % F.lit(size).cast("bigint")
+    # `%` counts as nullable. Without coalesce, a join tests the index for null and hashes twice.
+    return F.coalesce(row, F.lit(0).cast("bigint")).alias("row_ix")
+
+
 def task_count(spark: SparkSession, work: int, per_task: int) -> int:
     """Tasks for `work` units: all cores when there is enough to do, and bounded task length."""
     cores = spark.sparkContext.defaultParallelism
@@ -39,7 +46,7 @@ def draws(spark: SparkSession, size: int, times: int, seed: int, first: int = 1)
     ids = spark.range(start, end, 1, task_count(spark, end - start, 4_000_000))
     return ids.select(
         (F.expr(f"id div {size}") + 1).alias("replicate"),
-        (_hash63(seed, "id") % F.lit(size).cast("bigint")).alias("row_ix"),
+        _random_row(seed, size, "id"),
     )
 
 
@@ -119,10 +126,7 @@ def scan_top_up(spark: SparkSession, size: int, times: int, seed: int, first: in
     last = F.least(F.col("missing"), (F.col("chunk") + 1) * step)
     return spread.select(
         "replicate", F.explode(F.sequence(F.col("chunk") * step + 1, last)).alias("draw")
-    ).select(
-        "replicate",
-        (_hash63(seed + 1, "replicate", "draw") % F.lit(size).cast("bigint")).alias("row_ix"),
-    )
+    ).select("replicate", _random_row(seed + 1, size, "replicate", "draw"))
 
 
 def gather(pairs: DataFrame, size: int, times: int, seed: int, first: int = 1) -> DataFrame:
@@ -144,7 +148,9 @@ def scan(pairs: DataFrame, size: int, times: int, seed: int, first: int = 1) ->
     """
     spark = pairs.sparkSession
     replicates = times - first + 1
-    spread = pairs.repartition(task_count(spark, size * replicates, 200_000_000), "row_ix")
+    tasks = task_count(spark, size * replicates, 200_000_000)
+    # Both branches below share this shuffle: its filter must be the one the join asks for.
+    spread = pairs.where(F.col("row_ix").isNotNull()).repartition(tasks, "row_ix")
     columns = ["replicate", *pairs.columns]
     top_up = scan_top_up(spark, size, times, seed, first).join(spread, "row_ix").select(*columns)
     rate = scan_rate(size)
