@@ -142,8 +142,8 @@ def percentile_ci(scores: DataFrame, keys: Sequence[str] = ("metric",), level: f
 
     Exact percentiles: a group holds one value per replicate, however large the data is.
     """
-    tail = (1.0 - level) / 2.0
-    bounds = F.percentile("estimate", F.array(F.lit(tail), F.lit(1.0 - tail)))
+    tail = round((1.0 - level) / 2.0, 12)
+    bounds = F.percentile("estimate", F.array(F.lit(tail), F.lit(round(1.0 - tail, 12))))
     return (
         scores.groupBy(*keys)
         .agg(bounds.alias("_bounds"), F.avg("estimate").alias("mean"))
