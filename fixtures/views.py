@@ -15,25 +15,33 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def pairs(spark: SparkSession, folder: str, models: tuple[str, ...] = MODELS) -> DataFrame:
-    """Text length in characters, and three simple predictions of it from the word count."""
-    # Blanks + 1: the number of parts between blanks, without building the parts.
-    words = (F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) + 1).cast("double")
-    estimates = {"six_per_word": "6 * words", "five_plus": "5 * words + 40", "constant": "400D"}
-    rows = ", ".join(f"'{m}', {estimates[m]}" for m in models)
-    docs = table(spark, folder, "documents").select("doc_id", "n_chars", words.alias("words"))
-    return docs.select(
-        "doc_id", "n_chars", F.expr(f"stack({len(models)}, {rows}) AS (model, estimate)")
-    ).select(
+def word_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    # Blanks + 1 is the number of parts between blanks; nothing is split. A blank is one byte.
+    blanks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit(" "), F.lit("")))
+    return table(spark, folder, "documents").select(
         F.col("doc_id").alias("row_ix"),
-        "model",
         F.col("n_chars").cast("double").alias("truth"),
-        "estimate",
+        (blanks + 1).cast("double").alias("words"),
+    )
+
+
+def pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Text length in characters, and three simple predictions of it from the word count."""
+    models = F.array(*[F.lit(model) for model in MODELS])
+    estimate = (
+        F.when(F.col("model") == "six_per_word", 6 * F.col("words"))
+        .when(F.col("model") == "five_plus", 5 * F.col("words") + 40)
+        .otherwise(400.0)
     )
+    rows = word_pairs(spark, folder).withColumn("model", F.explode(models))
+    return rows.select("row_ix", "model", "truth", estimate.alias("estimate"))
 
 
-def model_pairs(spark: SparkSession, folder: str, model: str = "six_per_word") -> DataFrame:
-    return pairs(spark, folder, (model,)).drop("model")
+def model_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """The first model alone."""
+    return word_pairs(spark, folder).select(
+        "row_ix", "truth", (6 * F.col("words")).alias("estimate")
+    )
 
 
 def results(spark: SparkSession, folder: str) -> DataFrame:

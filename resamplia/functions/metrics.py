@@ -28,7 +28,7 @@ def metric_aggregates(truth: str = "truth", estimate: str = "estimate") -> list[
     y, p = F.col(truth), F.col(estimate)
     error = y - p
     cov, var_y, var_p = F.covar_samp(y, p), F.var_samp(y), F.var_samp(p)
-    shift = F.avg(y) - F.avg(p)
+    shift = F.avg(error)
     return [
         F.sqrt(F.avg(error * error)).alias("rmse"),
         F.try_divide(cov * cov, var_y * var_p).alias("rsq"),

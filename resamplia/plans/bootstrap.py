@@ -23,7 +23,7 @@ from resamplia.functions.metrics import (
     metrics_from_sums,
     weighted_sums,
 )
-from resamplia.operators.joins import inner_join_nulls_match
+from resamplia.operators.joins import inner_join_nulls_match, small_side
 from resamplia.operators.resample import gather, scan, task_count, with_poisson_weight
 
 # Largest number of rows of `pairs` that is broadcast: at roughly 64 bytes each, 128 MB.
@@ -107,7 +107,7 @@ def poisson_metrics(
         F.count("*").alias("_rows"),
     )
     if by:
-        joined = inner_join_nulls_match(known, centres.drop("_rows"), by)
+        joined = inner_join_nulls_match(known, small_side(centres.drop("_rows")), by)
         rows = known.count() if rows is None else rows
     else:
         truth, estimate, rows = centres.first()

@@ -18,8 +18,9 @@ from resamplia.functions.scalars import (
     time_axis_label,
     worker_label,
 )
-from resamplia.operators.joins import inner_join_nulls_match
+from resamplia.operators.joins import inner_join_nulls_match, small_side
 from resamplia.operators.ordered import dense_codes
+from resamplia.session import reliable_checkpoint
 from resamplia.sources.files import SCENARIO
 
 # Percent CPU limits outside which a process is listed as unusual.
@@ -30,14 +31,14 @@ def relative_time(monitor: DataFrame, keys: Sequence[str] = ("run", *SCENARIO))
     """Add `rel_time`, 0 at the first and 1 at the last sample of a run; null if they coincide.
 
     Apply it before samples without CPU value are dropped. Limits are aggregated and joined
-    back, so a long run is never gathered into one window task.
+    back: a long run is not gathered into one window task, and samples are not shuffled.
     """
     limits = monitor.groupBy(*keys).agg(
         F.min(epoch_seconds(F.col("time"))).alias("_low"),
         F.max(epoch_seconds(F.col("time"))).alias("_high"),
     )
     share = F.try_divide(epoch_seconds(F.col("time")) - F.col("_low"), F.col("_high") - F.col("_low"))
-    joined = inner_join_nulls_match(monitor, limits, keys)
+    joined = inner_join_nulls_match(monitor, small_side(limits), keys)
     return joined.withColumn("rel_time", share).drop("_low", "_high")
 
 
@@ -84,14 +85,15 @@ def worker_panel(
     """Series of all workers of one panel, labelled and in time order.
 
     Workers are numbered in pid order. The sort is a range sort on (worker, time), so one long
-    series is spread over several tasks.
+    series is spread over several tasks. The samples of the one run are used several times and
+    therefore checkpointed.
     """
-    panel = panel_samples(monitor, framework, backend, platforms)
-    codes = dense_codes(panel, "pid").withColumnRenamed("pid", "_pid")
+    panel = reliable_checkpoint(panel_samples(monitor, framework, backend, platforms))
+    codes = small_side(dense_codes(panel, "pid"))
     width = codes.agg(F.max(F.length(F.col("code").cast("string")))).scalar()
     return (
-        panel.join(codes, F.col("pid") == F.col("_pid"))
-        .drop("_pid")
+        panel.join(codes, "pid")
+        .select(*panel.columns, "code")
         .withColumn("worker", worker_label(F.col("code"), width))
         .withColumn("min_sec", minutes_seconds(F.col("time")))
         .orderBy("code", "time")

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from resamplia.operators.joins import inner_join_nulls_match
+from resamplia.operators.joins import inner_join_nulls_match, small_side
 
 RUN_KEYS = ("run", "framework", "backend", "platform")
 RUN_KEYS_ONE_PLATFORM = ("run", "framework", "backend")
@@ -50,7 +50,7 @@ def speed_ups(results: DataFrame, keys: Sequence[str] = RUN_KEYS) -> DataFrame:
 def speed_ups_with_workers(results: DataFrame) -> DataFrame:
     """Speed-ups beside every worker count seen on their platform."""
     lines = results.select("platform", F.col("num_workers").alias("ideal")).distinct()
-    return inner_join_nulls_match(speed_ups(results), lines, ["platform"])
+    return inner_join_nulls_match(speed_ups(results), small_side(lines), ["platform"])
 
 
 def mean_speed_up(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from resamplia.functions.scalars import recode_backend, recode_platform
-from resamplia.operators.joins import inner_join_nulls_match
+from resamplia.operators.joins import inner_join_nulls_match, small_side
 
 SCENARIO = ("framework", "backend", "platform")
 
@@ -87,10 +87,11 @@ def save_monitor(df: DataFrame, main_pid: int, root: str, suffix: str) -> str:
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ("framework", "backend")) -> None:
-    """All runs as one table. Files are ordered by run, so that Parquet statistics prune a
-    filter on run without one folder per run."""
-    placed = df.repartitionByRange(*partition_by, "run").sortWithinPartitions(*partition_by, "run")
-    placed.write.partitionBy(*partition_by).parquet(path)
+    """All runs as one table. Rows are clustered by run, so that Parquet statistics prune a
+    filter on run without one folder per run. Rebalancing splits a run that is too large for
+    one task and merges small ones."""
+    placed = df.hint("rebalance", *partition_by, "run")
+    placed.sortWithinPartitions(*partition_by, "run").write.partitionBy(*partition_by).parquet(path)
 
 
 def read_named(
@@ -135,5 +136,5 @@ def clean_monitor(monitor: DataFrame) -> DataFrame:
 def attach_main_pid(
     monitor: DataFrame, main_pids: DataFrame, keys: Sequence[str] = ("run", *SCENARIO)
 ) -> DataFrame:
-    """Add `main_pid` from a table with one row per run. Spark broadcasts it when it is small."""
-    return inner_join_nulls_match(monitor, main_pids.select(*keys, "main_pid"), keys)
+    """Add `main_pid` from a table with one row per run."""
+    return inner_join_nulls_match(monitor, small_side(main_pids.select(*keys, "main_pid")), keys)

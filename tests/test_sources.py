@@ -126,3 +126,23 @@ def test_pairs_from_any_table(spark):
 def test_never_used(word):
     root = Path(__file__).resolve().parent.parent / "resamplia"
     assert not [p for p in root.rglob("*.py") if word in p.read_text()]
+
+
+def test_large_run_is_written_by_several_tasks(spark, tmp_path):
+    settings = {
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "200000",
+        "spark.sql.adaptive.rebalancePartitionsSmallPartitionFactor": "0.1",
+    }
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        df = spark.range(0, 200_000, 1, 8).select(
+            F.lit("f").alias("framework"), F.lit("b").alias("backend"), F.lit(1).alias("run"), "id"
+        )
+        path = tmp_path / "results"
+        files.write_table(df, str(path))
+        assert len(list(path.rglob("*.parquet"))) > 3
+        assert spark.read.parquet(str(path)).count() == 200_000
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
