@@ -152,7 +152,9 @@ def scan(pairs: DataFrame, size: int, times: int, seed: int, first: int = 1) ->
     # Both branches below share this shuffle: its filter must be the one the join asks for.
     spread = pairs.where(F.col("row_ix").isNotNull()).repartition(tasks, "row_ix")
     columns = ["replicate", *pairs.columns]
-    top_up = scan_top_up(spark, size, times, seed, first).join(spread, "row_ix").select(*columns)
+    # Uniform keys, and at most a few million added draws per task: hash them, sort nothing.
+    added = scan_top_up(spark, size, times, seed, first).hint("shuffle_hash")
+    top_up = added.join(spread, "row_ix").select(*columns)
     rate = scan_rate(size)
     if rate == 0.0:
         return top_up
