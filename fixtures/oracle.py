@@ -137,6 +137,20 @@ metrics AS (SELECT replicate, model, {METRICS} FROM s GROUP BY replicate, model)
 SELECT replicate, model, {ROUNDED} FROM metrics"""
 
 
+def auc_sql(times: int, seed: int) -> str:
+    """CTE a(replicate, positives, negatives, roc_auc)."""
+    return f"""WITH {draws_sql(times, seed)},
+s AS (SELECT replicate, n_chars AS score, quality AS truth
+  FROM d JOIN documents ON row_ix = documents.doc_id JOIN labels USING (doc_id)),
+c AS (SELECT replicate, score, count(*) FILTER (truth = 1) AS pos, count(*) FILTER (truth = 0) AS neg
+  FROM s GROUP BY replicate, score),
+w AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY replicate ORDER BY score
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c),
+a AS (SELECT replicate, sum(pos)::BIGINT AS positives, sum(neg)::BIGINT AS negatives,
+  sum(pos::DOUBLE * (below::DOUBLE + neg::DOUBLE / 2)) / (sum(pos)::DOUBLE * sum(neg)::DOUBLE) AS roc_auc
+  FROM w GROUP BY replicate)"""
+
+
 def speed_ups_sql(keys: str) -> str:
     return f"""WITH {RC},
 b AS (SELECT elapsed AS baseline, {keys} FROM r WHERE NOT parallel),
@@ -202,6 +216,13 @@ pairs AS (SELECT sum(CASE WHEN a.score > b.score THEN 1.0::DOUBLE WHEN a.score =
     ELSE 0.0::DOUBLE END) AS wins FROM d a JOIN d b ON a.truth = 1 AND b.truth = 0),
 totals AS (SELECT count(*) FILTER (truth = 1) AS positives, count(*) FILTER (truth = 0) AS negatives FROM d)
 SELECT positives, negatives, round(wins / (positives::DOUBLE * negatives), 9) AS roc_auc FROM pairs, totals""",
+        "bootstrap_auc": f"""{auc_sql(times["scan"], seed)}
+SELECT replicate, positives, negatives, round(roc_auc, 9) AS roc_auc FROM a""",
+        "bootstrap_auc_ci": f"""{auc_sql(times["scan"], seed)}
+SELECT 'roc_auc' AS metric, round(quantile_cont(roc_auc, 0.025), 9) AS lower,
+  round(avg(roc_auc), 9) AS mean, round(quantile_cont(roc_auc, 0.975), 9) AS upper FROM a""",
+        "indexed_rows": """SELECT count(*) AS n, count(*) AS distinct_rows, 0::BIGINT AS first,
+  count(*) - 1 AS last, sum(l_quantity) AS quantity FROM lineitem""",
         "results_clean": f"WITH {RC} SELECT * FROM r",
         "results_tagged": """SELECT l_extendedprice AS elapsed, l_quantity AS user_self, FALSE AS parallel,
   7::BIGINT AS run, 8::INTEGER AS num_workers, 'future' AS framework, 'mirai' AS backend, 'source' AS platform

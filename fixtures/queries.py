@@ -14,6 +14,7 @@ from resamplia.functions.scalars import epoch_seconds, without
 from resamplia.operators import checks, ordered, resample
 from resamplia.plans import bootstrap, monitor, speedup
 from resamplia.sources import files
+from resamplia.sources.pairs import dense_index
 
 SEED = 7
 
@@ -159,6 +160,29 @@ def roc_auc(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(ordered.roc_auc(views.quality_scores(spark, folder), "truth", "score"), 9, "roc_auc")
 
 
+def bootstrap_auc(spark: SparkSession, folder: str) -> DataFrame:
+    scores = bootstrap.bootstrap_auc(views.quality_pairs(spark, folder), TIMES["scan"], SEED)
+    return rounded(scores, 9, "roc_auc")
+
+
+def bootstrap_auc_ci(spark: SparkSession, folder: str) -> DataFrame:
+    scores = bootstrap.bootstrap_auc(views.quality_pairs(spark, folder), TIMES["scan"], SEED)
+    long = to_long(scores, ["replicate"], ["roc_auc"])
+    return rounded(bootstrap.percentile_ci(long), 9, "lower", "mean", "upper")
+
+
+def indexed_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Dense numbering of a table without a usable key."""
+    indexed = dense_index(views.table(spark, folder, "lineitem").select("l_quantity"))
+    return indexed.agg(
+        F.count("*").alias("n"),
+        F.count_distinct("row_ix").alias("distinct_rows"),
+        F.min("row_ix").alias("first"),
+        F.max("row_ix").alias("last"),
+        F.sum("l_quantity").alias("quantity"),
+    )
+
+
 # Timing rows
 
 RESULT_COLUMNS = ["run", "framework", "backend", "platform"]
@@ -300,6 +324,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bootstrap_poisson": bootstrap_poisson,
     "bootstrap_udf": bootstrap_udf,
     "roc_auc": roc_auc,
+    "bootstrap_auc": bootstrap_auc,
+    "bootstrap_auc_ci": bootstrap_auc_ci,
+    "indexed_rows": indexed_rows,
     "results_clean": results,
     "results_tagged": results_tagged,
     "results_union": results_union,

@@ -90,6 +90,17 @@ def monitor(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def quality_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents with text length as score; the outcome is null where there is no label."""
+    docs = table(spark, folder, "documents").select(
+        F.col("doc_id").alias("row_ix"), F.col("n_chars").cast("double").alias("estimate")
+    )
+    labels = table(spark, folder, "labels").select(
+        F.col("doc_id").alias("row_ix"), F.col("quality").cast("double").alias("truth")
+    )
+    return docs.join(labels, "row_ix", "left").select("row_ix", "truth", "estimate")
+
+
 def quality_scores(spark: SparkSession, folder: str) -> DataFrame:
     """0/1 outcome and numeric score of labelled documents."""
     docs = table(spark, folder, "documents").select("doc_id", F.col("n_chars").alias("score"))

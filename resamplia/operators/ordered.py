@@ -4,37 +4,51 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from resamplia.session import reliable_checkpoint
 
 
-def _range_number(key: str, cuts: Sequence[float], low: int = 0) -> str:
-    """SQL for the number of cut points below `key`, by bisection."""
-    if not cuts:
-        return str(low)
-    middle = len(cuts) // 2
-    cut = f"{cuts[middle]!r}D" if isinstance(cuts[middle], float) else str(cuts[middle])
-    below = _range_number(key, cuts[:middle], low)
-    above = _range_number(key, cuts[middle + 1 :], low + middle + 1)
-    return f"CASE WHEN `{key}` <= {cut} THEN {below} ELSE {above} END"
+RANGES = 128
+
+
+def range_cuts(keys: DataFrame, key: str, ranges: int = RANGES) -> list[float]:
+    """Numbers that cut distinct `keys` into ranges of about the same size.
+
+    Only these few numbers reach the driver. They balance the work and nothing else: the
+    results below are the same for any cuts.
+    """
+    shares = [i / ranges for i in range(1, ranges)]
+    cuts = keys.select(F.percentile_approx(key, shares, 10_000)).first()[0]
+    return sorted(set(cuts or []))
+
+
+def range_number(key: str, cuts: Sequence[float]) -> Column:
+    """Number of cuts below `key`, by bisection."""
+
+    def bisect(part: Sequence[float], low: int) -> str:
+        if not part:
+            return str(low)
+        middle = len(part) // 2
+        cut = f"{part[middle]!r}D" if isinstance(part[middle], float) else str(part[middle])
+        below, above = bisect(part[:middle], low), bisect(part[middle + 1 :], low + middle + 1)
+        return f"CASE WHEN `{key}` <= {cut} THEN {below} ELSE {above} END"
+
+    return F.expr(bisect(cuts, 0))
 
 
 def running_totals(
-    df: DataFrame, key: str, measures: Sequence[str], ranges: int = 128
+    df: DataFrame, key: str, measures: Sequence[str], ranges: int = RANGES
 ) -> DataFrame:
     """Add `<measure>_before`: the total of `measure` over all smaller keys.
 
-    `df` has one row per numeric `key`, so no range can be filled by a single hot key. Keys are
-    cut into ranges at approximate percentiles; each range is summed on its own and shifted by
-    the totals of the ranges before it. The cut points only balance the work: any cut points
-    give the same result. `df` is used three times, so it is checkpointed.
+    `df` has one row per numeric `key`, so no range can be filled by a single hot key. Each
+    range is summed on its own and shifted by the totals of the ranges before it. `df` is used
+    three times, so it is checkpointed.
     """
     source = reliable_checkpoint(df)
-    shares = [i / ranges for i in range(1, ranges)]
-    cuts = source.select(F.percentile_approx(key, shares, 10_000)).first()[0] or []
-    ranged = source.withColumn("_range", F.expr(_range_number(key, sorted(set(cuts)))))
+    ranged = source.withColumn("_range", range_number(key, range_cuts(source, key, ranges)))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     # At most `ranges` rows: safe in one task, and safe to broadcast.
     offsets = ranged.groupBy("_range").agg(*[F.sum(m).alias(m) for m in measures]).select(
@@ -60,21 +74,45 @@ def dense_codes(df: DataFrame, key: str, code: str = "code") -> DataFrame:
     )
 
 
-def roc_auc(df: DataFrame, truth: str, score: str) -> DataFrame:
-    """Area under the ROC curve of a 0/1 `truth`, larger scores meaning 1; ties count half.
+def roc_auc(
+    df: DataFrame,
+    truth: str,
+    score: str,
+    by: Sequence[str] = (),
+    cuts: Sequence[float] | None = None,
+) -> DataFrame:
+    """Area under the ROC curve of a 0/1 `truth` per group; larger scores mean 1, ties count half.
 
-    Rows are first counted per distinct score, so equal scores never meet in one task.
+    Rows are counted per distinct score first, so equal scores cannot fill a task. Wins are
+    summed within score ranges; a range then adds its positives times all negatives of the
+    ranges below it.
     """
-    positive = F.sum(F.when(F.col(truth) == 1, 1).otherwise(0)).alias("positives")
-    negative = F.sum(F.when(F.col(truth) == 0, 1).otherwise(0)).alias("negatives")
-    known = df.where(F.col(truth).isNotNull() & F.col(score).isNotNull())
-    counts = known.groupBy(F.col(score).alias("score")).agg(positive, negative)
-    ranked = running_totals(counts, "score", ["negatives"])
-    pos, neg = F.col("positives").cast("double"), F.col("negatives").cast("double")
-    wins = F.sum(pos * (F.col("negatives_before").cast("double") + neg / 2))
-    total = F.sum(pos) * F.sum(neg)
-    return ranked.agg(
-        F.sum("positives").alias("positives"),
-        F.sum("negatives").alias("negatives"),
-        F.try_divide(wins, total).alias("roc_auc"),
+    known = df.where(F.col(truth).isin(0, 1) & F.col(score).isNotNull()).select(
+        *by, F.col(truth).alias("_truth"), F.col(score).alias("_score")
+    )
+    if cuts is None:
+        cuts = range_cuts(known.select("_score").distinct(), "_score")
+    groups = [*by, "_range"]
+    counts = known.groupBy(*by, range_number("_score", cuts).alias("_range"), "_score").agg(
+        F.sum(F.when(F.col("_truth") == 1, 1).otherwise(0)).alias("_pos"),
+        F.sum(F.when(F.col("_truth") == 0, 1).otherwise(0)).alias("_neg"),
+    )
+    inside = Window.partitionBy(*groups).orderBy("_score").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per range: the windows below it hold at most RANGES rows.
+    below = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    pos, neg = F.col("_pos").cast("double"), F.col("_neg").cast("double")
+
+    def lower(window: Window) -> Column:
+        return F.coalesce(F.sum("_neg").over(window), F.lit(0)).cast("double")
+
+    ranges = (
+        counts.withColumn("_wins", pos * (lower(inside) + neg / 2))
+        .groupBy(*groups)
+        .agg(*[F.sum(c).alias(c) for c in ("_wins", "_pos", "_neg")])
+        .withColumn("_wins", F.col("_wins") + pos * lower(below))
+    )
+    return ranges.groupBy(*by).agg(
+        F.sum("_pos").alias("positives"),
+        F.sum("_neg").alias("negatives"),
+        F.try_divide(F.sum("_wins"), F.sum(pos) * F.sum(neg)).alias("roc_auc"),
     )

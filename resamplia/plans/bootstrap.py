@@ -24,6 +24,7 @@ from resamplia.functions.metrics import (
     weighted_sums,
 )
 from resamplia.operators.joins import inner_join_nulls_match, small_side
+from resamplia.operators.ordered import range_cuts, roc_auc
 from resamplia.operators.resample import gather, scan, task_count, with_poisson_weight
 
 # Largest number of rows of `pairs` that is broadcast: at roughly 64 bytes each, 128 MB.
@@ -82,6 +83,21 @@ def bootstrap_metrics(
     return sets.groupBy("replicate", *by).agg(*(metrics or metric_aggregates()))
 
 
+def bootstrap_auc(
+    pairs: DataFrame,
+    times: int,
+    seed: int,
+    by: Sequence[str] = (),
+    first: int = 1,
+    method: str = "auto",
+) -> DataFrame:
+    """ROC AUC per replicate (and model) of a 0/1 `truth` and a score `estimate`."""
+    scores = complete_pairs(pairs).select("estimate").distinct()
+    cuts = range_cuts(scores, "estimate")
+    sets = analysis_sets(pairs, times, seed, by, first, method)
+    return roc_auc(sets, "truth", "estimate", ["replicate", *by], cuts)
+
+
 def poisson_metrics(
     pairs: DataFrame,
     times: int,
