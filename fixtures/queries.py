@@ -136,17 +136,18 @@ def bootstrap_poisson(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(scores, 6, *METRICS)
 
 
-def squared_and_close(part: pd.DataFrame) -> dict[str, float]:
-    """A user's own sums: squared error, and rows predicted within a tenth."""
-    error = (part["truth"] - part["estimate"]).abs()
-    return {
-        "n": len(part),
-        "squared": (error * error).sum(),
-        "close": (error <= 0.1 * part["truth"]).sum(),
-    }
+def bootstrap_udf(spark: SparkSession, folder: str) -> DataFrame:
+    """A user's own sums in pandas: squared error, and rows predicted within a tenth."""
 
+    # A nested function travels to the workers by value: they need not import this module.
+    def squared_and_close(part: pd.DataFrame) -> dict[str, float]:
+        error = (part["truth"] - part["estimate"]).abs()
+        return {
+            "n": len(part),
+            "squared": (error * error).sum(),
+            "close": (error <= 0.1 * part["truth"]).sum(),
+        }
 
-def bootstrap_udf(spark: SparkSession, folder: str) -> DataFrame:
     sets = bootstrap.analysis_sets(views.model_pairs(spark, folder), TIMES["scan"], SEED)
     sums = bootstrap.reduce_sets(sets, squared_and_close, ["n", "squared", "close"])
     return sums.select(

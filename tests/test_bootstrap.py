@@ -7,13 +7,13 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from fixtures.queries import squared_and_close
 from resamplia.functions.metrics import METRICS, complete_pairs, metric_aggregates, to_long
 from resamplia.operators.checks import replicate_sizes
 from resamplia.plans import bootstrap
 from resamplia.plans.bootstrap import (
     analysis_sets,
     apply_to_sets,
+    bootstrap_auc,
     bootstrap_metrics,
     percentile_ci,
     poisson_metrics,
@@ -136,6 +136,19 @@ def test_large_tables_are_not_broadcast(normal, monkeypatch):
         analysis_sets(normal, 3, 1, method="gather")
 
 
+@pytest.mark.parametrize("method", ["gather", "scan"])
+def test_bootstrap_auc(spark, method):
+    rows = [(i, float(i * 7 % 5 % 2), float(i * 31 % 57)) for i in range(300)]
+    pairs = spark.createDataFrame(rows, "row_ix long, truth double, estimate double")
+    found = {r.replicate: r.roc_auc for r in bootstrap_auc(pairs, 4, 3, method=method).collect()}
+    drawn = analysis_sets(pairs, 4, 3, method=method).collect()
+    for replicate in range(1, 5):
+        ones = [r.estimate for r in drawn if r.replicate == replicate and r.truth == 1]
+        zeros = [r.estimate for r in drawn if r.replicate == replicate and r.truth == 0]
+        wins = sum((a > b) + 0.5 * (a == b) for a in ones for b in zeros)
+        assert found[replicate] == pytest.approx(wins / len(ones) / len(zeros), abs=1e-12)
+
+
 def test_percentile_interval(spark):
     rows = [("a", float(i)) for i in range(101)] + [("b", None)]
     found = {r.metric: r for r in percentile_ci(spark.createDataFrame(rows, "metric string, estimate double"), level=0.9).collect()}
@@ -153,7 +166,12 @@ def test_interval_covers_the_estimate(normal):
 @pytest.mark.parametrize("method", ["gather", "scan"])
 def test_user_function_by_pieces(normal, method):
     sets = analysis_sets(normal, 8, 9, method=method)
-    sums = reduce_sets(sets, squared_and_close, ["n", "squared", "close"])
+
+    def squared(part: pd.DataFrame) -> dict[str, float]:
+        error = part["truth"] - part["estimate"]
+        return {"n": len(part), "squared": (error * error).sum()}
+
+    sums = reduce_sets(sets, squared, ["n", "squared"])
     found = {r.replicate: math.sqrt(r.squared / r.n) for r in sums.collect()}
     expected = {r.replicate: r.rmse for r in sets.groupBy("replicate").agg(*metric_aggregates()).collect()}
     assert found.keys() == expected.keys()

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,6 +76,37 @@ def test_long_form(spark):
     assert {r.estimator for r in rows} == {"standard"}
 
 
+def numpy_metrics(truth, estimate):
+    y, p = np.array(truth), np.array(estimate)
+    error = y - p
+    found = {"rmse": math.sqrt((error**2).mean()), "mae": np.abs(error).mean(), "rsq": None, "ccc": None}
+    if len(y) > 1:
+        cov = ((y - y.mean()) * (p - p.mean())).sum() / (len(y) - 1)
+        if len(set(truth)) > 1 and len(set(estimate)) > 1:
+            found["rsq"] = cov**2 / (y.var(ddof=1) * p.var(ddof=1))
+        below = y.var(ddof=1) + p.var(ddof=1) + (y.mean() - p.mean()) ** 2
+        found["ccc"] = 2 * cov / below if below > 0 else None
+    return found
+
+
+def test_random_groups_against_numpy(spark):
+    """200 groups of 1 to 40 rows: continuous, coarse and constant columns."""
+    draw = np.random.default_rng(5)
+    groups = {}
+    for group in range(200):
+        n = int(draw.integers(1, 41))
+        truth = draw.normal(10, 3, n) if group % 3 else draw.integers(0, 3, n).astype(float)
+        estimate = truth + draw.normal(0, 1, n) if group % 5 else np.full(n, 0.3)
+        groups[group] = (truth.tolist(), estimate.tolist())
+    rows = [(g, t, e) for g, (ts, es) in groups.items() for t, e in zip(ts, es)]
+    df = spark.createDataFrame(rows, "g int, truth double, estimate double").repartition(6)
+    for row in df.groupBy("g").agg(*metric_aggregates()).collect():
+        expected = numpy_metrics(*groups[row.g])
+        for metric in METRICS:
+            want = expected[metric]
+            assert row[metric] == (None if want is None else pytest.approx(want, rel=1e-9, abs=1e-12))
+
+
 def brute_auc(rows):
     wins = [
         1.0 if a > b else 0.5 if a == b else 0.0
@@ -94,6 +126,14 @@ def test_auc_against_all_pairs(spark):
     assert found.roc_auc == pytest.approx(brute_auc(rows), abs=1e-12)
 
 
+def test_auc_per_group(spark):
+    rows = [(i % 4, i * 7 % 5 % 2, float(i * 31 % 57)) for i in range(400)]
+    df = spark.createDataFrame(rows, "g int, truth int, score double")
+    found = {r.g: r.roc_auc for r in roc_auc(df, "truth", "score", ["g"]).collect()}
+    for g in range(4):
+        assert found[g] == pytest.approx(brute_auc([r[1:] for r in rows if r[0] == g]), abs=1e-12)
+
+
 def test_auc_of_one_class_is_null(spark):
     df = spark.createDataFrame([(1, 1.0), (1, 2.0)], "truth int, score double")
     assert roc_auc(df, "truth", "score").first().roc_auc is None
