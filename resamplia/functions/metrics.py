@@ -1,6 +1,6 @@
 """Regression metrics of (truth, estimate) pairs as Spark aggregates.
 
-All four metrics share one aggregation. Rows with a null on either side must be dropped
+All four metrics share one aggregation. Rows with a null or NaN on either side must be dropped
 first (`complete_pairs`), because the moments below skip nulls column by column.
 """
 
@@ -17,7 +17,8 @@ ESTIMATOR = "standard"
 
 
 def complete_pairs(df: DataFrame) -> DataFrame:
-    return df.where(F.col("truth").isNotNull() & F.col("estimate").isNotNull())
+    known = [F.col(c).isNotNull() & ~F.isnan(c) for c in ("truth", "estimate")]
+    return df.where(known[0] & known[1])
 
 
 def metric_aggregates(truth: str = "truth", estimate: str = "estimate") -> list[Column]:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,37 +12,56 @@ from pyspark.sql import functions as F
 from resamplia.session import reliable_checkpoint
 
 
+# Keys are cut at RANGES - 1 percentiles, and evenly between them when a range would hold more
+# than ROWS_PER_RANGE keys.
 RANGES = 128
-
-
-def range_cuts(keys: DataFrame, key: str, ranges: int = RANGES) -> list[float]:
-    """Numbers that cut distinct `keys` into ranges of about the same size.
-
-    Only these few numbers reach the driver. They balance the work and nothing else: the
-    results below are the same for any cuts.
-    """
-    shares = [i / ranges for i in range(1, ranges)]
-    cuts = keys.select(F.percentile_approx(key, shares, 10_000)).first()[0]
-    return sorted(set(cuts or []))
-
-
-def range_number(key: str, cuts: Sequence[float]) -> Column:
-    """Number of cuts below `key`, by bisection."""
-
-    def bisect(part: Sequence[float], low: int) -> str:
-        if not part:
+ROWS_PER_RANGE = 1_000_000
+
+
+@dataclass(frozen=True)
+class Ranges:
+    """Cuts balance the work and nothing else: results are the same for any cuts."""
+
+    low: float
+    cuts: tuple[float, ...]
+    high: float
+    parts: int
+
+    def number(self, key: str) -> Column:
+        """Number of the range that holds `key`; it never falls when the key grows."""
+        index = F.expr(self._bisect(key, self.cuts, 0))
+        if self.parts == 1:
+            return index
+        bounds = F.array(*[F.lit(float(v)) for v in (self.low, *self.cuts, self.high)])
+        start, end = F.get(bounds, index), F.get(bounds, index + 1)
+        share = F.try_divide(F.col(key).cast("double") - start, end - start)
+        part = F.floor(F.coalesce(share, F.lit(0.0)) * self.parts)
+        within = F.greatest(F.lit(0), F.least(F.lit(self.parts - 1), part))
+        return index * self.parts + within
+
+    def _bisect(self, key: str, cuts: Sequence[float], low: int) -> str:
+        if not cuts:
             return str(low)
-        middle = len(part) // 2
-        cut = f"{part[middle]!r}D" if isinstance(part[middle], float) else str(part[middle])
-        below, above = bisect(part[:middle], low), bisect(part[middle + 1 :], low + middle + 1)
+        middle = len(cuts) // 2
+        cut = f"{cuts[middle]!r}D" if isinstance(cuts[middle], float) else str(cuts[middle])
+        below = self._bisect(key, cuts[:middle], low)
+        above = self._bisect(key, cuts[middle + 1 :], low + middle + 1)
         return f"CASE WHEN `{key}` <= {cut} THEN {below} ELSE {above} END"
 
-    return F.expr(bisect(cuts, 0))
 
+def find_ranges(keys: DataFrame, key: str) -> Ranges:
+    """Ranges for a table of distinct keys. Only the cuts reach the driver."""
+    shares = [i / RANGES for i in range(1, RANGES)]
+    count, low, cuts, high = keys.agg(
+        F.count(key), F.min(key), F.percentile_approx(key, shares, 1_000), F.max(key)
+    ).first()
+    if count == 0:
+        return Ranges(0, (), 0, 1)
+    parts = ceil(count / (RANGES * ROWS_PER_RANGE))
+    return Ranges(low, tuple(sorted(set(cuts))), high, parts)
 
-def running_totals(
-    df: DataFrame, key: str, measures: Sequence[str], ranges: int = RANGES
-) -> DataFrame:
+
+def running_totals(df: DataFrame, key: str, measures: Sequence[str]) -> DataFrame:
     """Add `<measure>_before`: the total of `measure` over all smaller keys.
 
     `df` has one row per numeric `key`, so no range can be filled by a single hot key. Each
@@ -48,9 +69,9 @@ def running_totals(
     three times, so it is checkpointed.
     """
     source = reliable_checkpoint(df)
-    ranged = source.withColumn("_range", range_number(key, range_cuts(source, key, ranges)))
+    ranged = source.withColumn("_range", find_ranges(source, key).number(key))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    # At most `ranges` rows: safe in one task, and safe to broadcast.
+    # One row per range, a millionth of the keys: safe in one task, and safe to broadcast.
     offsets = ranged.groupBy("_range").agg(*[F.sum(m).alias(m) for m in measures]).select(
         "_range",
         *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"_{m}_offset") for m in measures],
@@ -79,7 +100,7 @@ def roc_auc(
     truth: str,
     score: str,
     by: Sequence[str] = (),
-    cuts: Sequence[float] | None = None,
+    ranges: Ranges | None = None,
 ) -> DataFrame:
     """Area under the ROC curve of a 0/1 `truth` per group; larger scores mean 1, ties count half.
 
@@ -87,31 +108,32 @@ def roc_auc(
     summed within score ranges; a range then adds its positives times all negatives of the
     ranges below it.
     """
-    known = df.where(F.col(truth).isin(0, 1) & F.col(score).isNotNull()).select(
+    usable = F.col(truth).isin(0, 1) & F.col(score).isNotNull() & ~F.isnan(score)
+    known = df.where(usable).select(
         *by, F.col(truth).alias("_truth"), F.col(score).alias("_score")
     )
-    if cuts is None:
-        cuts = range_cuts(known.select("_score").distinct(), "_score")
+    if ranges is None:
+        ranges = find_ranges(known.select("_score").distinct(), "_score")
     groups = [*by, "_range"]
-    counts = known.groupBy(*by, range_number("_score", cuts).alias("_range"), "_score").agg(
+    counts = known.groupBy(*by, ranges.number("_score").alias("_range"), "_score").agg(
         F.sum(F.when(F.col("_truth") == 1, 1).otherwise(0)).alias("_pos"),
         F.sum(F.when(F.col("_truth") == 0, 1).otherwise(0)).alias("_neg"),
     )
     inside = Window.partitionBy(*groups).orderBy("_score").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per range: the windows below it hold at most RANGES rows.
+    # This window sees one row per range.
     below = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     pos, neg = F.col("_pos").cast("double"), F.col("_neg").cast("double")
 
     def lower(window: Window) -> Column:
         return F.coalesce(F.sum("_neg").over(window), F.lit(0)).cast("double")
 
-    ranges = (
+    per_range = (
         counts.withColumn("_wins", pos * (lower(inside) + neg / 2))
         .groupBy(*groups)
         .agg(*[F.sum(c).alias(c) for c in ("_wins", "_pos", "_neg")])
         .withColumn("_wins", F.col("_wins") + pos * lower(below))
     )
-    return ranges.groupBy(*by).agg(
+    return per_range.groupBy(*by).agg(
         F.sum("_pos").alias("positives"),
         F.sum("_neg").alias("negatives"),
         F.try_divide(F.sum("_wins"), F.sum(pos) * F.sum(neg)).alias("roc_auc"),

@@ -24,7 +24,7 @@ from resamplia.functions.metrics import (
     weighted_sums,
 )
 from resamplia.operators.joins import inner_join_nulls_match, small_side
-from resamplia.operators.ordered import range_cuts, roc_auc
+from resamplia.operators.ordered import find_ranges, roc_auc
 from resamplia.operators.resample import gather, scan, task_count, with_poisson_weight
 
 # Largest number of rows of `pairs` that is broadcast, at roughly 64 bytes each. Beyond it the
@@ -94,9 +94,9 @@ def bootstrap_auc(
 ) -> DataFrame:
     """ROC AUC per replicate (and model) of a 0/1 `truth` and a score `estimate`."""
     scores = complete_pairs(pairs).select("estimate").distinct()
-    cuts = range_cuts(scores, "estimate")
+    ranges = find_ranges(scores, "estimate")
     sets = analysis_sets(pairs, times, seed, by, first, method)
-    return roc_auc(sets, "truth", "estimate", ["replicate", *by], cuts)
+    return roc_auc(sets, "truth", "estimate", ["replicate", *by], ranges)
 
 
 def poisson_metrics(

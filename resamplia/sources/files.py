@@ -128,7 +128,8 @@ def clean_results(results: DataFrame) -> DataFrame:
 
 def clean_monitor(monitor: DataFrame) -> DataFrame:
     """CPU samples that have a value, with the platform names used in reports."""
-    return monitor.where(F.col("pct_cpu").isNotNull()).withColumn("platform", recode_platform())
+    known = F.col("pct_cpu").isNotNull() & ~F.isnan("pct_cpu")
+    return monitor.where(known).withColumn("platform", recode_platform())
 
 
 

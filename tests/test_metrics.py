@@ -14,6 +14,7 @@ from resamplia.functions.metrics import (
     to_long,
     weighted_sums,
 )
+from resamplia.operators import ordered
 from resamplia.operators.ordered import roc_auc
 
 SCHEMA = "truth double, estimate double"
@@ -26,7 +27,7 @@ def score(spark, rows):
 
 def weighted_score(spark, rows):
     """The same through weighted sums, every row with weight 1."""
-    known = [row for row in rows if None not in row]
+    known = [row for row in rows if None not in row and not any(map(math.isnan, row))]
     cy = sum(r[0] for r in known) / len(known)
     cp = sum(r[1] for r in known) / len(known)
     sums = complete_pairs(spark.createDataFrame(rows, SCHEMA)).agg(
@@ -44,6 +45,7 @@ CASES = {
     "constant_fraction": ([(0.1, 2), (0.1, 3), (0.1, 5)], dict(rsq=None, ccc=0)),
     "one_row": ([(1, 2)], dict(rmse=1, rsq=None, mae=1, ccc=None)),
     "with_nulls": ([(1, 1), (None, 2), (3, None), (2, 2)], dict(rmse=0, rsq=1, mae=0, ccc=1)),
+    "with_nan": ([(1, 1), (float("nan"), 2), (3, float("nan")), (2, 2)], dict(rmse=0, rsq=1, mae=0, ccc=1)),
     "opposite": ([(1, 3), (2, 2), (3, 1)], dict(rsq=1, ccc=-1)),
 }
 
@@ -126,6 +128,14 @@ def test_auc_against_all_pairs(spark):
     assert found.roc_auc == pytest.approx(brute_auc(rows), abs=1e-12)
 
 
+@pytest.mark.parametrize("rows_per_range", [1_000_000, 1])
+def test_auc_with_many_ranges(spark, rows_per_range, monkeypatch):
+    monkeypatch.setattr(ordered, "ROWS_PER_RANGE", rows_per_range)
+    rows = [(i * 7 % 5 % 2, float(i * 31 % 457) ** 2) for i in range(900)] + [(1, float("nan"))]
+    df = spark.createDataFrame(rows, "truth int, score double")
+    assert roc_auc(df, "truth", "score").first().roc_auc == pytest.approx(brute_auc(rows[:-1]), abs=1e-12)
+
+
 def test_auc_per_group(spark):
     rows = [(i % 4, i * 7 % 5 % 2, float(i * 31 % 57)) for i in range(400)]
     df = spark.createDataFrame(rows, "g int, truth int, score double")

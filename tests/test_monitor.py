@@ -5,7 +5,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from resamplia.operators.ordered import dense_codes, running_totals
+from resamplia.operators import ordered
+from resamplia.operators.ordered import Ranges, dense_codes, find_ranges, running_totals
 from resamplia.plans import monitor
 
 SCHEMA = (
@@ -90,12 +91,14 @@ def test_busy_and_idle(spark):
     assert idle == {2: 0.0, 3: 0.0, 4: 1.0}
 
 
+@pytest.mark.parametrize("rows_per_range", [1_000_000, 1])
 @pytest.mark.parametrize("kind", ["bigint", "double", "int"])
-def test_running_totals(spark, kind):
+def test_running_totals(spark, kind, rows_per_range, monkeypatch):
+    monkeypatch.setattr(ordered, "ROWS_PER_RANGE", rows_per_range)
     values = sorted({(i * 7919) % 5003 - 2000 for i in range(1500)})
     rows = spark.createDataFrame([(v, v % 17) for v in values], "key long, amount long").repartition(5)
     df = rows.withColumn("key", F.col("key").cast(kind))
-    found = {r.key: r.amount_before for r in running_totals(df, "key", ["amount"], ranges=16).collect()}
+    found = {r.key: r.amount_before for r in running_totals(df, "key", ["amount"]).collect()}
     total = 0
     for value in values:
         assert found[value] == total
@@ -103,6 +106,22 @@ def test_running_totals(spark, kind):
     assert len(found) == len(values)
 
 
+def test_range_numbers_keep_the_order(spark):
+    ranges = Ranges(-5.0, (0.0, 1.5, 7.0), 20.0, 10)
+    keys = spark.range(-60, 300).select((F.col("id") / 10).alias("key"))
+    numbers = [r.n for r in keys.select("key", ranges.number("key").alias("n")).orderBy("key").collect()]
+    assert numbers == sorted(numbers) and numbers[0] == 0 and numbers[-1] == 39
+    assert len(set(numbers)) > 30
+
+
+def test_more_keys_give_more_ranges(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "ROWS_PER_RANGE", 10)
+    keys = spark.range(5000).select((F.col("id") * F.col("id")).alias("key"))
+    ranges = find_ranges(keys, "key")
+    sizes = [r["count"] for r in keys.groupBy(ranges.number("key").alias("n")).count().collect()]
+    assert ranges.parts == 4 and len(sizes) > 400 and max(sizes) < 40
+
+
 def test_dense_codes(spark):
     df = spark.createDataFrame([(p,) for p in (900, 5, 5, 70, None, 900)], "pid long")
     assert sorted(map(tuple, dense_codes(df, "pid").collect())) == [(5, 1), (70, 2), (900, 3)]
