@@ -105,14 +105,12 @@ def poisson_metrics(
     seed: int,
     by: Sequence[str] = (),
     first: int = 1,
-    rows: int | None = None,
 ) -> DataFrame:
     """As `bootstrap_metrics`, with independent Poisson(1) weights for the rows.
 
     The cheapest form for huge tables: one pass, no index check, no join of draws, and the
     shuffle carries one row of sums per replicate and task. The total weight of a replicate
-    varies around n, so this is the Poisson bootstrap and not a draw of exactly n rows. `rows`
-    is counted unless given; it only sets the number of tasks.
+    varies around n, so this is the Poisson bootstrap and not a draw of exactly n rows.
     """
     known = complete_pairs(pairs)
     # Sums are taken around the mean of the model; around the value itself if it is constant.
@@ -124,8 +122,9 @@ def poisson_metrics(
         F.count("*").alias("_rows"),
     )
     if by:
-        joined = inner_join_nulls_match(known, small_side(centres.drop("_rows")), by)
-        rows = known.count() if rows is None else rows
+        stored = small_side(centres)
+        joined = inner_join_nulls_match(known, stored, by)
+        rows = stored.agg(F.sum("_rows")).first()[0] or 0
     else:
         truth, estimate, rows = centres.first()
         joined = known.withColumns(

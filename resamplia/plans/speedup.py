@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from resamplia.operators.joins import inner_join_nulls_match, small_side
+from resamplia.session import reliable_checkpoint
 
 RUN_KEYS = ("run", "framework", "backend", "platform")
 RUN_KEYS_ONE_PLATFORM = ("run", "framework", "backend")
@@ -80,12 +81,12 @@ def mean_speed_up(
 
 
 def best_configurations(means: DataFrame) -> DataFrame:
-    """Rows with the largest mean, ties kept. `means` has one row per configuration."""
-    return (
-        means.withColumn("_rank", F.rank().over(Window.orderBy(F.desc("mean"))))
-        .where("_rank = 1 AND mean IS NOT NULL")
-        .drop("_rank")
-    )
+    """Rows with the largest mean, ties kept.
+
+    The means are stored first: computed twice, a sum of doubles may differ in its last digit.
+    """
+    stored = reliable_checkpoint(means)
+    return stored.where(F.col("mean") == stored.agg(F.max("mean")).scalar())
 
 
 def best_speed_up(results: DataFrame) -> DataFrame:

@@ -1,0 +1,44 @@
+from __future__ import annotations
+
+import datetime as dt
+
+from resamplia.plans.report import benchmark_tables, utilization_tables
+from resamplia.sources import files
+
+
+def tags(run, parallel):
+    return dict(
+        parallel=parallel,
+        run=run,
+        num_workers=8,
+        framework="future",
+        backend="foreach",
+        platform="source",
+    )
+
+
+def test_from_files_to_report(spark, tmp_path):
+    """Two saved runs, one of which crashed before its samples were saved."""
+    root = str(tmp_path)
+    for run, fast in ((1, 5.0), (2, 2.0)):
+        rows = files.bind_rows(
+            files.timing_row(spark, {"elapsed": 20.0}, **tags(run, False)),
+            files.timing_row(spark, {"elapsed": fast}, **tags(run, True)),
+        )
+        files.save_results(rows, root, files.run_suffix("future", "foreach", run))
+    start = dt.datetime(2024, 5, 1)
+    samples = [(start + dt.timedelta(seconds=s), pid, 50.0 * s) for s in range(3) for pid in (7, 9, 10)]
+    cpu = spark.createDataFrame(samples, "time timestamp, pid long, pct_cpu double")
+    files.save_monitor(files.with_tags(cpu, **tags(2, True)), 7, root, "future-foreach-2")
+
+    tables = benchmark_tables(files.read_results(spark, root))
+    assert tables["best_speed_up"].first().best_speed_up == 7.0
+    assert {(r.run, r.speed_up, r.ideal) for r in tables["speed_ups"].collect()} == {(1, 4.0, 8), (2, 10.0, 8)}
+    assert tables["duplicate_runs"].count() == 0
+    assert [r.n for r in tables["results_count"].collect()] == [4]
+
+    panels = [("future", "foreach", ["unix"]), ("future", "mirai", None)]
+    tables = utilization_tables(files.read_monitor(spark, root), panels)
+    assert {r.pid for r in tables["panel future foreach unix"].collect()} == {9, 10}
+    assert tables["panel future mirai"].count() == 0
+    assert tables["panel_labels"].first().total_seconds == 2
