@@ -7,7 +7,7 @@ SQL arithmetic, chained over several integers as Spark's xxhash64 does.
 from __future__ import annotations
 
 from fixtures.views import MONITOR_SQL, PAIRS_SQL, RESULTS_SQL
-from resamplia.operators.resample import poisson_thresholds
+from resamplia.operators.resample import ADDED, poisson_thresholds
 
 # The five primes of XXH64, and the seed that Spark's xxhash64 starts from.
 PRIME_1 = 11400714785074694791
@@ -119,7 +119,7 @@ weights AS (SELECT replicate, row_ix, size, len(list_filter(limits, lambda x: x
 missing AS (SELECT replicate, any_value(size) AS size, any_value(size) - sum(w)::BIGINT AS missing
   FROM weights GROUP BY replicate),
 extra AS (SELECT replicate, size, unnest(range(1, missing + 1)) AS draw FROM missing),
-{hash63("extra", "hashed_extra", [str(seed + 1), "replicate", "draw"])},
+{hash63("extra", "hashed_extra", [str(seed), "replicate", "draw", str(ADDED)])},
 d AS (SELECT replicate, u % size AS row_ix FROM hashed_extra
   UNION ALL SELECT replicate, row_ix FROM (SELECT *, unnest(range(0, w)) FROM weights)),
 s AS (SELECT replicate, p.* FROM d JOIN p USING (row_ix) WHERE model = 'six_per_word')"""

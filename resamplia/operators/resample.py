@@ -16,13 +16,17 @@ from pyspark.sql import functions as F
 # draws; it exceeds n with probability below 1e-15.
 MARGIN = 8.0
 
+# Last counter of the added draws, which keeps their random numbers apart from the weights.
+ADDED = 1
 
-def _hash63(seed: int, *counters: str) -> Column:
+
+def _hash63(seed: int, *counters: str | int) -> Column:
     """Uniform integer in [0, 2^63)."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed).cast("bigint"), *counters), 1)
+    values = [F.lit(v).cast("bigint") if isinstance(v, int) else F.col(v) for v in (seed, *counters)]
+    return F.shiftrightunsigned(F.xxhash64(*values), 1)
 
 
-def _random_row(seed: int, size: int, *counters: str) -> Column:
+def _random_row(seed: int, size: int, *counters: str | int) -> Column:
     """Uniform row index in [0, size)."""
     row = _hash63(seed, *counters) % F.lit(size).cast("bigint")
     # `%` counts as nullable. Without coalesce, a join tests the index for null and hashes twice.
@@ -126,7 +130,7 @@ def scan_top_up(spark: SparkSession, size: int, times: int, seed: int, first: in
     last = F.least(F.col("missing"), (F.col("chunk") + 1) * step)
     return spread.select(
         "replicate", F.explode(F.sequence(F.col("chunk") * step + 1, last)).alias("draw")
-    ).select("replicate", _random_row(seed + 1, size, "replicate", "draw"))
+    ).select("replicate", _random_row(seed, size, "replicate", "draw", ADDED))
 
 
 def gather(pairs: DataFrame, size: int, times: int, seed: int, first: int = 1) -> DataFrame:
