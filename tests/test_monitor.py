@@ -5,7 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from resamplia.operators import ordered
+from resamplia.operators import joins, ordered
 from resamplia.operators.ordered import Ranges, dense_codes, find_ranges, running_totals
 from resamplia.plans import monitor
 
@@ -33,6 +33,28 @@ def test_relative_time(spark):
     assert len(found[0]) == len(SCHEMA.split(",")) + 1
 
 
+def test_relative_time_with_a_hot_run_and_many_runs(spark, monkeypatch):
+    """The same result when the limits are too many to broadcast."""
+    ids = spark.range(3000)
+    run = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 97).cast("bigint")
+    rows = ids.select(
+        run.alias("run"),
+        F.timestamp_micros(F.lit(10**15) + F.col("id") * 12345).alias("time"),
+        *[F.lit("x").alias(c) for c in ("framework", "backend", "platform")],
+    )
+    columns = ["run", "time", F.round("rel_time", 12).alias("rel_time")]
+    broadcast = monitor.relative_time(rows).select(*columns)
+    monkeypatch.setattr(joins, "SMALL_ROWS", 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shuffled = monitor.relative_time(rows).select(*columns)
+        assert "SortMergeJoin" in shuffled._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, shuffled.collect())) == sorted(map(tuple, broadcast.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_unusual_processes(spark):
     rows = [sample(1, 2, 0, 251.0), sample(1, 2, 1, 3.0), sample(1, 3, 0, 0.5), sample(1, 4, 0, 250.0), sample(1, 5, 0, 1.0)]
     df = table(spark, rows)

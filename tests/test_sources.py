@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from resamplia.functions import scalars
+from resamplia.plans.speedup import first_worker_count
 from resamplia.sources import files
 from resamplia.sources.pairs import observed_predicted
 
@@ -53,6 +54,15 @@ def test_monitor_round_trip(spark, tmp_path):
     assert files.read_results(spark, root).count() == 0
 
 
+def test_first_worker_count_by_file_name(spark, tmp_path):
+    root = str(tmp_path)
+    for name, workers in (("b", 12), ("a", 8), ("c", 4)):
+        row = files.timing_row(spark, {"pct_cpu": 1.0}, **{**tags(1), "num_workers": workers})
+        files.save_monitor(row, 1, root, name)
+    samples = files.read_monitor(spark, root)
+    assert first_worker_count(samples, ["_metadata.file_path"]).first().num_workers == 8
+
+
 def test_missing_folder_gives_no_rows(spark, tmp_path):
     assert files.read_monitor(spark, str(tmp_path)).count() == 0
     assert files.read_results(spark, str(tmp_path)).schema["elapsed"].dataType.simpleString() == "double"
