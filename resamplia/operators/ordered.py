@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from math import ceil
+from math import ceil, isfinite
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from resamplia.session import reliable_checkpoint
 
-
 # Keys are cut at RANGES - 1 percentiles, and evenly between them when a range would hold more
 # than ROWS_PER_RANGE keys.
 RANGES = 128
@@ -57,8 +56,8 @@ def find_ranges(keys: DataFrame, key: str) -> Ranges:
     ).first()
     if count == 0:
         return Ranges(0, (), 0, 1)
-    parts = ceil(count / (RANGES * ROWS_PER_RANGE))
-    return Ranges(low, tuple(sorted(set(cuts))), high, parts)
+    finite = sorted({cut for cut in cuts if isfinite(cut)})
+    return Ranges(low, tuple(finite), high, ceil(count / (RANGES * ROWS_PER_RANGE)))
 
 
 def running_totals(df: DataFrame, key: str, measures: Sequence[str]) -> DataFrame:

@@ -35,12 +35,21 @@ BROADCAST_ROWS = 1_000_000
 def table_size(pairs: DataFrame, by: Sequence[str] = ()) -> tuple[int, int]:
     """(rows, size): rows of the table, and rows that one replicate draws from.
 
-    Without `by` the row index must be dense; with it, a model may lack some rows.
+    Without `by` the row index must hold 0..n-1 once each. Two xor sums of hashes tell, without
+    a shuffle: n rows have the sum of 0..n-1 only if no value is missing. With `by`, a model may
+    lack some rows.
     """
-    rows, low, high = pairs.agg(F.count("*"), F.min("row_ix"), F.max("row_ix")).first()
+    stated = pairs.agg(
+        F.count("*"), F.min("row_ix"), F.max("row_ix"), F.bit_xor(F.xxhash64("row_ix"))
+    )
+    rows, low, high, found = stated.first()
     if rows == 0:
         raise ValueError("no rows to resample")
-    if low < 0 or (not by and (low != 0 or high != rows - 1)):
+    dense = low == 0 and high == rows - 1
+    if dense and not by:
+        ideal = pairs.sparkSession.range(rows).agg(F.bit_xor(F.xxhash64("id")))
+        dense = ideal.first()[0] == found
+    if low is None or low < 0 or not (by or dense):
         raise ValueError("row_ix must run from 0 to n-1; see sources.pairs.dense_index")
     return rows, high + 1
 

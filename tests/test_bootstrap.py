@@ -123,9 +123,12 @@ def test_poisson_equals_explicit_copies(spark, normal):
 
 def test_sparse_or_empty_index_is_refused(spark):
     schema = "row_ix long, truth double, estimate double"
-    for rows in ([], [(1, 1.0, 1.0)], [(0, 1.0, 1.0), (5, 1.0, 1.0)], [(-1, 1.0, 1.0), (0, 1.0, 1.0)]):
+    for index in ([], [1], [0, 5], [-1, 0], [0, 0, 2], [0, 0, 3, 3], [0, 1, 1, 3], [None], [0, None, 1]):
+        pairs = spark.createDataFrame([(i, 1.0, 1.0) for i in index], schema)
         with pytest.raises(ValueError):
-            analysis_sets(spark.createDataFrame(rows, schema), 3, 1)
+            analysis_sets(pairs, 3, 1)
+    with pytest.raises(ValueError):
+        analysis_sets(spark.createDataFrame([(-1, 1.0, 1.0)], schema), 3, 1, by=["truth"])
 
 
 def test_large_tables_are_not_broadcast(normal, monkeypatch):
@@ -151,7 +154,8 @@ def test_bootstrap_auc(spark, method):
 
 def test_percentile_interval(spark):
     rows = [("a", float(i)) for i in range(101)] + [("b", None)]
-    found = {r.metric: r for r in percentile_ci(spark.createDataFrame(rows, "metric string, estimate double"), level=0.9).collect()}
+    scores = spark.createDataFrame(rows, "metric string, estimate double")
+    found = {r.metric: r for r in percentile_ci(scores, level=0.9).collect()}
     assert (found["a"].lower, found["a"].mean, found["a"].upper) == (5.0, 50.0, 95.0)
     assert found["b"].lower is None
 

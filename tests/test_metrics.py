@@ -71,7 +71,8 @@ def test_no_rows(spark):
 
 
 def test_long_form(spark):
-    wide = spark.createDataFrame([(1, 1.0, 2.0, 3.0, None)], "replicate int, rmse double, rsq double, mae double, ccc double")
+    schema = "replicate int, rmse double, rsq double, mae double, ccc double"
+    wide = spark.createDataFrame([(1, 1.0, 2.0, 3.0, None)], schema)
     rows = to_long(wide, ["replicate"]).collect()
     assert [r.metric for r in rows] == list(METRICS)
     assert [r.estimate for r in rows] == [1.0, 2.0, 3.0, None]
@@ -131,7 +132,8 @@ def test_auc_against_all_pairs(spark):
 @pytest.mark.parametrize("rows_per_range", [1_000_000, 1])
 def test_auc_with_many_ranges(spark, rows_per_range, monkeypatch):
     monkeypatch.setattr(ordered, "ROWS_PER_RANGE", rows_per_range)
-    rows = [(i * 7 % 5 % 2, float(i * 31 % 457) ** 2) for i in range(900)] + [(1, float("nan"))]
+    rows = [(i * 7 % 5 % 2, float(i * 31 % 457) ** 2) for i in range(900)]
+    rows += [(0, float("inf")), (1, float("inf")), (0, float("-inf")), (1, float("nan"))]
     df = spark.createDataFrame(rows, "truth int, score double")
     assert roc_auc(df, "truth", "score").first().roc_auc == pytest.approx(brute_auc(rows[:-1]), abs=1e-12)
 

@@ -26,7 +26,8 @@ def table(spark, rows):
 
 
 def test_relative_time(spark):
-    rows = [sample(1, 5, s) for s in (0, 1, 4)] + [sample(2, 5, 10), sample(3, 5, 2, platform=None), sample(3, 5, 4, platform=None)]
+    rows = [sample(1, 5, s) for s in (0, 1, 4)] + [sample(2, 5, 10)]
+    rows += [sample(3, 5, s, platform=None) for s in (2, 4)]
     found = monitor.relative_time(table(spark, rows)).collect()
     times = sorted((r.run, r.time, r.rel_time) for r in found)
     assert [t[2] for t in times] == [0.0, 0.25, 1.0, None, 0.0, 1.0]
@@ -56,7 +57,8 @@ def test_relative_time_with_a_hot_run_and_many_runs(spark, monkeypatch):
 
 
 def test_unusual_processes(spark):
-    rows = [sample(1, 2, 0, 251.0), sample(1, 2, 1, 3.0), sample(1, 3, 0, 0.5), sample(1, 4, 0, 250.0), sample(1, 5, 0, 1.0)]
+    values = [(2, 0, 251.0), (2, 1, 3.0), (3, 0, 0.5), (4, 0, 250.0), (5, 0, 1.0)]
+    rows = [sample(1, *value) for value in values]
     df = table(spark, rows)
     found = monitor.unusual_processes(df)
     assert found.columns == ["run", "pid", "framework", "backend"]
@@ -106,7 +108,8 @@ def test_single_run_leaves_out_the_main_process(spark):
 
 
 def test_busy_and_idle(spark):
-    rows = [sample(1, 2, 0, 90.0), sample(1, 2, 1, 80.0), sample(1, 3, 1, 70.0), sample(1, 4, 1, 1.0), sample(1, 4, 3600, 0.0)]
+    values = [(2, 0, 90.0), (2, 1, 80.0), (3, 1, 70.0), (4, 1, 1.0), (4, 3600, 0.0)]
+    rows = [sample(1, *value) for value in values]
     busy = {(r.busy, r.samples) for r in monitor.busy_workers(table(spark, rows), "1 hour", 50.0).collect()}
     assert busy == {(2, 4), (0, 1)}
     idle = {r.pid: r.idle_share for r in monitor.idle_share(table(spark, rows), 5.0).collect()}

@@ -71,7 +71,11 @@ def test_missing_folder_gives_no_rows(spark, tmp_path):
 def test_partitioned_table(spark, tmp_path):
     path = str(tmp_path / "results")
     rows = files.bind_rows(
-        *[files.timing_row(spark, TIMING, **{**tags(run), "framework": f}) for run in (1, 2) for f in ("future", "foreach/doFuture/%dopar%")]
+        *[
+            files.timing_row(spark, TIMING, **{**tags(run), "framework": framework})
+            for run in (1, 2)
+            for framework in ("future", "foreach/doFuture/%dopar%")
+        ]
     )
     files.write_table(rows, path)
     back = spark.read.parquet(path)
@@ -83,8 +87,11 @@ def test_partitioned_table(spark, tmp_path):
 
 
 def test_main_pid_from_its_own_table(spark):
-    rows = spark.createDataFrame([(1, "f", "b", None, 10), (2, "f", "b", "p", 11)], "run long, framework string, backend string, platform string, pid long")
-    pids = spark.createDataFrame([(1, "f", "b", None, 70), (2, "f", "b", "p", 80)], "run long, framework string, backend string, platform string, main_pid long")
+    keys = "run long, framework string, backend string, platform string"
+    rows = spark.createDataFrame([(1, "f", "b", None, 10), (2, "f", "b", "p", 11)], f"{keys}, pid long")
+    pids = spark.createDataFrame(
+        [(1, "f", "b", None, 70), (2, "f", "b", "p", 80)], f"{keys}, main_pid long"
+    )
     found = files.attach_main_pid(rows, pids)
     assert sorted((r.pid, r.main_pid) for r in found.collect()) == [(10, 70), (11, 80)]
     assert found.columns == [*rows.columns, "main_pid"]

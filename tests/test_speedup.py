@@ -142,8 +142,14 @@ def test_hot_run_is_split(spark):
     try:
         ids = spark.range(0, 60_000, 1, 8)
         run = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 5000)
-        parallel = ids.select(run.cast("bigint").alias("run"), F.lit(True).alias("parallel"), (F.col("id") + 1.0).alias("elapsed"))
-        base = spark.range(5000).select(F.col("id").alias("run"), F.lit(False).alias("parallel"), F.lit(2.0).alias("elapsed"))
+        parallel = ids.select(
+            run.cast("bigint").alias("run"),
+            F.lit(True).alias("parallel"),
+            (F.col("id") + 1.0).alias("elapsed"),
+        )
+        base = spark.range(5000).select(
+            F.col("id").alias("run"), F.lit(False).alias("parallel"), F.lit(2.0).alias("elapsed")
+        )
         df = parallel.unionByName(base)
         ups = speedup.speed_ups(df, ["run"]).select("run", "speed_up")
         rows = ups.collect()
