@@ -170,8 +170,8 @@ def oracles(times: dict[str, int], seed: int) -> dict[str, str]:
     by_model = f"metrics AS (SELECT replicate, model, {METRICS} FROM s GROUP BY replicate, model)"
     whole = f"""WITH {P},
 metrics AS (SELECT {METRICS} FROM p WHERE model = 'six_per_word')"""
-    ci = f"""round(quantile_cont(estimate, 0.025), 6) AS lower, round(avg(estimate), 6) AS mean,
-  round(quantile_cont(estimate, 0.975), 6) AS upper"""
+    ci = """round(quantile_cont(estimate, 0.025), 8) AS lower, round(avg(estimate), 8) AS mean,
+  round(quantile_cont(estimate, 0.975), 8) AS upper"""
     sql = {
         "metrics_wide": f"{whole} SELECT {ROUNDED} FROM metrics",
         "metrics_long": f"""{whole}, long AS ({long_sql("metrics")})

@@ -18,6 +18,10 @@ from resamplia.sources.pairs import dense_index
 
 SEED = 7
 
+# The mean absolute errors are fractions with a denominator up to 10^7, whose mean can be an exact tie
+# at 6 digits; at 8 digits it is exact.
+CI_DIGITS = 8
+
 # Replicates per query.
 TIMES = {"draws": 20, "metrics": 500, "last": 500, "by_model": 200, "ci": 1000, "scan": 100}
 
@@ -107,13 +111,13 @@ def bootstrap_metrics_by_model(spark: SparkSession, folder: str) -> DataFrame:
 def bootstrap_ci(spark: SparkSession, folder: str, times: int = TIMES["ci"]) -> DataFrame:
     scores = to_long(scored(spark, folder, times), ["replicate"])
     bounds = bootstrap.percentile_ci(scores, ["metric", "estimator"])
-    return rounded(bounds, 6, "lower", "mean", "upper")
+    return rounded(bounds, CI_DIGITS, "lower", "mean", "upper")
 
 
 def bootstrap_ci_by_model(spark: SparkSession, folder: str) -> DataFrame:
     scores = to_long(scored_by_model(spark, folder), ["replicate", "model"])
     bounds = bootstrap.percentile_ci(scores, ["model", "metric"])
-    return rounded(bounds, 6, "lower", "mean", "upper")
+    return rounded(bounds, CI_DIGITS, "lower", "mean", "upper")
 
 
 def scan_sets(spark: SparkSession, folder: str) -> DataFrame:
