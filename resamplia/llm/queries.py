@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resamplia.llm import chat, decontamination, packing, warc
+from resamplia.llm import chat, decontamination, html, neighbours, packing, toxicity, warc
 from resamplia.llm.shared import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -45,6 +45,29 @@ def op4_chat(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def remainder(n: int) -> Column:
+    """crc32 of the id as text, modulo n."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, folder, "labels"), fit_on=remainder(5) != 0)
+    return toxicity.score(docs, model).select(
+        "doc_id", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op7_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return neighbours.nearest(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+def op9_html(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extract(table(spark, folder, "pages"))
+
+
 def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     files = warc.write_archives(table(spark, folder, "pages"))
     read = warc.read_archives(files, with_payload=False)
@@ -52,5 +75,5 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_packing, op4_chat, op10_warc)
+    f.__name__: f for f in (op1_decontamination, op2_packing, op4_chat, op5_toxicity, op7_neighbours, op9_html, op10_warc)
 }
