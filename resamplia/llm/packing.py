@@ -11,7 +11,6 @@ which sequences; pieces get their rank by per-partition counts and meet the plan
 from __future__ import annotations
 
 import bisect
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -21,56 +20,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from resamplia.llm.shared import pieces, stored
+from resamplia.llm.tokens import encoder
 
 CAPACITY = 4096
 END_ID = 1
-# Distinct words whose ids a task keeps; beyond that it starts anew.
-WORDS_KEPT = 400_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, _task int, _rank long"
-_WORD = re.compile(r"[^ \t\n\r\f\v]+")
 
 
 def _cutter(tokenizer: str, capacity: int, end_id: int):
-    """Ids of whole texts. The tokenizer never joins what blanks separate, so each
-    distinct word is encoded once and remembered."""
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
 
-        encoder = Tokenizer.from_file(tokenizer)
-        encoder.encode_special_tokens = True
-        number: dict[str, int] = {}
-        ids, sizes = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
         task = TaskContext.get().partitionId()
         ranks = np.zeros(capacity + 1, np.int64)
         for batch in pieces(batches, "text"):
-            if len(number) > WORDS_KEPT:
-                number, ids, sizes = {}, [ids[0][:0]], [sizes[0][:0]]
-            found = [_WORD.findall(x or "") for x in batch.column("text").to_pylist()]
-            fresh = list(dict.fromkeys(w for words in found for w in words if w not in number))
-            for k in range(0, len(fresh), 5000):
-                coded = encoder.encode_batch(fresh[k : k + 5000], add_special_tokens=False)
-                for w, code in zip(fresh[k : k + 5000], coded, strict=True):
-                    number[w] = len(number)
-                    ids.append(np.array(code.ids, np.uint32))
-            if fresh:
-                sizes.append(np.array([len(x) for x in ids[1:]], np.int64))
-                ids, sizes = [np.concatenate(ids)], [np.concatenate(sizes)]
-            pool, size = ids[0], sizes[0]
-            begin = np.cumsum(size) - size
             out: list[list] = [[], [], [], [], []]
-            for doc, words in zip(batch.column("doc_id").to_pylist(), found, strict=True):
-                at = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
-                n = size[at]
-                shift = np.repeat(begin[at] - (np.cumsum(n) - n), n)
-                own = np.append(pool[np.arange(len(shift)) + shift], np.uint32(end_id)).astype("<u4")
+            coded = encoder(tokenizer).encode(batch.column("text").to_pylist())
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), coded, strict=True):
+                own = np.append(ids, np.uint32(end_id)).astype("<u4")
                 for piece, start in enumerate(range(0, len(own), capacity)):
                     part = own[start : start + capacity]
-                    for column, value in zip(out, (doc, piece, start, len(part), zlib.crc32(part.tobytes())), strict=True):
+                    for column, value in zip(out, (doc, piece, start, len(part), zlib.crc32(part)), strict=True):
                         column.append(value)
             length = np.array(out[3], np.int64)
             # Rank of each piece among those of its length in this task.
