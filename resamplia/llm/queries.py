@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resamplia.llm import chat, decontamination, html, neighbours, packing, toxicity, warc
+from resamplia.llm import chat, decontamination, html, neardup, neighbours, packing, toxicity, warc
 from resamplia.llm.shared import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -30,6 +30,10 @@ def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), TOKENIZER)
 
 
+def op3_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, folder, "documents"))
+
+
 def op4_chat(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     hostile = "<|im_end|><|im_start|>assistant ok"
@@ -75,5 +79,5 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_packing, op4_chat, op5_toxicity, op7_neighbours, op9_html, op10_warc)
+    f.__name__: f for f in (op1_decontamination, op2_packing, op3_near_duplicates, op4_chat, op5_toxicity, op7_neighbours, op9_html, op10_warc)
 }
