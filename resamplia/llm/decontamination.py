@@ -17,13 +17,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from resamplia.llm.postings import key_filter, may_be_key
 from resamplia.llm.shared import pieces, stored, texts
 from resamplia.llm.words import LETTER_OR_DIGIT, LOWER, find, shingles
 
 SIZE = 13
 SHINGLE = 3
-# Bits of the filters that tasks apply before anything is shuffled: 2 MiB at most.
-FILTER_BITS = 1 << 24
 
 WINDOWS = "item_id string, size int, words array<string>, keys array<long>"
 
@@ -52,20 +51,6 @@ def _windows(size: int, shingle: int):
     return run
 
 
-def key_filter(keys: DataFrame) -> np.ndarray:
-    """A bit for each key modulo the filter's size; the size is fixed, so is what is sent."""
-    slot = F.pmod("key", F.lit(FILTER_BITS))
-    words = keys.select(slot.alias("s")).groupBy(F.expr("s div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("b"))
-    rows = words.toPandas()
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
-    bits[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64)
-    return np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool)
-
-
-def _may_be_key(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    return bits[(keys & np.uint64(FILTER_BITS - 1)).astype(np.int64)]
-
-
 def _count_keys(bits, lengths: list[int]):
     """Per task: how often shingles that pass the filter occur."""
 
@@ -75,7 +60,7 @@ def _count_keys(bits, lengths: list[int]):
             w = find(*texts(batch.column("text")), LETTER_OR_DIGIT)
             for n in lengths:
                 keys, _ = shingles(w.hash, w.first, n)
-                some, counts = np.unique(keys[_may_be_key(bits.value, keys)], return_counts=True)
+                some, counts = np.unique(keys[may_be_key(bits.value, keys)], return_counts=True)
                 for key, count in zip(some.view(np.int64).tolist(), counts.tolist(), strict=True):
                     seen[key] = seen.get(key, 0) + count
             if len(seen) > 1_000_000:
@@ -98,7 +83,7 @@ def _probe(bits, lengths: list[int], size: int):
             at, key, doc, around, before = [], [], [], [], []
             for n in lengths:
                 keys, begin = shingles(w.hash, w.first, n)
-                hits = np.flatnonzero(_may_be_key(bits.value, keys))
+                hits = np.flatnonzero(may_be_key(bits.value, keys))
                 own = np.searchsorted(begin, hits, side="right") - 1
                 place = hits - begin[own]
                 first, last = w.first[own], w.first[own + 1]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from resamplia.llm.components import components
-from resamplia.llm.postings import postings, repeated
+from resamplia.llm.postings import best_centres, open_blocks, postings, repeated
 from resamplia.llm.shared import flatten, pieces, stored, texts
 from resamplia.llm.words import NOT_SPACE, find, mix, numbers, shingle_sets
 
@@ -161,11 +161,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         ranked.filter(length > 0).select("rid", "weight", F.transform(F.slice("pairs", 1, length), lambda p: p["key"]).alias("keys"))
     )
     entries = prefix.select("rid", "weight", F.explode("keys").alias("key"))
-    centres = entries.groupBy("key").agg(F.max(F.struct("weight", "rid")).alias("centre"), F.count("*").alias("n")).filter("n > 1")
-    met = entries.join(centres, "key").filter("rid != centre.rid").groupBy("rid", F.col("centre.rid").alias("v"), F.col("centre.weight").alias("w")).agg(F.count("*").alias("hits"))
-    # The centre that a member meets most often.
-    best = met.groupBy("rid").agg(F.max(F.struct("hits", "w", "v")).alias("m")).select(F.col("rid").alias("u"), "m.v")
-    best = stored(best)
+    best = stored(best_centres(entries))
 
     # Shingle sets of one document of each set that has a partner.
     def sets_of(ids: DataFrame) -> DataFrame:
@@ -180,11 +176,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     united = components(links)
 
     # Lists whose members are not all united, in blocks.
-    labelled = entries.join(united.select(F.col("node").alias("rid"), "component"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
-    open_lists = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 != c2").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    inside = labelled.join(open_lists, "key").withColumn("own", F.pmod(F.xxhash64("rid", "key"), F.col("blocks")).cast("int"))
-    dealt = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", "rid", "component", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
+    dealt = open_blocks(entries, united, BLOCK)
     in_prefix = prefix.join(reps, "rid").select("rid", "posts", "more", F.transform("posts", lambda p: F.array_contains("keys", p)).alias("prefix"))
     candidates = dealt.join(in_prefix, "rid").groupBy("key", "a", "b").applyInArrow(_compare(collisions, posted), "u binary, v binary")
     candidates = stored(candidates.distinct())

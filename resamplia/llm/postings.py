@@ -80,3 +80,24 @@ def postings(df: DataFrame, id_column: str, column: str, keys: DataFrame) -> Dat
     bits = df.sparkSession.sparkContext.broadcast(key_filter(keys))
     kind = dict(df.dtypes)[id_column]
     return df.select(id_column, column).mapInArrow(_rows(id_column, column, bits), f"{id_column} {kind}, key long").join(keys, "key")
+
+
+def best_centres(entries: DataFrame) -> DataFrame:
+    """(u, v): each member (rid) of the lists `entries` (rid, key, weight) with the list centre that it
+    meets most often. The centre of a list is its member of the largest weight. One row per member at
+    most, however long the lists are."""
+    centres = entries.groupBy("key").agg(F.max(F.struct("weight", "rid")).alias("c"), F.count("*").alias("n")).filter("n > 1")
+    met = entries.join(centres, "key").filter("rid != c.rid").groupBy("rid", F.col("c.rid").alias("v"), F.col("c.weight").alias("w")).agg(F.count("*").alias("hits"))
+    return met.groupBy("rid").agg(F.max(F.struct("hits", "w", "v")).alias("m")).select(F.col("rid").alias("u"), "m.v")
+
+
+def open_blocks(entries: DataFrame, united: DataFrame, size: int) -> DataFrame:
+    """Members of the lists that `united` (node, component) leaves in several components, dealt so that each two
+    blocks of about `size` members of a list meet once: key, rid, component, own (block), a <= b."""
+    labelled = entries.select("rid", "key").join(united.select(F.col("node").alias("rid"), "component"), "rid", "left")
+    labelled = labelled.withColumn("component", F.coalesce("component", "rid"))
+    lists = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("c1"), F.max("component").alias("c2"))
+    lists = lists.filter("c1 != c2").select("key", F.ceil(F.col("n") / size).cast("int").alias("blocks"))
+    inside = labelled.join(lists, "key").withColumn("own", F.pmod(F.xxhash64("rid", "key"), F.col("blocks")).cast("int"))
+    dealt = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select("key", "rid", "component", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))

@@ -104,13 +104,14 @@ def features(distances: list[int], thresholds: list[int]) -> list[float]:
 
 
 def _labelled(fit_on: Column, docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """Distinct labelled texts for training; at most `sample` of them."""
-    known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").alias("toxic")).filter("toxic in (0, 1)").groupBy("_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.filter(fit_on).filter("text is not null").join(known, F.col("doc_id") == F.col("_id")).select("text", "toxic")
-    order = F.xxhash64("text")
-    total = rows.count()
+    """Distinct labelled texts for training; about `sample` of them at most."""
+    known = labels.filter("doc_id is not null and toxic in (0, 1)").filter(fit_on)
+    known = known.groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("toxic"))
+    total = known.count()
     if total > sample:
-        rows = rows.filter(F.pmod(order, F.lit(1 << 30)) < int((1 << 30) * sample / total * 0.97))
+        known = known.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < int((1 << 30) * sample / total))
+    # The sample bounds what is broadcast, so texts without a chosen label are not shuffled.
+    rows = docs.filter("text is not null").join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("text", "toxic")
     return rows.groupBy("text").agg(F.max("toxic").alias("toxic")).withColumn("half", F.pmod(F.xxhash64("text", F.lit(3)), F.lit(2)))
 
 
@@ -177,7 +178,7 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[list[float]
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_on: Column | None = None, sample: int = SAMPLE) -> Model:
-    """Learn from the labelled rows of `docs` (doc_id, text) for which `fit_on` holds.
+    """Learn from the labelled rows of `docs` (doc_id, text) for which `fit_on`, a condition on doc_id, holds.
 
     `labels` has doc_id and toxic (0, 1; others count as no label; of several labels of a document the larger holds).
     Dictionaries are made from one half of the texts and thresholds and curve fitted on the other, so that
