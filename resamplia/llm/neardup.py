@@ -2,8 +2,7 @@
 
 A document's distinct word shingles have a MinHash signature. It is posted under its
 (coordinate, value) pairs; documents with equal shingle sets count as one. Two documents whose
-signatures agree in MATCHES of the POSTED coordinates share one of the POSTED - MATCHES + 1 pairs of
-either that are rarest in the whole corpus, so only this prefix is merged and the long lists are skipped; the
+signatures agree in m of the POSTED coordinates share one of the POSTED - m + 1 pairs of either that are rarest in the whole corpus, so only this prefix is merged and the long lists are skipped; the
 remaining coordinates are compared for those that meet.
 
 A list of many near copies is not turned into pairs. First each member is compared with the
@@ -15,6 +14,7 @@ collisions are confirmed, like all links, on the full shingle sets.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,20 +23,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from resamplia.llm.components import components
-from resamplia.llm.postings import best_centres, open_blocks, postings, repeated
-from resamplia.llm.shared import flatten, pieces, stored, texts
+from resamplia.llm.postings import best_centres, key_filter, may_be_key, open_blocks, postings, repeated
+from resamplia.llm.shared import pieces, stored, texts, written
 from resamplia.llm.words import NOT_SPACE, find, mix, numbers, shingle_sets
 
 SHINGLE, PERCENT = 3, 85
-# Posted coordinates, and more of which one byte each is kept; least agreements of a pair at PERCENT, about four
-# standard deviations below the expected number (0.85 of the coordinates).
-POSTED, MORE = 48, 80
-MATCHES, COLLISIONS = 30, 93
-BLOCK = 512
+# Posted coordinates, and more of which one byte each is kept. A pair that is just similar enough agrees in fewer than
+# `least_matches` of them, SIGMAS standard deviations below the mean, once in some 10,000.
+POSTED, MORE, SIGMAS = 48, 208, 4
+BLOCK = 1024
 
 SCAN = "doc_id long, n_shingles long, rid binary, posts array<long>, more binary"
 
 
+def least_matches(coordinates: int, percent: int) -> int:
+    p = percent / 100
+    return max(1, math.floor(p * coordinates - SIGMAS * math.sqrt(p * (1 - p) * coordinates)))
+
+
 def minima(sets: list[np.ndarray], factors: np.ndarray) -> np.ndarray:
     """Least product of each set's numbers with each factor; sets are not empty."""
     values = np.concatenate(sets)
@@ -82,25 +86,43 @@ def _scan(n: int, posted: int, more: int):
     return run
 
 
-def _sets(n: int):
+def word_sets(column: pa.Array, n: int) -> list[np.ndarray]:
+    w = find(*texts(column), NOT_SPACE)
+    return shingle_sets(w.hash, w.first, n)
+
+
+def _texts(n: int, bits):
+    """Texts of the documents whose `key` may be in the filter, with the ids of their sets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            w = find(*texts(batch.column("text")), NOT_SPACE)
-            sets = shingle_sets(w.hash, w.first, n)
-            wanted = batch.column("rid").to_pylist()
-            right = [i for i, s in enumerate(sets) if set_id(s) == wanted[i]]
-            values, offsets = flatten([sets[i] for i in right], np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array([wanted[i] for i in right], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)))], ["rid", "items"])
+            keys = batch.column("key").to_numpy().view(np.uint64)
+            some = batch.column("text").filter(pa.array(may_be_key(bits.value, keys)))
+            yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in word_sets(some, n)], pa.binary()), some], ["rid", "text"])
+
+    return run
+
+
+def _confirm(n: int, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 64):  # a few texts at a time
+                part = batch.slice(k, 64)
+                keep = []
+                for x, y in zip(word_sets(part.column("u_text"), n), word_sets(part.column("v_text"), n), strict=True):
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    keep.append(100 * both >= percent * (len(x) + len(y) - both))
+                keep = pa.array(keep, pa.bool_())
+                yield pa.RecordBatch.from_arrays([part.column("u").filter(keep), part.column("v").filter(keep)], ["u", "v"])
 
     return run
 
 
-def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) of set ids whose sets (rid, items) are similar enough."""
-    of = lambda side: sets.select(F.col("rid").alias(side), F.col("items").alias(f"_{side}"))
+def confirm(pairs: DataFrame, known: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (u, v) of set ids that are similar enough by the full sets of their texts (rid, text)."""
+    of = lambda side: known.select(F.col("rid").alias(side), F.col("text").alias(f"{side}_text"))
     met = pairs.join(of("u"), "u").join(of("v"), "v")
-    both = F.size(F.array_intersect("_u", "_v"))
-    return met.filter(100 * both >= percent * (F.size("_u") + F.size("_v") - both)).select("u", "v")
+    return met.mapInArrow(_confirm(n, percent), "u binary, v binary")
 
 
 def _compare(collisions: int, posted: int):
@@ -110,10 +132,11 @@ def _compare(collisions: int, posted: int):
 
     def run(table: pa.Table) -> pa.Table:
         n = table.num_rows
-        key = table.column("key")[0].as_py()
+        key = table.column("key")[0].as_py() >> 32
         a, b = table.column("a")[0].as_py(), table.column("b")[0].as_py()
         posts = table.column("posts").combine_chunks().flatten().to_numpy().reshape(n, posted)
-        prefix = table.column("prefix").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, posted)
+        mask = table.column("prefix").to_numpy()
+        prefix = ((mask[:, None] >> np.arange(posted)) & 1).astype(bool)
         more = np.frombuffer(b"".join(table.column("more").to_pylist()), np.uint8).reshape(n, -1)
         _, comp = np.unique(np.array(table.column("component").to_pylist(), dtype=object).astype("S16"), return_inverse=True)
         own = table.column("own").to_numpy()
@@ -138,8 +161,7 @@ def _compare(collisions: int, posted: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, posted: int = POSTED, more: int = MORE,
-                    matches: int = MATCHES, collisions: int = COLLISIONS) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, posted: int = POSTED, more: int = MORE) -> DataFrame:
     """Per row of `docs` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Documents are linked if their sets of distinct `shingle`-word shingles have `percent` hundredths of their union
@@ -147,6 +169,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     with nothing. component_id is the smallest doc_id of the component; a null doc_id is never the smallest, and is
     kept only if it stands alone. Repeated rows are copies of one another. Other columns are ignored.
     """
+    matches, collisions = least_matches(posted, percent), least_matches(posted + more, percent)
     rows = docs.select("doc_id", "text")
     scan = stored(rows.mapInArrow(_scan(shingle, posted, more), SCAN))
     reps = stored(
@@ -163,27 +186,31 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     entries = prefix.select("rid", "weight", F.explode("keys").alias("key"))
     best = stored(best_centres(entries))
 
-    # Shingle sets of one document of each set that has a partner.
-    def sets_of(ids: DataFrame) -> DataFrame:
-        chosen = ids.join(reps, "rid").select("rid", "doc_id")
-        known = rows.join(chosen, rows["doc_id"].eqNullSafe(chosen["doc_id"])).select("rid", "text")
-        # Of several texts of one doc_id only the one with this set counts.
-        return known.mapInArrow(_sets(shingle), "rid binary, items array<long>").dropDuplicates(["rid"])
+    # The text of one document of each set that has a partner.
+    def texts_of(ids: DataFrame) -> DataFrame:
+        chosen = ids.join(reps, "rid").select("rid", F.xxhash64("doc_id").alias("key"))
+        bits = docs.sparkSession.sparkContext.broadcast(key_filter(chosen))
+        found = rows.withColumn("key", F.xxhash64("doc_id")).mapInArrow(_texts(shingle, bits), "rid binary, text string")
+        return written(found.join(chosen.select("rid"), "rid", "left_semi").dropDuplicates(["rid"]), "near-duplicates")
 
     members = best.select(F.col("u").alias("rid")).unionByName(best.select(F.col("v").alias("rid"))).distinct()
-    sets = stored(sets_of(members))
-    links = stored(confirm(best, sets, percent))
+    known = texts_of(members)
+    links = stored(confirm(best, known, shingle, percent))
     united = components(links)
 
     # Lists whose members are not all united, in blocks.
     dealt = open_blocks(entries, united, BLOCK)
-    in_prefix = prefix.join(reps, "rid").select("rid", "posts", "more", F.transform("posts", lambda p: F.array_contains("keys", p)).alias("prefix"))
+    # 32 bits of each posted value, and a bit for each coordinate in the prefix.
+    flags = F.transform("posts", lambda p, k: F.when(F.array_contains("keys", p), F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long")))
+    in_prefix = prefix.join(reps, "rid").select(
+        "rid", F.transform("posts", lambda p: F.shiftright(p, 32).cast("int")).alias("posts"), "more",
+        F.aggregate(flags, F.lit(0).cast("long"), lambda x, y: x + y).alias("prefix"),
+    )
     candidates = dealt.join(in_prefix, "rid").groupBy("key", "a", "b").applyInArrow(_compare(collisions, posted), "u binary, v binary")
     candidates = stored(candidates.distinct())
     ends = candidates.select(F.col("u").alias("rid")).unionByName(candidates.select(F.col("v").alias("rid"))).distinct()
-    missing = ends.join(sets.select("rid"), "rid", "left_anti")
-    all_sets = sets.unionByName(sets_of(missing))
-    more_links = stored(confirm(candidates, all_sets, percent))
+    more_known = known.unionByName(texts_of(ends.join(members, "rid", "left_anti")))
+    more_links = stored(confirm(candidates, more_known, shingle, percent))
     final = components(united.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more_links))
 
     of_set = reps.select("rid", "doc_id").join(final.select(F.col("node").alias("rid"), "component"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resamplia.llm import chat, decontamination, html, neardup, neighbours, packing, toxicity, warc
+from resamplia.llm import chat, decontamination, html, linedup, mixing, neardup, neighbours, packing, toxicity, warc
 from resamplia.llm.shared import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -63,11 +63,25 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return linedup.dedup_lines(table(spark, folder, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op7_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings")
     return neighbours.nearest(vectors, vectors.filter("vec_id % 50 = 0"))
 
 
+def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = remainder(7) == 2
+    scored = mixing.score(table(spark, folder, "documents"), held_out)
+    bits = -F.col("score") * F.log2(F.lit(10.0)) / F.greatest("bytes", F.lit(1))
+    return scored.select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score",
+        bits.alias("bits_per_byte"),
+    )
+
+
 def op9_html(spark: SparkSession, folder: str) -> DataFrame:
     return html.extract(table(spark, folder, "pages"))
 
@@ -79,5 +93,5 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_packing, op3_near_duplicates, op4_chat, op5_toxicity, op7_neighbours, op9_html, op10_warc)
+    f.__name__: f for f in (op1_decontamination, op2_packing, op3_near_duplicates, op4_chat, op5_toxicity, op6_line_dedup, op7_neighbours, op8_mixing, op9_html, op10_warc)
 }

@@ -38,6 +38,8 @@ _EMPTY = zstandard.ZstdCompressionParameters(
     write_content_size=0, write_checksum=0, write_dict_id=0, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
 )
 
+_FILLER = mix(np.arange(4096, dtype=np.uint64)).tobytes()
+
 
 @dataclass(frozen=True)
 class Model:
@@ -85,16 +87,16 @@ class Distance:
 
     @staticmethod
     def _dictionary(content: bytes) -> zstandard.ZstdCompressionDict:
-        # The content is followed by random bytes, so that no dictionary is empty.
-        filler = mix(np.arange(32, dtype=np.uint64)).tobytes()
-        made = zstandard.ZstdCompressionDict(filler + content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        # Fixed random bytes first: zstandard does not search very small dictionaries.
+        made = zstandard.ZstdCompressionDict(_FILLER + content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         made.precompute_compress(compression_params=_EMPTY)
         return made
 
     def windows(self, words: bytes) -> list[int]:
+        # Each window begins with bytes that both dictionaries hold, so that none is stored uncompressed.
         step = 16 * WINDOW
         a, b = (x.compress for x in self.packers)
-        return [len(a(part)) - len(b(part)) for part in (words[k : k + step] for k in range(0, len(words), step))]
+        return [len(a(part)) - len(b(part)) for part in (_FILLER[:64] + words[k : k + step] for k in range(0, len(words), step))]
 
 
 def features(distances: list[int], thresholds: list[int]) -> list[float]:
@@ -181,14 +183,14 @@ def train(docs: DataFrame, labels: DataFrame, fit_on: Column | None = None, samp
     """Learn from the labelled rows of `docs` (doc_id, text) for which `fit_on`, a condition on doc_id, holds.
 
     `labels` has doc_id and toxic (0, 1; others count as no label; of several labels of a document the larger holds).
-    Dictionaries are made from one half of the texts and thresholds and curve fitted on the other, so that
-    codes of rare texts get no weight that they have not earned. Without toxic or ordinary
+    Thresholds and curve are fitted on one half of the texts with dictionaries made from the other, so that
+    codes of rare texts get no weight that they have not earned; the dictionaries of the model are made from all. Without toxic or ordinary
     rows the model gives every text the same score.
     """
     rows = _labelled(F.lit(True) if fit_on is None else fit_on, docs, labels, sample).cache()
     try:
-        ordinary, toxic = _dictionaries(rows.filter("half = 0"))
-        bare = Model(ordinary, toxic, [], [], 0.0, 0.5)
+        bare = Model(*_dictionaries(rows.filter("half = 0")), [], [], 0.0, 0.5)
+        ordinary, toxic = _dictionaries(rows)
         half = rows.filter("half = 1").select("text", "toxic")
         seen = half.mapInArrow(_distances(bare.to_json()), "toxic int, distances array<int>").collect()
     finally:
