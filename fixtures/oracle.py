@@ -6,8 +6,9 @@ SQL arithmetic, chained over several integers as Spark's xxhash64 does.
 
 from __future__ import annotations
 
+from decimal import Decimal, localcontext
+
 from fixtures.views import MONITOR_SQL, PAIRS_SQL, RESULTS_SQL
-from resamplia.operators.resample import ADDED, poisson_thresholds
 
 # The five primes of XXH64, and the seed that Spark's xxhash64 starts from.
 PRIME_1 = 11400714785074694791
@@ -19,6 +20,26 @@ START = 42
 
 WORD = 2**64
 
+# Last counter of the hashes of added draws.
+ADDED = 1
+
+
+def poisson_limits(rate: str) -> list[int]:
+    """2^63 times P(X <= k), rounded down, for k = 0, 1, ... while that is below 2^63 - 1: a hash below the first of
+    them stands for 0, and so on. exp(-rate) is summed up as a series."""
+    with localcontext() as context:
+        context.prec = 60
+        x, power, base = Decimal(rate), Decimal(1), Decimal(0)
+        for i in range(1, 80):
+            base += power
+            power *= -x / i
+        limits, term, below = [], base, base
+        while int(below * 2**63) not in (2**63, *limits[-1:]):
+            limits.append(int(below * 2**63))
+            term *= x / len(limits)
+            below += term
+    return limits
+
 
 def _times(value: str, factor: int) -> str:
     return f"(({value})::UHUGEINT * {factor}::UHUGEINT & {WORD - 1}::UHUGEINT)::UBIGINT"
@@ -104,50 +125,58 @@ def sets_sql(times: int, seed: int, first: int = 1, model: str | None = "six_per
 s AS (SELECT replicate, p.* FROM d JOIN p USING (row_ix){where})"""
 
 
-def scan_sql(times: int, seed: int) -> str:
-    """CTE s: analysis sets of the scan method, as weights plus single draws."""
-    tables = ", ".join(
-        f"({k}, {limit})" for k in range(1, 13) for limit in poisson_thresholds(1.0 - 0.5**k)
-    )
-    return f"""WITH {P}, size AS (SELECT count(*) AS size,
-  greatest(0, floor(log2(sqrt(count(*)) / 8)))::INT AS k FROM documents),
+def scan_sql(times: int, seed: int, first: int = 1, model: str | None = "six_per_word", pairs: str = PAIRS_SQL, rows: str = "SELECT doc_id AS row_ix FROM documents") -> str:
+    """CTE s: analysis sets, from weights and single draws."""
+    tables = ", ".join(f"({k}, {limit})" for k in range(1, 13) for limit in poisson_limits(str(Decimal(1) - Decimal(1) / 2**k)))
+    where = f" WHERE model = '{model}'" if model else ""
+    return f"""WITH p AS ({pairs}), ix AS ({rows}), size AS (SELECT count(*) AS size,
+  greatest(0, floor(log2(sqrt(count(*)) / 8)))::INT AS k FROM ix),
 limits AS (SELECT list(x) AS limits FROM (VALUES {tables}) t(k, x) WHERE k = (SELECT k FROM size)),
-counters AS (SELECT doc_id AS row_ix, b.replicate, size, coalesce(limits, []::BIGINT[]) AS limits
-  FROM documents CROSS JOIN size CROSS JOIN limits CROSS JOIN range(1, {times + 1}) b(replicate)),
+counters AS (SELECT row_ix, b.replicate FROM ix CROSS JOIN range({first}, {times + 1}) b(replicate)
+  WHERE (SELECT k FROM size) > 0),
 {hash63("counters", "hashed", [str(seed), "replicate", "row_ix"])},
-weights AS (SELECT replicate, row_ix, size, len(list_filter(limits, lambda x: x <= u)) AS w FROM hashed),
-missing AS (SELECT replicate, any_value(size) AS size, any_value(size) - sum(w)::BIGINT AS missing
-  FROM weights GROUP BY replicate),
-extra AS (SELECT replicate, size, unnest(range(1, missing + 1)) AS draw FROM missing),
+weights AS MATERIALIZED (SELECT replicate, row_ix, len(list_filter((SELECT limits FROM limits), lambda x: x <= u)) AS w FROM hashed),
+totals AS (SELECT replicate, sum(w)::BIGINT AS drawn FROM weights GROUP BY replicate),
+missing AS (SELECT b.replicate, (SELECT size FROM size) - coalesce(drawn, 0) AS missing
+  FROM range({first}, {times + 1}) b(replicate) LEFT JOIN totals USING (replicate)),
+extra AS (SELECT replicate, unnest(range(1, missing + 1)) AS draw FROM missing),
 {hash63("extra", "hashed_extra", [str(seed), "replicate", "draw", str(ADDED)])},
-d AS (SELECT replicate, u % size AS row_ix FROM hashed_extra
-  UNION ALL SELECT replicate, row_ix FROM (SELECT *, unnest(range(0, w)) FROM weights)),
-s AS (SELECT replicate, p.* FROM d JOIN p USING (row_ix) WHERE model = 'six_per_word')"""
+d AS (SELECT replicate, u % (SELECT size FROM size) AS row_ix FROM hashed_extra
+  UNION ALL SELECT replicate, row_ix FROM (SELECT *, unnest(range(0, w)) FROM weights WHERE w > 0)),
+s AS (SELECT replicate, p.* FROM d JOIN p USING (row_ix){where})"""
+
+
+RARE_SQL = """
+SELECT doc_id AS row_ix, m.model AS model, CAST(n_chars AS DOUBLE) AS truth,
+  CASE WHEN m.model = 'six_per_word' OR doc_id % 300 = 0 THEN CAST(6 * len(string_split(text, ' ')) AS DOUBLE) END AS estimate
+FROM documents CROSS JOIN (SELECT 'six_per_word' AS model UNION ALL SELECT 'rare') m
+"""
+
+LABELLED = """SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row_ix, n_chars AS score, quality AS truth
+FROM documents JOIN labels USING (doc_id) WHERE quality IN (0, 1)"""
 
 
 def poisson_sql(times: int, seed: int) -> str:
-    limits = ", ".join(str(limit) for limit in poisson_thresholds(1.0))
+    limits = ", ".join(str(limit) for limit in poisson_limits("1"))
     return f"""WITH {P},
 counters AS (SELECT doc_id AS row_ix, b.replicate
   FROM documents CROSS JOIN range(1, {times + 1}) b(replicate)),
 {hash63("counters", "hashed", [str(seed), "replicate", "row_ix"])},
 weights AS (SELECT replicate, row_ix, len(list_filter([{limits}], lambda x: x <= u)) AS w FROM hashed),
-s AS (SELECT replicate, p.* FROM (SELECT *, unnest(range(0, w)) FROM weights) JOIN p USING (row_ix)),
-metrics AS (SELECT replicate, model, {METRICS} FROM s GROUP BY replicate, model)
-SELECT replicate, model, {ROUNDED} FROM metrics"""
+s AS (SELECT replicate, p.* FROM (SELECT *, unnest(range(0, w)) FROM weights WHERE w > 0) JOIN p USING (row_ix)),
+metrics AS (SELECT replicate, model, {METRICS}, count(*) AS n FROM s GROUP BY replicate, model)
+SELECT replicate, model, {ROUNDED}, n FROM metrics"""
 
 
 def auc_sql(times: int, seed: int) -> str:
     """CTE a(replicate, positives, negatives, roc_auc)."""
-    return f"""WITH {draws_sql(times, seed)},
-s AS (SELECT replicate, n_chars AS score, quality AS truth
-  FROM d JOIN documents ON row_ix = documents.doc_id JOIN labels USING (doc_id)),
+    return f"""{scan_sql(times, seed, model=None, pairs=LABELLED, rows="SELECT row_ix FROM p")},
 c AS (SELECT replicate, score, count(*) FILTER (truth = 1) AS pos, count(*) FILTER (truth = 0) AS neg
   FROM s GROUP BY replicate, score),
 w AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY replicate ORDER BY score
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c),
 a AS (SELECT replicate, sum(pos)::BIGINT AS positives, sum(neg)::BIGINT AS negatives,
-  sum(pos::DOUBLE * (below::DOUBLE + neg::DOUBLE / 2)) / (sum(pos)::DOUBLE * sum(neg)::DOUBLE) AS roc_auc
+  sum(pos::DOUBLE * (below::DOUBLE + neg::DOUBLE / 2)) / nullif(sum(pos)::DOUBLE * sum(neg)::DOUBLE, 0) AS roc_auc
   FROM w GROUP BY replicate)"""
 
 
@@ -165,13 +194,14 @@ PANEL = """f AS (SELECT * FROM m WHERE framework = 'future' AND backend = 'mirai
 x AS (SELECT * FROM f WHERE run = (SELECT min(run) FROM f))"""
 
 
-def oracles(times: dict[str, int], seed: int) -> dict[str, str]:
+def oracles(times: int, seed: int) -> dict[str, str]:
     metrics = f"metrics AS (SELECT replicate, {METRICS} FROM s GROUP BY replicate)"
-    by_model = f"metrics AS (SELECT replicate, model, {METRICS} FROM s GROUP BY replicate, model)"
+    by_model = f"metrics AS (SELECT replicate, model, {METRICS}, count(*) AS n FROM s GROUP BY replicate, model)"
     whole = f"""WITH {P},
 metrics AS (SELECT {METRICS} FROM p WHERE model = 'six_per_word')"""
     ci = """round(quantile_cont(estimate, 0.025), 8) AS lower, round(avg(estimate), 8) AS mean,
-  round(quantile_cont(estimate, 0.975), 8) AS upper"""
+  round(quantile_cont(estimate, 0.975), 8) AS upper, count(estimate) AS replicates"""
+    drawn, models = scan_sql(times, seed), scan_sql(times, seed, model=None)
     sql = {
         "metrics_wide": f"{whole} SELECT {ROUNDED} FROM metrics",
         "metrics_long": f"""{whole}, long AS ({long_sql("metrics")})
@@ -179,48 +209,58 @@ SELECT metric, estimator, round(estimate, 6) AS estimate FROM long""",
         "metrics_by_model": f"""WITH {P},
 metrics AS (SELECT model, {METRICS} FROM p GROUP BY model)
 SELECT model, {ROUNDED} FROM metrics""",
-        "bootstrap_draws": f"""WITH {draws_sql(times["draws"], seed)}
-SELECT replicate, row_ix, count(*) AS n FROM d GROUP BY replicate, row_ix""",
-        "bootstrap_draw_counts": f"""WITH {draws_sql(times["metrics"], seed)}
-SELECT replicate, count(*) AS n FROM d GROUP BY replicate""",
-        "replicate_completeness": f"""SELECT {times["metrics"]}::BIGINT AS replicates,
-  count(*) AS smallest, count(*) AS largest FROM documents""",
-        "bootstrap_first_split": f"""{sets_sql(1, seed)}, {metrics}, long AS ({long_sql("metrics")})
+        "bootstrap_draws": f"""{drawn}
+SELECT row_ix, count(*) AS n, count(DISTINCT replicate) AS replicates, sum(truth) AS truth, sum(estimate) AS estimate
+FROM s GROUP BY row_ix""",
+        "bootstrap_draw_counts": f"""{drawn}
+SELECT replicate, count(*) AS n FROM s GROUP BY replicate""",
+        "replicate_completeness": f"""SELECT model, {times}::BIGINT AS replicates, {times}::BIGINT AS scored,
+  count(*) AS smallest, count(*) AS largest FROM ({PAIRS_SQL}) GROUP BY model""",
+        "bootstrap_first_split": f"""{scan_sql(1, seed)}, {metrics}, long AS ({long_sql("metrics")})
 SELECT metric, estimator, round(estimate, 6) AS estimate FROM long""",
-        "bootstrap_last_split": f"""{sets_sql(times["last"], seed, times["last"])}, {metrics},
+        "bootstrap_last_split": f"""{scan_sql(times, seed, times)}, {metrics},
 long AS ({long_sql("metrics", "replicate,")})
 SELECT replicate, metric, estimator, round(estimate, 6) AS estimate FROM long""",
-        "bootstrap_metrics": f"""{sets_sql(times["metrics"], seed)}, {metrics},
+        "bootstrap_metrics": f"""{drawn}, {metrics},
 long AS ({long_sql("metrics", "replicate,")})
 SELECT replicate, metric, estimator, round(estimate, 6) AS estimate FROM long""",
-        "bootstrap_metrics_by_model": f"""{sets_sql(times["by_model"], seed, model=None)}, {by_model}
-SELECT replicate, model, {ROUNDED} FROM metrics""",
-        "bootstrap_ci": f"""{sets_sql(times["ci"], seed)}, {metrics},
+        "bootstrap_metrics_by_model": f"""{models}, {by_model}
+SELECT replicate, model, {ROUNDED}, n FROM metrics""",
+        "bootstrap_rare_model": f"""{scan_sql(times, seed, model=None, pairs=RARE_SQL)},
+known AS (SELECT * FROM s WHERE estimate IS NOT NULL),
+metrics AS (SELECT replicate, model, {METRICS}, count(*) AS n FROM known GROUP BY replicate, model)
+SELECT r.replicate, m.model, {ROUNDED}, coalesce(n, 0) AS n
+FROM range(1, {times + 1}) r(replicate) CROSS JOIN (SELECT DISTINCT model FROM p) m
+LEFT JOIN metrics ON metrics.replicate = r.replicate AND metrics.model = m.model""",
+        "bootstrap_ci": f"""{drawn}, {metrics},
 long AS ({long_sql("metrics", "replicate,")})
 SELECT metric, estimator, {ci} FROM long GROUP BY metric, estimator""",
-        "bootstrap_ci_by_model": f"""{sets_sql(times["by_model"], seed, model=None)}, {by_model},
+        "bootstrap_ci_by_model": f"""{models}, {by_model},
 long AS ({long_sql("metrics", "replicate, model,")})
 SELECT model, metric, {ci} FROM long GROUP BY model, metric""",
-        "bootstrap_scan": f"""{scan_sql(times["scan"], seed)}, {metrics}
+        "bootstrap_scan": f"""{drawn}, {metrics}
+SELECT replicate, {ROUNDED} FROM metrics""",
+        "bootstrap_scan_counts": f"""SELECT b.replicate, model, count(*) AS n
+FROM ({PAIRS_SQL}) CROSS JOIN range(1, {times + 1}) b(replicate) GROUP BY b.replicate, model""",
+        "bootstrap_gather": f"""{sets_sql(times, seed)}, {metrics}
 SELECT replicate, {ROUNDED} FROM metrics""",
-        "bootstrap_scan_counts": f"""SELECT b.replicate, count(*) AS n
-FROM documents CROSS JOIN range(1, {times["scan"] + 1}) b(replicate) GROUP BY b.replicate""",
-        "bootstrap_poisson": poisson_sql(times["scan"], seed),
-        "bootstrap_udf": f"""{sets_sql(times["scan"], seed)}
+        "bootstrap_poisson": poisson_sql(times, seed),
+        "bootstrap_udf": f"""{drawn}
 SELECT replicate, round(sqrt(sum((truth - estimate) * (truth - estimate)) / count(*)), 6) AS rmse,
   round(sum(CASE WHEN abs(truth - estimate) <= 0.1::DOUBLE * truth THEN 1 ELSE 0 END)::DOUBLE
     / count(*), 6) AS within_tenth
 FROM s GROUP BY replicate""",
         "roc_auc": """WITH d AS (SELECT quality AS truth, n_chars AS score FROM documents JOIN labels USING (doc_id)),
-pairs AS (SELECT sum(CASE WHEN a.score > b.score THEN 1.0::DOUBLE WHEN a.score = b.score THEN 0.5::DOUBLE
-    ELSE 0.0::DOUBLE END) AS wins FROM d a JOIN d b ON a.truth = 1 AND b.truth = 0),
-totals AS (SELECT count(*) FILTER (truth = 1) AS positives, count(*) FILTER (truth = 0) AS negatives FROM d)
-SELECT positives, negatives, round(wins / (positives::DOUBLE * negatives), 9) AS roc_auc FROM pairs, totals""",
-        "bootstrap_auc": f"""{auc_sql(times["scan"], seed)}
+ranked AS (SELECT truth, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE AS r FROM d),
+totals AS (SELECT count(*) FILTER (truth = 1) AS positives, count(*) FILTER (truth = 0) AS negatives,
+  sum(r) FILTER (truth = 1) AS ranks FROM ranked)
+SELECT positives, negatives, round((ranks - positives::DOUBLE * (positives + 1) / 2) / (positives::DOUBLE * negatives), 9) AS roc_auc
+FROM totals""",
+        "bootstrap_auc": f"""{auc_sql(times, seed)}
 SELECT replicate, positives, negatives, round(roc_auc, 9) AS roc_auc FROM a""",
-        "bootstrap_auc_ci": f"""{auc_sql(times["scan"], seed)}
+        "bootstrap_auc_ci": f"""{auc_sql(times, seed)}
 SELECT 'roc_auc' AS metric, round(quantile_cont(roc_auc, 0.025), 9) AS lower,
-  round(avg(roc_auc), 9) AS mean, round(quantile_cont(roc_auc, 0.975), 9) AS upper FROM a""",
+  round(avg(roc_auc), 9) AS mean, round(quantile_cont(roc_auc, 0.975), 9) AS upper, count(roc_auc) AS replicates FROM a""",
         "indexed_rows": """SELECT count(*) AS n, count(*) AS distinct_rows, 0::BIGINT AS first,
   count(*) - 1 AS last, sum(l_quantity) AS quantity FROM lineitem""",
         "results_clean": f"WITH {RC} SELECT * FROM r",
@@ -232,8 +272,8 @@ SELECT run, parallel, elapsed, user_self, CASE WHEN parallel THEN NULL ELSE sys_
         "results_count": f"""WITH {RC}
 SELECT platform, framework, backend, count(*) AS n FROM r GROUP BY platform, framework, backend""",
         "num_workers_distinct": f"WITH {RC} SELECT DISTINCT platform, framework, backend, num_workers FROM r",
-        "num_workers_first": f"""WITH {RC}
-SELECT num_workers FROM r ORDER BY platform, framework, backend, run LIMIT 1""",
+        "num_workers_first": f"""WITH {MC}
+SELECT num_workers FROM m ORDER BY platform, framework, backend, run, time, pid, num_workers LIMIT 1""",
         "baseline": f"""WITH {RC}
 SELECT elapsed AS baseline, run, framework, backend, platform FROM r WHERE NOT parallel""",
         "speed_ups": f"""{SPEED_UPS}
@@ -254,6 +294,11 @@ SELECT backend, framework, round(mean, 6) AS mean FROM means WHERE mean = (SELEC
         "best_speed_up": f"""{SPEED_UPS},
 means AS (SELECT backend, framework, avg(speed_up) AS mean FROM u GROUP BY backend, framework)
 SELECT round_even(max(mean), 1) AS best_speed_up FROM means""",
+        "best_speed_up_no_platform": f"""{speed_ups_sql("run, framework, backend")},
+means AS (SELECT backend, framework, avg(speed_up) AS mean FROM u GROUP BY backend, framework)
+SELECT round_even(max(mean), 1) AS best_speed_up FROM means""",
+        "files_stacked": """SELECT 'documents' AS file, doc_id FROM documents
+UNION ALL SELECT 'labels' AS file, doc_id FROM labels""",
         "duplicate_run_keys": f"""WITH {RC}
 SELECT run, framework, backend, platform, count(*) AS n FROM r WHERE NOT parallel
 GROUP BY run, framework, backend, platform HAVING count(*) > 1""",
@@ -261,7 +306,8 @@ GROUP BY run, framework, backend, platform HAVING count(*) > 1""",
 SELECT run, pid, epoch_us(time) AS time_us, pct_cpu, parallel, framework, backend, platform, num_workers, main_pid
 FROM m""",
         "monitor_main_pid": f"""WITH {MC}
-SELECT run, pid, epoch_us(time) AS time_us, pct_cpu, main_pid FROM m""",
+SELECT run, pid, epoch_us(time) AS time_us, pct_cpu, 100 + n_regionkey AS main_pid
+FROM m LEFT JOIN nation ON n_nationkey = run AND n_nationkey BETWEEN 1 AND 4""",
         "monitor_count": f"""WITH {MC}
 SELECT platform, framework, backend, count(*) AS n FROM m GROUP BY platform, framework, backend""",
         "monitor_rel_time": f"""WITH {M},
@@ -291,16 +337,27 @@ SELECT framework, backend, platform, run, ceil(seconds)::BIGINT AS total_seconds
   framework || ' via ' || backend || ' (' || platform || ')' AS title,
   'Time (min:sec)' || chr(10) || 'total time: ' || ceil(seconds)::BIGINT::VARCHAR || 's' AS x_label
 FROM g WHERE k = 1""",
+        "labels_of_panel": f"""WITH {MC},
+f AS (SELECT * FROM m WHERE framework = 'future' AND backend = 'mirai' AND parallel AND pid <> main_pid
+  AND platform IN ('unix', 'macOS')),
+g AS (SELECT run, (epoch_us(max(time)) - epoch_us(min(time))) / 1e6::DOUBLE AS seconds
+  FROM f WHERE run = (SELECT min(run) FROM f) GROUP BY run)
+SELECT 'future' AS framework, 'mirai' AS backend, platform, run, ceil(seconds)::BIGINT AS total_seconds,
+  'future via mirai (' || platform || ')' AS title,
+  'Time (min:sec)' || chr(10) || 'total time: ' || ceil(seconds)::BIGINT::VARCHAR || 's' AS x_label
+FROM g CROSS JOIN (SELECT unnest(['unix', 'macOS']) AS platform)""",
         "single_run": f"""WITH {MC}
 SELECT run, pid, epoch_us(time) AS time_us, pct_cpu, backend, platform FROM m
 WHERE framework = 'foreach/doFuture/%dopar%' AND parallel AND pid <> main_pid AND run = 3""",
         "busy_workers": f"""WITH {MC}
 SELECT epoch_us(date_trunc('hour', time)) AS start_us,
-  count(DISTINCT CASE WHEN pct_cpu > 50 THEN pid END) AS busy, count(*) AS samples
-FROM m GROUP BY date_trunc('hour', time)""",
+  count(DISTINCT CASE WHEN pct_cpu > 50 THEN concat_ws('|', run, framework, backend, platform, pid) END) AS busy,
+  count(*) AS samples
+FROM m WHERE parallel AND pid <> main_pid GROUP BY date_trunc('hour', time)""",
         "idle_share": f"""WITH {MC}
-SELECT pid, count(*) AS samples, round(avg(CASE WHEN pct_cpu < 5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS idle_share
-FROM m GROUP BY pid""",
+SELECT run, framework, backend, platform, pid, count(*) AS samples,
+  round(avg(CASE WHEN pct_cpu < 5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS idle_share
+FROM m WHERE parallel AND pid <> main_pid GROUP BY run, framework, backend, platform, pid""",
         "package_names": "SELECT p_partkey, replace(p_name, 'small ', '') AS name FROM part",
     }
     for name, groups in (

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from fixtures import views
 from resamplia.functions.metrics import METRICS, complete_pairs, metric_aggregates, to_long
 from resamplia.functions.scalars import epoch_seconds, without
-from resamplia.operators import checks, ordered, resample
+from resamplia.operators import checks, ordered
 from resamplia.plans import bootstrap, monitor, speedup
 from resamplia.sources import files
 from resamplia.sources.pairs import dense_index
@@ -22,8 +22,8 @@ SEED = 7
 # at 6 digits; at 8 digits it is exact.
 CI_DIGITS = 8
 
-# Replicates per query.
-TIMES = {"draws": 20, "metrics": 500, "last": 500, "by_model": 200, "ci": 1000, "scan": 100}
+# Replicates of every bootstrap query.
+TIMES = 5000
 
 
 def rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
@@ -60,27 +60,30 @@ def metrics_by_model(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(pairs.groupBy("model").agg(*metric_aggregates()), 6, *METRICS)
 
 
-def row_draws(spark: SparkSession, folder: str, times: int) -> DataFrame:
-    size = views.table(spark, folder, "documents").count()
-    return resample.draws(spark, size, times, SEED)
+def drawn_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return bootstrap.analysis_sets(views.model_pairs(spark, folder), TIMES, SEED)
 
 
 def bootstrap_draws(spark: SparkSession, folder: str) -> DataFrame:
-    drawn = row_draws(spark, folder, TIMES["draws"])
-    return drawn.groupBy("replicate", "row_ix").agg(F.count("*").alias("n"))
+    """How often each document was drawn, and the values drawn with it."""
+    drawn = drawn_rows(spark, folder)
+    return drawn.groupBy("row_ix").agg(
+        F.count("*").alias("n"), F.count_distinct("replicate").alias("replicates"), F.sum("truth").alias("truth"), F.sum("estimate").alias("estimate")
+    )
 
 
 def bootstrap_draw_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return checks.replicate_sizes(row_draws(spark, folder, TIMES["metrics"]))
+    return checks.replicate_sizes(drawn_rows(spark, folder))
 
 
 def replicate_completeness(spark: SparkSession, folder: str) -> DataFrame:
-    return bootstrap_draw_counts(spark, folder).agg(
-        F.count("*").alias("replicates"), F.min("n").alias("smallest"), F.max("n").alias("largest")
+    """Replicates of each model in the table of scores, and the draws behind them."""
+    return scored_by_model(spark, folder).groupBy("model").agg(
+        F.count("*").alias("replicates"), F.count("rmse").alias("scored"), F.min("n").alias("smallest"), F.max("n").alias("largest")
     )
 
 
-def scored(spark: SparkSession, folder: str, times: int, first: int = 1) -> DataFrame:
+def scored(spark: SparkSession, folder: str, times: int = TIMES, first: int = 1) -> DataFrame:
     pairs = views.model_pairs(spark, folder)
     return bootstrap.bootstrap_metrics(pairs, times, SEED, first=first)
 
@@ -90,26 +93,29 @@ def bootstrap_first_split(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bootstrap_last_split(spark: SparkSession, folder: str) -> DataFrame:
-    last = TIMES["last"]
-    return rounded(to_long(scored(spark, folder, last, last), ["replicate"]), 6, "estimate")
+    return rounded(to_long(scored(spark, folder, TIMES, TIMES), ["replicate"]), 6, "estimate")
 
 
 def bootstrap_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    scores = to_long(scored(spark, folder, TIMES["metrics"]), ["replicate"])
-    return rounded(scores, 6, "estimate")
+    return rounded(to_long(scored(spark, folder), ["replicate"]), 6, "estimate")
 
 
 def scored_by_model(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = views.pairs(spark, folder)
-    return bootstrap.bootstrap_metrics(pairs, TIMES["by_model"], SEED, by=["model"])
+    return bootstrap.bootstrap_metrics(views.pairs(spark, folder), TIMES, SEED, by=["model"])
 
 
 def bootstrap_metrics_by_model(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(scored_by_model(spark, folder), 6, *METRICS)
 
 
-def bootstrap_ci(spark: SparkSession, folder: str, times: int = TIMES["ci"]) -> DataFrame:
-    scores = to_long(scored(spark, folder, times), ["replicate"])
+def bootstrap_rare_model(spark: SparkSession, folder: str) -> DataFrame:
+    """A model without any usable row in many replicates: these have null metrics."""
+    scores = bootstrap.bootstrap_metrics(views.rare_pairs(spark, folder), TIMES, SEED, by=["model"])
+    return rounded(scores, 6, *METRICS)
+
+
+def bootstrap_ci(spark: SparkSession, folder: str) -> DataFrame:
+    scores = to_long(scored(spark, folder), ["replicate"])
     bounds = bootstrap.percentile_ci(scores, ["metric", "estimator"])
     return rounded(bounds, CI_DIGITS, "lower", "mean", "upper")
 
@@ -120,24 +126,27 @@ def bootstrap_ci_by_model(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(bounds, CI_DIGITS, "lower", "mean", "upper")
 
 
-def scan_sets(spark: SparkSession, folder: str) -> DataFrame:
-    pairs = views.model_pairs(spark, folder)
-    return bootstrap.analysis_sets(pairs, TIMES["scan"], SEED, method="scan")
-
-
 def bootstrap_scan(spark: SparkSession, folder: str) -> DataFrame:
-    scores = scan_sets(spark, folder).groupBy("replicate").agg(*metric_aggregates())
+    """The metrics from drawn rows, as a user's own aggregates would get them."""
+    scores = drawn_rows(spark, folder).groupBy("replicate").agg(*metric_aggregates())
     return rounded(scores, 6, *METRICS)
 
 
 def bootstrap_scan_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return checks.replicate_sizes(scan_sets(spark, folder))
+    """Draws per replicate and model."""
+    sets = bootstrap.analysis_sets(views.pairs(spark, folder), TIMES, SEED, by=["model"])
+    return sets.groupBy("replicate", "model").agg(F.count("*").alias("n"))
+
+
+def bootstrap_gather(spark: SparkSession, folder: str) -> DataFrame:
+    """Metrics of sets from the other random stream."""
+    sets = bootstrap.gathered_sets(views.model_pairs(spark, folder), TIMES, SEED)
+    return rounded(sets.groupBy("replicate").agg(*metric_aggregates()), 6, *METRICS)
 
 
 def bootstrap_poisson(spark: SparkSession, folder: str) -> DataFrame:
     pairs = views.pairs(spark, folder)
-    scores = bootstrap.poisson_metrics(pairs, TIMES["scan"], SEED, by=["model"])
-    return rounded(scores, 6, *METRICS)
+    return rounded(bootstrap.poisson_metrics(pairs, TIMES, SEED, by=["model"]), 6, *METRICS)
 
 
 def bootstrap_udf(spark: SparkSession, folder: str) -> DataFrame:
@@ -152,8 +161,7 @@ def bootstrap_udf(spark: SparkSession, folder: str) -> DataFrame:
             "close": (error <= 0.1 * part["truth"]).sum(),
         }
 
-    sets = bootstrap.analysis_sets(views.model_pairs(spark, folder), TIMES["scan"], SEED)
-    sums = bootstrap.reduce_sets(sets, squared_and_close, ["n", "squared", "close"])
+    sums = bootstrap.reduce_sets(drawn_rows(spark, folder), squared_and_close, ["n", "squared", "close"])
     return sums.select(
         "replicate",
         F.round(F.sqrt(F.col("squared") / F.col("n")), 6).alias("rmse"),
@@ -166,12 +174,12 @@ def roc_auc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bootstrap_auc(spark: SparkSession, folder: str) -> DataFrame:
-    scores = bootstrap.bootstrap_auc(views.quality_pairs(spark, folder), TIMES["scan"], SEED)
+    scores = bootstrap.bootstrap_auc(views.quality_pairs(spark, folder), TIMES, SEED)
     return rounded(scores, 9, "roc_auc")
 
 
 def bootstrap_auc_ci(spark: SparkSession, folder: str) -> DataFrame:
-    scores = bootstrap.bootstrap_auc(views.quality_pairs(spark, folder), TIMES["scan"], SEED)
+    scores = bootstrap.bootstrap_auc(views.quality_pairs(spark, folder), TIMES, SEED)
     long = to_long(scores, ["replicate"], ["roc_auc"])
     return rounded(bootstrap.percentile_ci(long), 9, "lower", "mean", "upper")
 
@@ -215,8 +223,18 @@ def results_union(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def num_workers_first(spark: SparkSession, folder: str) -> DataFrame:
-    order = ["platform", "framework", "backend", "run"]
-    return speedup.first_worker_count(results(spark, folder), order)
+    """Of the first sample, in the order in which scenarios are listed."""
+    order = ["platform", "framework", "backend", "run", "time", "pid"]
+    return speedup.first_worker_count(samples(spark, folder), order)
+
+
+def best_speed_up_no_platform(spark: SparkSession, folder: str) -> DataFrame:
+    return speedup.best_speed_up(results(spark, folder), keys=speedup.RUN_KEYS_ONE_PLATFORM)
+
+
+def files_stacked(spark: SparkSession, folder: str) -> DataFrame:
+    """Files found by name, stacked with the name as a column."""
+    return files.stack_named(spark, folder, ["documents", "labels"], ["doc_id"])
 
 
 def speed_ups(spark: SparkSession, folder: str) -> DataFrame:
@@ -273,10 +291,10 @@ def monitor_clean(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def monitor_main_pid(spark: SparkSession, folder: str) -> DataFrame:
-    """The process id of each run from a table of its own."""
-    rows = samples(spark, folder)
-    main_pids = rows.select("run", "main_pid").distinct()
-    joined = files.attach_main_pid(rows.drop("main_pid"), main_pids, ["run"])
+    """The process id of each run from a table of its own, which lacks one of the runs."""
+    nations = views.table(spark, folder, "nation").where("n_nationkey between 1 and 4")
+    main_pids = nations.select(F.col("n_nationkey").alias("run"), (100 + F.col("n_regionkey")).alias("main_pid"))
+    joined = files.attach_main_pid(samples(spark, folder).drop("main_pid"), main_pids, ["run"])
     return joined.select("run", "pid", time_us().alias("time_us"), "pct_cpu", "main_pid")
 
 
@@ -292,6 +310,10 @@ def worker_panel(spark: SparkSession, folder: str) -> DataFrame:
     return panel.select("run", "pid", "code", time_us().alias("time_us"), "min_sec", "pct_cpu", "worker")
 
 
+def labels_of_panel(spark: SparkSession, folder: str) -> DataFrame:
+    return monitor.labels_of_panel(samples(spark, folder), "future", "mirai", ["unix", "macOS"])
+
+
 def single_run(spark: SparkSession, folder: str) -> DataFrame:
     rows = monitor.single_run(samples(spark, folder), "foreach/doFuture/%dopar%", 3)
     return rows.select("run", "pid", time_us().alias("time_us"), "pct_cpu", "backend", "platform")
@@ -322,10 +344,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bootstrap_last_split": bootstrap_last_split,
     "bootstrap_metrics": bootstrap_metrics,
     "bootstrap_metrics_by_model": bootstrap_metrics_by_model,
+    "bootstrap_rare_model": bootstrap_rare_model,
     "bootstrap_ci": bootstrap_ci,
     "bootstrap_ci_by_model": bootstrap_ci_by_model,
     "bootstrap_scan": bootstrap_scan,
     "bootstrap_scan_counts": bootstrap_scan_counts,
+    "bootstrap_gather": bootstrap_gather,
     "bootstrap_poisson": bootstrap_poisson,
     "bootstrap_udf": bootstrap_udf,
     "roc_auc": roc_auc,
@@ -346,6 +370,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "mean_speed_up_backend": mean_speed_up_backend,
     "best_configuration": best_configuration,
     "best_speed_up": lambda spark, folder: speedup.best_speed_up(results(spark, folder)),
+    "best_speed_up_no_platform": best_speed_up_no_platform,
+    "files_stacked": files_stacked,
     "duplicate_run_keys": duplicate_run_keys,
     "elapsed_trend": elapsed_trend,
     "elapsed_trend_no_platform": elapsed_trend_no_platform,
@@ -357,6 +383,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cpu_outliers": lambda spark, folder: monitor.unusual_processes(samples(spark, folder)),
     "worker_panel": worker_panel,
     "panel_labels": lambda spark, folder: monitor.panel_labels(samples(spark, folder)),
+    "labels_of_panel": labels_of_panel,
     "single_run": single_run,
     "busy_workers": busy_workers,
     "idle_share": idle_share,

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from resamplia.operators.ordered import dense_codes
+
 MODELS = ("six_per_word", "five_plus", "constant")
 
 
@@ -92,14 +94,21 @@ def monitor(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def quality_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    """All documents with text length as score; the outcome is null where there is no label."""
-    docs = table(spark, folder, "documents").select(
-        F.col("doc_id").alias("row_ix"), F.col("n_chars").cast("double").alias("estimate")
-    )
-    labels = table(spark, folder, "labels").select(
-        F.col("doc_id").alias("row_ix"), F.col("quality").cast("double").alias("truth")
+    """Labelled documents with text length as score, numbered in the order of doc_id."""
+    docs = table(spark, folder, "documents").select("doc_id", F.col("n_chars").cast("double").alias("estimate"))
+    labels = table(spark, folder, "labels").select("doc_id", F.col("quality").cast("double").alias("truth"))
+    rows = docs.join(labels, "doc_id").where("truth in (0, 1)")
+    numbers = dense_codes(rows, "doc_id").select("doc_id", (F.col("code") - 1).alias("row_ix"))
+    return rows.join(numbers, "doc_id").select("row_ix", "truth", "estimate")
+
+
+def rare_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Two models, of which `rare` has a prediction for one document in 300 only."""
+    rows = model_pairs(spark, folder)
+    rare = F.when(F.col("row_ix") % 300 == 0, F.col("estimate"))
+    return rows.withColumn("model", F.lit("six_per_word")).unionByName(
+        rows.withColumns({"estimate": rare, "model": F.lit("rare")})
     )
-    return docs.join(labels, "row_ix", "left").select("row_ix", "truth", "estimate")
 
 
 def quality_scores(spark: SparkSession, folder: str) -> DataFrame:

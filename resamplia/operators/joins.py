@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from resamplia.session import reliable_checkpoint
-
 
 # Largest counted number of rows that a join side may have to be broadcast.
 SMALL_ROWS = 500_000
@@ -18,15 +16,15 @@ def small_side(df: DataFrame) -> DataFrame:
     """A derived table for the small side of a join, broadcast if its counted rows are few.
 
     Spark cannot know the size of an aggregate beforehand and would shuffle the large side as
-    well. The table is computed once, into the checkpoint folder. Above SMALL_ROWS it is joined
-    by a shuffle, in which adaptive execution splits hot keys.
+    well. The table is kept in memory or on the executors' disks; what is lost with an executor is computed again. Above
+    SMALL_ROWS it is joined by a shuffle, in which adaptive execution splits hot keys.
     """
-    stored = reliable_checkpoint(df)
-    return F.broadcast(stored) if stored.count() <= SMALL_ROWS else stored
+    kept = df.persist()
+    return F.broadcast(kept) if kept.count() <= SMALL_ROWS else kept
 
 
-def inner_join_nulls_match(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join on equal keys where null equals null; keys appear once.
+def inner_join_nulls_match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Inner (or left) join on equal keys where null equals null; keys appear once.
 
     Null-safe equality still hashes or sorts on the keys. Without a hint, Spark picks the
     strategy by measured size and splits skewed keys.
@@ -35,4 +33,4 @@ def inner_join_nulls_match(left: DataFrame, right: DataFrame, keys: Sequence[str
     condition = F.lit(True)
     for key in keys:
         condition = condition & left[key].eqNullSafe(renamed[f"_right_{key}"])
-    return left.join(renamed, condition, "inner").drop(*[f"_right_{key}" for key in keys])
+    return left.join(renamed, condition, how).drop(*[f"_right_{key}" for key in keys])

@@ -9,9 +9,7 @@ from math import ceil, isfinite
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from resamplia.session import reliable_checkpoint
-
-# Keys are cut at RANGES - 1 percentiles, and evenly between them when a range would hold more
+# Keys are cut at RANGES - 1 percentiles, and again at percentiles of each range when a range would hold more
 # than ROWS_PER_RANGE keys.
 RANGES = 128
 ROWS_PER_RANGE = 1_000_000
@@ -21,22 +19,18 @@ ROWS_PER_RANGE = 1_000_000
 class Ranges:
     """Cuts balance the work and nothing else: results are the same for any cuts."""
 
-    low: float
     cuts: tuple[float, ...]
-    high: float
-    parts: int
+    inner: tuple[tuple[float, ...], ...] = ()
 
     def number(self, key: str) -> Column:
         """Number of the range that holds `key`; it never falls when the key grows."""
         index = F.expr(self._bisect(key, self.cuts, 0))
-        if self.parts == 1:
+        if not self.inner:
             return index
-        bounds = F.array(*[F.lit(float(v)) for v in (self.low, *self.cuts, self.high)])
-        start, end = F.get(bounds, index), F.get(bounds, index + 1)
-        share = F.try_divide(F.col(key).cast("double") - start, end - start)
-        part = F.floor(F.coalesce(share, F.lit(0.0)) * self.parts)
-        within = F.greatest(F.lit(0), F.least(F.lit(self.parts - 1), part))
-        return index * self.parts + within
+        # The cuts of a range are few, at most RANGES - 1.
+        bounds = F.array(*[F.array(*[F.lit(float(c)) for c in cuts]).cast("array<double>") for cuts in self.inner])
+        below = F.filter(F.get(bounds, index), lambda cut: cut < F.col(key).cast("double"))
+        return index * RANGES + F.size(below)
 
     def _bisect(self, key: str, cuts: Sequence[float], low: int) -> str:
         if not cuts:
@@ -48,16 +42,25 @@ class Ranges:
         return f"CASE WHEN `{key}` <= {cut} THEN {below} ELSE {above} END"
 
 
+def _finite(cuts: Sequence[float] | None) -> tuple[float, ...]:
+    return tuple(sorted({cut for cut in cuts or () if isfinite(cut)}))
+
+
 def find_ranges(keys: DataFrame, key: str) -> Ranges:
-    """Ranges for a table of distinct keys. Only the cuts reach the driver."""
-    shares = [i / RANGES for i in range(1, RANGES)]
-    count, low, cuts, high = keys.agg(
-        F.count(key), F.min(key), F.percentile_approx(key, shares, 1_000), F.max(key)
-    ).first()
-    if count == 0:
-        return Ranges(0, (), 0, 1)
-    finite = sorted({cut for cut in cuts if isfinite(cut)})
-    return Ranges(low, tuple(finite), high, ceil(count / (RANGES * ROWS_PER_RANGE)))
+    """Ranges for a table of distinct keys. Only the cuts reach the driver, RANGES times RANGES at most."""
+
+    def percentiles(parts: int) -> Column:
+        return F.percentile_approx(key, [i / parts for i in range(1, parts)], 100 * parts)
+
+    count, cuts = keys.agg(F.count(key), percentiles(RANGES)).first()
+    outer = Ranges(_finite(cuts))
+    parts = min(RANGES, ceil(count / (RANGES * ROWS_PER_RANGE)))
+    if parts < 2:
+        return outer
+    # Percentiles follow the keys, however uneven they are; infinite keys are keys like others.
+    found = keys.where(F.col(key).isNotNull()).groupBy(outer.number(key).alias("_range")).agg(percentiles(parts).alias("cuts"))
+    inner = {row["_range"]: _finite(row["cuts"]) for row in found.collect()}
+    return Ranges(outer.cuts, tuple(inner.get(i, ()) for i in range(len(outer.cuts) + 1)))
 
 
 def running_totals(df: DataFrame, key: str, measures: Sequence[str]) -> DataFrame:
@@ -65,9 +68,9 @@ def running_totals(df: DataFrame, key: str, measures: Sequence[str]) -> DataFram
 
     `df` has one row per numeric `key`, so no range can be filled by a single hot key. Each
     range is summed on its own and shifted by the totals of the ranges before it. `df` is used
-    three times, so it is checkpointed.
+    three times, so it is kept in memory or on disk; what is lost is computed again.
     """
-    source = reliable_checkpoint(df)
+    source = df.persist()
     ranged = source.withColumn("_range", find_ranges(source, key).number(key))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     # One row per range, a millionth of the keys: safe in one task, and safe to broadcast.
@@ -113,11 +116,16 @@ def roc_auc(
     )
     if ranges is None:
         ranges = find_ranges(known.select("_score").distinct(), "_score")
-    groups = [*by, "_range"]
     counts = known.groupBy(*by, ranges.number("_score").alias("_range"), "_score").agg(
         F.sum(F.when(F.col("_truth") == 1, 1).otherwise(0)).alias("_pos"),
         F.sum(F.when(F.col("_truth") == 0, 1).otherwise(0)).alias("_neg"),
     )
+    return roc_auc_of_counts(counts, by)
+
+
+def roc_auc_of_counts(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """As `roc_auc`, from the positives and negatives (_pos, _neg) of every score (_range, _score)."""
+    groups = [*by, "_range"]
     inside = Window.partitionBy(*groups).orderBy("_score").rowsBetween(Window.unboundedPreceding, -1)
     # This window sees one row per range.
     below = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

@@ -6,6 +6,7 @@ so a retried task, another partition count or another cluster gives the same dra
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from decimal import Decimal, localcontext
 from math import ceil, floor, log2, sqrt
 
@@ -69,23 +70,23 @@ def poisson_thresholds(rate: float) -> list[int]:
     return limits
 
 
-def with_poisson_weight(df: DataFrame, rate: float, first: int, last: int, seed: int) -> DataFrame:
+def with_poisson_weight(df: DataFrame, rate: float, first: int, last: int, seed: int, replicates: Column | None = None) -> DataFrame:
     """Every row once per replicate in which its Poisson(rate) weight `w` is positive.
 
-    Weights depend on (seed, replicate, row_ix) alone: no join, no shuffle, one pass.
+    Weights depend on (seed, replicate, row_ix) alone: no join, no shuffle, one pass. `replicates` may give the numbers
+    for each row; a negative one stands for one single draw in that replicate.
     """
     limits = poisson_thresholds(rate)
     w = F.lit(len(limits))
     for k in range(len(limits) - 1, 0, -1):
         w = F.when(F.col("_u") < limits[k], k).otherwise(w)
-    replicates = F.sequence(F.lit(first).cast("bigint"), F.lit(last).cast("bigint"))
-    return (
-        df.withColumn("replicate", F.explode(replicates))
-        .withColumn("_u", _hash63(seed, "replicate", "row_ix"))
-        .where(F.col("_u") >= limits[0])
-        .withColumn("w", w.cast("bigint"))
-        .drop("_u")
-    )
+    if replicates is None:
+        numbers = F.sequence(F.lit(first).cast("bigint"), F.lit(last).cast("bigint"))
+        drawn = df.withColumn("replicate", F.explode(numbers)).withColumn("_u", _hash63(seed, "replicate", "row_ix"))
+        return drawn.where(F.col("_u") >= limits[0]).withColumn("w", w.cast("bigint")).drop("_u")
+    drawn = df.withColumn("replicate", F.explode(replicates)).withColumn("_u", _hash63(seed, "replicate", "row_ix"))
+    drawn = drawn.where((F.col("_u") >= limits[0]) | (F.col("replicate") < 0) if limits else F.col("replicate") < 0)
+    return drawn.withColumn("w", F.when(F.col("replicate") < 0, 1).otherwise(w).cast("bigint")).withColumn("replicate", F.abs("replicate")).drop("_u")
 
 
 def scan_rate(size: int) -> float:
@@ -133,13 +134,29 @@ def scan_top_up(spark: SparkSession, size: int, times: int, seed: int, first: in
     ).select("replicate", _random_row(seed, size, "replicate", "draw", ADDED))
 
 
-def gather(pairs: DataFrame, size: int, times: int, seed: int, first: int = 1) -> DataFrame:
-    """Analysis sets by looking up drawn rows in a broadcast copy of `pairs`.
+def added_draws(totals: DataFrame, size: int, replicates: int, seed: int, by: Sequence[str] = ()) -> DataFrame:
+    """Each row of `totals` (replicate, by, drawn, ...) once with a null row_ix, and once, its other values null, for each
+    draw that the replicate still lacks of `size`, with the row_ix drawn."""
+    others = [c for c in totals.columns if c not in ("replicate", "drawn", *by)]
+    missing = F.lit(size) - F.coalesce(F.col("drawn"), F.lit(0))
+    checked = F.when(missing >= 0, missing).otherwise(F.raise_error(F.lit("a replicate drew too many rows; use another seed")))
+    step = 4096
+    counted = totals.withColumn("_missing", checked.cast("bigint"))
+    chunks = counted.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_missing") / step))))
+    # Spread the chunks first: one task must not expand all replicates.
+    spread = chunks.repartition(task_count(totals.sparkSession, int(replicates * (1.0 - scan_rate(size)) * size), 4_000_000), "replicate", "_chunk")
+    # Chunk 0 is the row itself, as draw 0; chunk k has up to `step` draws.
+    last = F.least(F.col("_missing"), F.col("_chunk") * step)
+    numbers = F.when(F.col("_chunk") == 0, F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence((F.col("_chunk") - 1) * step + 1, last))
+    single = spread.withColumn("draw", F.explode(numbers))
+    row = F.when(F.col("draw") > 0, _random_row(seed, size, "replicate", "draw", ADDED)).alias("row_ix")
+    return single.select("replicate", *by, *[F.when(F.col("draw") == 0, F.col(c)).alias(c) for c in others], row)
+
 
-    The caller checks that `pairs` is small; see `plans.bootstrap.analysis_sets`.
-    """
+def gather(pairs: DataFrame, size: int, times: int, seed: int, first: int = 1, small: bool = True) -> DataFrame:
+    """Analysis sets by looking up drawn rows in `pairs`, which is broadcast if the caller has counted few rows."""
     drawn = draws(pairs.sparkSession, size, times, seed, first)
-    return drawn.join(F.broadcast(pairs), "row_ix").select("replicate", *pairs.columns)
+    return drawn.join(F.broadcast(pairs) if small else pairs, "row_ix").select("replicate", *pairs.columns)
 
 
 def scan(pairs: DataFrame, size: int, times: int, seed: int, first: int = 1) -> DataFrame:

@@ -1,11 +1,12 @@
 """Bootstrap distributions and confidence intervals of model metrics.
 
-    sets   = analysis_sets(pairs, times=5000, seed=1)     # lazy; nothing is stored
     scores = bootstrap_metrics(pairs, times=5000, seed=1) # one row per replicate
     bounds = percentile_ci(to_long(scores, ["replicate"]))
+    sets   = analysis_sets(pairs, times=5000, seed=1)     # drawn rows, for functions of your own
 
-`pairs` is (row_ix, truth, estimate) and optionally columns that separate candidate models.
-row_ix runs from 0 to n-1; all models share the draws of a replicate.
+`pairs` is (row_ix, truth, estimate) and optionally columns that separate candidate models. Each
+model has one row for each row_ix from 0 to n-1, and all models share the draws of a replicate. The draws of
+(seed, replicate) are the same in every function here except `gathered_sets`, for any number of rows.
 """
 
 from __future__ import annotations
@@ -17,153 +18,200 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from resamplia.functions.metrics import (
-    complete_pairs,
-    metric_aggregates,
-    metrics_from_sums,
-    weighted_sums,
-)
-from resamplia.operators.joins import inner_join_nulls_match, small_side
-from resamplia.operators.ordered import find_ranges, roc_auc
-from resamplia.operators.resample import gather, scan, task_count, with_poisson_weight
-
-# Largest number of rows of `pairs` that is broadcast, at roughly 64 bytes each. Beyond it the
-# scan method is also faster, because random lookups miss the processor caches.
+from resamplia.functions.metrics import complete_pairs, metrics_from_sums, weighted_sums
+from resamplia.operators.joins import inner_join_nulls_match
+from resamplia.operators.ordered import find_ranges, roc_auc_of_counts
+from resamplia.operators.resample import added_draws, gather, scan, scan_rate, task_count, with_poisson_weight
+
+# Up to so many rows, narrow ones of at most some 64 bytes each, a join side is broadcast and a table is spread over all cores.
+# It decides the plan only: results are the same on either side.
 BROADCAST_ROWS = 1_000_000
 
 
-def table_size(pairs: DataFrame, by: Sequence[str] = ()) -> tuple[int, int]:
-    """(rows, size): rows of the table, and rows that one replicate draws from.
+def checked_models(pairs: DataFrame, by: Sequence[str] = (), dense: bool = True) -> tuple[DataFrame, int, int]:
+    """(models, rows, n): one row per model with the centres of its values, rows of the table and of a model.
 
-    Without `by` the row index must hold 0..n-1 once each. Two xor sums of hashes tell, without
-    a shuffle: n rows have the sum of 0..n-1 only if no value is missing. With `by`, a model may
-    lack some rows.
+    Every model must hold row_ix 0..n-1 once each; two xor sums of hashes tell, without a shuffle of rows: n
+    distinct indexes have the sum of 0..n-1 only if none is missing. With dense=False only nulls and repeated
+    keys are refused.
     """
-    stated = pairs.agg(
-        F.count("*"), F.min("row_ix"), F.max("row_ix"), F.bit_xor(F.xxhash64("row_ix"))
-    )
-    rows, low, high, found = stated.first()
-    if rows == 0:
+
+    def centre(name: str) -> Column:
+        return F.when(F.min(name) == F.max(name), F.min(name)).otherwise(F.avg(name))
+
+    known = F.col("truth").isNotNull() & F.col("estimate").isNotNull() & ~F.isnan("truth") & ~F.isnan("estimate")
+    value = {name: F.when(known, F.col(name)).alias(name) for name in ("truth", "estimate")}
+    models = pairs.select("row_ix", *by, *value.values()).groupBy(*by).agg(
+        F.count("*").alias("_rows"), F.count("row_ix").alias("_keys"), F.min("row_ix").alias("_low"), F.max("row_ix").alias("_high"),
+        F.bit_xor(F.xxhash64("row_ix")).alias("_xor"), centre("truth").alias("_truth"), centre("estimate").alias("_estimate"),
+    )
+    # Few rows: one per model. They are kept in memory, and can be computed again.
+    models = models.persist()
+    found = models.agg(F.sum("_rows"), F.min("_rows"), F.max("_rows"), F.min("_low"), F.max("_high"), F.min("_xor"), F.max("_xor"), F.sum("_keys")).first()
+    rows, least, most, low, high, xor, xor2, keys = found
+    if not rows:
         raise ValueError("no rows to resample")
-    dense = low == 0 and high == rows - 1
-    if dense and not by:
-        ideal = pairs.sparkSession.range(rows).agg(F.bit_xor(F.xxhash64("id")))
-        dense = ideal.first()[0] == found
-    if low is None or low < 0 or not (by or dense):
-        raise ValueError("row_ix must run from 0 to n-1; see sources.pairs.dense_index")
-    return rows, high + 1
-
-
-def analysis_sets(
-    pairs: DataFrame,
-    times: int,
-    seed: int,
-    by: Sequence[str] = (),
-    first: int = 1,
-    method: str = "auto",
-) -> DataFrame:
+    if keys != rows:
+        raise ValueError("row_ix must not be null")
+    if dense:
+        ideal = pairs.sparkSession.range(most).agg(F.bit_xor(F.xxhash64("id"))).first()[0]
+        if least != most or low != 0 or high != most - 1 or xor != ideal or xor2 != ideal:
+            raise ValueError("row_ix must run from 0 to n-1 in every model; see sources.pairs.dense_index")
+    elif pairs.groupBy("row_ix", *by).agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        raise ValueError("row_ix must not be repeated within a model: equal keys get equal weights")
+    return models, rows, most
+
+
+def analysis_sets(pairs: DataFrame, times: int, seed: int, by: Sequence[str] = (), first: int = 1) -> DataFrame:
     """(replicate, *pairs columns): for every replicate first..times, n rows drawn with
-    replacement, duplicates kept.
+    replacement, duplicates kept; draws of rows that lack a value are left out.
 
-    gather looks up drawn rows in a broadcast table; scan makes weights while it passes over
-    the table and needs no broadcast. Both are exact, from different random streams. auto
-    takes gather when the counted rows fit BROADCAST_ROWS. A single replicate k is
-    first=k, times=k: the others are not generated.
+    Lazy; nothing is stored. A single replicate k is first=k, times=k: the others are not generated.
     """
-    rows, size = table_size(pairs, by)
-    if method == "auto":
-        method = "gather" if rows <= BROADCAST_ROWS else "scan"
-    if method == "gather" and rows > BROADCAST_ROWS:
-        raise ValueError(f"gather broadcasts the table, and {rows} rows are too many")
-    build = {"gather": gather, "scan": scan}[method]
-    return build(complete_pairs(pairs), size, times, seed, first)
-
-
-def bootstrap_metrics(
-    pairs: DataFrame,
-    times: int,
-    seed: int,
-    by: Sequence[str] = (),
-    first: int = 1,
-    method: str = "auto",
-    metrics: Sequence[Column] | None = None,
-) -> DataFrame:
-    """One row per replicate (and model): rmse, rsq, mae, ccc, or other aggregate columns."""
-    sets = analysis_sets(pairs, times, seed, by, first, method)
-    return sets.groupBy("replicate", *by).agg(*(metrics or metric_aggregates()))
-
-
-def bootstrap_auc(
-    pairs: DataFrame,
-    times: int,
-    seed: int,
-    by: Sequence[str] = (),
-    first: int = 1,
-    method: str = "auto",
-) -> DataFrame:
-    """ROC AUC per replicate (and model) of a 0/1 `truth` and a score `estimate`."""
-    scores = complete_pairs(pairs).select("estimate").distinct()
-    ranges = find_ranges(scores, "estimate")
-    sets = analysis_sets(pairs, times, seed, by, first, method)
-    return roc_auc(sets, "truth", "estimate", ["replicate", *by], ranges)
-
-
-def poisson_metrics(
-    pairs: DataFrame,
-    times: int,
-    seed: int,
-    by: Sequence[str] = (),
-    first: int = 1,
-) -> DataFrame:
-    """As `bootstrap_metrics`, with independent Poisson(1) weights for the rows.
+    _, _, size = checked_models(pairs, by)
+    return scan(complete_pairs(pairs), size, times, seed, first)
 
-    The cheapest form for huge tables: one pass, no index check, no join of draws, and the
-    shuffle carries one row of sums per replicate and task. The total weight of a replicate
-    varies around n, so this is the Poisson bootstrap and not a draw of exactly n rows.
-    """
-    known = complete_pairs(pairs)
-    # Sums are taken around the mean of the model; around the value itself if it is constant.
-    centres = known.groupBy(*by).agg(
-        *[
-            F.when(F.min(c) == F.max(c), F.min(c)).otherwise(F.avg(c)).alias(f"_{c}")
-            for c in ("truth", "estimate")
-        ],
-        F.count("*").alias("_rows"),
-    )
+
+def gathered_sets(pairs: DataFrame, times: int, seed: int, by: Sequence[str] = (), first: int = 1) -> DataFrame:
+    """As `analysis_sets`, from another random stream: draws are generated and looked up in the table. The
+    quickest way for small tables; a table of more than BROADCAST_ROWS rows is joined by a shuffle."""
+    _, rows, size = checked_models(pairs, by)
+    return gather(complete_pairs(pairs), size, times, seed, first, small=rows <= BROADCAST_ROWS)
+
+
+def _spread(pairs: DataFrame, rows: int, replicates: int) -> DataFrame:
+    """A table of few rows, often one file, over all cores. A large one keeps its partitions."""
+    if rows > BROADCAST_ROWS:
+        return pairs
+    return pairs.repartition(task_count(pairs.sparkSession, rows * replicates, 200_000_000), "row_ix")
+
+
+def _centred(pairs: DataFrame, models: DataFrame, by: Sequence[str]) -> DataFrame:
+    """row_ix, by, and the values around the centres of their model; null where a value is missing."""
+    centres = models.select(*by, "_truth", "_estimate")
     if by:
-        stored = small_side(centres)
-        joined = inner_join_nulls_match(known, stored, by)
-        rows = stored.agg(F.sum("_rows")).first()[0] or 0
+        joined = inner_join_nulls_match(pairs, centres, by)
     else:
-        truth, estimate, rows = centres.first()
-        joined = known.withColumns(
-            {"_truth": F.lit(truth).cast("double"), "_estimate": F.lit(estimate).cast("double")}
-        )
-    work = rows * (times - first + 1)
-    spread = joined.repartition(task_count(pairs.sparkSession, work, 200_000_000), "row_ix")
-    weighted = with_poisson_weight(
-        spread.select(
-            "row_ix",
-            *by,
-            (F.col("truth") - F.col("_truth")).alias("y"),
-            (F.col("estimate") - F.col("_estimate")).alias("p"),
-            (F.col("truth") - F.col("estimate")).alias("error"),
-            (F.col("_truth") - F.col("_estimate")).alias("offset"),
-        ),
-        1.0,
-        first,
-        times,
-        seed,
+        truth, estimate = centres.first()
+        joined = pairs.withColumns({"_truth": F.lit(truth).cast("double"), "_estimate": F.lit(estimate).cast("double")})
+    known = F.col("truth").isNotNull() & F.col("estimate").isNotNull() & ~F.isnan("truth") & ~F.isnan("estimate")
+    return joined.select(
+        "row_ix", *by, known.cast("double").alias("known"),
+        F.when(known, F.col("truth") - F.col("_truth")).alias("y"), F.when(known, F.col("estimate") - F.col("_estimate")).alias("p"),
+        F.when(known, F.col("truth") - F.col("estimate")).alias("error"),
+    )
+
+
+SUMS = ("w", "wy", "wp", "wyy", "wpp", "wyp", "wae", "wse")
+
+
+def _scores(sums: DataFrame, models: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Metrics and the number of usable draws `n` from the sums of each replicate and model."""
+    offset = models.select(*by, (F.col("_truth") - F.col("_estimate")).alias("offset"))
+    if by:
+        joined = inner_join_nulls_match(sums, offset, by)
+    else:
+        joined = sums.withColumn("offset", F.lit(offset.first()[0]).cast("double"))
+    whole = joined.withColumns({name: F.coalesce(name, F.lit(0.0)) for name in SUMS})
+    return whole.select("replicate", *by, *metrics_from_sums(F.col("offset")), F.col("w").cast("bigint").alias("n"))
+
+
+def _weighted(rows: DataFrame, rate: float, first: int, times: int, seed: int, by: Sequence[str]) -> DataFrame:
+    """Sums of each replicate and model under Poisson weights, and `drawn`, the total weight of all rows."""
+    weighted = with_poisson_weight(rows, rate, first, times, seed)
+    w = F.col("w").cast("double")
+    return weighted.groupBy("replicate", *by).agg(
+        *weighted_sums(w * F.col("known"), F.col("y"), F.col("p"), F.col("error")), F.sum("w").alias("drawn")
     )
-    sums = weighted.groupBy("replicate", *by).agg(
-        *weighted_sums(F.col("w").cast("double"), F.col("y"), F.col("p"), F.col("error")),
-        F.max("offset").alias("offset"),
+
+
+def _frame(models: DataFrame, by: Sequence[str], first: int, times: int) -> DataFrame:
+    """Every replicate with every model."""
+    replicates = F.sequence(F.lit(first).cast("bigint"), F.lit(times).cast("bigint"))
+    return models.select(*by, F.explode(replicates).alias("replicate"))
+
+
+def bootstrap_metrics(pairs: DataFrame, times: int, seed: int, by: Sequence[str] = (), first: int = 1) -> DataFrame:
+    """rmse, rsq, mae, ccc and n, one row for every replicate first..times and model.
+
+    n counts the draws that have both values; a replicate without any has null metrics. The rows are read once: Poisson
+    weights give sums per replicate, the draws that a replicate still lacks are looked up and added to its sums. No row is copied or
+    moved per draw.
+    """
+    models, rows, size = checked_models(pairs, by)
+    data = _centred(pairs.select("row_ix", *by, "truth", "estimate"), models, by)
+    rate = scan_rate(size)
+    frame = _frame(models, by, first, times)
+    if rate:
+        spread = _spread(data, rows, times - first + 1)
+        found = inner_join_nulls_match(frame, _weighted(spread, rate, first, times, seed, by), ["replicate", *by], "left")
+    else:
+        found = frame.withColumns({name: F.lit(0.0) for name in SUMS} | {"drawn": F.lit(0).cast("bigint")})
+    # Draw 0 stands for the weighted sums, the others for single rows.
+    drawn = added_draws(found, size, times - first + 1, seed, by)
+    lookup = data.withColumnsRenamed({name: f"_{name}" for name in (*by, "row_ix")})
+    lookup = F.broadcast(lookup) if rows <= BROADCAST_ROWS else lookup
+    same = F.col("row_ix") == F.col("_row_ix")
+    for name in by:
+        same = same & F.col(name).eqNullSafe(F.col(f"_{name}"))
+    met = drawn.join(lookup, same, "left")
+    one = F.col("known")
+    single = dict(zip(SUMS, (one, F.col("y"), F.col("p"), F.col("y") * F.col("y"), F.col("p") * F.col("p"), F.col("y") * F.col("p"), F.abs("error"), F.col("error") * F.col("error")), strict=True))
+    sums = met.groupBy("replicate", *by).agg(*[F.sum(F.when(F.col("row_ix").isNull(), F.col(name)).otherwise(single[name])).alias(name) for name in SUMS])
+    return _scores(sums, models, by)
+
+
+def bootstrap_auc(pairs: DataFrame, times: int, seed: int, first: int = 1) -> DataFrame:
+    """ROC AUC per replicate of a 0/1 `truth` and a score `estimate`; every row must have both.
+
+    The rows are moved once, to their range of scores, each with the replicates in which it is an added draw;
+    weights, counts per score and wins are computed there, and one row per replicate and range leaves.
+    """
+    rows = complete_pairs(pairs).where(F.col("truth").isin(0, 1))
+    _, count, size = checked_models(rows)
+    rate = scan_rate(size)
+    spark = pairs.sparkSession
+    ones = spark.range(0, size, 1, task_count(spark, size * (times - first + 1), 200_000_000)).select(
+        F.col("id").alias("row_ix"), *[F.lit(0.0).alias(name) for name in ("known", "y", "p", "error")]
+    )
+    frame = spark.range(first, times + 1).select(F.col("id").alias("replicate"))
+    totals = _weighted(ones, rate, first, times, seed, ()).select("replicate", "drawn") if rate else frame.withColumn("drawn", F.lit(0).cast("bigint"))
+    found = frame.join(totals, "replicate", "left")
+    extra = added_draws(found, size, times - first + 1, seed).where("row_ix is not null").groupBy("row_ix").agg(F.collect_list("replicate").alias("_extra"))
+    ranges = find_ranges(rows.select("estimate").distinct(), "estimate")
+    placed = rows.join(extra, "row_ix", "left").withColumn("_range", ranges.number("estimate"))
+    placed = placed.repartition(task_count(spark, count * (times - first + 1), 20_000_000), "_range")
+    sequence = F.sequence(F.lit(first).cast("bigint"), F.lit(times).cast("bigint")) if rate else F.array().cast("array<bigint>")
+    # Negative numbers mark added draws.
+    both = F.concat(sequence, F.transform(F.coalesce("_extra", F.array().cast("array<bigint>")), lambda r: -r))
+    drawn = with_poisson_weight(placed, rate, first, times, seed, both)
+    return roc_auc_of_counts(
+        drawn.groupBy("replicate", "_range", F.col("estimate").alias("_score")).agg(
+            F.sum(F.when(F.col("truth") == 1, F.col("w")).otherwise(0)).alias("_pos"),
+            F.sum(F.when(F.col("truth") == 0, F.col("w")).otherwise(0)).alias("_neg"),
+        ),
+        ["replicate"],
     )
-    return sums.select("replicate", *by, *metrics_from_sums(F.col("offset")))
+
+
+def poisson_metrics(pairs: DataFrame, times: int, seed: int, by: Sequence[str] = (), first: int = 1) -> DataFrame:
+    """As `bootstrap_metrics`, with independent Poisson(1) weights for the rows.
+
+    The cheapest form for huge tables: one pass, no join of draws, and the shuffle carries one row
+    of sums per replicate, model and task. row_ix may be any key that is not null and not repeated within
+    a model. The total weight of a replicate varies around n, so this is the Poisson bootstrap
+    and not a draw of exactly n rows.
+    """
+    models, rows, _ = checked_models(pairs, by, dense=False)
+    data = _spread(_centred(pairs.select("row_ix", *by, "truth", "estimate"), models, by), rows, times - first + 1)
+    sums = _weighted(data, 1.0, first, times, seed, by)
+    found = inner_join_nulls_match(_frame(models, by, first, times), sums, ["replicate", *by], "left")
+    return _scores(found, models, by)
 
 
 def percentile_ci(scores: DataFrame, keys: Sequence[str] = ("metric",), level: float = 0.95) -> DataFrame:
-    """Percentile interval and mean of `estimate` over the replicates of each key.
+    """Percentile interval and mean of `estimate` over the replicates of each key, and the number of
+    replicates that have a value.
 
     Exact percentiles: a group holds one value per replicate, however large the data is.
     """
@@ -171,8 +219,8 @@ def percentile_ci(scores: DataFrame, keys: Sequence[str] = ("metric",), level: f
     bounds = F.percentile("estimate", F.array(F.lit(tail), F.lit(round(1.0 - tail, 12))))
     return (
         scores.groupBy(*keys)
-        .agg(bounds.alias("_bounds"), F.avg("estimate").alias("mean"))
-        .select(*keys, F.col("_bounds")[0].alias("lower"), "mean", F.col("_bounds")[1].alias("upper"))
+        .agg(bounds.alias("_bounds"), F.avg("estimate").alias("mean"), F.count("estimate").alias("replicates"))
+        .select(*keys, F.col("_bounds")[0].alias("lower"), "mean", F.col("_bounds")[1].alias("upper"), "replicates")
     )
 
 
@@ -200,22 +248,6 @@ def reduce_sets(
     schema = T.StructType(
         [sets.schema[key] for key in by] + [T.StructField(name, T.DoubleType()) for name in names]
     )
-    pieces = sets.mapInPandas(run, schema)
+    # Rows of a set lie together within a partition, so that the function is called once for each.
+    pieces = sets.sortWithinPartitions(*by).mapInPandas(run, schema)
     return pieces.groupBy(*by).agg(*[F.sum(name).alias(name) for name in names])
-
-
-def apply_to_sets(
-    sets: DataFrame,
-    function: Callable[[pd.DataFrame], pd.DataFrame],
-    schema: str | T.StructType,
-    rows_per_set: int,
-    max_rows: int = 5_000_000,
-) -> DataFrame:
-    """Run any user function on each whole analysis set.
-
-    A whole set is one pandas table in one task, so its size is checked; functions that can be
-    written with sums have no such bound in `reduce_sets`.
-    """
-    if rows_per_set > max_rows:
-        raise ValueError(f"{rows_per_set} rows per set exceed {max_rows}; use reduce_sets")
-    return sets.groupBy("replicate").applyInPandas(function, schema)

@@ -20,7 +20,6 @@ from resamplia.functions.scalars import (
 )
 from resamplia.operators.joins import inner_join_nulls_match, small_side
 from resamplia.operators.ordered import dense_codes
-from resamplia.session import reliable_checkpoint
 from resamplia.sources.files import SCENARIO
 
 # Percent CPU limits outside which a process is listed as unusual.
@@ -85,10 +84,9 @@ def worker_panel(
     """Series of all workers of one panel, labelled and in time order.
 
     Workers are numbered in pid order. The sort is a range sort on (worker, time), so one long
-    series is spread over several tasks. The samples of the one run are used several times and
-    therefore checkpointed.
+    series is spread over several tasks.
     """
-    panel = reliable_checkpoint(panel_samples(monitor, framework, backend, platforms))
+    panel = panel_samples(monitor, framework, backend, platforms)
     codes = small_side(dense_codes(panel, "pid"))
     width = codes.agg(F.max(F.length(F.col("code").cast("string")))).scalar()
     return (
@@ -108,8 +106,25 @@ def panel_labels(monitor: DataFrame) -> DataFrame:
     first = runs.groupBy(*SCENARIO).agg(
         F.min("run").alias("run"), F.min_by(F.struct("start", "end"), "run").alias("span")
     )
-    seconds = seconds_between(F.col("span.end"), F.col("span.start"))
-    return first.select(
+    return _labels(first.select(*SCENARIO, "run", "span.*"))
+
+
+def labels_of_panel(
+    monitor: DataFrame, framework: str, backend: str, platforms: Sequence[str] | None = None
+) -> DataFrame:
+    """The same for the series that `worker_panel` gives for these platforms: one row per platform asked for, all with the
+    run and the time of the whole panel. No row if the panel is empty."""
+    panel = panel_samples(monitor, framework, backend, platforms)
+    names = F.collect_set("platform") if platforms is None else F.array(*map(F.lit, platforms))
+    span = panel.agg(F.min("run").alias("run"), F.min("time").alias("start"), F.max("time").alias("end"), names.alias("names"))
+    named = span.where("run is not null").withColumn("platform", F.explode("names"))
+    scenario = named.withColumns({"framework": F.lit(framework), "backend": F.lit(backend)})
+    return _labels(scenario.select(*SCENARIO, "run", "start", "end"))
+
+
+def _labels(spans: DataFrame) -> DataFrame:
+    seconds = seconds_between(F.col("end"), F.col("start"))
+    return spans.select(
         *SCENARIO,
         "run",
         F.ceil(seconds).cast("bigint").alias("total_seconds"),
@@ -118,18 +133,22 @@ def panel_labels(monitor: DataFrame) -> DataFrame:
     )
 
 
+# A process id means something within one run only.
+WORKER = ("run", *SCENARIO, "pid")
+
+
 def busy_workers(monitor: DataFrame, width: str, busy_above: float, by: Sequence[str | Column] = ()) -> DataFrame:
-    """Number of distinct workers above a CPU limit in each time window."""
-    busy = F.when(F.col("pct_cpu") > busy_above, F.col("pid"))
+    """Number of distinct workers above a CPU limit in each time window; main processes do not count."""
+    busy = F.when(F.col("pct_cpu") > busy_above, F.struct(*WORKER))
     slot = F.window("time", width)
     return (
-        monitor.groupBy(slot.alias("slot"), *by)
+        worker_samples(monitor).groupBy(slot.alias("slot"), *by)
         .agg(F.count_distinct(busy).alias("busy"), F.count("*").alias("samples"))
         .select(F.col("slot.start").alias("start"), *by, "busy", "samples")
     )
 
 
-def idle_share(monitor: DataFrame, idle_below: float, by: Sequence[str] = ("pid",)) -> DataFrame:
-    """Share of samples in which a worker was idle."""
+def idle_share(monitor: DataFrame, idle_below: float, by: Sequence[str] = WORKER) -> DataFrame:
+    """Share of samples in which a worker was idle; main processes do not count."""
     idle = F.avg((F.col("pct_cpu") < idle_below).cast("int"))
-    return monitor.groupBy(*by).agg(F.count("*").alias("samples"), idle.alias("idle_share"))
+    return worker_samples(monitor).groupBy(*by).agg(F.count("*").alias("samples"), idle.alias("idle_share"))

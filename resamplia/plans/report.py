@@ -11,7 +11,10 @@ from resamplia.plans import monitor, speedup
 
 
 def benchmark_tables(results: DataFrame) -> dict[str, DataFrame]:
-    """Counts, speed-ups, means, best figure, trend, and runs that are recorded twice."""
+    """Counts, speed-ups, means, best figure, trend, and runs that are recorded twice.
+
+    Each table reads `results` anew: pass a stored table if it is costly to make.
+    """
     return {
         "results_count": speedup.count_by(results),
         "num_workers": speedup.worker_counts(results),
@@ -26,8 +29,8 @@ def benchmark_tables(results: DataFrame) -> dict[str, DataFrame]:
 def utilization_tables(
     samples: DataFrame, panels: Sequence[tuple[str, str, Sequence[str] | None]] = ()
 ) -> dict[str, DataFrame]:
-    """Counts, unusual processes, labels, and one series table per (framework, backend,
-    platforms) panel. A panel without samples is an empty table."""
+    """Counts, unusual processes, labels, and one table of series and one of labels per (framework, backend,
+    platforms) panel. A panel without samples gives empty tables. Each table reads `samples` anew."""
     tables = {
         "monitor_count": speedup.count_by(samples),
         "unusual_processes": monitor.unusual_processes(samples),
@@ -36,4 +39,5 @@ def utilization_tables(
     for framework, backend, platforms in panels:
         name = " ".join(["panel", framework, backend, *(platforms or [])])
         tables[name] = monitor.worker_panel(samples, framework, backend, platforms)
+        tables[f"{name} labels"] = monitor.labels_of_panel(samples, framework, backend, platforms)
     return tables

@@ -7,11 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from resamplia.operators.joins import inner_join_nulls_match, small_side
-from resamplia.session import reliable_checkpoint
 
 RUN_KEYS = ("run", "framework", "backend", "platform")
 RUN_KEYS_ONE_PLATFORM = ("run", "framework", "backend")
@@ -25,9 +24,10 @@ def worker_counts(results: DataFrame) -> DataFrame:
     return results.select("platform", "framework", "backend", "num_workers").distinct()
 
 
-def first_worker_count(results: DataFrame, order: Sequence[str | Column]) -> DataFrame:
-    """num_workers of the first row in the given order, as one row; no sort."""
-    return results.agg(F.min_by("num_workers", F.struct(*order)).alias("num_workers"))
+def first_worker_count(rows: DataFrame, order: Sequence[str | Column]) -> DataFrame:
+    """num_workers of the first row in the given order, as one row; no sort. Of rows that are equal in that
+    order the smallest num_workers counts."""
+    return rows.agg(F.min_by("num_workers", F.struct(*order, F.col("num_workers"))).alias("num_workers"))
 
 
 def baseline(results: DataFrame, keys: Sequence[str] = RUN_KEYS) -> DataFrame:
@@ -38,7 +38,7 @@ def baseline(results: DataFrame, keys: Sequence[str] = RUN_KEYS) -> DataFrame:
 def speed_ups(results: DataFrame, keys: Sequence[str] = RUN_KEYS) -> DataFrame:
     """Parallel rows joined to the sequential rows of the same run; null keys match.
 
-    Spark picks the join; a run that holds much of the data is split by adaptive skew handling.
+    The speed-up of an elapsed time of 0 is null. Spark picks the join; a run that holds much of the data is split by adaptive skew handling.
     Averages do not need this join, see `mean_speed_up`.
     """
     joined = inner_join_nulls_match(results.where("parallel"), baseline(results, keys), keys)
@@ -81,18 +81,16 @@ def mean_speed_up(
 
 
 def best_configurations(means: DataFrame) -> DataFrame:
-    """Rows with the largest mean, ties kept.
-
-    The means are stored first: computed twice, a sum of doubles may differ in its last digit.
-    """
-    stored = reliable_checkpoint(means)
-    return stored.where(F.col("mean") == stored.agg(F.max("mean")).scalar())
+    """Rows with the largest mean, ties kept. Means are few rows: they are ranked in one pass."""
+    ranked = means.where("mean is not null").withColumn("_rank", F.rank().over(Window.orderBy(F.desc("mean"))))
+    return ranked.where("_rank = 1").drop("_rank")
 
 
-def best_speed_up(results: DataFrame) -> DataFrame:
+def best_speed_up(
+    results: DataFrame, by: Sequence[str] = ("backend", "framework"), keys: Sequence[str] = RUN_KEYS
+) -> DataFrame:
     """The largest mean speed-up, rounded half to even, as one row."""
-    best = best_configurations(mean_speed_up(results))
-    return best.agg(F.bround(F.max("mean"), 1).alias("best_speed_up"))
+    return mean_speed_up(results, by, keys).agg(F.bround(F.max("mean"), 1).alias("best_speed_up"))
 
 
 def elapsed_trend(results: DataFrame, by: Sequence[str] = ("backend", "platform", "framework")) -> DataFrame:

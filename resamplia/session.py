@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def local_session(cpus: int | str = 8, memory: str = "16g", **conf: str) -> SparkSession:
@@ -26,21 +24,3 @@ def local_session(cpus: int | str = 8, memory: str = "16g", **conf: str) -> Spar
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
-
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and read it back, so that lost executors
-    cannot change its rows or their order.
-
-    The folder is the one the cluster names in spark.checkpoint.dir. A temporary folder is
-    used only in local mode, where driver and executors share one machine.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="resamplia-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -137,5 +138,19 @@ def clean_monitor(monitor: DataFrame) -> DataFrame:
 def attach_main_pid(
     monitor: DataFrame, main_pids: DataFrame, keys: Sequence[str] = ("run", *SCENARIO)
 ) -> DataFrame:
-    """Add `main_pid` from a table with one row per run."""
-    return inner_join_nulls_match(monitor, small_side(main_pids.select(*keys, "main_pid")), keys)
+    """Add `main_pid` from a table with one row per run. A run without one keeps its samples, with null; two different
+    main_pids for a run are an error."""
+    several = F.raise_error(F.lit("a run has several main_pids"))
+    one = main_pids.groupBy(*keys).agg(
+        F.when(F.min("main_pid").eqNullSafe(F.max("main_pid")), F.min("main_pid")).otherwise(several).alias("main_pid")
+    )
+    return inner_join_nulls_match(monitor, small_side(one), keys, "left")
+
+
+def stack_named(spark: SparkSession, root: str, names: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """The given columns of all Parquet files under `root` whose name contains one of `names`, with the
+    name of the file in `file`."""
+    parts = [
+        read_named(spark, root, name).select(F.lit(name).alias("file"), *columns) for name in names
+    ]
+    return reduce(DataFrame.unionByName, parts)

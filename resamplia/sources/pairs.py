@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from resamplia.session import reliable_checkpoint
+from resamplia.operators.joins import small_side
 
 
 def observed_predicted(
@@ -30,25 +30,17 @@ def observed_predicted(
     )
 
 
-def dense_index(df: DataFrame, name: str = "row_ix", stable: bool = False) -> DataFrame:
-    """Number the rows 0..n-1 without a global sort.
+def dense_index(df: DataFrame, name: str = "row_ix") -> DataFrame:
+    """Number the rows of a scan of files 0..n-1, without a sort, a copy or a shuffle of rows.
 
-    Rows get their position within a partition plus the row count of the partitions before it.
-    Two passes must see the same partitions, so the table is checkpointed first; pass
-    stable=True for a plain scan of files that do not change.
+    A row's number is its place in its file plus the number of rows in the files before, by path; it is the same
+    in every attempt and for every partitioning. `df` may select and rename columns of a file scan; for other tables,
+    number a unique key with `operators.ordered.dense_codes`.
     """
-    source = df if stable else reliable_checkpoint(df)
-    placed = source.select(
-        "*",
-        F.spark_partition_id().alias("_part"),
-        # The lower 33 bits count rows within the partition.
-        F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1)).alias("_position"),
-    )
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    # One row per input partition: a few MB even for a million partitions.
-    offsets = placed.groupBy("_part").agg(F.count("*").alias("_n")).select(
-        "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
-    )
-    return placed.join(F.broadcast(offsets), "_part").select(
-        *df.columns, (F.col("_offset") + F.col("_position")).alias(name)
+    placed = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    # One row per file.
+    files = placed.groupBy("_file").agg(F.count("*").alias("_n")).select(
+        "_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
     )
+    return placed.join(small_side(files), "_file").select(*df.columns, (F.col("_offset") + F.col("_row")).alias(name))
