@@ -19,50 +19,52 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from resamplia.llm.components import components
-from resamplia.llm.postings import best_centres, key_filter, may_be_key, open_blocks, postings, repeated
+from resamplia.llm.postings import best_centres, few_pairs, key_filter, may_be_key, open_blocks, open_lists, postings, repeated
 from resamplia.llm.shared import pieces, stored
-from resamplia.llm.words import mix, numbers
+from resamplia.llm.words import LOWER, mix, numbers
 
 # Characters of a shingle; least similarity. 9 bands of 4 miss a pair at 0.8 once in 120, at 0.9 once in 15,000.
 SHINGLE, SIMILARITY = 8, 0.8
 BANDS, ROWS = 9, 4
 BLOCK = 256
 SCAN = "rid binary, keys array<long>, unnamed boolean, doc_id long, doc binary, line int"
-_FOLD = {c: c + 32 for c in range(65, 91)}
+# Lists of up to so many lines are compared pair by pair, longer ones in blocks.
+FEW = 6
 
 
-def normal(line: str) -> str:
-    return " ".join(line.split()).translate(_FOLD)
+def normal(line: bytes) -> bytes:
+    """White space and case are those of ASCII."""
+    return b" ".join(line.split())
 
 
-def line_id(line: str) -> bytes:
-    return hashlib.md5(line.encode()).digest()
+def line_id(line: bytes) -> bytes:
+    return hashlib.md5(line).digest()
 
 
-def doc_key(doc_id: int | None, text: str | None) -> bytes:
-    return hashlib.md5(f"{doc_id}\0{text}".encode()).digest()
+def doc_key(doc_id: int | None, text: bytes) -> bytes:
+    return hashlib.md5(f"{doc_id}\0".encode() + text).digest()
 
 
-def shingle_hashes(lines: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+_LOWER = LOWER.tobytes()
+
+
+def shingle_hashes(lines: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the runs of n characters of each line (of the whole line if it is shorter), and where each line begins."""
-    points = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    lengths = np.array([len(x) for x in lines])
-    start = np.cumsum(lengths) - lengths
+    texts = [x.decode() for x in lines]
+    lengths = np.array([len(x) for x in texts])
+    # Each line is followed by n characters that are not looked at by its runs, or end a shorter line.
+    pad = "\0" * n
+    points = np.frombuffer((pad.join(texts) + pad).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    runs = np.zeros(len(points), np.uint64)
+    for k, factor in enumerate(numbers(21, n) | np.uint64(1)):
+        runs[: len(points) - k] += points[k:] * factor
     counts = np.maximum(lengths - n + 1, 1)
     begin = np.cumsum(counts) - counts
-    at = np.arange(counts.sum()) - np.repeat(begin - start, counts)
-    out = np.zeros(len(at), np.uint64)
-    padded = np.concatenate([points, np.zeros(n, np.uint64)])
-    short = np.repeat(lengths < n, counts)
-    for k, factor in enumerate(numbers(21, n) | np.uint64(1)):
-        values = padded[at + k]
-        if short.any():
-            values = np.where(short & (k >= np.repeat(lengths, counts)), np.uint64(0), values)
-        out += values * factor
-    return mix(out), begin
+    start = np.cumsum(lengths + n) - lengths - n
+    return mix(runs[np.arange(counts.sum()) + np.repeat(start - begin, counts)]), begin
 
 
-def band_keys(lines: list[str], n: int, bands: int, rows: int) -> np.ndarray:
+def band_keys(lines: list[bytes], n: int, bands: int, rows: int) -> np.ndarray:
     hashes, begin = shingle_hashes(lines, n)
     short = (hashes >> np.uint64(32)).astype(np.uint32)
     factors = (numbers(22, bands * rows) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -73,18 +75,23 @@ def band_keys(lines: list[str], n: int, bands: int, rows: int) -> np.ndarray:
     return out
 
 
-def alike(a: str, b: str, n: int, similarity: float) -> bool:
-    x = {a[i : i + n] for i in range(max(1, len(a) - n + 1))}
-    y = {b[i : i + n] for i in range(max(1, len(b) - n + 1))}
+def shingle_set(line: bytes, n: int) -> set[str]:
+    text = line.decode()
+    return {text[i : i + n] for i in range(max(1, len(text) - n + 1))}
+
+
+def alike(x: set[str], y: set[str], similarity: float) -> bool:
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)):
+        return False
     both = len(x & y)
     return both >= similarity * (len(x) + len(y) - both)
 
 
-def _lines(batch: pa.RecordBatch) -> Iterator[tuple[int | None, bytes, int, str]]:
-    for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+def _lines(batch: pa.RecordBatch) -> Iterator[tuple[int | None, bytes, int, bytes]]:
+    for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
         if text:
             doc = doc_key(doc_id, text)
-            for k, raw in enumerate(text.split("\n")):
+            for k, raw in enumerate(text.translate(_LOWER).split(b"\n")):
                 line = normal(raw)
                 if line:
                     yield doc_id, doc, k, line
@@ -95,8 +102,8 @@ def _scan(n: int, bands: int, rows: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            first: dict[str, tuple] = {}
-            count: dict[str, int] = {}
+            first: dict[bytes, tuple] = {}
+            count: dict[bytes, int] = {}
             for doc_id, doc, k, line in _lines(batch):
                 here = (doc_id is None, doc_id, doc, k)
                 count[line] = count.get(line, 0) + 1
@@ -129,16 +136,21 @@ def _chosen(bits, occurrences: bool):
                 yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in hits], pa.binary()), pa.array([found[i][1] for i in hits], pa.binary()), pa.array([found[i][2] for i in hits], pa.int32())], ["rid", "doc", "line"])
             else:
                 some = {ids[i]: found[i][3] for i in hits}
-                yield pa.RecordBatch.from_arrays([pa.array(some.keys(), pa.binary()), pa.array(some.values(), pa.string())], ["rid", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(some.keys(), pa.binary()), pa.array(some.values(), pa.binary())], ["rid", "words"])
 
     return run
 
 
 def _confirm(n: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[bytes, set[str]] = (b"", set())
         for batch in batches:
-            texts = zip(batch.column("u_words").to_pylist(), batch.column("v_words").to_pylist(), strict=True)
-            keep = pa.array([alike(a, b, n, similarity) for a, b in texts], pa.bool_())
+            keep = []
+            for a, b in zip(batch.column("u_words").to_pylist(), batch.column("v_words").to_pylist(), strict=True):
+                if last[0] != b:  # pairs come ordered by v
+                    last = (b, shingle_set(b, n))
+                keep.append(alike(shingle_set(a, n), last[1], similarity))
+            keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("u").filter(keep), batch.column("v").filter(keep)], ["u", "v"])
 
     return run
@@ -210,13 +222,20 @@ def line_components(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     # Texts of the lines that are in some list.
     wanted = entries.select("rid").distinct()
     bits = spark.sparkContext.broadcast(key_filter(wanted.select(_little("rid"))))
-    words = stored(texts.mapInArrow(_chosen(bits, False), "rid binary, words string").dropDuplicates(["rid"]).join(wanted, "rid", "left_semi"))
+    words = stored(texts.mapInArrow(_chosen(bits, False), "rid binary, words binary").dropDuplicates(["rid"]).join(wanted, "rid", "left_semi"))
 
     of = lambda side: words.select(F.col("rid").alias(side), F.col("words").alias(f"{side}_words"))
-    links = stored(best.join(of("u"), "u").join(of("v"), "v").mapInArrow(_confirm(shingle, similarity), "u binary, v binary"))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        return pairs.join(of("u"), "u").join(of("v"), "v").mapInArrow(_confirm(shingle, similarity), "u binary, v binary")
+
+    links = stored(confirmed(best))
     united = components(links)
-    dealt = open_blocks(entries, united, BLOCK).join(words, "rid")
-    more = stored(dealt.groupBy("key", "a", "b").applyInArrow(_compare(shingle, similarity), "u binary, v binary").distinct())
+    lists = open_lists(entries, united)
+    few = few_pairs(lists, FEW).join(best, ["u", "v"], "left_anti").join(best.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_anti")
+    dealt = open_blocks(lists.filter(F.col("n") > FEW), BLOCK).join(words, "rid")
+    found = dealt.groupBy("key", "a", "b").applyInArrow(_compare(shingle, similarity), "u binary, v binary").distinct()
+    more = stored(confirmed(few).unionByName(found))
     final = components(united.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
     labelled = reps.join(final.select(F.col("node").alias("rid"), "component"), "rid", "left").filter("copies > 1 or component is not null")
     labelled = labelled.select("rid", F.coalesce("component", "rid").alias("component"), "first")

@@ -16,6 +16,7 @@ the tasks that add them up, and get back the counts of the words they have.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -180,7 +181,7 @@ def _count(parts: int):
         rows = [("words", p, chunk, keys[order[a:b]].tobytes(), counts[order[a:b]].tobytes()) for p, (a, b) in enumerate(zip(begin[:-1], begin[1:], strict=True)) if b > a]
         for name, table_ in sums.items():
             for k, part_ in enumerate(np.array_split(table_, SLICES)):
-                rows.append((name, k, None, None, part_.astype(np.int32).tobytes()))
+                rows.append((name, k, None, None, zlib.compress(part_.astype(np.int32).tobytes(), 1)))
         return _rows(rows)
 
     return run
@@ -190,8 +191,8 @@ def _add_up(table: pa.Table) -> pa.Table:
     """Of one part: the counts of all chunks added up, for each chunk its own words; or a slice of a context table."""
     kind, part = table.column("kind")[0].as_py(), table.column("part")[0].as_py()
     if kind != "words":
-        total = sum(np.frombuffer(x.as_py(), np.int32).astype(np.int64) for x in table.column("counts"))
-        return _rows([(kind, part, None, None, total.tobytes())])
+        total = sum(np.frombuffer(zlib.decompress(x.as_py()), np.int32).astype(np.int64) for x in table.column("counts"))
+        return _rows([(kind, part, None, None, zlib.compress(total.tobytes(), 1))])
     each = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("keys")]
     flat = np.concatenate(each)
     keys, inverse = np.unique(flat, return_inverse=True)
@@ -386,8 +387,8 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     # Context tables have a fixed size; of the words only three totals are fetched.
     tables: dict[str, np.ndarray] = {}
     for name in TABLES:
-        slices = sorted((r["part"], np.frombuffer(r["counts"], np.int64)) for r in added.filter(F.col("kind") == name).select("part", "counts").collect())
-        tables[name] = np.concatenate([s for _, s in slices]) if slices else np.zeros(TABLES[name], np.int64)
+        slices = sorted((r["part"], np.frombuffer(zlib.decompress(r["counts"]), np.int64)) for r in added.filter(F.col("kind") == name).select("part", "counts").collect())
+        tables[name] = np.concatenate([x for _, x in slices]) if slices else np.zeros(TABLES[name], np.int64)
     # Big-endian numbers, which conv can read.
     number = lambda k: F.conv(F.hex(F.substring("counts", 8 * k + 1, 8)), 16, 10).cast("long")
     t = added.filter("kind = 'totals'").agg(*[F.sum(number(k)) for k in range(3)]).first()

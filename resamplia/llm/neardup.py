@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from resamplia.llm.components import components
-from resamplia.llm.postings import best_centres, key_filter, may_be_key, open_blocks, postings, repeated
+from resamplia.llm.postings import best_centres, few_pairs, key_filter, may_be_key, open_blocks, open_lists, postings, repeated
 from resamplia.llm.shared import pieces, stored, texts, written
 from resamplia.llm.words import NOT_SPACE, find, mix, numbers, shingle_sets
 
@@ -31,7 +31,8 @@ SHINGLE, PERCENT = 3, 85
 # Posted coordinates, and more of which one byte each is kept. A pair that is just similar enough agrees in fewer than
 # `least_matches` of them, SIGMAS standard deviations below the mean, once in some 10,000.
 POSTED, MORE, SIGMAS = 48, 208, 4
-BLOCK = 1024
+# Members of a block; lists of up to FEW members are compared pair by pair.
+BLOCK, FEW = 1024, 6
 
 SCAN = "doc_id long, n_shingles long, rid binary, posts array<long>, more binary"
 
@@ -125,38 +126,78 @@ def confirm(pairs: DataFrame, known: DataFrame, n: int, percent: int) -> DataFra
     return met.mapInArrow(_confirm(n, percent), "u binary, v binary")
 
 
-def _compare(collisions: int, posted: int):
-    """Pairs of one block of a list, or of two blocks, whose members are of different components
-    and collide often enough. A pair that meets in several lists is reported in one."""
+def _compare(n: int, percent: int, collisions: int, posted: int):
+    """Links within one block of a list, or between two. Members of different components that collide often enough are compared
+    by their full sets, most collisions first; no more links than unite what they connect are returned. A pair that meets in
+    several lists is looked at in one."""
     kinds = pa.schema([("u", pa.binary()), ("v", pa.binary())])
 
     def run(table: pa.Table) -> pa.Table:
-        n = table.num_rows
+        size = table.num_rows
         key = table.column("key")[0].as_py() >> 32
         a, b = table.column("a")[0].as_py(), table.column("b")[0].as_py()
-        posts = table.column("posts").combine_chunks().flatten().to_numpy().reshape(n, posted)
+        posts = table.column("posts").combine_chunks().flatten().to_numpy().reshape(size, posted)
         mask = table.column("prefix").to_numpy()
-        prefix = ((mask[:, None] >> np.arange(posted)) & 1).astype(bool)
-        more = np.frombuffer(b"".join(table.column("more").to_pylist()), np.uint8).reshape(n, -1)
-        _, comp = np.unique(np.array(table.column("component").to_pylist(), dtype=object).astype("S16"), return_inverse=True)
+        more = np.frombuffer(b"".join(table.column("more").to_pylist()), np.uint8).reshape(size, -1)
+        names, comp = np.unique(np.array([x.hex() for x in table.column("component").to_pylist()]), return_inverse=True)
         own = table.column("own").to_numpy()
         left = np.flatnonzero(own == a)
         right = left if a == b else np.flatnonzero(own == b)
         here = int(np.flatnonzero((posts == key).any(axis=0))[0])
-        rid = np.array(table.column("rid").to_pylist(), dtype=object)
-        us, vs = [], []
+        bits = (np.uint64(1) << np.arange(posted, dtype=np.uint64)).astype(np.uint64)
+        us, vs, hits = [], [], []
         for i in left:
             others = right[right > i] if a == b else right
             others = others[comp[others] != comp[i]]
-            if not len(others):
-                continue
             same = posts[others] == posts[i]
-            hits = same.sum(axis=1) + (more[others] == more[i]).sum(axis=1)
-            common = same & prefix[others] & prefix[i]
-            for j in others[(hits >= collisions) & (common.argmax(axis=1) == here)]:
-                us.append(max(rid[i], rid[j]))
-                vs.append(min(rid[i], rid[j]))
-        return pa.Table.from_arrays([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], schema=kinds)
+            found = same.sum(axis=1) + (more[others] == more[i]).sum(axis=1)
+            common = (same @ bits) & (mask[others] & mask[i]).astype(np.uint64)
+            first = (common & (~common + np.uint64(1))) == bits[here]
+            good = np.flatnonzero((found >= collisions) & first)
+            us.append(np.full(len(good), i))
+            vs.append(others[good])
+            hits.append(found[good])
+        out: list[tuple[bytes, bytes]] = []
+        if us:
+            u, v, h = (np.concatenate(x) for x in (us, vs, hits))
+            rid, texts_ = table.column("rid").to_pylist(), table.column("text")
+            sets: dict[int, frozenset[int]] = {}
+            parent = list(range(len(names)))
+
+            def root(x: int) -> int:
+                while parent[x] != x:
+                    parent[x] = parent[parent[x]]
+                    x = parent[x]
+                return x
+
+            for k in np.argsort(-h, kind="stable").tolist():
+                i, j = int(u[k]), int(v[k])
+                x, y = root(comp[i]), root(comp[j])
+                if x == y:
+                    continue
+                for m in (i, j):
+                    if m not in sets:
+                        sets[m] = frozenset(word_sets(texts_.slice(m, 1).combine_chunks(), n)[0].tolist())
+                both = len(sets[i] & sets[j])
+                if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                    parent[x] = y
+                    out.append((rid[i], rid[j]))
+        return pa.Table.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], schema=kinds)
+
+    return run
+
+
+def _collide(collisions: int, posted: int):
+    """The pairs whose signatures agree often enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            posts = [batch.column(f"{x}_posts").flatten().to_numpy().reshape(-1, posted) for x in "uv"]
+            more = [np.frombuffer(b"".join(batch.column(f"{x}_more").to_pylist()), np.uint8).reshape(batch.num_rows, -1) for x in "uv"]
+            keep = pa.array((posts[0] == posts[1]).sum(axis=1) + (more[0] == more[1]).sum(axis=1) >= collisions)
+            yield pa.RecordBatch.from_arrays([batch.column("u").filter(keep), batch.column("v").filter(keep)], ["u", "v"])
 
     return run
 
@@ -199,18 +240,24 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     united = components(links)
 
     # Lists whose members are not all united, in blocks.
-    dealt = open_blocks(entries, united, BLOCK)
     # 32 bits of each posted value, and a bit for each coordinate in the prefix.
     flags = F.transform("posts", lambda p, k: F.when(F.array_contains("keys", p), F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long")))
-    in_prefix = prefix.join(reps, "rid").select(
+    sketches = prefix.join(reps, "rid").select(
         "rid", F.transform("posts", lambda p: F.shiftright(p, 32).cast("int")).alias("posts"), "more",
         F.aggregate(flags, F.lit(0).cast("long"), lambda x, y: x + y).alias("prefix"),
     )
-    candidates = dealt.join(in_prefix, "rid").groupBy("key", "a", "b").applyInArrow(_compare(collisions, posted), "u binary, v binary")
-    candidates = stored(candidates.distinct())
-    ends = candidates.select(F.col("u").alias("rid")).unionByName(candidates.select(F.col("v").alias("rid"))).distinct()
-    more_known = known.unionByName(texts_of(ends.join(members, "rid", "left_anti")))
-    more_links = stored(confirm(candidates, more_known, shingle, percent))
+    lists = stored(open_lists(entries, united))
+    # In short lists, pair by pair; those that collide often enough are confirmed like the others.
+    pairs = few_pairs(lists, FEW)
+    of = lambda side: sketches.select(F.col("rid").alias(side), F.col("posts").alias(f"{side}_posts"), F.col("more").alias(f"{side}_more"))
+    near = pairs.join(of("u"), "u").join(of("v"), "v").mapInArrow(_collide(collisions, posted), "u binary, v binary")
+    near = stored(near.join(best, ["u", "v"], "left_anti"))
+    long_lists = lists.filter(F.col("n") > FEW)
+    needed = near.select(F.col("u").alias("rid")).unionByName(near.select(F.col("v").alias("rid"))).unionByName(long_lists.select("rid")).distinct()
+    all_known = known.unionByName(texts_of(needed.join(members, "rid", "left_anti")))
+    dealt = open_blocks(long_lists, BLOCK).join(sketches.join(all_known, "rid"), "rid")
+    in_blocks = dealt.groupBy("key", "a", "b").applyInArrow(_compare(shingle, percent, collisions, posted), "u binary, v binary")
+    more_links = stored(confirm(near, all_known, shingle, percent).unionByName(in_blocks))
     final = components(united.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more_links))
 
     of_set = reps.select("rid", "doc_id").join(final.select(F.col("node").alias("rid"), "component"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))

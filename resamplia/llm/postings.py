@@ -91,13 +91,27 @@ def best_centres(entries: DataFrame) -> DataFrame:
     return met.groupBy("rid").agg(F.max(F.struct("hits", "w", "v")).alias("m")).select(F.col("rid").alias("u"), "m.v")
 
 
-def open_blocks(entries: DataFrame, united: DataFrame, size: int) -> DataFrame:
-    """Members of the lists that `united` (node, component) leaves in several components, dealt so that each two
-    blocks of about `size` members of a list meet once: key, rid, component, own (block), a <= b."""
+def open_lists(entries: DataFrame, united: DataFrame) -> DataFrame:
+    """Members of the lists that `united` (node, component) leaves in several components: key, rid, component, and
+    the list's number of members n."""
     labelled = entries.select("rid", "key").join(united.select(F.col("node").alias("rid"), "component"), "rid", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", "rid"))
     lists = labelled.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("c1"), F.max("component").alias("c2"))
-    lists = lists.filter("c1 != c2").select("key", F.ceil(F.col("n") / size).cast("int").alias("blocks"))
-    inside = labelled.join(lists, "key").withColumn("own", F.pmod(F.xxhash64("rid", "key"), F.col("blocks")).cast("int"))
-    dealt = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return labelled.join(lists.filter("c1 != c2").select("key", "n"), "key")
+
+
+def few_pairs(lists: DataFrame, most: int) -> DataFrame:
+    """(u, v): pairs of different components within the lists of at most `most` members, each once."""
+    short = lists.filter(F.col("n") <= most)
+    left = short.select("key", F.col("rid").alias("u"), F.col("component").alias("c"))
+    right = short.select("key", F.col("rid").alias("v"), F.col("component").alias("d"))
+    return left.join(right, "key").filter("u > v and c != d").select("u", "v").distinct()
+
+
+def open_blocks(lists: DataFrame, size: int) -> DataFrame:
+    """The members of `open_lists`, dealt so that each two blocks of about `size` members of a list meet
+    once: key, rid, component, own (block), a <= b."""
+    blocks = F.ceil(F.col("n") / size).cast("int")
+    inside = lists.withColumn("own", F.pmod(F.xxhash64("rid", "key"), blocks).cast("int"))
+    dealt = inside.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     return dealt.select("key", "rid", "component", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))

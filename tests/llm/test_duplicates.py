@@ -139,9 +139,9 @@ def plain_lines(docs, n=8, percent=80):
     places = collections.defaultdict(list)
     for doc, text in docs:
         for k, raw in enumerate((text or "").split("\n")):
-            line = " ".join(raw.split()).translate(LOWER)
+            line = b" ".join(raw.encode().split()).decode().translate(LOWER)
             if line:
-                places[line].append(((doc is None, doc or 0, linedup.doc_key(doc, text), k), (doc, text, k)))
+                places[line].append(((doc is None, doc or 0, linedup.doc_key(doc, text.encode()), k), (doc, text, k)))
     lines = list(places)
     sets = [frozenset(x[i : i + n] for i in range(max(1, len(x) - n + 1))) for x in lines]
     union = similar_sets(sets, percent)
@@ -200,9 +200,9 @@ def test_lines_of_odd_rows(spark):
 def test_shingle_hashes_are_those_of_single_lines():
     rng = random.Random(2)
     lines = ["".join(rng.choice("abé😀 ") for _ in range(rng.randrange(1, 30))) for _ in range(50)]
-    together, begin = linedup.shingle_hashes(lines, 8)
+    together, begin = linedup.shingle_hashes([x.encode() for x in lines], 8)
     for line, a, b in zip(lines, begin, [*begin[1:], len(together)], strict=True):
-        alone, _ = linedup.shingle_hashes([line], 8)
+        alone, _ = linedup.shingle_hashes([line.encode()], 8)
         assert (together[a:b] == alone).all()
         distinct = {line[i : i + 8] for i in range(max(1, len(line) - 7))}
         assert len(set(alone.tolist())) == len(distinct)
