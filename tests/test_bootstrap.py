@@ -12,9 +12,9 @@ from resamplia.operators.checks import replicate_sizes
 from resamplia.plans import bootstrap
 from resamplia.plans.bootstrap import (
     analysis_sets,
-    apply_to_sets,
     bootstrap_auc,
     bootstrap_metrics,
+    gathered_sets,
     percentile_ci,
     poisson_metrics,
     reduce_sets,
@@ -37,8 +37,8 @@ def rows_of(df):
 
 
 def test_exactly_b_replicates_of_n_rows(spark, normal):
-    for method in ("gather", "scan"):
-        sizes = replicate_sizes(analysis_sets(normal, 40, 1, method=method)).collect()
+    for sets in (gathered_sets, analysis_sets):
+        sizes = replicate_sizes(sets(normal, 40, 1)).collect()
         assert {(r.replicate, r.n) for r in sizes} == {(b, 2000) for b in range(1, 41)}
 
 
@@ -56,7 +56,9 @@ def test_spread_of_rmse(normal, method):
     if method == "poisson":
         scores = poisson_metrics(normal, 300, 8)
     else:
-        scores = bootstrap_metrics(normal, 300, 8, method=method)
+        scores = bootstrap_metrics(normal, 300, 8)
+    if method == "gather":
+        scores = gathered_sets(normal, 300, 8).groupBy("replicate").agg(*metric_aggregates())
     n, mean, spread = scores.agg(F.count("*"), F.avg("rmse"), F.stddev("rmse")).first()
     assert n == 300
     assert mean == pytest.approx(0.1, abs=0.006)
@@ -73,18 +75,50 @@ def test_repeatable_and_free_of_partitions(normal):
     assert rows_of(one) != rows_of(other)
 
 
-@pytest.mark.parametrize("method", ["gather", "scan"])
-def test_single_replicate(normal, method):
-    last = bootstrap_metrics(normal, 12, 2, first=12, method=method)
-    every = bootstrap_metrics(normal, 12, 2, method=method).where("replicate = 12")
+def test_single_replicate(normal):
+    last = bootstrap_metrics(normal, 12, 2, first=12)
+    every = bootstrap_metrics(normal, 12, 2).where("replicate = 12")
     digits = [F.round(m, 9) for m in METRICS]
     assert rows_of(last.select("replicate", *digits)) == rows_of(every.select("replicate", *digits))
 
 
+@pytest.mark.parametrize("size", [40, 2000])
+def test_sums_equal_drawn_rows(normal, size):
+    """One stream of draws: sums of weights and added draws give what the drawn rows give."""
+    pairs = normal.where(F.col("row_ix") < size).withColumn("estimate", F.when(F.col("row_ix") % 3 > 0, F.col("estimate")))
+    found = {r.replicate: r for r in bootstrap_metrics(pairs, 7, 5).collect()}
+    expected = analysis_sets(pairs, 7, 5).groupBy("replicate").agg(*metric_aggregates(), F.count("*").alias("n")).collect()
+    assert len(found) == len(expected) == 7
+    for row in expected:
+        assert found[row.replicate].n == row.n
+        for metric in METRICS:
+            assert found[row.replicate][metric] == pytest.approx(row[metric], rel=1e-9)
+
+
+def test_every_replicate_of_every_model_is_there(spark):
+    rows = [(i, m, float(i), float(i) if m == "all" or i == 3 else None) for i in range(200) for m in ("all", "one", None)]
+    pairs = spark.createDataFrame(rows, "row_ix long, model string, truth double, estimate double")
+    for scores in (bootstrap_metrics(pairs, 60, 1, by=["model"]), poisson_metrics(pairs, 60, 1, by=["model"])):
+        found = scores.collect()
+        assert Counter((r.model) for r in found) == {"all": 60, "one": 60, None: 60}
+        without = [r for r in found if r.model == "one" and r.n == 0]
+        assert 5 < len(without) < 55 and all(r.rmse is None for r in without)
+        assert all(r.rmse == 0 for r in found if r.n > 0)
+
+
+def test_weights_are_computed_once_and_rows_stay(normal):
+    plan = bootstrap_metrics(normal, 300, 1)._jdf.queryExecution().executedPlan().toString()
+    # Replicates are a constant array, exploded once for the frame of results and once for the weights.
+    assert plan.count("Generate explode(org.apache.spark.sql.catalyst.expressions.UnsafeArrayData") == 2
+    large = normal.sparkSession.range(0, 2_000_000, 1, 4).select(F.col("id").alias("row_ix"), F.col("id").cast("double").alias("truth"), F.lit(1.0).alias("estimate"))
+    plan = poisson_metrics(large, 2, 1)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[plan.rindex("Generate explode") :]
+
+
 def test_models_share_draws(spark, normal):
     same = normal.withColumn("model", F.explode(F.array(F.lit("a"), F.lit("b"))))
-    for method in ("gather", "scan"):
-        scores = bootstrap_metrics(same, 4, 6, by=["model"], method=method)
+    gathered = gathered_sets(same, 4, 6, by=["model"]).groupBy("replicate", "model").agg(*metric_aggregates())
+    for scores in (bootstrap_metrics(same, 4, 6, by=["model"]), gathered):
         a = scores.where("model = 'a'").select("replicate", F.round("rmse", 9), F.round("ccc", 9))
         b = scores.where("model = 'b'").select("replicate", F.round("rmse", 9), F.round("ccc", 9))
         assert rows_of(a) == rows_of(b) and a.count() == 4
@@ -127,29 +161,51 @@ def test_sparse_or_empty_index_is_refused(spark):
         pairs = spark.createDataFrame([(i, 1.0, 1.0) for i in index], schema)
         with pytest.raises(ValueError):
             analysis_sets(pairs, 3, 1)
-    with pytest.raises(ValueError):
-        analysis_sets(spark.createDataFrame([(-1, 1.0, 1.0)], schema), 3, 1, by=["truth"])
-
-
-def test_large_tables_are_not_broadcast(normal, monkeypatch):
-    monkeypatch.setattr(bootstrap, "BROADCAST_ROWS", 1999)
-    sets = analysis_sets(normal, 3, 1)
-    assert rows_of(sets) == rows_of(analysis_sets(normal, 3, 1, method="scan"))
-    with pytest.raises(ValueError):
-        analysis_sets(normal, 3, 1, method="gather")
+    by_model = schema + ", model string"
+    for rows in ([(-1, "a")], [(0, "a"), (10, "a"), (20, "a")], [(0, "a"), (0, "a"), (1, "a")], [(0, "a"), (1, "a"), (0, "b")], [(0, "a"), (1, "b")]):
+        pairs = spark.createDataFrame([(i, 1.0, 1.0, m) for i, m in rows], by_model)
+        with pytest.raises(ValueError):
+            bootstrap_metrics(pairs, 3, 1, by=["model"])
+    for index in ([None, 1], [4, 4], [None]):
+        with pytest.raises(ValueError):
+            poisson_metrics(spark.createDataFrame([(i, 1.0, 1.0) for i in index], schema), 3, 1)
+    assert poisson_metrics(spark.createDataFrame([(i, 1.0, 1.0) for i in (5, 900)], schema), 3, 1).count() == 3
 
 
-@pytest.mark.parametrize("method", ["gather", "scan"])
-def test_bootstrap_auc(spark, method):
-    rows = [(i, float(i * 7 % 5 % 2), float(i * 31 % 57)) for i in range(300)]
+def test_the_broadcast_limit_changes_no_value(normal, monkeypatch):
+    pairs = normal.withColumn("model", F.lit("m"))
+    digits = [F.round(m, 9) for m in METRICS]
+    results = []
+    for limit in (1_000_000, 1):
+        monkeypatch.setattr(bootstrap, "BROADCAST_ROWS", limit)
+        results.append([
+            rows_of(bootstrap_metrics(pairs, 3, 1, by=["model"]).select("replicate", "n", *digits)), rows_of(poisson_metrics(pairs, 3, 1).select("replicate", "n", *digits)),
+            rows_of(gathered_sets(pairs, 3, 1)), rows_of(analysis_sets(pairs, 3, 1)),
+        ])
+    assert results[0] == results[1]
+
+
+@pytest.mark.parametrize("size", [100, 300])
+def test_bootstrap_auc(spark, size):
+    rows = [(i, float(i * 7 % 5 % 2), float(i * 31 % 57)) for i in range(size)]
     pairs = spark.createDataFrame(rows, "row_ix long, truth double, estimate double")
-    found = {r.replicate: r.roc_auc for r in bootstrap_auc(pairs, 4, 3, method=method).collect()}
-    drawn = analysis_sets(pairs, 4, 3, method=method).collect()
+    found = {r.replicate: r for r in bootstrap_auc(pairs, 4, 3).collect()}
+    drawn = analysis_sets(pairs, 4, 3).collect()
     for replicate in range(1, 5):
         ones = [r.estimate for r in drawn if r.replicate == replicate and r.truth == 1]
         zeros = [r.estimate for r in drawn if r.replicate == replicate and r.truth == 0]
         wins = sum((a > b) + 0.5 * (a == b) for a in ones for b in zeros)
-        assert found[replicate] == pytest.approx(wins / len(ones) / len(zeros), abs=1e-12)
+        assert found[replicate].roc_auc == pytest.approx(wins / len(ones) / len(zeros), abs=1e-12)
+        assert found[replicate].positives + found[replicate].negatives == size
+
+
+def test_auc_moves_rows_once(spark):
+    """Between the weights and the sums per range no row is exchanged."""
+    rows = [(i, float(i % 2), float(i * 31 % 997)) for i in range(5000)]
+    pairs = spark.createDataFrame(rows, "row_ix long, truth double, estimate double")
+    plan = bootstrap_auc(pairs, 50, 3)._jdf.queryExecution().executedPlan().toString()
+    after = plan[: plan.index("Generate explode(concat(")]
+    assert after.count("Exchange") <= 2  # one row per replicate and range
 
 
 def test_percentile_interval(spark):
@@ -157,7 +213,7 @@ def test_percentile_interval(spark):
     scores = spark.createDataFrame(rows, "metric string, estimate double")
     found = {r.metric: r for r in percentile_ci(scores, level=0.9).collect()}
     assert (found["a"].lower, found["a"].mean, found["a"].upper) == (5.0, 50.0, 95.0)
-    assert found["b"].lower is None
+    assert found["b"].lower is None and (found["a"].replicates, found["b"].replicates) == (101, 0)
 
 
 def test_interval_covers_the_estimate(normal):
@@ -167,9 +223,9 @@ def test_interval_covers_the_estimate(normal):
         assert row.lower < whole[row.metric] < row.upper
 
 
-@pytest.mark.parametrize("method", ["gather", "scan"])
+@pytest.mark.parametrize("method", [gathered_sets, analysis_sets])
 def test_user_function_by_pieces(normal, method):
-    sets = analysis_sets(normal, 8, 9, method=method)
+    sets = method(normal, 8, 9)
 
     def squared(part: pd.DataFrame) -> dict[str, float]:
         error = part["truth"] - part["estimate"]
@@ -183,27 +239,14 @@ def test_user_function_by_pieces(normal, method):
         assert found[replicate] == pytest.approx(value, rel=1e-9)
 
 
-def test_user_function_on_whole_sets(normal):
-    def median_error(part: pd.DataFrame) -> pd.DataFrame:
-        error = (part["truth"] - part["estimate"]).abs().median()
-        return pd.DataFrame({"replicate": [part["replicate"].iloc[0]], "value": [error]})
-
-    sets = analysis_sets(normal, 6, 9)
-    found = apply_to_sets(sets, median_error, "replicate long, value double", 2000).collect()
-    expected = sets.groupBy("replicate").agg(F.median(F.abs(F.col("truth") - F.col("estimate"))).alias("m"))
-    values = {r.replicate: r.m for r in expected.collect()}
-    assert {r.replicate: pytest.approx(r.value) for r in found} == values
-    with pytest.raises(ValueError):
-        apply_to_sets(sets, median_error, "replicate long, value double", 2000, max_rows=1999)
-
-
 def test_other_native_metrics(normal):
     bias = F.avg(F.col("estimate") - F.col("truth")).alias("bias")
-    found = bootstrap_metrics(normal, 5, 1, metrics=[bias])
+    found = analysis_sets(normal, 5, 1).groupBy("replicate").agg(bias)
     assert found.columns == ["replicate", "bias"] and found.count() == 5
 
 
 def test_gather_plan_has_one_shuffle(normal):
-    plan = bootstrap_metrics(normal, 1000, 1)._jdf.queryExecution().executedPlan().toString()
+    sets = gathered_sets(normal, 1000, 1).groupBy("replicate").agg(*metric_aggregates())
+    plan = sets._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan
     assert plan.count("Exchange hashpartitioning") == 1

@@ -108,8 +108,8 @@ def test_single_run_leaves_out_the_main_process(spark):
 
 
 def test_busy_and_idle(spark):
-    values = [(2, 0, 90.0), (2, 1, 80.0), (3, 1, 70.0), (4, 1, 1.0), (4, 3600, 0.0)]
-    rows = [sample(1, *value) for value in values]
+    values = [(2, 0, 90.0), (2, 1, 80.0), (3, 1, 70.0), (4, 1, 1.0), (4, 3600, 0.0), (1, 1, 99.0)]
+    rows = [sample(1, *value) for value in values]  # process 1 is the main one
     busy = {(r.busy, r.samples) for r in monitor.busy_workers(table(spark, rows), "1 hour", 50.0).collect()}
     assert busy == {(2, 4), (0, 1)}
     idle = {r.pid: r.idle_share for r in monitor.idle_share(table(spark, rows), 5.0).collect()}
@@ -131,20 +131,41 @@ def test_running_totals(spark, kind, rows_per_range, monkeypatch):
     assert len(found) == len(values)
 
 
+def test_workers_of_different_runs_are_different(spark):
+    rows = [sample(run, 5, 0, 90.0) for run in (1, 2, 3)]
+    assert monitor.busy_workers(table(spark, rows), "1 hour", 50.0).first().busy == 3
+    assert monitor.idle_share(table(spark, rows), 5.0).count() == 3
+
+
+def test_labels_of_a_panel_of_several_platforms(spark):
+    rows = [sample(1, 5, s) for s in (0, 3)] + [sample(2, 6, s) for s in (0, 9)]
+    rows.append((1, 6, START + dt.timedelta(seconds=4.5), 1.0, True, "future", "mirai", "macOS", 8, 1))
+    found = monitor.labels_of_panel(table(spark, rows), "future", "mirai", ["unix", "macOS"]).collect()
+    assert {(r.platform, r.run, r.total_seconds) for r in found} == {("unix", 1, 5), ("macOS", 1, 5)}
+    every = monitor.labels_of_panel(table(spark, rows), "future", "mirai").collect()
+    assert {(r.platform, r.total_seconds) for r in every} == {("unix", 5), ("macOS", 5)}
+    assert monitor.labels_of_panel(table(spark, rows), "future", "none").count() == 0
+
+
 def test_range_numbers_keep_the_order(spark):
-    ranges = Ranges(-5.0, (0.0, 1.5, 7.0), 20.0, 10)
+    ranges = Ranges((0.0, 1.5, 7.0), ((-4.0, -2.0), (0.5,), tuple(2 + k / 10 for k in range(40)), (8.0, 9.0)))
     keys = spark.range(-60, 300).select((F.col("id") / 10).alias("key"))
     numbers = [r.n for r in keys.select("key", ranges.number("key").alias("n")).orderBy("key").collect()]
-    assert numbers == sorted(numbers) and numbers[0] == 0 and numbers[-1] == 39
-    assert len(set(numbers)) > 30
+    assert numbers == sorted(numbers) and numbers[0] == 0
+    assert len(set(numbers)) > 40
 
 
-def test_more_keys_give_more_ranges(spark, monkeypatch):
+@pytest.mark.parametrize("kind", ["squares", "pareto", "infinite"])
+def test_more_keys_give_more_ranges(spark, monkeypatch, kind):
     monkeypatch.setattr(ordered, "ROWS_PER_RANGE", 10)
-    keys = spark.range(5000).select((F.col("id") * F.col("id")).alias("key"))
+    u = (F.col("id") + 1) / 5001
+    key = {"squares": (F.col("id") * F.col("id")).cast("double"), "pareto": F.pow(1 - u, F.lit(-3.0))}.get(kind, F.col("id").cast("double"))
+    keys = spark.range(5000).select(key.alias("key"))
+    if kind == "infinite":
+        keys = keys.unionByName(spark.createDataFrame([(float("inf"),), (float("-inf"),)], "key double"))
     ranges = find_ranges(keys, "key")
     sizes = [r["count"] for r in keys.groupBy(ranges.number("key").alias("n")).count().collect()]
-    assert ranges.parts == 4 and len(sizes) > 400 and max(sizes) < 40
+    assert len(sizes) > 400 and max(sizes) <= 20
 
 
 def test_dense_codes(spark):

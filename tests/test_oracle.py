@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
@@ -17,10 +19,11 @@ def database(folder):
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(STATEMENTS)
+    assert set(STATEMENTS) <= set(QUERIES)
+    assert {name for name in QUERIES if not re.match(r"op\d|pipeline$", name)} <= set(STATEMENTS)
 
 
-@pytest.mark.parametrize("name", QUERIES)
+@pytest.mark.parametrize("name", STATEMENTS)
 def test_same_as_sql(spark, database, folder, name):
     assert differences(spark, database, QUERIES[name], STATEMENTS[name], folder) == ""
 

@@ -121,15 +121,18 @@ def test_scan_does_not_depend_on_partitions(spark):
     assert Counter(map(tuple, one.collect())) == Counter(map(tuple, many.collect()))
 
 
-def test_dense_index(spark):
-    df = spark.range(0, 1000, 1, 7).where("id % 3 != 0").select((F.col("id") * 10).alias("x"))
+def test_dense_index(spark, tmp_path):
+    rows = spark.range(0, 1000, 1, 7).where("id % 3 != 0").select((F.col("id") * 10).alias("x"))
+    rows.write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
     indexed = dense_index(df)
     assert is_dense(indexed) and indexed.columns == ["x", "row_ix"]
     assert sorted(r.x for r in indexed.collect()) == sorted(r.x for r in df.collect())
-    assert is_dense(dense_index(df.where("x < 0")))
-
-
-def test_dense_index_of_equal_rows(spark):
-    df = spark.createDataFrame([("a",)] * 50 + [("b",)], "x string").repartition(5)
-    assert is_dense(dense_index(df))
+    one = {(r.x, r.row_ix) for r in indexed.collect()}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "600")
+    try:
+        assert {(r.x, r.row_ix) for r in dense_index(spark.read.parquet(str(tmp_path / "t"))).collect()} == one
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert is_dense(dense_index(df.select(F.lit("a").alias("y"))))
     assert not is_dense(spark.createDataFrame([(0,), (0,), (2,)], "row_ix long"))

@@ -1,47 +1,18 @@
 from __future__ import annotations
 
-from types import SimpleNamespace
 
-import pytest
+def test_session_settings(spark):
+    assert spark.conf.get("spark.sql.session.timeZone") == "UTC"
+    assert spark.sparkContext.master == "local[4]"
 
-from resamplia.session import reliable_checkpoint
 
+def test_nothing_is_written_to_local_folders():
+    """No module of the library makes a temporary folder or cuts lineage by itself."""
+    from pathlib import Path
 
-class Context:
-    def __init__(self, master, folder=None):
-        self.master, self.folder = master, folder
+    import resamplia
 
-    def getCheckpointDir(self):
-        return self.folder
-
-    def setCheckpointDir(self, folder):
-        self.folder = folder
-
-
-def frame(context, configured):
-    conf = SimpleNamespace(get=lambda key, default: configured)
-    session = SimpleNamespace(sparkContext=context, conf=conf)
-    return SimpleNamespace(sparkSession=session, checkpoint=lambda eager: ("stored", eager))
-
-
-def test_the_configured_folder_is_used():
-    context = Context("spark://host:7077")
-    assert reliable_checkpoint(frame(context, "hdfs://shared/folder")) == ("stored", True)
-    assert context.folder == "hdfs://shared/folder"
-
-
-def test_a_folder_that_is_set_stays():
-    context = Context("spark://host:7077", "hdfs://already/set")
-    reliable_checkpoint(frame(context, "hdfs://other"))
-    assert context.folder == "hdfs://already/set"
-
-
-def test_a_cluster_never_gets_a_local_folder():
-    with pytest.raises(ValueError):
-        reliable_checkpoint(frame(Context("yarn"), None))
-
-
-def test_local_mode_gets_its_own_folder():
-    context = Context("local[4]")
-    reliable_checkpoint(frame(context, None))
-    assert "resamplia-checkpoint-" in context.folder
+    for path in Path(resamplia.__file__).parent.rglob("*.py"):
+        if "llm" not in path.parts:
+            text = path.read_text()
+            assert "mkdtemp" not in text and "checkpoint" not in text.lower(), path

@@ -95,6 +95,11 @@ def test_main_pid_from_its_own_table(spark):
     found = files.attach_main_pid(rows, pids)
     assert sorted((r.pid, r.main_pid) for r in found.collect()) == [(10, 70), (11, 80)]
     assert found.columns == [*rows.columns, "main_pid"]
+    missing = files.attach_main_pid(rows, pids.limit(1).unionByName(pids.limit(1)))
+    assert sorted((r.pid, r.main_pid) for r in missing.collect()) == [(10, 70), (11, None)]
+    two = pids.unionByName(pids.withColumn("main_pid", F.lit(1).cast("long")))
+    with pytest.raises(Exception, match="several main_pids"):
+        files.attach_main_pid(rows, two).collect()
 
 
 def test_stacking_by_name(spark):

@@ -119,6 +119,8 @@ def test_counts_are_sorted(spark):
 def test_first_worker_count(spark):
     df = results(spark, BASE[2:] + [(0, "a", "b", "c", 3, True, 1.0)])
     assert speedup.first_worker_count(df, ["run"]).first().num_workers == 3
+    tie = results(spark, [(0, "a", "b", "c", n, True, 1.0) for n in (9, 3, 5)])
+    assert speedup.first_worker_count(tie, ["run"]).first().num_workers == 3
 
 
 def test_duplicate_runs(spark):
