@@ -53,9 +53,9 @@ def key_filter(keys: DataFrame) -> np.ndarray:
     """A bit for each `key` modulo the filter's size; the size is fixed, so is what is sent."""
     slot = F.pmod("key", F.lit(FILTER_BITS))
     words = keys.select(slot.alias("s")).groupBy(F.expr("s div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(s % 64 as int)))").alias("b"))
-    rows = words.toPandas()
+    rows = words.collect()
     bits = np.zeros(FILTER_BITS // 64, np.int64)
-    bits[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64)
+    bits[[r["w"] for r in rows]] = [r["b"] for r in rows]
     return np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool)
 
 
