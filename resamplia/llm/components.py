@@ -28,17 +28,18 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
 
+def _stars(links: DataFrame) -> bool:
+    """Has each node one link at most to a smaller one, and the smaller one none?"""
+    ends = links.groupBy("u").agg(F.count("*").alias("n"))
+    return links.select(F.col("v").alias("u")).distinct().withColumn("n", F.lit(1).cast("long")).unionByName(ends).groupBy("u").agg(F.sum("n").alias("n")).filter("n > 1").limit(1).count() == 0
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the component is its smallest node. Nodes are those of the links `u`, `v`
     (any one comparable type); links of a node to itself or to null say nothing."""
     ordered = links.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = stored(ordered)
-    sign = None
-    while True:
-        found = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        if not found["n"] or (found["n"], found["x"]) == sign:
-            break
-        sign = (found["n"], found["x"])
+    while not _stars(now):
         now = stored(_small_star(_large_star(now).filter("u != v").distinct()).filter("u != v").distinct())
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
