@@ -1,0 +1,80 @@
+"""The pipeline: each stage against plain Python over its own input, and the whole."""
+
+from __future__ import annotations
+
+import pytest
+
+import corpus_pipeline
+from resamplia.llm.shared import table
+from tests.llm.test_duplicates import plain_duplicates, plain_lines
+from tests.llm.test_simple import check_packing, order, plain_hits
+
+
+@pytest.fixture(scope="module")
+def stages(spark, folder, tmp_path_factory):
+    """Rows before the first stage and after each."""
+    root = tmp_path_factory.mktemp("stages")
+    docs = table(spark, folder, "documents")
+    out = [docs]
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, out[-1], folder).write.parquet(f"{root}/{name}")
+        out.append(spark.read.parquet(f"{root}/{name}"))
+    return out
+
+
+def pairs(df):
+    return [tuple(r) for r in df.select("doc_id", "text").collect()]
+
+
+def test_stages_keep_the_columns(stages):
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "decontamination", "packing"]
+    assert all(df.columns == stages[0].columns for df in stages[:-1])
+    assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_toxicity_keeps_clean_documents(spark, folder, stages):
+    before, after = dict(pairs(stages[0])), dict(pairs(stages[1]))
+    assert all(before[d] == t for d, t in after.items())
+    toxic = {r["doc_id"] for r in table(spark, folder, "labels").filter("toxic = 1").collect()}
+    clean = {r["doc_id"] for r in table(spark, folder, "labels").filter("toxic = 0").collect()}
+    assert len(clean & after.keys()) >= 0.95 * len(clean)
+    assert len(before) - len(after) <= len(toxic) + 0.1 * len(before)
+
+
+def test_lines_stay_once(stages):
+    docs, after = pairs(stages[1]), stages[2].collect()
+    gone = plain_lines(docs)
+    expected = {(d, "\n".join(x for k, x in enumerate(t.split("\n")) if (d, t, k) not in gone)) for d, t in docs}
+    assert {(r["doc_id"], r["text"]) for r in after} == expected
+    assert all(r["n_chars"] == len(r["text"]) for r in after)
+
+
+def test_one_document_of_each_group_stays(stages):
+    docs = pairs(stages[2])
+    kept = {d for d, _, _, k in plain_duplicates(docs, 5, 80) if k}
+    assert {d for d, _ in pairs(stages[3])} == kept
+
+
+def test_contaminated_documents_go(spark, folder, stages):
+    items = [tuple(r) for r in table(spark, folder, "benchmark").select("item_id", "text").collect()]
+    docs = pairs(stages[3])
+    bad = {r[0] for r in plain_hits(docs, items) if r[5]}
+    assert order(pairs(stages[4])) == order(x for x in docs if x[0] not in bad)
+
+
+def test_all_that_is_left_is_packed(stages):
+    used, least = check_packing(pairs(stages[4]), stages[5].collect())
+    assert used <= least + 2
+
+
+def test_run_is_the_stages(spark, folder, stages):
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    got = corpus_pipeline.run(spark, folder)
+    assert got.columns == stages[5].columns
+    assert order(got.select(columns).collect()) == order(stages[5].select(columns).collect())
+
+
+def test_near_duplicates_among_documents(spark):
+    docs = [(1, "a b c d e f g h", "x"), (2, "A b c d e f g h", "y"), (3, None, "z"), (4, "", "z"), (2, "A b c d e f g h", "y")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, _gone string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.dedup_documents(spark, frame, "").collect()) == [1, 3, 4]
