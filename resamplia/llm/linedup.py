@@ -10,6 +10,7 @@ block against block, exactly. One occurrence per component stays, the first by d
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,16 +21,18 @@ from pyspark.sql import types as T
 
 from resamplia.llm.components import components
 from resamplia.llm.postings import best_centres, few_pairs, key_filter, may_be_key, open_blocks, open_lists, postings, repeated
-from resamplia.llm.shared import pieces, stored
+from resamplia.llm.shared import pieces, stored, written
 from resamplia.llm.words import LOWER, mix, numbers
 
 # Characters of a shingle; least similarity. 9 bands of 4 miss a pair at 0.8 once in 120, at 0.9 once in 15,000.
 SHINGLE, SIMILARITY = 8, 0.8
 BANDS, ROWS = 9, 4
-BLOCK = 256
-SCAN = "rid binary, keys array<long>, unnamed boolean, doc_id long, doc binary, line int"
+BLOCK = 1024
+SCAN = "rid binary, keys array<long>, codes binary, unnamed boolean, doc_id long, doc binary, line int"
 # Lists of up to so many lines are compared pair by pair, longer ones in blocks.
 FEW = 6
+# A pair that is just similar enough agrees in so few of the minima once in some 10,000.
+SIGMAS = 4
 
 
 def normal(line: bytes) -> bytes:
@@ -64,15 +67,22 @@ def shingle_hashes(lines: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(runs[np.arange(counts.sum()) + np.repeat(start - begin, counts)]), begin
 
 
-def band_keys(lines: list[bytes], n: int, bands: int, rows: int) -> np.ndarray:
+def band_keys(lines: list[bytes], n: int, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the bands of each line, and a byte of each minimum."""
     hashes, begin = shingle_hashes(lines, n)
     short = (hashes >> np.uint64(32)).astype(np.uint32)
     factors = (numbers(22, bands * rows) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
     out = np.zeros((len(lines), bands), np.uint64)
+    codes = np.empty((len(lines), bands * rows), np.uint8)
     for k, factor in enumerate(factors):
         least = np.minimum.reduceat(short * factor, begin)
+        codes[:, k] = (least * np.uint32(0x9E3779B1)) >> np.uint32(24)
         out[:, k // rows] = mix(out[:, k // rows] + least.astype(np.uint64) + np.uint64(k + 1))
-    return out
+    return out, codes
+
+
+def least_matches(minima: int, similarity: float) -> int:
+    return max(1, math.floor(similarity * minima - SIGMAS * math.sqrt(similarity * (1 - similarity) * minima)))
 
 
 def shingle_set(line: bytes, n: int) -> set[str]:
@@ -112,31 +122,46 @@ def _scan(n: int, bands: int, rows: int):
             if not first:
                 continue
             lines = list(first)
-            keys = band_keys(lines, n, bands, rows).view(np.int64)
+            keys, codes = band_keys(lines, n, bands, rows)
+            keys = keys.view(np.int64)
             unnamed, ids, docs, places = zip(*first.values(), strict=True)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(map(line_id, lines), pa.binary()), flat, pa.array(unnamed), pa.array(ids, pa.int64()), pa.array(docs, pa.binary()), pa.array(places, pa.int32()), pa.array([count[x] for x in lines], pa.int64())],
-                ["rid", "keys", "unnamed", "doc_id", "doc", "line", "copies"],
+                [pa.array(map(line_id, lines), pa.binary()), flat, pa.array([x.tobytes() for x in codes], pa.binary()), pa.array(unnamed), pa.array(ids, pa.int64()), pa.array(docs, pa.binary()), pa.array(places, pa.int32()), pa.array([count[x] for x in lines], pa.int64())],
+                ["rid", "keys", "codes", "unnamed", "doc_id", "doc", "line", "copies"],
             )
 
     return run
 
 
-def _chosen(bits, occurrences: bool):
-    """Lines that may be in the filter: their texts, or all their places."""
+def _chosen(bits):
+    """All places of the lines that may be in the filter; at the first one in a batch also the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             found = list(_lines(batch))
             ids = [line_id(x[3]) for x in found]
             keys = np.frombuffer(b"".join(i[:8] for i in ids), np.uint64) if ids else np.empty(0, np.uint64)
-            hits = np.flatnonzero(may_be_key(bits.value, keys)).tolist()
-            if occurrences:
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in hits], pa.binary()), pa.array([found[i][1] for i in hits], pa.binary()), pa.array([found[i][2] for i in hits], pa.int32())], ["rid", "doc", "line"])
-            else:
-                some = {ids[i]: found[i][3] for i in hits}
-                yield pa.RecordBatch.from_arrays([pa.array(some.keys(), pa.binary()), pa.array(some.values(), pa.binary())], ["rid", "words"])
+            rows, seen = [], set()
+            for i in np.flatnonzero(may_be_key(bits.value, keys)).tolist():
+                rows.append((ids[i], found[i][1], found[i][2], None if ids[i] in seen else found[i][3]))
+                seen.add(ids[i])
+            if rows:
+                kinds = (pa.binary(), pa.binary(), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["rid", "doc", "line", "words"])
+
+    return run
+
+
+def _collide(least: int):
+    """The pairs that agree in enough minima."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("u_codes", "v_codes"))
+                keep = pa.array((a == b).sum(axis=1) >= least)
+                yield pa.RecordBatch.from_arrays([batch.column("u").filter(keep), batch.column("v").filter(keep)], ["u", "v"])
 
     return run
 
@@ -156,36 +181,51 @@ def _confirm(n: int, similarity: float):
     return run
 
 
-def _compare(n: int, similarity: float):
-    """Links within a block or between two, found by one product of shingle tables; no more
-    links than unite what they connect are returned."""
+def _common(lines: list[bytes], left: np.ndarray, right: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of shingles that the lines of two blocks have in common, by one product of tables, and of each line."""
+    hashes, begin = shingle_hashes(lines, n)
+    row = np.repeat(np.arange(len(lines)), np.diff([*begin, len(hashes)]))
+    names, code = np.unique(hashes, return_inverse=True)
+    both = np.unique(row * len(names) + code)
+    row, code = both // len(names), both % len(names)
+    size = np.bincount(row, minlength=len(lines))
+    shared = (np.bincount(code, minlength=len(names)) > 1)[code]  # the others cannot be common
+    row, code = row[shared], code[shared]
+    _, column = np.unique(code, return_inverse=True)
+    common = np.zeros((len(left), len(right)), np.float32)
+    for low in range(0, int(column.max(initial=-1)) + 1, 4096):
+        part = (column >= low) & (column < low + 4096)
+        flags = np.zeros((len(lines), 4096), np.float32)
+        flags[row[part], column[part] - low] = 1
+        common += flags[left] @ flags[right].T
+    return common, size
+
+
+def _compare(n: int, similarity: float, least: int, bands: int):
+    """Links within a block of a list or between two: pairs of different components that agree in enough minima
+    are compared exactly, one by one or, if they are many, all at once. A pair that meets in several lists is looked at in
+    the first. No more links than unite what they connect are returned."""
     kinds = pa.schema([("u", pa.binary()), ("v", pa.binary())])
 
     def run(table: pa.Table) -> pa.Table:
-        lines, rid = table.column("words").to_pylist(), table.column("rid").to_pylist()
+        rid = table.column("rid").to_pylist()
         names, comp = np.unique(np.array([x.hex() for x in table.column("component").to_pylist()]), return_inverse=True)
         own = table.column("own").to_numpy()
         a, b = table.column("a")[0].as_py(), table.column("b")[0].as_py()
         left = np.flatnonzero(own == a)
         right = left if a == b else np.flatnonzero(own == b)
-        hashes, begin = shingle_hashes(lines, n)
-        row = np.repeat(np.arange(len(lines)), np.diff([*begin, len(hashes)]))
-        kinds_of, code = np.unique(hashes, return_inverse=True)
-        # Distinct shingles of each line; those of one line only cannot be shared.
-        both = np.unique(np.stack([row, code]), axis=1)
-        size = np.bincount(both[0], minlength=len(lines))
-        shared = np.bincount(both[1], minlength=len(kinds_of)) > 1
-        both = both[:, shared[both[1]]]
-        _, column = np.unique(both[1], return_inverse=True)
-        common = np.zeros((len(left), len(right)), np.float32)
-        width = int(column.max()) + 1 if len(column) else 0
-        for low in range(0, width, 4096):
-            part = (column >= low) & (column < low + 4096)
-            flags = np.zeros((len(lines), min(4096, width - low)), np.float32)
-            flags[both[0][part], column[part] - low] = 1
-            common += flags[left] @ flags[right].T
-        union = size[left][:, None] + size[right][None, :] - common
-        near = (common >= similarity * union) & (comp[left][:, None] != comp[right][None, :])
+        keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(len(rid), bands)
+        here = int(np.flatnonzero((keys == table.column("key")[0].as_py()).any(axis=0))[0])
+        codes = np.frombuffer(b"".join(table.column("codes").to_pylist()), np.uint8).reshape(len(rid), -1)
+        us, vs = [], []
+        for i in left:
+            others = right[right > i] if a == b else right
+            others = others[comp[others] != comp[i]]
+            same = keys[others] == keys[i]
+            good = ((codes[others] == codes[i]).sum(axis=1) >= least) & (same.argmax(axis=1) == here)
+            us.append(np.full(good.sum(), i))
+            vs.append(others[good])
+        u, v = (np.concatenate(x) if x else np.empty(0, int) for x in (us, vs))
         parent = list(range(len(names)))
 
         def root(x: int) -> int:
@@ -194,53 +234,75 @@ def _compare(n: int, similarity: float):
                 x = parent[x]
             return x
 
-        us, vs = [], []
-        for i, j in zip(*np.nonzero(near), strict=True):
-            x, y = root(comp[left[i]]), root(comp[right[j]])
-            if x != y:
+        out: list[tuple[bytes, bytes]] = []
+        words = table.column("words").to_pylist()
+        if len(u) > 20 * len(rid):
+            common, size = _common(words, left, right, n)
+            place = np.zeros(len(rid), int)
+            place[right] = np.arange(len(right))
+            row = np.zeros(len(rid), int)
+            row[left] = np.arange(len(left))
+            both = common[row[u], place[v]]
+            near = both >= similarity * (size[u] + size[v] - both)
+            u, v = u[near], v[near]
+        sets: dict[int, set[str]] = {}
+        for i, j in zip(u.tolist(), v.tolist(), strict=True):
+            x, y = root(comp[i]), root(comp[j])
+            if x == y:
+                continue
+            for m in (i, j):
+                if m not in sets:
+                    sets[m] = shingle_set(words[m], n)
+            if alike(sets[i], sets[j], similarity):
                 parent[x] = y
-                us.append(rid[left[i]])
-                vs.append(rid[right[j]])
-        return pa.Table.from_arrays([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], schema=kinds)
+                out.append((rid[i], rid[j]))
+        return pa.Table.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], schema=kinds)
 
     return run
 
 
-def line_components(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Distinct lines that occur again or have a line alike: rid, component, and the place that stays
-    (kept_doc, kept_line)."""
+def line_components(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
+    """Distinct lines that occur again or have a line alike: rid, component, and the place that stays (kept_doc,
+    kept_line); and the places (rid, doc, line) of these and some other lines."""
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text")
+    least = least_matches(bands * rows, similarity)
     scan = texts.mapInArrow(_scan(shingle, bands, rows), SCAN + ", copies long")
-    reps = stored(scan.groupBy("rid").agg(F.first("keys").alias("keys"), F.min(F.struct("unnamed", "doc_id", "doc", "line")).alias("first"), F.sum("copies").alias("copies")))
+    reps = stored(scan.groupBy("rid").agg(F.first("keys").alias("keys"), F.first("codes").alias("codes"), F.min(F.struct("unnamed", "doc_id", "doc", "line")).alias("first"), F.sum("copies").alias("copies")))
     keys = stored(repeated(reps, "keys", reps.count() * bands))
     lists = postings(reps, "rid", "keys", keys)
     weights = lists.groupBy("rid").agg(F.sum("n").alias("weight"), F.collect_list("key").alias("keys"))
     entries = stored(weights.select("rid", "weight", F.explode("keys").alias("key")))
     best = stored(best_centres(entries))
 
-    # Texts of the lines that are in some list.
+    # Places of the lines that are in some list or occur again, and texts of the former.
     wanted = entries.select("rid").distinct()
-    bits = spark.sparkContext.broadcast(key_filter(wanted.select(_little("rid"))))
-    words = stored(texts.mapInArrow(_chosen(bits, False), "rid binary, words binary").dropDuplicates(["rid"]).join(wanted, "rid", "left_semi"))
+    again = reps.filter("copies > 1").select("rid")
+    bits = spark.sparkContext.broadcast(key_filter(wanted.unionByName(again).select(_little("rid"))))
+    places = written(texts.mapInArrow(_chosen(bits), "rid binary, doc binary, line int, words binary"), "lines")
+    words = places.filter("words is not null").select("rid", "words").dropDuplicates(["rid"]).join(wanted, "rid", "left_semi")
+    known = written(words.join(reps.select("rid", F.col("keys").alias("keys"), "codes"), "rid"), "lines")
 
-    of = lambda side: words.select(F.col("rid").alias(side), F.col("words").alias(f"{side}_words"))
+    def of(side: str, name: str) -> DataFrame:
+        return known.select(F.col("rid").alias(side), F.col(name).alias(f"{side}_{name}"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        return pairs.join(of("u"), "u").join(of("v"), "v").mapInArrow(_confirm(shingle, similarity), "u binary, v binary")
+        met = pairs.join(of("u", "codes"), "u").join(of("v", "codes"), "v").mapInArrow(_collide(least), "u binary, v binary")
+        return met.join(of("u", "words"), "u").join(of("v", "words"), "v").mapInArrow(_confirm(shingle, similarity), "u binary, v binary")
 
     links = stored(confirmed(best))
     united = components(links)
     lists = open_lists(entries, united)
     few = few_pairs(lists, FEW).join(best, ["u", "v"], "left_anti").join(best.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_anti")
-    dealt = open_blocks(lists.filter(F.col("n") > FEW), BLOCK).join(words, "rid")
-    found = dealt.groupBy("key", "a", "b").applyInArrow(_compare(shingle, similarity), "u binary, v binary").distinct()
+    dealt = open_blocks(lists.filter(F.col("n") > FEW), BLOCK).join(known, "rid")
+    found = dealt.groupBy("key", "a", "b").applyInArrow(_compare(shingle, similarity, least, bands), "u binary, v binary")
     more = stored(confirmed(few).unionByName(found))
     final = components(united.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
     labelled = reps.join(final.select(F.col("node").alias("rid"), "component"), "rid", "left").filter("copies > 1 or component is not null")
     labelled = labelled.select("rid", F.coalesce("component", "rid").alias("component"), "first")
     kept = labelled.groupBy("component").agg(F.min("first").alias("k"))
-    return labelled.join(kept, "component").select("rid", "component", F.col("k.doc").alias("kept_doc"), F.col("k.line").alias("kept_line"))
+    stays = labelled.join(kept, "component").select("rid", "component", F.col("k.doc").alias("kept_doc"), F.col("k.line").alias("kept_line"))
+    return stays, places.select("rid", "doc", "line")
 
 
 def _little(rid: str):
@@ -274,9 +336,7 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     repeat a doc_id and text are one document and give equal rows. Null texts stay null.
     """
     docs = docs.drop("n_lines", "n_removed")
-    found = stored(line_components(docs, **options))
-    bits = docs.sparkSession.sparkContext.broadcast(key_filter(found.select(_little("rid"))))
-    places = docs.select("doc_id", "text").mapInArrow(_chosen(bits, True), "rid binary, doc binary, line int")
+    found, places = line_components(docs, **options)
     gone = places.join(found, "rid").filter("not (doc = kept_doc and line = kept_line)").groupBy("doc").agg(F.collect_set("line").alias("_removed"))
     plain = F.coalesce(F.col("doc_id").cast("string"), F.lit("None"))
     key = F.unhex(F.md5(F.concat(plain, F.lit("\0"), F.col("text")).cast("binary")))

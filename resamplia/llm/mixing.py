@@ -323,9 +323,11 @@ def _score(tables):
         if not left.num_rows:
             return kinds.empty_table()
         given = tables.value
-        cells = {name: Cells(given[name], 257 if name in SPELLING else CODES) for name in TABLES}
-        by_code = given["before"].reshape(-1, CODES).sum(axis=0)
-        cells["none"] = Cells(by_code, CODES)
+        if "cells" not in given:  # once per worker
+            counts = {name: np.concatenate([np.frombuffer(zlib.decompress(x), np.int64) for x in given[name]]) if given[name] else np.zeros(size, np.int64) for name, size in TABLES.items()}
+            given["by_code"] = counts["before"].reshape(-1, CODES).sum(axis=0)
+            given["cells"] = {name: Cells(c, 257 if name in SPELLING else CODES) for name, c in counts.items()} | {"none": Cells(given["by_code"], CODES)}
+        cells, by_code = given["cells"], given["by_code"]
         total, distinct, single = given["totals"]
         keys = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in right.column("keys")])
         counts = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in right.column("counts")])
@@ -385,10 +387,10 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     counted = dealt.groupBy("chunk").applyInArrow(_count(parts), PACKED)
     added = stored(counted.groupBy("kind", "part").applyInArrow(_add_up, PACKED))
     # Context tables have a fixed size; of the words only three totals are fetched.
-    tables: dict[str, np.ndarray] = {}
+    tables: dict = {}
     for name in TABLES:
-        slices = sorted((r["part"], np.frombuffer(zlib.decompress(r["counts"]), np.int64)) for r in added.filter(F.col("kind") == name).select("part", "counts").collect())
-        tables[name] = np.concatenate([x for _, x in slices]) if slices else np.zeros(TABLES[name], np.int64)
+        slices = added.filter(F.col("kind") == name).select("part", "counts").collect()
+        tables[name] = [bytes(r["counts"]) for r in sorted(slices, key=lambda r: r["part"])]
     # Big-endian numbers, which conv can read.
     number = lambda k: F.conv(F.hex(F.substring("counts", 8 * k + 1, 8)), 16, 10).cast("long")
     t = added.filter("kind = 'totals'").agg(*[F.sum(number(k)) for k in range(3)]).first()
