@@ -24,6 +24,8 @@ from resamplia.llm.postings import best_centres, few_pairs, key_filter, may_be_k
 from resamplia.llm.shared import pieces, stored, written
 from resamplia.llm.words import LOWER, mix, numbers
 
+# Bytes of text whose shingles a task holds at once.
+PIECE = 1 << 20
 # Characters of a shingle; least similarity. 9 bands of 4 miss a pair at 0.8 once in 120, at 0.9 once in 15,000.
 SHINGLE, SIMILARITY = 8, 0.8
 BANDS, ROWS = 9, 4
@@ -111,7 +113,7 @@ def _scan(n: int, bands: int, rows: int):
     """Each distinct line of a batch with its bands and its first occurrence there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", PIECE):
             first: dict[bytes, tuple] = {}
             count: dict[bytes, int] = {}
             for doc_id, doc, k, line in _lines(batch):

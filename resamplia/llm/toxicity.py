@@ -130,7 +130,7 @@ def _code_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, toxic in enumerate(batch.column("toxic").to_pylist()):
             for code in {0, *found[2 * first[i] : 2 * first[i + 1]].view(np.int64).tolist()}:
                 sums.setdefault(code, [0, 0])[toxic] += 1
-        if len(sums) > 500_000:
+        if len(sums) > 150_000:
             yield out()
             sums.clear()
     yield out()
