@@ -270,7 +270,7 @@ def line_components(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     texts = docs.select("doc_id", "text")
     least = least_matches(bands * rows, similarity)
     scan = texts.mapInArrow(_scan(shingle, bands, rows), SCAN + ", copies long")
-    reps = stored(scan.groupBy("rid").agg(F.first("keys").alias("keys"), F.first("codes").alias("codes"), F.min(F.struct("unnamed", "doc_id", "doc", "line")).alias("first"), F.sum("copies").alias("copies")))
+    reps = written(scan.groupBy("rid").agg(F.first("keys").alias("keys"), F.first("codes").alias("codes"), F.min(F.struct("unnamed", "doc_id", "doc", "line")).alias("first"), F.sum("copies").alias("copies")), "lines")
     keys = stored(repeated(reps, "keys", reps.count() * bands))
     lists = postings(reps, "rid", "keys", keys)
     weights = lists.groupBy("rid").agg(F.sum("n").alias("weight"), F.collect_list("key").alias("keys"))

@@ -215,27 +215,27 @@ def _squash(x: np.ndarray) -> np.ndarray:
 
 
 class Mixer:
-    """Gated weights, refined block by block, and the correction of the mixture."""
+    """Gated weights, refined block by block, and the correction of the mixture. A gate is a level (the bit's place) and
+    a state; all bits of a call have one level."""
 
-    def __init__(self, inputs: int, gates: int, levels: int, rate: float = 0.3):
-        self.weights = np.full((inputs, gates), 1.2 / inputs)
-        self.energy = np.full((inputs, gates), 50.0)
-        self.seen, self.ones = np.full(levels * 33, 4.0), np.full(levels * 33, 4.0) * np.tile(_squash((np.arange(33) - 16) / 2), levels)
-        self.rate = rate
+    def __init__(self, inputs: int, levels: int, states: int, rate: float = 0.3):
+        self.weights = np.full((levels, states, inputs), 1.2 / inputs)
+        self.energy = np.full((levels, states, inputs), 50.0)
+        self.seen, self.ones = np.full((levels, 33), 4.0), np.full((levels, 33), 4.0) * _squash((np.arange(33) - 16) / 2)
+        self.states, self.rate = np.arange(states)[:, None], rate
 
-    def bits(self, x: list[np.ndarray], gate: np.ndarray, level: np.ndarray | int, bit: np.ndarray, learn: np.ndarray) -> np.ndarray:
+    def bits(self, x: list[np.ndarray], level: int, state: np.ndarray, bit: np.ndarray, learn: np.ndarray) -> np.ndarray:
         """Log2 of the probability of each bit; learns from those marked."""
-        dot = sum(w[gate] * v for w, v in zip(self.weights, x, strict=True))
-        p = _squash(dot)
-        step = np.clip(np.rint(dot * 2) + 16, 0, 32).astype(np.int64) + 33 * level
-        final = np.clip(0.5 * p + 0.5 * self.ones[step] / self.seen[step], 1e-5, 1 - 1e-5)
-        error = (bit - p) * learn
-        gates = self.weights.shape[1]
-        for k, v in enumerate(x):
-            self.energy[k] += np.bincount(gate, weights=v * v * learn * p * (1 - p), minlength=gates)
-            self.weights[k] += self.rate * np.bincount(gate, weights=error * v, minlength=gates) / self.energy[k]
-        self.seen += np.bincount(step, weights=learn, minlength=len(self.seen))
-        self.ones += np.bincount(step, weights=learn * bit, minlength=len(self.seen))
+        table = np.stack(x)
+        gate = (self.states == state).astype(np.float64)
+        p = _squash(((self.weights[level] @ table) * gate).sum(axis=0))
+        step = np.clip(np.rint(_stretch(p) * 2) + 16, 0, 32).astype(np.int64)
+        final = np.clip(0.5 * p + 0.5 * (self.ones[level] / self.seen[level])[step], 1e-5, 1 - 1e-5)
+        if learn.any():
+            self.energy[level] += gate @ (table * table * (learn * p * (1 - p))).T
+            self.weights[level] += self.rate * (gate @ (table * ((bit - p) * learn)).T) / self.energy[level]
+            self.seen[level] += np.bincount(step, weights=learn, minlength=33)
+            self.ones[level] += np.bincount(step, weights=learn * bit, minlength=33)
         return np.log2(np.where(bit > 0, final, 1 - final))
 
 
@@ -267,8 +267,13 @@ class _Walk:
         return np.log((ones + 0.3) / (zeros + 0.3))
 
 
+def new_match() -> np.ndarray:
+    """Rights and all guesses of the last predictor, by place and state."""
+    return np.stack([np.full((CODE_BITS, STATES), 1.5), np.full((CODE_BITS, STATES), 2.0)])
+
+
 def _score_codes(t: Tokens, at: np.ndarray, learn: np.ndarray, cells: dict[str, Cells], mixer: Mixer, match: np.ndarray) -> np.ndarray:
-    """Log2 probability of the codes of the tokens `at`. match: counts of the last predictor (rights, all) by state and place."""
+    """Log2 probability of the codes of the tokens `at`. match: see new_match."""
     out = np.zeros(len(at))
     for low in range(0, len(at), BLOCK):
         k = at[low : low + BLOCK]
@@ -286,14 +291,13 @@ def _score_codes(t: Tokens, at: np.ndarray, learn: np.ndarray, cells: dict[str,
             half = np.int64(1) << shift
             x = [w.predict(node + half, bit) for w in walks]
             said = (guess >> shift) & 1
-            where = np.where(agree, state * CODE_BITS + d, 0)
-            sure = np.log((match[0, where] + 0.5) / (match[1, where] - match[0, where] + 0.5))
+            now = np.where(agree, state, 0)
+            sure = np.log((match[0, d] + 0.5) / (match[1, d] - match[0, d] + 0.5))[now]
             x.append(np.where(agree, np.where(said > 0, sure, -sure), 0.0))
-            gate = np.where(agree, state, 0) * CODE_BITS + d
-            out[low : low + BLOCK] += mixer.bits(x, gate, d, bit, own)
+            out[low : low + BLOCK] += mixer.bits(x, d, now, bit, own)
             right = (said == bit) & agree
-            match[0] += np.bincount(where, weights=right * own, minlength=match.shape[1])
-            match[1] += np.bincount(where, weights=agree * own, minlength=match.shape[1])
+            match[0, d] += np.bincount(now, weights=right * own, minlength=STATES)
+            match[1, d] += np.bincount(now, weights=agree * own, minlength=STATES)
             agree = right
             node = node + half * bit
     return out
@@ -312,7 +316,7 @@ def _score_spelling(t: Tokens, at: np.ndarray, cells: dict[str, Cells], mixer: M
         half = np.int64(1) << (8 - d)
         bit = (symbol >> (8 - d)) & 1
         x = [w.predict(np.minimum(node + half, 257), bit) for w in walks]
-        total += mixer.bits(x, np.full(len(symbol), d), d, bit, own)
+        total += mixer.bits(x, d, np.zeros(len(symbol), np.int64), bit, own)
         node = node + half * bit
     return np.bincount(word, weights=total, minlength=len(at))
 
@@ -335,8 +339,8 @@ def _score(tables):
         keys, counts = keys[order], counts[order]
         # Chance that a token is not in the vocabulary: as often as words were seen once.
         new = (single + 1) / (total + 2)
-        mixer, spelling = Mixer(5, STATES * CODE_BITS, CODE_BITS), Mixer(len(SPELLING), 9, 9)
-        match = np.zeros((2, STATES * CODE_BITS)) + np.array([[1.5], [2.0]])
+        mixer, spelling = Mixer(5, CODE_BITS, STATES), Mixer(len(SPELLING), 9, 1)
+        match = new_match()
         # In the order of their hashes, so that the same chunk always gives the same scores.
         names = np.array([hash_ for hash_ in left.column("order").to_pylist()], np.int64)
         left = left.take(pa.array(np.argsort(names, kind="stable")))

@@ -149,9 +149,8 @@ def test_the_code_probabilities_are_a_distribution():
     for name in ("before", "endings", "letters", "state"):
         setattr(t, name, np.zeros(mixing.CODES, np.int64))
     t.guess = np.full(mixing.CODES, -1)
-    mixer = mixing.Mixer(5, mixing.STATES * mixing.CODE_BITS, mixing.CODE_BITS)
-    match = np.zeros((2, mixing.STATES * mixing.CODE_BITS)) + np.array([[1.5], [2.0]])
-    logs = mixing._score_codes(t, np.arange(mixing.CODES), np.zeros(mixing.CODES, bool), cells, mixer, match)
+    mixer = mixing.Mixer(5, mixing.CODE_BITS, mixing.STATES)
+    logs = mixing._score_codes(t, np.arange(mixing.CODES), np.zeros(mixing.CODES, bool), cells, mixer, mixing.new_match())
     assert math.isclose(np.exp2(logs).sum(), 1, rel_tol=1e-9)
 
 
@@ -224,6 +223,14 @@ def test_slot_of_a_template_without_article(spark):
         assert r["text"] == f"no{i} title\n\n{'long text ' * (5 + i)} story & more\n\nsecond no{i}".replace("  ", " ")
 
 
+def test_many_hosts_give_the_same(spark, folder, monkeypatch):
+    from resamplia.llm import shared
+
+    few = {(r["page_id"], r["text"]) for r in queries.op9_html(spark, folder).collect()}
+    monkeypatch.setattr(shared, "FEW_KEYS", 1)
+    assert {(r["page_id"], r["text"]) for r in queries.op9_html(spark, folder).collect()} == few
+
+
 def test_pages_of_odd_rows(spark):
     article = "<article><header><h1>T</h1></header><nav>menu</nav><p>one&nbsp;two<br>three&#33;</p><aside>side</aside><form>f <input> x</form><script>if (a<b) '</p>'</script><style>p{}</style><!-- <p>no</p> --><div class='comments'><p>reader</p></div><p>a < b &lt;i&gt;</article>"
     rows = [
