@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from resamplia.llm.shared import pieces, stored
+from resamplia.llm.shared import beside, pieces, stored
 
 # What HTML calls these things, and common names for page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -201,7 +201,7 @@ def templates(pages: DataFrame) -> DataFrame:
         )
     )
     whole = tokens.filter("path = '' and run = 0").select("host", F.col("pages").alias("all"), F.col("vector").alias("outer"))
-    classed = tokens.join(whole, "host").withColumn("template", (F.col("vector") == F.col("outer")) & (F.col("pages") == F.col("all")))
+    classed = beside(tokens, whole, "host", ["path", "run"]).withColumn("template", (F.col("vector") == F.col("outer")) & (F.col("pages") == F.col("all")))
     # Text outside the template, for each element above it.
     free = classed.filter("run != 0 and not furniture and (not template or all = 1)")
     parts = F.split("path", "/")
@@ -212,7 +212,7 @@ def templates(pages: DataFrame) -> DataFrame:
         .groupBy("host", "path").agg(F.sum("chars").alias("mass"))
     )
     everything = mass.filter("path = ''").select("host", F.col("mass").alias("most"))
-    slots = classed.filter("run = 0 and template").select("host", "path").join(mass, ["host", "path"], "left").join(everything, "host", "left")
+    slots = beside(classed.filter("run = 0 and template").select("host", "path").join(mass, ["host", "path"], "left"), everything, "host", ["path"], "left")
     name = F.regexp_extract(F.substring_index("path", "/", -1), r"^[^.]*", 0)
     depth = F.size(F.split("path", "/"))
     named = name.isin(*MAIN)
@@ -257,6 +257,6 @@ def extract(pages: DataFrame) -> DataFrame:
     rows = pages.select("page_id", "url", "html").withColumn(
         "host", F.lower(F.coalesce(F.regexp_extract("url", r"//(?:[^/@?#]*@)?([^/:?#]*)", 1), F.lit("")))
     )
-    return rows.join(templates(pages), "host", "left").select("page_id", "url", "html", "main", "fixed").mapInArrow(
+    return beside(rows, templates(pages), "host", ["page_id", "html"], "left").select("page_id", "url", "html", "main", "fixed").mapInArrow(
         _extract, "page_id long, url string, text string, n_chars long"
     )

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Texts are handled in pieces of about so many bytes; a longer text is a piece of its own.
 PIECE_BYTES = 1 << 21
@@ -51,6 +52,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+# Counted rows up to which the side with one row per key is broadcast, and parts of a hot key beyond that.
+FEW_KEYS, SALTS = 200_000, 32
+
+
+def beside(left: DataFrame, right: DataFrame, key: str, spread: list[str], how: str = "inner") -> DataFrame:
+    """Join `left` with `right`, which has one row per `key`. Few keys are broadcast; else the rows of a key are dealt to SALTS
+    parts by a hash of the columns `spread`, each with its copy of the key's row, so that no key is one task."""
+    right = stored(right)
+    if right.count() <= FEW_KEYS:
+        return left.join(F.broadcast(right), key, how)
+    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
+    return salted.join(copies, [key, "_salt"], how).drop("_salt")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
