@@ -31,7 +31,11 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span "
     "strike strong sub sup time tt u var br wbr img".split()
 )
-FURNITURE = frozenset("nav footer aside form menu dialog button select fieldset head".split())
+FURNITURE = frozenset("nav footer aside menu dialog button select head".split())
+# Furniture as well, unless they hold the page's main part, as the elements named below.
+FORMS = frozenset("form fieldset".split())
+NEVER = frozenset("html body main article".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 NAMES = frozenset(
     "ad ads advert adverts advertisement adsense sponsor sponsored promo banner cookie cookies consent gdpr notice notices alert popup "
     "modal newsletter subscribe signup sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments "
@@ -49,6 +53,7 @@ _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.S
 )
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
 _HOST = re.compile(r"//(?:[^/@?#]*@)?([^/:?#]*)")
 _SHARE = 0.95
 
@@ -66,6 +71,8 @@ class Run:
 
 @dataclass
 class Page:
+    """Element paths with their counts, and runs."""
+
     paths: dict[str, int] = field(default_factory=lambda: defaultdict(int))
     runs: list[Run] = field(default_factory=list)
 
@@ -77,9 +84,16 @@ def host_of(url: str | None) -> str:
 
 def parse(html: str) -> Page:
     """Element paths and text runs. Missing end tags are supplied as browsers do for
-    paragraphs and list items; stray end tags are ignored."""
+    paragraphs and list items; stray end tags are ignored. Names (whole class names, or compounds of names only; ids outside of
+    articles, except of headings and sections), roles, headers and forms make furniture unless the
+    element holds the main part."""
     page = Page()
-    stack: list[tuple[str, str, bool]] = []  # name, path, furniture
+    stack: list[tuple[str, str, bool, tuple[int, ...]]] = []  # name, path, furniture by its element, numbers of elements that may be furniture
+    marks: list[tuple[int, ...]] = []
+    mains: list[tuple[int, ...]] = []
+    heads: list[tuple[int, ...]] = []
+    forms: set[int] = set()
+    count = 0
     buffer: list[str] = []
     block, at, size = 0, 0, len(html)
 
@@ -87,8 +101,9 @@ def parse(html: str) -> Page:
         nonlocal block
         words = " ".join(entities.unescape("".join(buffer)).split()) if buffer else ""
         if words:
-            _, path, furniture = stack[-1] if stack else ("", "", False)
+            _, path, furniture, above = stack[-1] if stack else ("", "", False, ())
             page.runs.append(Run(words, path, furniture, block))
+            marks.append(above)
             block += 1
         buffer.clear()
 
@@ -138,18 +153,53 @@ def parse(html: str) -> Page:
         flush()
         given = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(token[3])}
         label = (given.get("class") or given.get("id") or "").strip().lower()
-        words = set(re.split(r"[^a-z]+", f"{given.get('class', '')} {given.get('id', '')}".lower()))
-        above = stack[-1] if stack else ("", "", False)
+        above = stack[-1] if stack else ("", "", False, ())
         inside = any(x[0] in MAIN for x in stack)
-        furniture = above[2] or name in FURNITURE or bool(words & NAMES) or given.get("role", "").lower() in ROLES
-        furniture = furniture or (name == "header" or "header" in words) and not inside or re.search(r"\shidden(?:\s|=|$)", token[3]) is not None
+        words = set(given.get("class", "").lower().split())
+        if not inside and name not in HEADINGS and name != "section":
+            words |= set(given.get("id", "").lower().split())
+        named = any(w in NAMES or all(x in NAMES for x in re.split("[-_]+", w)) for w in words)
+        hidden = "hidden" in token[3].lower() and re.search(r"\shidden(?:\s|=|/|$)", _QUOTED.sub("", token[3]), re.I) is not None
+        fixed = above[2] or name in FURNITURE or hidden and name not in NEVER
+        maybe = above[3]
+        header = not inside and (name == "header" or "header" in words)
+        if name not in NEVER and (name in FORMS or header or named or given.get("role", "").lower() in ROLES):
+            maybe = (*maybe, count)
+            if name in FORMS and not named:
+                forms.add(count)
+            count += 1
+        if not fixed and name in MAIN and not inside:
+            mains.append(maybe)
+        if not fixed and name == "h1" and not any(x[0] == "header" for x in stack):
+            heads.append(maybe)
         path = f"{above[1]}/{name}" + (f".{label}" if label else "")
         page.paths[path] += 1
-        stack.append((name, path, furniture))
+        stack.append((name, path, fixed, maybe))
     flush()
+    freed = _holders(page.runs, marks, mains, heads, forms) if count else set()
+    for run, above in zip(page.runs, marks, strict=True):
+        run.furniture = run.furniture or not freed.issuperset(above)
     return page
 
 
+def _holders(runs: list[Run], marks: list[tuple[int, ...]], mains: list[tuple[int, ...]], heads: list[tuple[int, ...]], forms: set[int]) -> set[int]:
+    """The elements that hold the main part: what is above all articles and mains or, without these, all first headings; forms with
+    most of the text; and, if no text is left otherwise, what is above all of it."""
+    parts = mains or heads
+    freed = set.intersection(*map(set, parts)) if parts else set()
+    if parts and not any(freed.issuperset(x) for x in parts):
+        freed = set().union(*parts)
+    if mains:
+        return freed
+    left = [(len(r.text), x) for r, x in zip(runs, marks, strict=True) if not r.furniture]
+    for form in forms:
+        if 2 * sum(n for n, x in left if form in x) > sum(n for n, _ in left):
+            freed.add(form)
+    if left and not any(freed.issuperset(x) for _, x in left):
+        freed |= set.intersection(*(set(x) for _, x in left))
+    return freed
+
+
 def _key(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode()) - (1 << 63)
 

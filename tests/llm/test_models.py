@@ -246,3 +246,17 @@ def test_pages_of_odd_rows(spark):
     assert text[2] == text[3] == text[8] == "" and text[4] == "plain words" and text[5] == "lone bold words\n\nnext"
     assert text[6] == "Body text" and text[7] == ("very long " * 100000).strip() and text[None] == "x"
     assert html.extract(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body class='has-sidebar'><article>{}</article></body>", "<body class='comments'><article>{}</article></body>", "<div id=wrapper class='nav-open'><main>{}</main></div>",
+        "<article class='post category-social'>{}</article>", "<article class='related'>{}</article>", "<form action=x><div class=menu>m</div><article>{}</article></form>",
+        "<form><div class=sidebar>s</div><h1>Q</h1>{}</form>", "<form>{}</form>", "<div class=banner><div class=related><p>r</div><main>{}</main></div>", "<body class='a hidden b'>{}</body>",
+    ],
+)
+def test_names_do_not_empty_a_page(page):
+    inner = "<h2 id='related-work'>A</h2><h2 id=search>B</h2><p class='notice-period'>C</p><section id=login><p>D</p></section><div class='ad'>no</div>"
+    got = html.slot_text(html.parse(page.format(inner)), None, frozenset())
+    assert got.removeprefix("Q\n\n") == "A\n\nB\n\nC\n\nD"
