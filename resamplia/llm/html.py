@@ -2,11 +2,11 @@
 
 Tokens of a page are its element paths and its text runs (with the path they stand in). Tokens
 that occur equally often on the same pages of a host form an equivalence class; the occurrence
-vector is kept as a hash that is summed up by exclusive or, so a host may have any number of
-pages. The class that occurs once on every page is the outer template; classes of elements nest
-in it by their paths. The main slot is the template element that is an article or
-main element, or else the innermost one that holds nearly all of the text that is in no class. Page
-furniture (menus, notices, forms ...) is left out of the slot by its element or its name.
+vector is kept as two sums of hashes, so a host may have any number of pages. A class is valid if at least SUPPORT
+pages, not all equal, show it. The class that occurs once on every page is the outer template; a run is text of the template
+if an element around it is in its class, so classes nest by their paths. Where the template has an article or main
+element, these elements of a page are its main slots; else the innermost template element that holds all text that is in no class.
+Text of the template is left out of the slots, and so is furniture (menus, notices, forms ...), by its element or its name.
 """
 
 from __future__ import annotations
@@ -55,7 +55,8 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
 _HOST = re.compile(r"//(?:[^/@?#]*@)?([^/:?#]*)")
-_SHARE = 0.95
+# Pages that must show a class of tokens; fewer may be copies of one text.
+SUPPORT = 3
 
 
 @dataclass
@@ -200,40 +201,52 @@ def _holders(runs: list[Run], marks: list[tuple[int, ...]], mains: list[tuple[in
     return freed
 
 
-def _key(text: str) -> int:
-    return xxhash.xxh64_intdigest(text.encode()) - (1 << 63)
+def _key(path: str, text: str) -> int:
+    return (xxhash.xxh64_intdigest(f"{path}\0{text}".encode()) - (1 << 63)) | 1
 
 
-TOKENS = "host string, path string, run long, pages long, total long, vector long, chars long, furniture boolean"
+TOKENS = "host string, path string, run long, pages long, total long, va long, vb long, low long, high long, chars long, furniture boolean"
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of this task for each host and token; run is 0 for elements."""
+    """Sums of this task for each host and token; run is 0 for elements. The vector is two sums of 32 bits for each page."""
     sums: dict[tuple[str, str, int], list] = {}
 
     def out() -> pa.RecordBatch:
         rows = [(*k, *v) for k, v in sums.items()]
-        kinds = [pa.string(), pa.string(), *[pa.int64()] * 5, pa.bool_()]
-        names = ["host", "path", "run", "pages", "total", "vector", "chars", "furniture"]
-        columns = zip(*rows, strict=True) if rows else [[]] * 8
+        kinds = [pa.string(), pa.string(), *[pa.int64()] * 8, pa.bool_()]
+        names = ["host", "path", "run", "pages", "total", "va", "vb", "low", "high", "chars", "furniture"]
+        columns = zip(*rows, strict=True) if rows else [[]] * len(names)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
     for batch in pieces(batches, "html"):
         for url, text in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
             page, host = parse(text or ""), host_of(url)
-            own = f"{url}\0{text}"
-            seed = xxhash.xxh64_intdigest(own.encode())
+            seed = xxhash.xxh64_intdigest(f"{url}\0{text}".encode()) & ((1 << 63) - 1)
+            own = xxhash.xxh64_intdigest((text or "").encode()) - (1 << 63)
             found: dict[tuple[str, int], list] = {("", 0): [1, 0, False]}
             for path, n in page.paths.items():
                 found[path, 0] = [n, 0, False]
             for run in page.runs:
-                at = found.setdefault((run.path, _key(run.text) | 1), [0, len(run.text), run.furniture])
+                at = found.setdefault((run.path, _key(run.path, run.text)), [0, len(run.text), run.furniture])
                 at[0] += 1
+                at[2] = at[2] and run.furniture
+            marks: dict[int, int] = {}
             for (path, run), (n, chars, furniture) in found.items():
-                at = sums.setdefault((host, path, run), [0, 0, 0, chars, furniture])
+                mark = marks.get(n)
+                if mark is None:
+                    mark = marks[n] = xxhash.xxh64_intdigest(n.to_bytes(8, "little"), seed)
+                at = sums.get((host, path, run))
+                if at is None:
+                    sums[host, path, run] = [1, n, mark >> 32, mark & 0xFFFFFFFF, own, own, chars, furniture]
+                    continue
                 at[0] += 1
                 at[1] += n
-                at[2] ^= xxhash.xxh64_intdigest(n.to_bytes(8, "little"), seed & ((1 << 63) - 1)) - (1 << 63)
+                at[2] += mark >> 32
+                at[3] += mark & 0xFFFFFFFF
+                at[4] = min(at[4], own)
+                at[5] = max(at[5], own)
+                at[7] = at[7] and furniture
         if len(sums) > 200_000:
             yield out()
             sums.clear()
@@ -241,50 +254,59 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """Per host: `main`, the path of the main slot, and `fixed`, the keys of text runs that belong to
-    the template (null where the main slot is an article or main element)."""
+    """Per host: `main`, the path of its main slot (an article or main element, if the template has one), and `fixed`, the keys of
+    text runs that belong to a class and are not furniture (in articles and mains only, where these are the slots)."""
     found = pages.select("url", "html").mapInArrow(_tokens, TOKENS)
     tokens = stored(
         found.groupBy("host", "path", "run").agg(
-            F.sum("pages").alias("pages"), F.sum("total").alias("total"), F.bit_xor("vector").alias("vector"),
-            F.max("chars").alias("chars"), F.max("furniture").alias("furniture"),
+            F.sum("pages").alias("pages"), F.sum("total").alias("total"), F.sum("va").alias("va"), F.sum("vb").alias("vb"),
+            F.min("low").alias("low"), F.max("high").alias("high"), F.max("chars").alias("chars"), F.min("furniture").alias("furniture"),
         )
     )
-    whole = tokens.filter("path = '' and run = 0").select("host", F.col("pages").alias("all"), F.col("vector").alias("outer"))
-    classed = beside(tokens, whole, "host", ["path", "run"]).withColumn("template", (F.col("vector") == F.col("outer")) & (F.col("pages") == F.col("all")))
-    # Text outside the template, for each element above it.
-    free = classed.filter("run != 0 and not furniture and (not template or all = 1)")
+    vector = ["pages", "va", "vb"]
+    whole = tokens.filter("path = '' and run = 0").select("host", *[F.col(c).alias(f"all_{c}") for c in vector])
+    outer = F.lit(True)
+    for c in vector:
+        outer = outer & (F.col(c) == F.col(f"all_{c}"))
     parts = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    # Runs with an element around them that has their vector.
+    valid = tokens.filter((F.col("pages") >= SUPPORT) & (F.col("low") != F.col("high")))
+    elements = valid.filter("run = 0").select("host", F.col("path").alias("around"), *vector)
+    runs = valid.filter("run != 0 and not furniture").select("host", "path", "run", *vector, F.explode(above).alias("around"))
+    fixed = stored(runs.join(elements, ["host", "around", *vector]).select("host", "path", "run").distinct())
+    # Text outside the template, for each element above it.
+    free = tokens.filter("run != 0 and not furniture").join(fixed, ["host", "path", "run"], "left_anti")
     mass = (
         free.groupBy("host", "path").agg(F.sum(F.col("chars") * F.col("total")).alias("chars"))
         .select("host", F.explode(above).alias("path"), "chars")
         .groupBy("host", "path").agg(F.sum("chars").alias("mass"))
     )
     everything = mass.filter("path = ''").select("host", F.col("mass").alias("most"))
-    slots = beside(classed.filter("run = 0 and template").select("host", "path").join(mass, ["host", "path"], "left"), everything, "host", ["path"], "left")
+    framed = beside(tokens.filter("run = 0"), whole, "host", ["path"]).filter(outer).select("host", "path")
+    slots = beside(framed.join(mass, ["host", "path"], "left"), everything, "host", ["path"], "left")
     name = F.regexp_extract(F.substring_index("path", "/", -1), r"^[^.]*", 0)
     depth = F.size(F.split("path", "/"))
     named = name.isin(*MAIN)
-    fit = named | (F.col("mass") >= _SHARE * F.col("most"))
     rank = F.struct(named.alias("named"), F.when(named, -depth).otherwise(depth).alias("depth"), F.col("path").alias("path"))
-    chosen = slots.filter(fit).groupBy("host").agg(F.max(rank).alias("m")).select("host", F.col("m.path").alias("main"), "m.named")
-    fixed = classed.filter("run != 0 and template and all > 1").groupBy("host").agg(F.collect_set("run").alias("fixed"))
-    return chosen.join(fixed, "host", "left").select("host", "main", F.when(~F.col("named"), F.col("fixed")).alias("fixed"))
+    chosen = slots.filter(named | (F.col("mass") == F.col("most"))).groupBy("host").agg(F.max(rank).alias("m")).select("host", F.col("m.path").alias("main"), "m.named")
+    inside = F.col("path").rlike(rf"/({'|'.join(sorted(MAIN))})([./]|$)")
+    needed = beside(fixed, chosen.select("host", "named"), "host", ["path", "run"]).filter(inside | ~F.col("named"))
+    return chosen.select("host", "main").join(needed.groupBy("host").agg(F.collect_set("run").alias("fixed")), "host", "left")
 
 
 def slot_text(page: Page, main: str | None, fixed: frozenset[int]) -> str:
-    """Blocks of the main slot without furniture. A page that lacks the host's slot uses its own
-    article or main element, or all of its text."""
+    """Blocks of the main slots without furniture and text of the template. Where the host's slot is no article or main
+    element, or the page lacks it, the page's own article and main elements are its slots, else the host's slot or the whole page.
+    A page that has text of the template only keeps it."""
     def within(run: Run, slot: str) -> bool:
         return run.path == slot or run.path.startswith(slot + "/")
 
-    slots = [main] if main is not None and (main == "" or main in page.paths) else []
-    if not slots or (main.rsplit("/", 1)[-1].split(".")[0] not in MAIN):
-        own = [p for p in page.paths if p.rsplit("/", 1)[-1].split(".")[0] in MAIN]
-        slots = own or slots or [""]
-    blocks = [r.text for r in page.runs if not r.furniture and any(within(r, s) for s in slots) and (not fixed or _key(r.text) | 1 not in fixed)]
-    return "\n\n".join(blocks)
+    slots = [p for p in page.paths if p.rsplit("/", 1)[-1].split(".")[0] in MAIN]
+    if not slots:
+        slots = [main] if main is not None and main in page.paths else [""]
+    blocks = [r for r in page.runs if not r.furniture and any(within(r, s) for s in slots)]
+    return "\n\n".join(r.text for r in [r for r in blocks if _key(r.path, r.text) not in fixed] or blocks)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -260,3 +260,23 @@ def test_names_do_not_empty_a_page(page):
     inner = "<h2 id='related-work'>A</h2><h2 id=search>B</h2><p class='notice-period'>C</p><section id=login><p>D</p></section><div class='ad'>no</div>"
     got = html.slot_text(html.parse(page.format(inner)), None, frozenset())
     assert got.removeprefix("Q\n\n") == "A\n\nB\n\nC\n\nD"
+
+
+def test_classes_inside_articles(spark):
+    """Text of the template goes from articles too, on all pages or on some; text that varies stays, in every slot."""
+    box = "<div class=widget><h3>More of this</h3><ul><li>First link</li><li>Second link</li></ul></div>"
+    frame = "<html><body><div class=top>Site</div><article class=a><h1>T{0}</h1><p>Story {0}</p>{1}<div class=bar>Follow us</div></article><article class=b><p>Other {0}</p></article></body></html>"
+    rows = [(i, "http://a.example/x", frame.format(i, box if i % 2 else "")) for i in range(12)]
+    rows += [(100 + i, "http://b.example/x", f"<div class=x><p>Long text {i} {'w ' * 200}</p></div><div class=y><p>Short {i}</p></div><div class=z>Imprint</div>") for i in range(6)]
+    rows += [(200, "http://c.example/1", "<article><p>Same</p><p>Copy</p></article><p>1</p>"), (201, "http://c.example/2", "<article><p>Same</p><p>Copy</p></article><p>2</p>")]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"T{i}\n\nStory {i}\n\nOther {i}" for i in range(12))
+    assert all(got[100 + i] == f"Long text {i} {'w ' * 200}".strip() + f"\n\nShort {i}" for i in range(6))
+    assert got[200] == got[201] == "Same\n\nCopy"
+
+
+def test_equal_vectors_of_repeated_pages(spark):
+    """Rows that repeat do not cancel: runs of different pages are in different classes."""
+    rows = [(i, f"http://a.example/{i // 2}", f"<div><p>{'ab'[i // 2 % 2]} text</p><p>own {i // 2}</p></div>") for i in range(16)]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r["text"] == f"{'ab'[r['page_id'] // 2 % 2]} text\n\nown {r['page_id'] // 2}" for r in got)
