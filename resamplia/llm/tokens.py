@@ -75,20 +75,28 @@ class _Numbers(dict):
 class WordEncoder:
     """Ids of texts. With the pre-tokenizer named above, the ids of a text are those of its
     parts (words, digits, runs of signs), and each distinct part goes through the model once. Texts with unusual
-    characters, and other tokenizers, are encoded as they are."""
+    characters or strings of added tokens, and other tokenizers, are encoded as they are."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         form = json.loads(self.tokenizer.to_str())
         normal = [x["type"] for x in (form["normalizer"] or {}).get("normalizers", [])]
         splits = [x.get("pattern", {}).get("Regex") for x in (form["pre_tokenizer"] or {}).get("pretokenizers", [])]
         self.quick = normal == NORMALIZERS and splits == [PATTERN, None]
+        # Added tokens are found in the text as it is or, if they are normalized ones, in its normal form.
+        added = {y for x in form["added_tokens"] for y in (x["content"], x["content"].lower()) if y}
+        self.added = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
         self.clear()
 
+    def _plain(self, text: str, lower: str) -> bool:
+        """Must the text be encoded as it is?"""
+        if not self.quick or _OTHER.search(text) or _OTHER.search(lower):
+            return True
+        return self.added is not None and bool(self.added.search(text) or self.added.search(lower))
+
     def clear(self) -> None:
         self.numbers, self.lists = _Numbers(), Lists()
 
@@ -105,10 +113,11 @@ class WordEncoder:
             self.clear()
         at: list[np.ndarray | None] = []
         for x in texts:
-            if not self.quick or _OTHER.search(x or ""):
+            lower = (x or "").lower()
+            if self._plain(x or "", lower):
                 at.append(None)
                 continue
-            parts = _PARTS.findall((x or "").lower())
+            parts = _PARTS.findall(lower)
             at.append(np.fromiter(map(self.numbers.__getitem__, parts), np.int64, len(parts)))
         if self.numbers.fresh:
             self._learn()

@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 
 from resamplia.llm import chat, decontamination, packing, queries, warc
 from resamplia.llm.shared import new_folder, table
+from resamplia.llm.tokens import WordEncoder
 
 DOCS = "doc_id long, text string"
 
@@ -109,6 +110,20 @@ def test_packing_of_odd_rows(spark):
     assert packing.pack(frame.limit(0), queries.TOKENIZER).count() == 0
 
 
+def test_ids_of_added_tokens_and_letters_that_grow():
+    """Ids are those of the plain tokenizer, also around control strings and where lower case leaves the simple letters."""
+    encoder, plain = WordEncoder(queries.TOKENIZER), Tokenizer.from_file(queries.TOKENIZER)
+    texts = ["x <|endoftext|> y", "<|startoftext|>a", "a<|ENDOFTEXT|>b <|StartOfText|>", "A<|endoftext|x>", "AƏB", "Ɔx Ɛ Ɓ Ⱥ", "plain words", None, "  <|endoftext|>  <|endoftext|>", "".join(map(chr, range(1, 0x250)))]
+    texts += [f"a{chr(c)}b {chr(c)}c" for c in range(1, 0x250)]
+    for text, ids in zip(texts, encoder.encode(texts), strict=True):
+        assert ids.tolist() == plain.encode(text or "", add_special_tokens=False).ids, text
+
+
+def test_packing_of_control_strings(spark):
+    docs = [(1, "x <|endoftext|> y"), (2, "<|startoftext|>"), (3, "AƏB")]
+    check_packing(docs, packing.pack(spark.createDataFrame(docs, DOCS), queries.TOKENIZER).collect())
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plan_is_complete_and_tight(seed):
     rng = random.Random(seed)
