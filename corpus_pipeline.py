@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from resamplia.llm import decontamination, linedup, neardup, packing, toxicity
 from resamplia.llm.queries import TOKENIZER
-from resamplia.llm.shared import new_folder, table
+from resamplia.llm.shared import new_folder, stored, table
 
 # The general rule for near-duplicates: shingles of five words, similarity 0.8.
 SHINGLE, PERCENT = 5, 80
@@ -33,10 +33,20 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, that with the smallest doc_id."""
-    found = neardup.near_duplicates(docs, shingle=SHINGLE, percent=PERCENT)
-    gone = found.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    """One row of each group of near-duplicates stays: that with the smallest doc_id (null last), then the smallest md5 of the text,
+    then the smallest other columns. Texts without words all stay."""
+    text = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    same = lambda keys: docs["doc_id"].eqNullSafe(keys["_doc"]) & (text == keys["_md5"])
+    found = neardup.near_duplicates(docs, shingle=SHINGLE, percent=PERCENT, by_text=True).filter("n_shingles > 0")
+    keys = found.groupBy(F.col("doc_id").alias("_doc"), F.col("_text").alias("_md5")).agg(F.first("kept").alias("_kept"), F.count("*").alias("_n"))
+    keys = stored(keys.filter("not _kept or _n > 1"))
+    out = docs.join(keys, same(keys), "left_anti")
+    again = keys.filter("_kept")
+    if again.limit(1).count():
+        row = F.min(F.struct(*[docs[c] for c in docs.columns])).alias("_row")
+        rows = docs.join(again, same(again), "left_semi").groupBy("doc_id", text.alias("_md5")).agg(row)
+        out = out.unionByName(rows.select("_row.*"))
+    return out
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

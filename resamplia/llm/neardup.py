@@ -79,9 +79,10 @@ def _scan(n: int, posted: int, more: int):
                 keys, codes = signature([sets[i] for i in some], posted, more)
                 for row, i in enumerate(some):
                     ids[i], posts[i], rest[i] = set_id(sets[i]), keys[row].view(np.int64), codes[row].tobytes()
+            own = [c for c in batch.schema.names if c == "_text"]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array(posts, pa.list_(pa.int64())), pa.array(rest, pa.binary())],
-                ["doc_id", "n_shingles", "rid", "posts", "more"],
+                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array(posts, pa.list_(pa.int64())), pa.array(rest, pa.binary()), *[batch.column(c) for c in own]],
+                ["doc_id", "n_shingles", "rid", "posts", "more", *own],
             )
 
     return run
@@ -202,19 +203,25 @@ def _collide(collisions: int, posted: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, posted: int = POSTED, more: int = MORE) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, posted: int = POSTED, more: int = MORE, by_text: bool = False) -> DataFrame:
     """Per row of `docs` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Documents are linked if their sets of distinct `shingle`-word shingles have `percent` hundredths of their union
     in common; a shorter text is one shingle. Null, empty and wordless texts have no shingle and are linked
     with nothing. component_id is the smallest doc_id of the component; a null doc_id is never the smallest, and is
     kept only if it stands alone. Repeated rows are copies of one another. Other columns are ignored.
+
+    With `by_text` there is a column _text too, the md5 of the text, and of a component only the smallest doc_id (null last) with
+    its smallest _text is kept; only rows equal in both are kept together.
     """
     matches, collisions = least_matches(posted, percent), least_matches(posted + more, percent)
     rows = docs.select("doc_id", "text")
-    scan = stored(rows.mapInArrow(_scan(shingle, posted, more), SCAN))
+    own_text = ["_text"] if by_text else []
+    scanned = rows.withColumn("_text", F.md5(F.coalesce("text", F.lit("")).cast("binary"))) if by_text else rows
+    scan = stored(scanned.mapInArrow(_scan(shingle, posted, more), SCAN + ", _text string" * by_text))
+    first = [F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text")).alias("first")] * by_text
     reps = stored(
-        scan.filter("rid is not null").groupBy("rid").agg(F.first("posts").alias("posts"), F.first("more").alias("more"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+        scan.filter("rid is not null").groupBy("rid").agg(F.first("posts").alias("posts"), F.first("more").alias("more"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), *first)
     )
     keys = stored(repeated(reps, "posts", reps.count() * posted))
     lists = postings(reps, "rid", "posts", keys)
@@ -260,9 +267,13 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     more_links = stored(confirm(near, all_known, shingle, percent).unionByName(in_blocks))
     final = components(united.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more_links))
 
-    of_set = reps.select("rid", "doc_id").join(final.select(F.col("node").alias("rid"), "component"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
-    least = of_set.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    labels = of_set.join(least, "component").select("rid", "component_id")
-    joined = scan.select("doc_id", "n_shingles", "rid").join(labels, "rid", "left")
+    firsts = ["first"] if by_text else []
+    of_set = reps.select("rid", "doc_id", *firsts).join(final.select(F.col("node").alias("rid"), "component"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
+    least = of_set.groupBy("component").agg(F.min("doc_id").alias("component_id"), *[F.min(c).alias(c) for c in firsts])
+    labels = of_set.select("rid", "component").join(least, "component").select("rid", "component_id", *firsts)
+    joined = scan.select("doc_id", "n_shingles", "rid", *own_text).join(labels, "rid", "left")
     own = F.when(F.col("rid").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return joined.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, own.isNull()).alias("kept"))
+    kept = F.coalesce(F.col("doc_id") == own, own.isNull())
+    if by_text:
+        kept = F.col("rid").isNull() | (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("_text") == F.col("first._text")))
+    return joined.select("doc_id", "n_shingles", own.alias("component_id"), kept.alias("kept"), *own_text)

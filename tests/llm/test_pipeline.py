@@ -78,3 +78,16 @@ def test_near_duplicates_among_documents(spark):
     docs = [(1, "a b c d e f g h", "x"), (2, "A b c d e f g h", "y"), (3, None, "z"), (4, "", "z"), (2, "A b c d e f g h", "y")]
     frame = spark.createDataFrame(docs, "doc_id long, text string, _gone string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.dedup_documents(spark, frame, "").collect()) == [1, 3, 4]
+
+
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    """Rows go by their id and text: one of each group stays, and no unrelated row of the same id goes."""
+    text = lambda x: " ".join(f"{x}{k}" for k in range(8))
+    docs = [
+        (3, text("a"), "x"), (7, text("a"), "x"), (7, text("b"), "x"), (None, text("a"), "x"), (None, text("c"), "x"), (None, text("d"), "y"),
+        (None, text("d"), "x"), (None, text("d").upper().lower() + " ", "x"), (5, text("e"), "y"), (5, text("e"), "x"), (5, text("e"), "x"), (9, "", "x"), (9, "", "x"), (None, None, "x"),
+    ]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    got = [(r["doc_id"], (r["text"] or "").strip(), r["source"]) for r in corpus_pipeline.dedup_documents(spark, frame, "").collect()]
+    expected = [(3, text("a"), "x"), (7, text("b"), "x"), (None, text("c"), "x"), (None, text("d"), "x"), (5, text("e"), "x"), (9, "", "x"), (9, "", "x"), (None, "", "x")]
+    assert order(got) == order(expected)
