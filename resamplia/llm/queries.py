@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resamplia.llm import chat, decontamination, html, linedup, mixing, neardup, neighbours, packing, toxicity, warc
+from resamplia.llm import chat, decontamination, html, linedup, mixing, neardup, neighbours, packing, pieces, toxicity, warc
 from resamplia.llm.shared import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def sha256(text: Column) -> Column:
@@ -92,6 +93,11 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op12_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return pieces.digests(docs, pieces.read_model(PIECES))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_packing, op3_near_duplicates, op4_chat, op5_toxicity, op6_line_dedup, op7_neighbours, op8_mixing, op9_html, op10_warc)
+    f.__name__: f for f in (op1_decontamination, op2_packing, op3_near_duplicates, op4_chat, op5_toxicity, op6_line_dedup, op7_neighbours, op8_mixing, op9_html, op10_warc, op12_sentencepiece)
 }
