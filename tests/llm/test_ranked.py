@@ -1,0 +1,134 @@
+"""Ranked search against scoring every pair."""
+
+from __future__ import annotations
+
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from resamplia.llm import queries, ranked
+from resamplia.llm.shared import table
+
+TERM = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+
+
+def terms(text):
+    return ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t) for t in TERM.findall(text or "")]
+
+
+def plain(docs, items, k=10):
+    counted = [(d, Counter(terms(t))) for d, t in docs]
+    counted = [(d, c) for d, c in counted if c]
+    n_docs, n_terms = len(counted), sum(sum(c.values()) for _, c in counted)
+    df = Counter(t for _, c in counted for t in c)
+    weight = {t: math.floor(1000 * math.log((2 * n_docs + 2) / (2 * n + 1))) for t, n in df.items()}
+    out = []
+    for item, text in items:
+        found = []
+        for doc, c in counted:
+            m = 100 - 90 + (90 * sum(c.values()) * n_docs) // n_terms
+            score = sum(weight[t] * ((1000000000 * c[t]) // (1000 * c[t] + 8 * m)) for t in set(terms(text)) if t in c)
+            if score > 0:
+                found.append((-score, doc is None, doc or 0, doc))
+        found.sort(key=lambda x: x[:3])
+        out += [(item, i + 1, x[3], -x[0]) for i, x in enumerate(found[:k])]
+    return sorted(out, key=repr)
+
+
+def rows(df):
+    assert df.columns == ["item_id", "rank", "doc_id", "score"]
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+def test_query_equals_all_pairs(spark, folder):
+    docs = [tuple(r) for r in table(spark, folder, "documents").select("doc_id", "text").collect()]
+    items = [tuple(r) for r in table(spark, folder, "benchmark").select("item_id", "text").collect()]
+    assert rows(queries.op13_ranked(spark, folder)) == plain(docs, items)
+
+
+@pytest.fixture
+def small(monkeypatch):
+    """What is set here holds in the driver alone: blocks of items."""
+    monkeypatch.setattr(ranked, "BLOCK_TERMS", 6)
+
+
+def some(n, seed):
+    rng = random.Random(seed)
+    pool = [f"w{int(rng.paretovariate(0.7)) % 40}" for _ in range(300)]
+    docs = [(k, " ".join(rng.choices(pool, k=rng.randint(0, 30)))) for k in range(n)]
+    docs += [(500 + k, docs[3][1]) for k in range(15)] + [(None, docs[3][1]), (None, None), (900, None), (901, ""), (902, "-- ++"), (3, docs[3][1])]
+    docs += [(903, "É1 ÉCOLE école w1 " * 20_000), (904, "W1.w2,w3")]
+    items = [(k, " ".join(rng.choices(pool, k=rng.randint(1, 6)))) for k in range(30)]
+    return docs, items + [(30, None), (31, "..."), (32, "nowhere"), (None, "w1 w2"), (33, "w1 w1 W1"), (33, "w1 w1 W1"), (34, "École É1"), (35, docs[3][1])]
+
+
+def test_nulls_ties_copies_long_texts_and_blocks(spark, small):
+    docs, items = some(200, 1)
+    frame = spark.createDataFrame(docs, "doc_id long, text string").withColumns({c: F.lit(1) for c in ["item_id", "score", "rank", "_item", "_text"]})
+    asked = spark.createDataFrame(items, "item_id long, text string").withColumns({c: F.lit("x") for c in ["doc_id", "terms", "_name"]})
+    assert rows(ranked.search(frame.repartition(4), asked)) == plain(docs, items)
+    assert rows(ranked.search(frame.repartition(1), asked, k=3)) == plain(docs, items, 3)
+
+
+def test_empty_tables(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "a")], "item_id long, text string")
+    assert rows(ranked.search(docs.limit(0), items)) == [] and rows(ranked.search(docs, items.limit(0))) == []
+    assert rows(ranked.search(docs.filter("false").union(docs.selectExpr("doc_id", "cast(null as string)")), items)) == []
+
+
+def counted(docs, vocabulary):
+    chunks = ranked._Chunks(len(vocabulary))
+    for d, t in docs:
+        own = Counter(vocabulary[x] for x in terms(t) if x in vocabulary)
+        key = np.array(sorted(own), np.int64)
+        chunks.add(pa.array([d], pa.int64()), np.array([len(terms(t))]), np.zeros(len(key), np.int64), key, np.array([own[x] for x in key.tolist()], np.int64))
+    return chunks.take().to_pylist()[0]
+
+
+def test_bounds_hold_and_prune(monkeypatch):
+    """Every node's bound is at least each score below it; pairs that go have a smaller bound than the thresholds; the pruned part is large."""
+    monkeypatch.setattr(ranked, "LEAF_DOCS", 4)
+    monkeypatch.setattr(ranked, "SUMMED", 50)
+    rng = random.Random(4)
+    topics = [[f"t{g}x{k}" for k in range(12)] for g in range(12)]
+    docs = [(k, " ".join(rng.choices(topics[k % 12], k=rng.randint(1, 9)) + ["all"])) for k in range(400)]
+    asked = [" ".join(rng.sample(topics[g % 12], 4) + ["all"]) for g in range(24)]
+    vocabulary = {t: k for k, t in enumerate(sorted({t for x in asked for t in terms(x)}))}
+    lists = [np.array(sorted({vocabulary[t] for t in terms(x)})) for x in asked]
+    first = np.append(0, np.cumsum([len(x) for x in lists]))
+    order, cuts, depth = ranked._divide(np.arange(24), first, np.concatenate(lists), len(vocabulary), 1)
+    assert len(cuts) == 24 and sorted(order.tolist()) == list(range(24))
+    at, begin = ranked._taken(first, order)
+    frequency = Counter(vocabulary[t] for _, x in docs for t in set(terms(x)) if t in vocabulary)
+    n_terms = sum(len(terms(x)) for _, x in docs)
+    weight = ranked.weights(np.array([frequency[k] for k in range(len(vocabulary))]), len(docs))
+    items = ranked._Items(begin, np.concatenate(lists)[at], cuts, depth, weight, len(docs), n_terms, 3)
+    row = counted(docs, vocabulary)
+    chunk = ranked._Chunk(row, items)
+    every = ranked._Best(24, len(docs))
+    leaf, item = (x.ravel() for x in np.meshgrid(np.arange(len(chunk.cuts)), np.arange(24)))
+    chunk.score(leaf, item, every)
+    want = plain(docs, list(enumerate(asked)), len(docs))
+    assert sorted(zip(order[every.item].tolist(), every.doc.tolist(), every.score.tolist(), strict=True)) == sorted((i, d, s) for i, _, d, s in want)
+
+    _, f, t = chunk.items[-1]
+    bound = chunk.bounds(chunk.largest, leaf, f, t, item)
+    place = {d: k for k, d in enumerate(chunk.ids.tolist())}
+    of = np.searchsorted(chunk.cuts, np.array([place[d] for d in every.doc.tolist()]), "right") - 1
+    assert (bound[every.item * len(chunk.cuts) + of] >= every.score).all()
+
+    seeds = ranked._Best(24, 3)
+    chunk.score(*chunk.promising(), seeds)
+    best = ranked._Best(24, 3, seeds.threshold)
+    left = chunk.open_pairs(best.threshold)
+    assert len(left[0]) < 0.3 * 24 * len(chunk.cuts)
+    chunk.score(*left, best)
+    got = sorted(zip(order[best.item].tolist(), best.doc.tolist(), best.score.tolist(), strict=True))
+    assert got == sorted((i, d, s) for i, r, d, s in want if r <= 3)
