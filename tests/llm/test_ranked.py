@@ -127,8 +127,7 @@ def test_bounds_hold_and_prune(monkeypatch):
     seeds = ranked._Best(24, 3)
     chunk.score(*chunk.promising(), seeds)
     best = ranked._Best(24, 3, seeds.threshold)
-    left = chunk.open_pairs(best.threshold)
-    assert len(left[0]) < 0.3 * 24 * len(chunk.cuts)
-    chunk.score(*left, best)
+    chunk.score(*chunk.open_pairs(best.threshold), best)
+    assert len(chunk.open_pairs(best.threshold)[0]) < 0.3 * 24 * len(chunk.cuts)
     got = sorted(zip(order[best.item].tolist(), best.doc.tolist(), best.score.tolist(), strict=True))
     assert got == sorted((i, d, s) for i, r, d, s in want if r <= 3)
