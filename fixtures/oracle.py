@@ -250,6 +250,10 @@ SELECT replicate, round(sqrt(sum((truth - estimate) * (truth - estimate)) / coun
   round(sum(CASE WHEN abs(truth - estimate) <= 0.1::DOUBLE * truth THEN 1 ELSE 0 END)::DOUBLE
     / count(*), 6) AS within_tenth
 FROM s GROUP BY replicate""",
+        "bootstrap_median_error": f"""{drawn}
+SELECT replicate, quantile_cont(abs(truth - estimate), 0.5) AS median_error FROM s GROUP BY replicate""",
+        "bootstrap_median_error_by_model": f"""{models}
+SELECT replicate, model, quantile_cont(abs(truth - estimate), 0.5) AS median_error FROM s GROUP BY replicate, model""",
         "roc_auc": """WITH d AS (SELECT quality AS truth, n_chars AS score FROM documents JOIN labels USING (doc_id)),
 ranked AS (SELECT truth, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE AS r FROM d),
 totals AS (SELECT count(*) FILTER (truth = 1) AS positives, count(*) FILTER (truth = 0) AS negatives,

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fixtures import views
 from resamplia.functions.metrics import METRICS, complete_pairs, metric_aggregates, to_long
 from resamplia.functions.scalars import epoch_seconds, without
+from resamplia.functions.states import QuantileMetric, Rows, SumMetric
 from resamplia.operators import checks, ordered
 from resamplia.plans import bootstrap, monitor, speedup
+from resamplia.plans.set_metrics import set_metrics
 from resamplia.sources import files
 from resamplia.sources.pairs import dense_index
 
@@ -150,23 +152,32 @@ def bootstrap_poisson(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bootstrap_udf(spark: SparkSession, folder: str) -> DataFrame:
-    """A user's own sums in pandas: squared error, and rows predicted within a tenth."""
-
-    # A nested function travels to the workers by value: they need not import this module.
-    def squared_and_close(part: pd.DataFrame) -> dict[str, float]:
-        error = (part["truth"] - part["estimate"]).abs()
-        return {
-            "n": len(part),
-            "squared": (error * error).sum(),
-            "close": (error <= 0.1 * part["truth"]).sum(),
-        }
-
-    sums = bootstrap.reduce_sets(drawn_rows(spark, folder), squared_and_close, ["n", "squared", "close"])
-    return sums.select(
-        "replicate",
-        F.round(F.sqrt(F.col("squared") / F.col("n")), 6).alias("rmse"),
-        F.round(F.col("close") / F.col("n"), 6).alias("within_tenth"),
-    )
+    """A user's own sums: squared error, and rows predicted within a tenth."""
+
+    # Nested functions travel to the workers by value: they need not import this module.
+    def parts(rows: Rows, weight: np.ndarray) -> list[float]:
+        error = np.abs(rows["truth"] - rows["estimate"])
+        return [weight.sum(), (weight * error * error).sum(), weight[error <= 0.1 * rows["truth"]].sum()]
+
+    def result(sums: list[float]) -> dict[str, float]:
+        n, squared, close = sums
+        return {"rmse": (squared / n) ** 0.5, "within_tenth": close / n}
+
+    metric = SumMetric(["rmse", "within_tenth"], parts, result)
+    return rounded(set_metrics(views.model_pairs(spark, folder), TIMES, SEED, metric), 6, *metric.names)
+
+
+def median_error() -> QuantileMetric:
+    return QuantileMetric("median_error", lambda rows: abs(rows["truth"] - rows["estimate"]))
+
+
+def bootstrap_median_error(spark: SparkSession, folder: str) -> DataFrame:
+    """The median of |error| of each resample, exactly."""
+    return set_metrics(views.model_pairs(spark, folder), TIMES, SEED, median_error())
+
+
+def bootstrap_median_error_by_model(spark: SparkSession, folder: str) -> DataFrame:
+    return set_metrics(views.pairs(spark, folder), TIMES, SEED, median_error(), by=["model"])
 
 
 def roc_auc(spark: SparkSession, folder: str) -> DataFrame:
@@ -352,6 +363,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bootstrap_gather": bootstrap_gather,
     "bootstrap_poisson": bootstrap_poisson,
     "bootstrap_udf": bootstrap_udf,
+    "bootstrap_median_error": bootstrap_median_error,
+    "bootstrap_median_error_by_model": bootstrap_median_error_by_model,
     "roc_auc": roc_auc,
     "bootstrap_auc": bootstrap_auc,
     "bootstrap_auc_ci": bootstrap_auc_ci,

@@ -12,15 +12,34 @@ from pyspark.sql import functions as F
 SMALL_ROWS = 500_000
 
 
+_kept: list[DataFrame] = []
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """`df`, kept in memory or on the executors' disks once it is computed; what is lost with an executor is computed again.
+    Results are lazy, so only the caller knows when such tables are needed no more: see `release`."""
+    _kept.append(df.persist())
+    return df
+
+
+def release() -> int:
+    """Give up all tables that this library keeps; results that still need one compute it again. Returns their number."""
+    n = len(_kept)
+    while _kept:
+        table = _kept.pop()
+        if not table.sparkSession.sparkContext._jsc.sc().isStopped():
+            table.unpersist()
+    return n
+
+
 def small_side(df: DataFrame) -> DataFrame:
     """A derived table for the small side of a join, broadcast if its counted rows are few.
 
     Spark cannot know the size of an aggregate beforehand and would shuffle the large side as
-    well. The table is kept in memory or on the executors' disks; what is lost with an executor is computed again. Above
-    SMALL_ROWS it is joined by a shuffle, in which adaptive execution splits hot keys.
+    well. The table is kept (see `kept`). Above SMALL_ROWS it is joined by a shuffle, in which adaptive execution splits hot keys.
     """
-    kept = df.persist()
-    return F.broadcast(kept) if kept.count() <= SMALL_ROWS else kept
+    table = kept(df)
+    return F.broadcast(table) if table.count() <= SMALL_ROWS else table
 
 
 def inner_join_nulls_match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

@@ -9,6 +9,8 @@ from math import ceil, isfinite
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from resamplia.operators.joins import kept
+
 # Keys are cut at RANGES - 1 percentiles, and again at percentiles of each range when a range would hold more
 # than ROWS_PER_RANGE keys.
 RANGES = 128
@@ -70,7 +72,7 @@ def running_totals(df: DataFrame, key: str, measures: Sequence[str]) -> DataFram
     range is summed on its own and shifted by the totals of the ranges before it. `df` is used
     three times, so it is kept in memory or on disk; what is lost is computed again.
     """
-    source = df.persist()
+    source = kept(df)
     ranged = source.withColumn("_range", find_ranges(source, key).number(key))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     # One row per range, a millionth of the keys: safe in one task, and safe to broadcast.

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from decimal import Decimal, localcontext
 from math import ceil, floor, log2, sqrt
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,10 @@ from pyspark.sql import functions as F
 # draws; it exceeds n with probability below 1e-15.
 MARGIN = 8.0
 
+# The five primes of XXH64, and the seed that xxhash64 starts from.
+PRIMES = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
+START = 42
+
 # Last counter of the added draws, which keeps their random numbers apart from the weights.
 ADDED = 1
 
@@ -89,6 +94,42 @@ def with_poisson_weight(df: DataFrame, rate: float, first: int, last: int, seed:
     return drawn.withColumn("w", F.when(F.col("replicate") < 0, 1).otherwise(w).cast("bigint")).withColumn("replicate", F.abs("replicate")).drop("_u")
 
 
+class PoissonWeights:
+    """The weights of `with_poisson_weight` for the rows low..high-1 in numpy, one replicate at a time: for functions that run in
+    Python workers anyway, so that no drawn row has to be sent to them."""
+
+    def __init__(self, rate: float, seed: int, low: int, high: int):
+        self.limits, self.n = np.array(poisson_thresholds(rate), np.uint64), high - low
+        self.start = self._hash(np.array([seed], np.uint64), np.array([START], np.uint64))
+        self.rows = self._spread(np.arange(low, high, dtype=np.uint64))
+
+    @staticmethod
+    def _turn(x: np.ndarray, bits: int) -> np.ndarray:
+        return x << np.uint64(bits) | x >> np.uint64(64 - bits)
+
+    def _spread(self, value: np.ndarray) -> np.ndarray:
+        return self._turn(value * np.uint64(PRIMES[1]), 31) * np.uint64(PRIMES[0])
+
+    def _finish(self, spread: np.ndarray, before: np.ndarray) -> np.ndarray:
+        h = (before + np.uint64(PRIMES[4]) + np.uint64(8)) ^ spread
+        h = self._turn(h, 27) * np.uint64(PRIMES[0]) + np.uint64(PRIMES[3])
+        h = (h ^ h >> np.uint64(33)) * np.uint64(PRIMES[1])
+        h = (h ^ h >> np.uint64(29)) * np.uint64(PRIMES[2])
+        return h ^ h >> np.uint64(32)
+
+    def _hash(self, value: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """One 64-bit integer hashed on top of a hash."""
+        return self._finish(self._spread(value), before)
+
+    def of(self, replicate: int) -> np.ndarray:
+        weight = np.zeros(self.n, np.int64)
+        if len(self.limits):
+            u = self._finish(self.rows, self._hash(np.array([replicate], np.uint64), self.start)) >> np.uint64(1)
+            drawn = np.flatnonzero(u >= self.limits[0])
+            weight[drawn] = np.searchsorted(self.limits, u[drawn], "right")
+        return weight
+
+
 def scan_rate(size: int) -> float:
     """Largest 1 - 2^-k that leaves MARGIN * sqrt(size) draws to be added; 0 for small tables."""
     return 1.0 - 0.5 ** max(0, floor(log2(sqrt(size) / MARGIN)))

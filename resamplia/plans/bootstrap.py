@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from resamplia.functions.metrics import complete_pairs, metrics_from_sums, weighted_sums
-from resamplia.operators.joins import inner_join_nulls_match
+from resamplia.operators.joins import inner_join_nulls_match, kept
 from resamplia.operators.ordered import find_ranges, roc_auc_of_counts
 from resamplia.operators.resample import added_draws, gather, scan, scan_rate, task_count, with_poisson_weight
 
@@ -31,8 +31,8 @@ BROADCAST_ROWS = 1_000_000
 def checked_models(pairs: DataFrame, by: Sequence[str] = (), dense: bool = True) -> tuple[DataFrame, int, int]:
     """(models, rows, n): one row per model with the centres of its values, rows of the table and of a model.
 
-    Every model must hold row_ix 0..n-1 once each; two xor sums of hashes tell, without a shuffle of rows: n
-    distinct indexes have the sum of 0..n-1 only if none is missing. With dense=False only nulls and repeated
+    Every model must hold row_ix 0..n-1 once each; an xor of hashes tells, without a shuffle of rows: n
+    distinct indexes have the xor of 0..n-1 only if none is missing. With dense=False only nulls and repeated
     keys are refused.
     """
 
@@ -45,8 +45,8 @@ def checked_models(pairs: DataFrame, by: Sequence[str] = (), dense: bool = True)
         F.count("*").alias("_rows"), F.count("row_ix").alias("_keys"), F.min("row_ix").alias("_low"), F.max("row_ix").alias("_high"),
         F.bit_xor(F.xxhash64("row_ix")).alias("_xor"), centre("truth").alias("_truth"), centre("estimate").alias("_estimate"),
     )
-    # Few rows: one per model. They are kept in memory, and can be computed again.
-    models = models.persist()
+    # Few rows: one per model.
+    models = kept(models)
     found = models.agg(F.sum("_rows"), F.min("_rows"), F.max("_rows"), F.min("_low"), F.max("_high"), F.min("_xor"), F.max("_xor"), F.sum("_keys")).first()
     rows, least, most, low, high, xor, xor2, keys = found
     if not rows:
@@ -125,7 +125,7 @@ def _weighted(rows: DataFrame, rate: float, first: int, times: int, seed: int, b
     )
 
 
-def _frame(models: DataFrame, by: Sequence[str], first: int, times: int) -> DataFrame:
+def frame_of(models: DataFrame, by: Sequence[str], first: int, times: int) -> DataFrame:
     """Every replicate with every model."""
     replicates = F.sequence(F.lit(first).cast("bigint"), F.lit(times).cast("bigint"))
     return models.select(*by, F.explode(replicates).alias("replicate"))
@@ -141,7 +141,7 @@ def bootstrap_metrics(pairs: DataFrame, times: int, seed: int, by: Sequence[str]
     models, rows, size = checked_models(pairs, by)
     data = _centred(pairs.select("row_ix", *by, "truth", "estimate"), models, by)
     rate = scan_rate(size)
-    frame = _frame(models, by, first, times)
+    frame = frame_of(models, by, first, times)
     if rate:
         spread = _spread(data, rows, times - first + 1)
         found = inner_join_nulls_match(frame, _weighted(spread, rate, first, times, seed, by), ["replicate", *by], "left")
@@ -205,7 +205,7 @@ def poisson_metrics(pairs: DataFrame, times: int, seed: int, by: Sequence[str] =
     models, rows, _ = checked_models(pairs, by, dense=False)
     data = _spread(_centred(pairs.select("row_ix", *by, "truth", "estimate"), models, by), rows, times - first + 1)
     sums = _weighted(data, 1.0, first, times, seed, by)
-    found = inner_join_nulls_match(_frame(models, by, first, times), sums, ["replicate", *by], "left")
+    found = inner_join_nulls_match(frame_of(models, by, first, times), sums, ["replicate", *by], "left")
     return _scores(found, models, by)
 
 
