@@ -194,6 +194,17 @@ PANEL = """f AS (SELECT * FROM m WHERE framework = 'future' AND backend = 'mirai
 x AS (SELECT * FROM f WHERE run = (SELECT min(run) FROM f))"""
 
 
+MOMENTS = f"""WITH {MC},
+t AS (SELECT run, framework, backend, platform, pid, epoch_us(time) AS moment, max(CASE WHEN pct_cpu > 50 THEN 1 ELSE 0 END) AS on_
+  FROM m WHERE parallel AND pid <> main_pid GROUP BY run, framework, backend, platform, pid, epoch_us(time)),
+c AS (SELECT run, framework, backend, platform, moment,
+    CASE WHEN lead(moment) OVER w IS NULL THEN 0 ELSE on_ END - coalesce(lag(on_) OVER w, 0) AS change FROM t
+  WINDOW w AS (PARTITION BY run, framework, backend, platform, pid ORDER BY moment)),
+n AS (SELECT run, framework, backend, platform, moment, sum(change) AS change FROM c
+  GROUP BY run, framework, backend, platform, moment HAVING sum(change) <> 0),
+b AS (SELECT run, framework, backend, platform, moment, (sum(change) OVER (PARTITION BY run, framework, backend, platform ORDER BY moment))::BIGINT AS busy FROM n)"""
+
+
 def oracles(times: int, seed: int) -> dict[str, str]:
     metrics = f"metrics AS (SELECT replicate, {METRICS} FROM s GROUP BY replicate)"
     by_model = f"metrics AS (SELECT replicate, model, {METRICS}, count(*) AS n FROM s GROUP BY replicate, model)"
@@ -238,6 +249,10 @@ SELECT metric, estimator, {ci} FROM long GROUP BY metric, estimator""",
         "bootstrap_ci_by_model": f"""{models}, {by_model},
 long AS ({long_sql("metrics", "replicate, model,")})
 SELECT model, metric, {ci} FROM long GROUP BY model, metric""",
+        "bootstrap_ci_sketch": f"""{models}, {by_model},
+long AS ({long_sql("metrics", "replicate, model,")})
+SELECT model, metric, count(estimate) AS replicates, TRUE AS lower_enclosed, TRUE AS upper_enclosed, TRUE AS lower_near, TRUE AS upper_near,
+  TRUE AS small_error FROM long GROUP BY model, metric HAVING count(estimate) > 0""",
         "bootstrap_scan": f"""{drawn}, {metrics}
 SELECT replicate, {ROUNDED} FROM metrics""",
         "bootstrap_scan_counts": f"""SELECT b.replicate, model, count(*) AS n
@@ -362,6 +377,18 @@ FROM m WHERE parallel AND pid <> main_pid GROUP BY date_trunc('hour', time)""",
 SELECT run, framework, backend, platform, pid, count(*) AS samples,
   round(avg(CASE WHEN pct_cpu < 5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS idle_share
 FROM m WHERE parallel AND pid <> main_pid GROUP BY run, framework, backend, platform, pid""",
+        "busy_at_moments": f"{MOMENTS} SELECT * FROM b",
+        "busy_peak": f"""{MOMENTS},
+l AS (SELECT *, coalesce(lead(moment) OVER (PARTITION BY run, framework, backend, platform ORDER BY moment) - moment, 0) AS length FROM b)
+SELECT run, framework, backend, platform, max(busy) AS peak, arg_min(moment, {{'b': -busy, 'a': moment}}) AS moment,
+  round(sum(busy * length)::DOUBLE / nullif(sum(length), 0)::DOUBLE, 9) AS mean_busy FROM l GROUP BY run, framework, backend, platform""",
+        "idle_periods": f"""WITH {MC},
+t AS (SELECT run, framework, backend, platform, pid, epoch_us(time) AS moment, max(CASE WHEN pct_cpu >= 30 THEN 1 ELSE 0 END) AS busy, count(*) AS samples
+  FROM m WHERE parallel AND pid <> main_pid GROUP BY run, framework, backend, platform, pid, epoch_us(time)),
+i AS (SELECT *, row_number() OVER (PARTITION BY run, framework, backend, platform, pid ORDER BY moment)
+  - row_number() OVER (PARTITION BY run, framework, backend, platform, pid, busy ORDER BY moment) AS island FROM t)
+SELECT run, framework, backend, platform, pid, min(moment) AS start_at, max(moment) AS end_at, sum(samples)::BIGINT AS samples
+FROM i WHERE busy = 0 GROUP BY run, framework, backend, platform, pid, island""",
         "package_names": "SELECT p_partkey, replace(p_name, 'small ', '') AS name FROM part",
     }
     for name, groups in (

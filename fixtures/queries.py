@@ -15,6 +15,7 @@ from resamplia.functions.states import QuantileMetric, Rows, SumMetric
 from resamplia.operators import checks, ordered
 from resamplia.plans import bootstrap, monitor, speedup
 from resamplia.plans.set_metrics import set_metrics
+from resamplia.plans.sketches import percentile_bounds
 from resamplia.sources import files
 from resamplia.sources.pairs import dense_index
 
@@ -128,6 +129,35 @@ def bootstrap_ci_by_model(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(bounds, CI_DIGITS, "lower", "mean", "upper")
 
 
+def bootstrap_ci_sketch(spark: SparkSession, folder: str) -> DataFrame:
+    """Do the limits of small sketches enclose the exact limits, as far in ranks as they say? The scores are ranked by counting."""
+    scores = to_long(scored_by_model(spark, folder), ["replicate", "model"])
+    keys = ["model", "metric"]
+    found = percentile_bounds(scores, keys, size=128).where("replicates > 0")
+    exact = bootstrap.percentile_ci(scores, keys).select(*[F.col(c).alias(f"_{c}") for c in keys], F.col("lower").alias("low"), F.col("upper").alias("high"))
+    met = found.join(exact, [F.col(c) == F.col(f"_{c}") for c in keys]).drop(*[f"_{c}" for c in keys])
+    of = scores.select(*[F.col(c).alias(f"_{c}") for c in keys], "estimate")
+    ranked = met.join(of, [F.col(c) == F.col(f"_{c}") for c in keys])
+
+    def below(bound: str, strict: bool) -> Column:
+        return F.count_if((F.col("estimate") < F.col(bound)) if strict else (F.col("estimate") <= F.col(bound)))
+
+    counts = ranked.groupBy(*keys, "replicates", "rank_error", "lower", "upper", "low", "high").agg(
+        below("lower.low", True).alias("a"), below("lower.high", False).alias("b"), below("upper.low", True).alias("c"), below("upper.high", False).alias("d")
+    )
+    # Either limit is at most twice the stated error and the weight of one number away from its rank.
+    slack = 2 * F.col("rank_error") * F.col("replicates") + 2 * F.col("replicates") / 128 + 1
+    near = lambda rank, q: F.abs(rank - q * F.col("replicates")) <= slack
+    return counts.select(
+        *keys, "replicates", ((F.col("lower.low") <= F.col("low")) & (F.col("low") <= F.col("lower.high"))).alias("lower_enclosed"),
+        ((F.col("upper.low") <= F.col("high")) & (F.col("high") <= F.col("upper.high"))).alias("upper_enclosed"),
+        # A value that very many scores share has no rank of its own.
+        F.when(F.col("lower.low") < F.col("lower.high"), near(F.col("a"), 0.025) & near(F.col("b"), 0.025)).otherwise(True).alias("lower_near"),
+        F.when(F.col("upper.low") < F.col("upper.high"), near(F.col("c"), 0.975) & near(F.col("d"), 0.975)).otherwise(True).alias("upper_near"),
+        (F.col("rank_error") <= 0.05).alias("small_error"),
+    )
+
+
 def bootstrap_scan(spark: SparkSession, folder: str) -> DataFrame:
     """The metrics from drawn rows, as a user's own aggregates would get them."""
     scores = drawn_rows(spark, folder).groupBy("replicate").agg(*metric_aggregates())
@@ -339,6 +369,18 @@ def idle_share(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(monitor.idle_share(samples(spark, folder), 5.0), 6, "idle_share")
 
 
+def busy_at_moments(spark: SparkSession, folder: str) -> DataFrame:
+    return monitor.busy_at_moments(samples(spark, folder), 50.0)
+
+
+def busy_peak(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(monitor.busy_peak(samples(spark, folder), 50.0), 9, "mean_busy")
+
+
+def idle_periods(spark: SparkSession, folder: str) -> DataFrame:
+    return monitor.idle_periods(samples(spark, folder), 30.0)
+
+
 def package_names(spark: SparkSession, folder: str) -> DataFrame:
     part = views.table(spark, folder, "part")
     return part.select("p_partkey", without(F.col("p_name"), "small ").alias("name"))
@@ -358,6 +400,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bootstrap_rare_model": bootstrap_rare_model,
     "bootstrap_ci": bootstrap_ci,
     "bootstrap_ci_by_model": bootstrap_ci_by_model,
+    "bootstrap_ci_sketch": bootstrap_ci_sketch,
     "bootstrap_scan": bootstrap_scan,
     "bootstrap_scan_counts": bootstrap_scan_counts,
     "bootstrap_gather": bootstrap_gather,
@@ -399,6 +442,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "labels_of_panel": labels_of_panel,
     "single_run": single_run,
     "busy_workers": busy_workers,
+    "busy_at_moments": busy_at_moments,
+    "busy_peak": busy_peak,
     "idle_share": idle_share,
+    "idle_periods": idle_periods,
     "package_names": package_names,
 }

@@ -24,7 +24,14 @@ class Ask:
     question: Any
 
 
-class SetMetric(ABC):
+class Mergeable(ABC):
+    """Whatever makes one state of two. The order must not matter."""
+
+    @abstractmethod
+    def merge(self, a: Any, b: Any) -> Any: ...
+
+
+class SetMetric(Mergeable):
     """`names` are the result columns; all are doubles."""
 
     names: Sequence[str]
@@ -33,9 +40,6 @@ class SetMetric(ABC):
     def update(self, rows: Rows, weight: np.ndarray, question: Any) -> Any:
         """The state of some rows, each drawn `weight` times (1 or more); `question` is None in the first round."""
 
-    @abstractmethod
-    def merge(self, a: Any, b: Any) -> Any: ...
-
     @abstractmethod
     def finish(self, state: Any, question: Any) -> Mapping[str, float | None] | Ask:
         """Results of a whole set; `state` is None if nothing was drawn."""

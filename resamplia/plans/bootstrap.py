@@ -213,7 +213,8 @@ def percentile_ci(scores: DataFrame, keys: Sequence[str] = ("metric",), level: f
     """Percentile interval and mean of `estimate` over the replicates of each key, and the number of
     replicates that have a value.
 
-    Exact percentiles: a group holds one value per replicate, however large the data is.
+    Exact percentiles: a group holds one value per replicate, however large the data is. For very many replicates
+    see `plans.sketches.percentile_bounds`.
     """
     tail = round((1.0 - level) / 2.0, 12)
     bounds = F.percentile("estimate", F.array(F.lit(tail), F.lit(round(1.0 - tail, 12))))

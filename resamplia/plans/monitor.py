@@ -20,6 +20,7 @@ from resamplia.functions.scalars import (
 )
 from resamplia.operators.joins import inner_join_nulls_match, small_side
 from resamplia.operators.ordered import dense_codes
+from resamplia.operators.sweep import RANGE, ranged, with_previous, with_running_sum
 from resamplia.sources.files import SCENARIO
 
 # Percent CPU limits outside which a process is listed as unusual.
@@ -152,3 +153,61 @@ def idle_share(monitor: DataFrame, idle_below: float, by: Sequence[str] = WORKER
     """Share of samples in which a worker was idle; main processes do not count."""
     idle = F.avg((F.col("pct_cpu") < idle_below).cast("int"))
     return worker_samples(monitor).groupBy(*by).agg(F.count("*").alias("samples"), idle.alias("idle_share"))
+
+
+# A run is one scenario's; its workers are told apart by process id.
+RUN = ("run", *SCENARIO)
+
+
+def _states(monitor: DataFrame, name: str, holds: Column) -> DataFrame:
+    """Of every worker and sampling time (`moment`, microseconds): does `holds` in a sample of then, 1 or 0? Samples without
+    a value or a time say nothing."""
+    samples = worker_samples(monitor).where(F.col("pct_cpu").isNotNull() & ~F.isnan("pct_cpu") & F.col("time").isNotNull())
+    return samples.groupBy(*WORKER, F.unix_micros("time").alias("moment")).agg(
+        F.max(holds.cast("int")).alias(name), F.count("*").alias("samples")
+    )
+
+
+def busy_at_moments(monitor: DataFrame, busy_above: float, by: Sequence[str] = RUN) -> DataFrame:
+    """The number of busy workers from each moment on at which it changes: by, moment (microseconds), busy.
+
+    A worker is busy from a sample above the limit until its next sample that is not, or until its last sample. Main processes do
+    not count. Intervals are never formed: their ends are changes of +1 and -1, which are summed per moment and then along time, so all
+    that happens at one moment counts together.
+    """
+    rows = ranged(_states(monitor, "on", F.col("pct_cpu") > busy_above).drop("samples"), "moment")
+    last = small_side(rows.groupBy(*WORKER).agg(F.max("moment").alias("_end")))
+    known = inner_join_nulls_match(with_previous(rows, WORKER, "moment", "on", "_before"), last, WORKER)
+    now = F.when(F.col("moment") < F.col("_end"), F.col("on")).otherwise(0)
+    changes = known.select(*by, "moment", RANGE, (now - F.coalesce("_before", F.lit(0))).alias("change")).where("change <> 0")
+    moments = changes.groupBy(*by, "moment", RANGE).agg(F.sum("change").alias("change")).where("change <> 0")
+    return with_running_sum(moments, by, "moment", "change", "busy").select(*by, "moment", "busy")
+
+
+def busy_peak(monitor: DataFrame, busy_above: float, by: Sequence[str] = RUN) -> DataFrame:
+    """The largest number of workers busy at once, when that was first reached, and the mean number over the time between the first and
+    the last change."""
+    moments = ranged(busy_at_moments(monitor, busy_above, by), "moment")
+    # The next moment of a group is the one before on the reversed axis.
+    back = ranged(moments.drop(RANGE).withColumn("_back", -F.col("moment")), "_back")
+    spans = with_previous(back, by, "_back", "moment", "_next").withColumn("_length", F.coalesce(F.col("_next") - F.col("moment"), F.lit(0)))
+    return spans.groupBy(*by).agg(
+        F.max("busy").alias("peak"), F.min_by("moment", F.struct(-F.col("busy"), F.col("moment"))).alias("moment"),
+        F.try_divide(F.sum(F.col("busy") * F.col("_length")), F.sum("_length")).alias("mean_busy"),
+    )
+
+
+def idle_periods(monitor: DataFrame, idle_below: float) -> DataFrame:
+    """Longest stretches of samples in which a worker was idle: worker, start_at and end_at (microseconds of the first and last idle
+    sample), samples. Samples of one worker and time are idle if all are.
+
+    Periods are numbered by the running number of their beginnings, so one that lasts over many ranges is counted by partial
+    sums like any other group.
+    """
+    busy = _states(monitor, "_busy", F.col("pct_cpu") >= idle_below)
+    rows = with_previous(ranged(busy, "moment"), WORKER, "moment", "_busy", "_before")
+    begins = (F.col("_busy") == 0) & (F.coalesce("_before", F.lit(1)) == 1)
+    numbered = with_running_sum(rows.withColumn("_begins", begins.cast("int")), WORKER, "moment", "_begins", "_period")
+    return numbered.where("_busy = 0").groupBy(*WORKER, "_period").agg(
+        F.min("moment").alias("start_at"), F.max("moment").alias("end_at"), F.sum("samples").alias("samples")
+    ).drop("_period")

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from resamplia.functions.metrics import complete_pairs
-from resamplia.functions.states import Ask, SetMetric
+from resamplia.functions.states import Ask, Mergeable, SetMetric
 from resamplia.operators.joins import inner_join_nulls_match, kept
 from resamplia.operators.resample import PoissonWeights, scan_rate, scan_top_up, task_count
 from resamplia.operators.store import stored
@@ -79,7 +79,7 @@ def _unit(metric: SetMetric, by: list[str], columns: list[str], schema: pa.Schem
     return run
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: list[str], metric: SetMetric) -> Iterator[pa.RecordBatch]:
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str], metric: Mergeable) -> Iterator[pa.RecordBatch]:
     """One row for each run of equal keys, with the merged state."""
     last, key, state = None, None, None
 
@@ -99,9 +99,9 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str], metric: SetMetric)
         yield done()
 
 
-def merge_states(states: DataFrame, metric: SetMetric, by: Sequence[str], pieces: int) -> DataFrame:
-    """(replicate, by, state) from the states (replicate, by, _piece, state) of 0.._pieces-1, FAN at a time."""
-    keys = ["replicate", *by, "_piece"]
+def merge_states(states: DataFrame, metric: Mergeable, by: Sequence[str], pieces: int) -> DataFrame:
+    """(by, state) from the states (by, _piece, state) of the pieces 0..pieces-1, FAN pieces at a time."""
+    keys = [*by, "_piece"]
     spark, schema = states.sparkSession, T.StructType([states.schema[c] for c in (*keys, "state")])
     while pieces > 1:
         pieces = ceil(pieces / FAN)
@@ -166,7 +166,7 @@ def set_metrics(pairs: DataFrame, times: int, seed: int, metric: SetMetric, by:
         sent = own.select("replicate", "row_ix", F.expr(f"row_ix div {span}").alias("_piece"), group)
         asked = wanted.unionByName(sent, allowMissingColumns=True)
         units = data.groupBy("_piece", "_group").cogroup(asked.groupBy("_piece", "_group"))
-        states = merge_states(units.applyInArrow(unit, state_schema), metric, by, pieces)
+        states = merge_states(units.applyInArrow(unit, state_schema), metric, keys, pieces)
         met = inner_join_nulls_match(open_sets, states, keys, "left")
         # A row per set: few. Stored, so that no round runs again and none carries the plans of those before.
         found = stored(met.select(*keys, "_question", "state").mapInArrow(_finish(metric, keys), result_schema))

@@ -132,7 +132,7 @@ def test_states_merge_level_by_level(spark, monkeypatch):
     metric = SumMetric(["s"], None, lambda s: {"s": s[0]})
     rows = [(b, m, p, pickle.dumps([float(p)])) for b in (1, 2) for m in ("x", None) for p in range(29) if p % 7]
     states = spark.createDataFrame(rows, "replicate long, model string, _piece long, state binary").repartition(5)
-    merged = merge_states(states, metric, ["model"], 29)
+    merged = merge_states(states, metric, ["replicate", "model"], 29)
     assert {(r["replicate"], r["model"]): pickle.loads(r["state"]) for r in merged.collect()} == {(b, m): [sum(p for p in range(29) if p % 7) + 0.0] for b in (1, 2) for m in ("x", None)}
 
 

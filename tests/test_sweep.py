@@ -1,0 +1,156 @@
+"""Moments and periods against plain loops."""
+
+from __future__ import annotations
+
+import datetime as dt
+import random
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from resamplia.operators import joins, ordered
+from resamplia.operators.ordered import find_ranges
+from resamplia.operators.sweep import ranged, with_previous, with_running_sum
+from resamplia.plans import monitor
+
+SCHEMA = "run long, pid long, time timestamp, pct_cpu double, parallel boolean, framework string, backend string, platform string, main_pid long"
+START = dt.datetime(2024, 5, 1, 12, 59, 58)
+START_US = 1714568398000000
+
+
+def sample(run, pid, second, cpu, platform="unix"):
+    return (run, pid, START + dt.timedelta(seconds=second), cpu, True, "future", "mirai", platform, 1)
+
+
+def states(rows, holds):
+    """worker -> sorted (second, any sample holds, samples)."""
+    found = defaultdict(lambda: defaultdict(list))
+    for run, pid, time, cpu, parallel, *scenario, main in rows:
+        if parallel and pid != main and cpu is not None:
+            found[run, scenario[2], pid][(time - START).seconds].append(holds(cpu))
+    return {w: [(t, any(v), len(v)) for t, v in sorted(s.items())] for w, s in found.items()}
+
+
+def moments_by_hand(rows, limit):
+    change = defaultdict(int)
+    for (run, platform, _), series in states(rows, lambda cpu: cpu > limit).items():
+        before = 0
+        for k, (t, on, _) in enumerate(series):
+            now = int(on) if k + 1 < len(series) else 0
+            change[run, platform, t] += now - before
+            before = now
+    out, busy = [], defaultdict(int)
+    for (run, platform, t), c in sorted(change.items(), key=lambda x: x[0][2]):
+        busy[run, platform] += c
+        if c:
+            out.append((run, platform, START_US + t * 10**6, busy[run, platform]))
+    return sorted(out, key=repr)
+
+
+def periods_by_hand(rows, limit):
+    out = []
+    for (run, platform, pid), series in states(rows, lambda cpu: cpu >= limit).items():
+        now = None
+        for t, busy, n in [*series, (None, True, 0)]:
+            if busy and now:
+                out.append((run, platform, pid, *now))
+                now = None
+            elif not busy:
+                at = START_US + t * 10**6
+                now = (now[0], at, now[2] + n) if now else (at, at, n)
+    return sorted(out, key=repr)
+
+
+def some(seed, n=400):
+    rng = random.Random(seed)
+    rows = [sample(rng.choice([1, 1, 2]), rng.choice([1, 5, 5, 5, 6, 7]), rng.randint(0, 150), rng.choice([0.0, 10.0, 49.0, 50.0, 90.0, None]), rng.choice(["unix", None])) for _ in range(n)]
+    return [*rows, sample(3, 9, 4, 99.0), sample(4, 9, 4, 0.0), *[sample(5, 2, s, 80.0) for s in range(9)], *[sample(5, 2, s, 0.0) for s in range(9, 70)]]
+
+
+def moments(df):
+    return sorted(((r.run, r.platform, r.moment, r.busy) for r in df.collect()), key=repr)
+
+
+def periods(df):
+    return sorted(((r.run, r.platform, r.pid, r.start_at, r.end_at, r.samples) for r in df.collect()), key=repr)
+
+
+@pytest.mark.parametrize(("ranges", "small"), [(128, 500_000), (7, 0)])
+def test_moments_and_periods(spark, monkeypatch, ranges, small):
+    monkeypatch.setattr(ordered, "RANGES", ranges)
+    monkeypatch.setattr(joins, "SMALL_ROWS", small)
+    rows = some(1)
+    table = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert moments(monitor.busy_at_moments(table, 49.5)) == moments_by_hand(rows, 49.5)
+    assert periods(monitor.idle_periods(table, 20.0)) == periods_by_hand(rows, 20.0)
+    peaks = {(r.run, r.platform): (r.peak, r.moment) for r in monitor.busy_peak(table, 49.5).collect()}
+    want = {}
+    for run, platform, at, busy in moments_by_hand(rows, 49.5):
+        if (run, platform) not in want or (busy, -at) > (want[run, platform][0], -want[run, platform][1]):
+            want[run, platform] = (busy, at)
+    assert peaks == want
+
+
+def test_empty_and_single(spark):
+    for rows in ([], [sample(1, 1, 0, 90.0)], [sample(1, 2, 0, None)]):
+        table = spark.createDataFrame(rows, SCHEMA)
+        assert moments(monitor.busy_at_moments(table, 5.0)) == [] and periods(monitor.idle_periods(table, 5.0)) == []
+        assert monitor.busy_peak(table, 5.0).count() == 0
+    one = spark.createDataFrame([sample(1, 2, 3, 1.0)], SCHEMA)
+    assert periods(monitor.idle_periods(one, 5.0)) == [(1, "unix", 2, START_US + 3 * 10**6, START_US + 3 * 10**6, 1)]
+
+
+def hot(spark, n):
+    """Worker 2 of run 1 has half of all samples; it is idle but for two of them."""
+    ids = spark.range(0, n, 1, 4)
+    mine = F.col("id") % 2 == 0
+    return ids.select(
+        F.when(mine, 1).otherwise(F.col("id") % 91 + 2).cast("long").alias("run"), F.lit(2).cast("long").alias("pid"),
+        F.timestamp_micros(F.lit(START_US) + F.col("id") * 50_000).alias("time"),
+        F.when(mine & ~F.col("id").isin(n // 2, n // 2 + 4), 0.0).otherwise(80.0).alias("pct_cpu"), F.lit(True).alias("parallel"),
+        *[F.lit("x").alias(c) for c in ("framework", "backend", "platform")], F.lit(1).cast("long").alias("main_pid"),
+    )
+
+
+def test_a_worker_with_half_of_all_samples_is_many_groups(spark):
+    n = 200_000
+    table = hot(spark, n)
+    mine = periods(monitor.idle_periods(table, 5.0).where("run = 1"))
+    at = lambda k: START_US + 50_000 * k
+    assert [p[3:] for p in mine] == [(at(0), at(n // 2 - 2), n // 4), (at(n // 2 + 2), at(n // 2 + 2), 1), (at(n // 2 + 6), at(n - 2), n // 4 - 3)]
+    rows = ranged(table.select("run", F.unix_micros("time").alias("moment")), "moment")
+    sizes = [r["count"] for r in rows.where("run = 1").groupBy("_range").count().collect()]
+    assert len(sizes) > 100 and max(sizes) < 2 * n / 2 / len(sizes)
+
+
+def test_tasks_of_the_window_are_even(spark):
+    """The rows that the windows get in their tasks: the hot worker does not make one task large."""
+    rows = ranged(hot(spark, 100_000).select("run", "pid", F.unix_micros("time").alias("moment"), F.lit(1).alias("on")), "moment")
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = with_previous(rows, ["run", "pid"], "moment", "on", "was")
+        sizes = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(sizes) < 2 * sum(sizes) / len(sizes)
+
+
+def test_given_ranges_do_not_matter(spark):
+    rng = random.Random(2)
+    data = [(rng.choice(["a", None]), k, rng.randint(-3, 3)) for k in range(300)]
+    frame = spark.createDataFrame(data, "g string, k long, v long")
+    found = set()
+    for cuts in ((), (20,), (5, 6, 7, 150, 299)):
+        rows = ranged(frame, "k", ordered.Ranges(cuts))
+        out = with_running_sum(with_previous(rows, ["g"], "k", "v", "p"), ["g"], "k", "v", "s")
+        found.add(tuple(sorted(((r.g, r.k, r.v, r.p, r.s) for r in out.collect()), key=repr)))
+    assert len(found) == 1
+    want, last, total = [], {}, defaultdict(int)
+    for g, k, v in data:
+        total[g] += v
+        want.append((g, k, v, last.get(g), total[g]))
+        last[g] = v
+    assert list(found.pop()) == sorted(want, key=repr)
+    assert find_ranges(frame.limit(0).select("k"), "k").cuts == ()
