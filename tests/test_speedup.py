@@ -1,6 +1,5 @@
 from __future__ import annotations
 
-import math
 from collections import Counter
 
 import pytest
@@ -129,36 +128,51 @@ def test_duplicate_runs(spark):
     assert [(r.run, r.n) for r in rows] == [(1, 2)]
 
 
-def test_hot_run_is_split(spark):
-    """Adaptive skew handling splits a run that holds a third of all rows."""
-    settings = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20000",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10000",
-        "spark.sql.shuffle.partitions": "16",
-    }
-    before = {key: spark.conf.get(key, None) for key in settings}
-    for key, value in settings.items():
-        spark.conf.set(key, value)
+def hot_runs(spark):
+    """Run 0 holds a third of the parallel rows, most of them copies of one row; run 1 has many sequential rows."""
+    ids = spark.range(0, 30_000, 1, 8)
+    run = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 500 + 1)
+    elapsed = F.when(F.col("id") % 6 == 0, 4.0).otherwise(F.col("id") % 1000 + 1.0)
+    parallel = ids.select(run.cast("bigint").alias("run"), F.lit(True).alias("parallel"), elapsed.alias("elapsed"))
+    base = spark.range(500).select(F.col("id").alias("run"), F.lit(False).alias("parallel"), F.lit(2.0).alias("elapsed"))
+    many = spark.range(0, 700).select(F.lit(1).cast("bigint").alias("run"), F.lit(False).alias("parallel"), (F.col("id") % 7 + 0.5).alias("elapsed"))
+    return parallel.unionByName(base).unionByName(many)
+
+
+def as_join(df):
+    """What the speed-ups are, by a join of the table with itself."""
+    base = df.where("not parallel").select(F.col("run").alias("_run"), F.col("elapsed").alias("baseline"))
+    return df.where("parallel").join(base, F.col("run") == F.col("_run")).select("run", "elapsed", "baseline")
+
+
+def test_large_runs_are_dealt_to_a_grid(spark, monkeypatch):
+    df = hot_runs(spark)
+    want = Counter(map(tuple, as_join(df).collect()))
+    for limit in (100_000, 300, 40):
+        monkeypatch.setattr(speedup, "CELL_ROWS", limit)
+        rows = speedup.speed_ups(df, ["run"]).collect()
+        assert Counter((r.run, r.elapsed, r.baseline) for r in rows) == want
+        assert all(r.speed_up == r.baseline / r.elapsed for r in rows)
+
+
+def test_no_cell_is_much_larger_than_its_limit(spark, monkeypatch):
+    df = hot_runs(spark)
+    sizes = df.groupBy("run").agg(F.ceil(F.count_if("parallel") / 400).cast("int").alias("_rows"), F.ceil(F.count_if(~F.col("parallel")) / 400).cast("int").alias("_columns"))
+    cells = speedup._dealt(df, sizes.where("run < 2"), ["run"]).groupBy("run", "_row", "_column")
+    found = cells.agg(F.sum(F.when(F.col("parallel"), F.col("_copies"))).alias("p"), F.sum(F.when(~F.col("parallel"), F.col("_copies"))).alias("s"), F.count("*").alias("moved")).collect()
+    assert len(found) == 25 + 2
+    assert max(r.p for r in found) <= 1.5 * 400 and max(r.s or 0 for r in found) <= 1.5 * 400 and max(r.moved for r in found) <= 1.5 * 400
+    hot = [r.p for r in found if r.run == 0]
+    assert sum(hot) == 10_000 and max(hot) < 1.5 * sum(hot) / len(hot)
+
+
+def test_timing_rows_are_shuffled_once(spark, tmp_path):
+    results(spark, BASE).write.parquet(f"{tmp_path}/timings")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        ids = spark.range(0, 60_000, 1, 8)
-        run = F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 5000)
-        parallel = ids.select(
-            run.cast("bigint").alias("run"),
-            F.lit(True).alias("parallel"),
-            (F.col("id") + 1.0).alias("elapsed"),
-        )
-        base = spark.range(5000).select(
-            F.col("id").alias("run"), F.lit(False).alias("parallel"), F.lit(2.0).alias("elapsed")
-        )
-        df = parallel.unionByName(base)
-        ups = speedup.speed_ups(df, ["run"]).select("run", "speed_up")
-        rows = ups.collect()
-        assert len(rows) == 60_000
-        assert math.isclose(sum(r.speed_up for r in rows), sum(2.0 / (i + 1) for i in range(60_000)))
-        plan = ups._jdf.queryExecution().executedPlan().toString()
-        assert "SortMergeJoin(skew=true)" in plan
+        for keys in (speedup.RUN_KEYS, speedup.RUN_KEYS_ONE_PLATFORM):
+            plan = speedup.speed_ups(spark.read.parquet(f"{tmp_path}/timings"), keys)._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange") == 1 and plan.count("FileScan") == 1 and "Join" not in plan
     finally:
-        for key, value in before.items():
-            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
