@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from decimal import Decimal, localcontext
 
-from fixtures.views import MONITOR_SQL, PAIRS_SQL, RESULTS_SQL
+from fixtures.views import BATCH_TIMES_SQL, MONITOR_SQL, PAIRS_SQL, RESULTS_SQL
 
 # The five primes of XXH64, and the seed that Spark's xxhash64 starts from.
 PRIME_1 = 11400714785074694791
@@ -316,8 +316,20 @@ SELECT round_even(max(mean), 1) AS best_speed_up FROM means""",
         "best_speed_up_no_platform": f"""{speed_ups_sql("run, framework, backend")},
 means AS (SELECT backend, framework, avg(speed_up) AS mean FROM u GROUP BY backend, framework)
 SELECT round_even(max(mean), 1) AS best_speed_up FROM means""",
-        "files_stacked": """SELECT 'documents' AS file, doc_id FROM documents
-UNION ALL SELECT 'labels' AS file, doc_id FROM labels""",
+        "files_stacked": """SELECT 'documents.parquet' AS file, doc_id FROM documents
+UNION ALL SELECT 'labels.parquet' AS file, doc_id FROM labels""",
+        "results_rewritten": f"""SELECT * REPLACE (CASE WHEN run % 3 = 0 THEN 2 * elapsed ELSE elapsed END AS elapsed) FROM ({BATCH_TIMES_SQL})""",
+        "timing_vector": """SELECT sum(l_quantity) AS elapsed, max(l_tax) AS sys_self, 7::BIGINT AS run, TRUE AS parallel, 'future' AS framework
+FROM lineitem""",
+        "result_paths": f"""WITH {RC}
+SELECT DISTINCT backend, platform, run, 'results/res-' || backend || '-' || platform || '-' || run AS path FROM r""",
+        "results_count_ordered": f"""WITH {RC}
+SELECT platform, framework, backend, count(*) AS n, row_number() OVER (ORDER BY platform, framework, backend) AS place
+FROM r GROUP BY platform, framework, backend""",
+        "monitor_saved": f"""WITH {MC}
+SELECT run, pid, epoch_us(time) AS time_us, pct_cpu, platform, num_workers, 100 + run AS main_pid FROM m""",
+        "monitor_main_pid_by_file": f"""WITH {MC}
+SELECT 'monitor-all-all-' || run AS file, run, pid, epoch_us(time) AS time_us, pct_cpu, CASE WHEN run <> 3 THEN 200 + run END AS main_pid FROM m""",
         "duplicate_run_keys": f"""WITH {RC}
 SELECT run, framework, backend, platform, count(*) AS n FROM r WHERE NOT parallel
 GROUP BY run, framework, backend, platform HAVING count(*) > 1""",
@@ -399,4 +411,6 @@ FROM i WHERE busy = 0 GROUP BY run, framework, backend, platform, pid, island"""
         sql[name] = f"""WITH {RC}
 SELECT {groups}, count(*) AS n, round(regr_slope(elapsed, {x}), 4) AS slope,
   round(regr_intercept(elapsed, {x}), 4) AS intercept FROM r GROUP BY {groups}"""
+    for name in ("results_count", "mean_speed_up", "elapsed_trend", "cpu_range", "cpu_outliers"):
+        sql[f"{name}_merged"] = sql[name]
     return sql

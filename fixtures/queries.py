@@ -7,13 +7,15 @@ from collections.abc import Callable
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fixtures import views
 from resamplia.functions.metrics import METRICS, complete_pairs, metric_aggregates, to_long
-from resamplia.functions.scalars import epoch_seconds, without
+from resamplia.functions.scalars import epoch_seconds, file_path, without
 from resamplia.functions.states import QuantileMetric, Rows, SumMetric
 from resamplia.operators import checks, ordered
-from resamplia.plans import bootstrap, monitor, speedup
+from resamplia.operators.store import new_folder
+from resamplia.plans import bootstrap, increments, monitor, speedup
 from resamplia.plans.set_metrics import set_metrics
 from resamplia.plans.sketches import percentile_bounds
 from resamplia.sources import files
@@ -274,8 +276,101 @@ def best_speed_up_no_platform(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def files_stacked(spark: SparkSession, folder: str) -> DataFrame:
-    """Files found by name, stacked with the name as a column."""
-    return files.stack_named(spark, folder, ["documents", "labels"], ["doc_id"])
+    """Files found by name, stacked with their names as a column; two words find the documents."""
+    return files.stack_named(spark, folder, ["documents", "labels", "document"], ["doc_id"])
+
+
+def results_rewritten(spark: SparkSession, folder: str) -> DataFrame:
+    """A table of runs, of which some are written again with other times, and one twice."""
+    path = new_folder(spark, "results-rewritten")
+    times = views.batch_times(spark, folder)
+    unique = [*speedup.RUN_KEYS, "parallel"]
+    files.replace_runs(times, path, unique)
+    again = times.where("run % 3 = 0").withColumn("elapsed", 2 * F.col("elapsed"))
+    for _ in range(2):
+        files.replace_runs(again, path, unique)
+    schema = T.StructType([f for f in times.schema.fields if f.name not in files.RUN_FOLDERS] + [T.StructField(c, files.TAG_TYPES[c]) for c in files.RUN_FOLDERS])
+    return files.read_runs(spark, path, schema)
+
+
+def saved_monitor(spark: SparkSession, folder: str) -> tuple[str, DataFrame]:
+    """The samples of each run in a file of their own."""
+    root = new_folder(spark, "monitors")
+    rows = views.monitor(spark, folder).drop("main_pid")
+    for run in range(1, 6):
+        files.save_monitor(rows.where(F.col("run") == run), 100 + run, root, files.run_suffix("all", "all", run))
+    return root, files.read_monitor(spark, root)
+
+
+def monitor_saved(spark: SparkSession, folder: str) -> DataFrame:
+    """Samples written run by run with the process id that belongs to each file, and read back."""
+    _, rows = saved_monitor(spark, folder)
+    return rows.select("run", "pid", time_us().alias("time_us"), "pct_cpu", "platform", "num_workers", "main_pid")
+
+
+def monitor_main_pid_by_file(spark: SparkSession, folder: str) -> DataFrame:
+    """The process id of each file from a file beside it; that of run 3 has none."""
+    root, _ = saved_monitor(spark, folder)
+    for run in (1, 2, 4, 5):
+        files.save_sidecar(spark, 200 + run, root, files.run_suffix("all", "all", run))
+    rows = files.read_monitor_files(spark, root)
+    return rows.select("file", "run", "pid", time_us().alias("time_us"), "pct_cpu", "main_pid")
+
+
+def timing_vector(spark: SparkSession, folder: str) -> DataFrame:
+    """Named numbers, here totals of the lines, as one tagged row."""
+    times = views.table(spark, folder, "lineitem").agg(F.sum("l_quantity").alias("elapsed"), F.max("l_tax").alias("sys_self"))
+    return files.timing_row(spark, times.first().asDict(), run=7, parallel=True, framework="future")
+
+
+def result_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """The file of each run of each scenario."""
+    name = F.concat_ws("-", F.lit("res"), "backend", "platform", "run")
+    runs = results(spark, folder).select("backend", "platform", "run").distinct()
+    return runs.select("backend", "platform", "run", file_path("results", name).alias("path"))
+
+
+def results_count_ordered(spark: SparkSession, folder: str) -> DataFrame:
+    """The counts with the number of their row as it is given out."""
+    rows = speedup.count_by(results(spark, folder))
+    return rows.coalesce(1).withColumn("place", F.monotonically_increasing_id() + 1)
+
+
+def timing_batches(spark: SparkSession, folder: str) -> DataFrame:
+    """States of the timing rows in three batches, one of them written twice; the lines of a run are in several."""
+    path, rows = new_folder(spark, "timing-states"), results(spark, folder)
+    for batch in (0, 1, 2, 1):
+        part = rows.where(F.pmod(F.col("user_self").cast("long"), F.lit(3)) == batch)
+        increments.add_states(increments.timing_states(part), path, f"batch-{batch}")
+    return increments.read_timing_states(spark, path)
+
+
+def monitor_batches(spark: SparkSession, folder: str) -> DataFrame:
+    path, rows = new_folder(spark, "monitor-states"), samples(spark, folder)
+    for batch in (0, 1, 0):
+        part = rows.where(F.dayofmonth("time") % 2 == batch)
+        increments.add_states(increments.monitor_states(part), path, f"days-{batch}")
+    return increments.read_monitor_states(spark, path)
+
+
+def elapsed_trend_merged(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(increments.elapsed_trend(timing_batches(spark, folder)), 4, "slope", "intercept")
+
+
+def mean_speed_up_merged(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(increments.mean_speed_up(timing_batches(spark, folder)), 6, "mean")
+
+
+def results_count_merged(spark: SparkSession, folder: str) -> DataFrame:
+    return increments.count_by(timing_batches(spark, folder))
+
+
+def cpu_range_merged(spark: SparkSession, folder: str) -> DataFrame:
+    return increments.cpu_range(monitor_batches(spark, folder))
+
+
+def cpu_outliers_merged(spark: SparkSession, folder: str) -> DataFrame:
+    return increments.unusual_processes(monitor_batches(spark, folder))
 
 
 def speed_ups(spark: SparkSession, folder: str) -> DataFrame:
@@ -415,7 +510,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "results_clean": results,
     "results_tagged": results_tagged,
     "results_union": results_union,
+    "results_rewritten": results_rewritten,
+    "timing_vector": timing_vector,
+    "result_paths": result_paths,
     "results_count": lambda spark, folder: speedup.count_by(results(spark, folder)),
+    "results_count_ordered": results_count_ordered,
+    "results_count_merged": results_count_merged,
     "num_workers_distinct": lambda spark, folder: speedup.worker_counts(results(spark, folder)),
     "num_workers_first": num_workers_first,
     "baseline": lambda spark, folder: speedup.baseline(results(spark, folder)),
@@ -423,6 +523,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "speed_ups_no_platform": speed_ups_no_platform,
     "speed_ups_with_workers": speed_ups_with_workers,
     "mean_speed_up": mean_speed_up,
+    "mean_speed_up_merged": mean_speed_up_merged,
     "mean_speed_up_backend": mean_speed_up_backend,
     "best_configuration": best_configuration,
     "best_speed_up": lambda spark, folder: speedup.best_speed_up(results(spark, folder)),
@@ -431,12 +532,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "duplicate_run_keys": duplicate_run_keys,
     "elapsed_trend": elapsed_trend,
     "elapsed_trend_no_platform": elapsed_trend_no_platform,
+    "elapsed_trend_merged": elapsed_trend_merged,
     "monitor_clean": monitor_clean,
+    "monitor_saved": monitor_saved,
     "monitor_main_pid": monitor_main_pid,
+    "monitor_main_pid_by_file": monitor_main_pid_by_file,
     "monitor_count": lambda spark, folder: speedup.count_by(samples(spark, folder)),
     "monitor_rel_time": monitor_rel_time,
     "cpu_range": lambda spark, folder: monitor.cpu_range(samples(spark, folder)),
     "cpu_outliers": lambda spark, folder: monitor.unusual_processes(samples(spark, folder)),
+    "cpu_range_merged": cpu_range_merged,
+    "cpu_outliers_merged": cpu_outliers_merged,
     "worker_panel": worker_panel,
     "panel_labels": lambda spark, folder: monitor.panel_labels(samples(spark, folder)),
     "labels_of_panel": labels_of_panel,

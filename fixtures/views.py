@@ -81,18 +81,25 @@ def monitor(spark: SparkSession, folder: str) -> DataFrame:
         F.col("user_id").alias("pid"),
         F.col("ts").cast("timestamp").alias("time"),
         F.when(event % 50 != 0, F.col("value")).alias("pct_cpu"),
-        F.lit(True).alias("parallel"),
+        (event % 7 != 3).alias("parallel"),
         F.when(kind.isin("click", "error"), "future")
         .when(kind == "view", "foreach/doFuture/%dopar%")
         .otherwise("foreach")
         .alias("framework"),
         F.when(kind.isin("click", "purchase"), "mirai").otherwise("multisession").alias("backend"),
         F.when(event % 2 == 0, "source").otherwise("mac.binary.big-sur-arm64").alias("platform"),
-        F.lit(8).alias("num_workers"),
+        F.when(event % 3 == 0, 4).when(event % 2 == 0, 8).otherwise(12).alias("num_workers"),
         (1 + event % 5).alias("main_pid"),
     )
 
 
+def batch_times(spark: SparkSession, folder: str) -> DataFrame:
+    """Timings of 20 batches: the orders of a batch are added up, for each scenario and kind."""
+    rows = results(spark, folder).withColumn("run", F.col("run") % 20)
+    keys = ["run", "framework", "backend", "platform", "num_workers", "parallel"]
+    return rows.groupBy(*keys).agg(F.sum("user_self").alias("user_self"), F.sum("user_self").alias("elapsed"), F.count("*").alias("lines"))
+
+
 def quality_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Labelled documents with text length as score, numbered in the order of doc_id."""
     docs = table(spark, folder, "documents").select("doc_id", F.col("n_chars").cast("double").alias("estimate"))
@@ -140,11 +147,16 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 
 MONITOR_SQL = """
 SELECT 1 + event_id % 5 AS run, user_id AS pid, CAST(ts AS TIMESTAMP) AS time,
-  CASE WHEN event_id % 50 = 0 THEN NULL ELSE value END AS pct_cpu, TRUE AS parallel,
+  CASE WHEN event_id % 50 = 0 THEN NULL ELSE value END AS pct_cpu, event_id % 7 <> 3 AS parallel,
   CASE event_type WHEN 'click' THEN 'future' WHEN 'error' THEN 'future'
                   WHEN 'view' THEN 'foreach/doFuture/%dopar%' ELSE 'foreach' END AS framework,
   CASE event_type WHEN 'click' THEN 'mirai' WHEN 'purchase' THEN 'mirai' ELSE 'multisession' END AS backend,
   CASE WHEN event_id % 2 = 0 THEN 'source' ELSE 'mac.binary.big-sur-arm64' END AS platform,
-  8 AS num_workers, 1 + event_id % 5 AS main_pid
+  CASE WHEN event_id % 3 = 0 THEN 4 WHEN event_id % 2 = 0 THEN 8 ELSE 12 END AS num_workers, 1 + event_id % 5 AS main_pid
 FROM events
 """
+
+BATCH_TIMES_SQL = f"""
+SELECT run % 20 AS run, framework, backend, platform, num_workers, parallel, sum(user_self) AS user_self, sum(user_self) AS elapsed,
+  count(*) AS lines FROM ({RESULTS_SQL}) GROUP BY run % 20, framework, backend, platform, num_workers, parallel
+"""

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -95,6 +95,35 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ("framew
     placed.sortWithinPartitions(*partition_by, "run").write.partitionBy(*partition_by).parquet(path)
 
 
+def checked_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """`df`, which is an error when it is computed if two rows have the same `keys` (null equals null). Keys are counted beside the rows: none
+    of these is moved."""
+    message = F.concat(F.lit("repeated key "), F.to_json(F.struct(*[F.col(k) for k in keys])))
+    repeated = df.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").limit(1)
+    found = repeated.select(F.raise_error(message).cast("string").alias("_error")).agg(F.max("_error"))
+    return df.where(found.scalar().isNull())
+
+
+RUN_FOLDERS = (*SCENARIO, "run")
+
+
+def replace_runs(df: DataFrame, path: str, keys: Sequence[str] | None = None) -> None:
+    """Write the runs in `df` to the table at `path`, each in place of what the table has of it; other runs stay untouched.
+
+    To do it again changes nothing. Runs are folders that are put in place when all tasks are done, so after a failure the
+    table is as it was. `keys` must not be repeated within `df`: an error, before anything is replaced. A null or empty
+    framework, backend or platform is read back as null. Rebalancing lets several tasks write a run that is large for one.
+    """
+    rows = df if keys is None else checked_keys(df, keys)
+    writer = rows.hint("rebalance", *RUN_FOLDERS).write.partitionBy(*RUN_FOLDERS)
+    writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
+def read_runs(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The table that `replace_runs` writes. A filter on framework, backend, platform or run reads the folders it needs."""
+    return spark.read.schema(schema).parquet(path)
+
+
 def read_named(
     spark: SparkSession, root: str, name: str, schema: T.StructType | None = None
 ) -> DataFrame:
@@ -133,8 +162,6 @@ def clean_monitor(monitor: DataFrame) -> DataFrame:
     return monitor.where(known).withColumn("platform", recode_platform())
 
 
-
-
 def attach_main_pid(
     monitor: DataFrame, main_pids: DataFrame, keys: Sequence[str] = ("run", *SCENARIO)
 ) -> DataFrame:
@@ -147,10 +174,59 @@ def attach_main_pid(
     return inner_join_nulls_match(monitor, small_side(one), keys, "left")
 
 
+def _entry(root: str) -> Column:
+    """The name, directly under `root`, of the file or folder that a row was read from."""
+    place = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", root).rstrip("/") + "/"
+    # Paths come percent-encoded; a plus sign is one.
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return F.split_part(F.substring_index(path, place, -1), F.lit("/"), F.lit(1))
+
+
+def named(spark: SparkSession, root: str, names: Sequence[str], schema: T.StructType | None = None) -> DataFrame:
+    """All Parquet files under `root` whose name contains one of `names`, each once however many it contains, in one scan; `file` is the
+    file's own name. A filter on `file` prunes files, not only rows. Without `schema` those of the files are merged."""
+    reader = spark.read.option("mergeSchema", "true")
+    if schema is not None:
+        reader = reader.schema(schema)
+    pattern = "{" + ",".join(f"*{name}*" for name in names) + "}"
+    try:
+        found = reader.parquet(f"{root.rstrip('/')}/{pattern}")
+    except AnalysisException as error:
+        if schema is None or error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema).withColumn("file", F.lit(None).cast("string"))
+    return found.withColumn("file", _entry(root))
+
+
 def stack_named(spark: SparkSession, root: str, names: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """The given columns of all Parquet files under `root` whose name contains one of `names`, with the
+    """The given columns of all Parquet files under `root` whose name contains one of `names`, each file once, with the
     name of the file in `file`."""
-    parts = [
-        read_named(spark, root, name).select(F.lit(name).alias("file"), *columns) for name in names
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    return named(spark, root, names).select("file", *columns)
+
+
+def attach_by_file(rows: DataFrame, sidecars: DataFrame, value: str, rows_name: str = "monitor-", sidecar_name: str = "pid-") -> DataFrame:
+    """Add `value` from the sidecar file of each row's file; both tables are as `named` gives them.
+
+    A sidecar has the name of its file with `sidecar_name` in place of `rows_name`, and one value. Rows of a file without one stay, with null;
+    a sidecar with several values, or a second one for a file, is an error. There is one row for each file: it is broadcast if few.
+    """
+    several = F.raise_error(F.concat(F.lit("several values in the sidecars of "), F.col("_key")))
+    key = F.regexp_replace("file", F.lit("^" + re.escape(sidecar_name)), F.lit(""))
+    one = sidecars.groupBy(key.alias("_key")).agg(F.min(value).alias(value), F.max(value).alias("_max"), F.count_distinct("file").alias("_files"))
+    checked = one.select("_key", F.when(F.col(value).eqNullSafe(F.col("_max")) & (F.col("_files") == 1), F.col(value)).otherwise(several).alias(value))
+    own = F.regexp_replace("file", F.lit("^" + re.escape(rows_name)), F.lit(""))
+    return rows.join(small_side(checked), own == F.col("_key"), "left").drop("_key")
+
+
+def save_sidecar(spark: SparkSession, main_pid: int, root: str, suffix: str) -> str:
+    """The process id that belongs to the file `monitor-<suffix>`, in a file of its own."""
+    path = f"{root}/pid-{suffix}"
+    spark.createDataFrame([(main_pid,)], "main_pid long").write.mode("overwrite").parquet(path)
+    return path
+
+
+def read_monitor_files(spark: SparkSession, root: str, schema: T.StructType = MONITOR_SCHEMA) -> DataFrame:
+    """Clean samples with `file` and the main_pid from the sidecar of their file."""
+    own = T.StructType([f for f in schema.fields if f.name != "main_pid"])
+    pids = named(spark, root, ["pid-"], T.StructType([T.StructField("main_pid", T.LongType())]))
+    return attach_by_file(clean_monitor(named(spark, root, ["monitor-"], own)), pids, "main_pid")

@@ -168,3 +168,122 @@ def test_large_run_is_written_by_several_tasks(spark, tmp_path):
     finally:
         for key in settings:
             spark.conf.unset(key)
+
+
+def runs_table(spark, rows):
+    return spark.createDataFrame(rows, "elapsed double, parallel boolean, framework string, backend string, platform string, run long")
+
+
+RUN_SCHEMA = "elapsed double, parallel boolean, framework string, backend string, platform string, run long"
+UNIQUE = [*files.RUN_FOLDERS, "parallel"]
+
+
+def read_back(spark, path):
+    schema = spark.createDataFrame([], RUN_SCHEMA).schema
+    return sorted(map(tuple, files.read_runs(spark, path, schema).select(*schema.fieldNames()).collect()), key=repr)
+
+
+def some_runs():
+    odd = "foreach/doFuture/%dopar%"
+    return [(float(10 * r + p), bool(p), f, "mirai", s, r) for r in (1, 2, 30) for p in (0, 1) for f in ("future", odd) for s in ("unix", None)]
+
+
+def test_a_run_written_again_replaces_itself(spark, tmp_path):
+    path, rows = str(tmp_path / "runs"), some_runs()
+    files.replace_runs(runs_table(spark, rows), path, UNIQUE)
+    assert read_back(spark, path) == sorted(rows, key=repr)
+    files.replace_runs(runs_table(spark, rows), path, UNIQUE)
+    assert read_back(spark, path) == sorted(rows, key=repr)
+    again = [(e + 0.5, p, f, b, s, r) for e, p, f, b, s, r in rows if r == 2 and s is None]
+    new = [(1.0, True, "future", "mirai", "unix", 4)]
+    for _ in range(2):
+        files.replace_runs(runs_table(spark, again[1:] + new), path, UNIQUE)
+    kept = [r for r in rows if not (r[5] == 2 and r[4] is None)]
+    # What a rewritten run no longer has is gone: here its first row.
+    assert read_back(spark, path) == sorted(kept + again[1:] + new, key=repr)
+    files.replace_runs(runs_table(spark, []), path)
+    assert read_back(spark, path) == sorted(kept + again[1:] + new, key=repr)
+
+
+def test_after_a_failing_task_the_table_is_as_it_was(spark, tmp_path):
+    path, rows = str(tmp_path / "runs"), some_runs()
+    files.replace_runs(runs_table(spark, rows), path)
+    crash = F.when(F.col("run") == 30, F.raise_error(F.lit("sampler died")).cast("double")).otherwise(-1.0)
+    with pytest.raises(Exception, match="sampler died"):
+        files.replace_runs(runs_table(spark, rows).repartition(8).withColumn("elapsed", crash), path)
+    assert read_back(spark, path) == sorted(rows, key=repr)
+    with pytest.raises(Exception, match="repeated key"):
+        files.replace_runs(runs_table(spark, rows + [(99.0, False, "future", "mirai", None, 2)]), path, UNIQUE)
+    assert read_back(spark, path) == sorted(rows, key=repr)
+
+
+def test_one_run_is_read_from_its_folder(spark, tmp_path):
+    path = str(tmp_path / "runs")
+    files.replace_runs(runs_table(spark, some_runs()), path)
+    schema = spark.createDataFrame([], RUN_SCHEMA).schema
+    for folder in (tmp_path / "runs").rglob("run=1"):
+        for part in folder.glob("*.parquet"):
+            part.write_bytes(b"not read")
+    assert files.read_runs(spark, path, schema).where("run = 2").count() == 8
+
+
+def test_a_large_run_is_replaced_by_several_tasks(spark, tmp_path):
+    settings = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "200000", "spark.sql.adaptive.rebalancePartitionsSmallPartitionFactor": "0.1"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        rows = spark.range(0, 200_000, 1, 8).select("id", *[F.lit("x").alias(c) for c in files.SCENARIO], F.lit(1).alias("run"))
+        for _ in range(2):
+            files.replace_runs(rows, str(tmp_path / "runs"), ["id"])
+        assert len(list((tmp_path / "runs").rglob("*.parquet"))) > 3
+        assert spark.read.parquet(str(tmp_path / "runs")).count() == 200_000
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+
+
+def test_files_by_name_each_once(spark, tmp_path):
+    root = str(tmp_path / "some results")
+    for name, n in (("res-a b+c%20-1.parquet", 2), ("res-monitor-2", 3), ("monitor-3", 4), ("other", 5)):
+        spark.range(n).repartition(2).write.parquet(f"{root}/{name}")
+    found = files.stack_named(spark, root, ["res-", "monitor-", "-2"], ["id"]).groupBy("file").count().collect()
+    assert {(r["file"], r["count"]) for r in found} == {("res-a b+c%20-1.parquet", 2), ("res-monitor-2", 3), ("monitor-3", 4)}
+    schema = spark.range(1).schema
+    assert files.named(spark, root, ["nothing"], schema).count() == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        files.named(spark, root, ["nothing"])
+
+
+def test_a_filter_on_the_file_prunes_files(spark, tmp_path):
+    root = str(tmp_path)
+    for name in ("res-1", "res-2"):
+        spark.range(3).coalesce(1).write.parquet(f"{root}/{name}")
+    for part in (tmp_path / "res-1").glob("*.parquet"):
+        part.write_bytes(b"not read")
+    rows = files.named(spark, root, ["res-"], spark.range(1).schema)
+    assert rows.where("file = 'res-2'").count() == 3
+    with pytest.raises(Exception, match="res-1"):
+        rows.count()
+
+
+def test_main_pid_from_the_file_beside(spark, tmp_path):
+    root = str(tmp_path)
+    for run in (1, 2, 3):
+        row = files.timing_row(spark, {"pct_cpu": 1.0}, **tags(run))
+        files.save_monitor(row.withColumn("pid", F.lit(5).cast("long")), 7, root, f"future-mirai-{run}")
+        if run < 3:
+            files.save_sidecar(spark, 70 + run, root, f"future-mirai-{run}")
+    found = {(r.file, r.run): r.main_pid for r in files.read_monitor_files(spark, root).collect()}
+    assert found == {("monitor-future-mirai-1", 1): 71, ("monitor-future-mirai-2", 2): 72, ("monitor-future-mirai-3", 3): None}
+    # Written again, a sidecar replaces itself.
+    files.save_sidecar(spark, 99, root, "future-mirai-1")
+    assert {r.run: r.main_pid for r in files.read_monitor_files(spark, root).collect()} == {1: 99, 2: 72, 3: None}
+    spark.createDataFrame([(1,), (2,)], "main_pid long").write.parquet(f"{root}/pid-future-mirai-3")
+    with pytest.raises(Exception, match="several values in the sidecars of future-mirai-3"):
+        files.read_monitor_files(spark, root).collect()
+
+
+def test_monitors_without_any_sidecar(spark, tmp_path):
+    assert files.read_monitor_files(spark, str(tmp_path)).count() == 0
+    files.save_monitor(files.timing_row(spark, {"pct_cpu": 1.0}, **tags(1)), 7, str(tmp_path), "x")
+    assert [r.main_pid for r in files.read_monitor_files(spark, str(tmp_path)).collect()] == [None]
