@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
 from dataclasses import dataclass
 from math import ceil, isfinite
@@ -34,6 +35,12 @@ class Ranges:
         below = F.filter(F.get(bounds, index), lambda cut: cut < F.col(key).cast("double"))
         return index * RANGES + F.size(below)
 
+    def with_cuts(self, cuts: Sequence[float]) -> Ranges:
+        """The same ranges, cut at these places too."""
+        new = tuple(sorted({*self.cuts, *cuts}))
+        inner = tuple(self.inner[bisect_left(self.cuts, cut)] for cut in new) + self.inner[-1:] if self.inner else ()
+        return Ranges(new, inner)
+
     def _bisect(self, key: str, cuts: Sequence[float], low: int) -> str:
         if not cuts:
             return str(low)
@@ -127,23 +134,26 @@ def roc_auc(
 
 def roc_auc_of_counts(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """As `roc_auc`, from the positives and negatives (_pos, _neg) of every score (_range, _score)."""
+    return roc_auc_of_ranges(wins_of_ranges(counts, by), by)
+
+
+def wins_of_ranges(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, _range, _wins, _pos, _neg): pairs that are won within each range, from the counts of its scores."""
     groups = [*by, "_range"]
     inside = Window.partitionBy(*groups).orderBy("_score").rowsBetween(Window.unboundedPreceding, -1)
-    # This window sees one row per range.
-    below = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    lower = F.coalesce(F.sum("_neg").over(inside), F.lit(0)).cast("double")
     pos, neg = F.col("_pos").cast("double"), F.col("_neg").cast("double")
+    return counts.withColumn("_wins", pos * (lower + neg / 2)).groupBy(*groups).agg(*[F.sum(c).alias(c) for c in ("_wins", "_pos", "_neg")])
 
-    def lower(window: Window) -> Column:
-        return F.coalesce(F.sum("_neg").over(window), F.lit(0)).cast("double")
 
-    per_range = (
-        counts.withColumn("_wins", pos * (lower(inside) + neg / 2))
-        .groupBy(*groups)
-        .agg(*[F.sum(c).alias(c) for c in ("_wins", "_pos", "_neg")])
-        .withColumn("_wins", F.col("_wins") + pos * lower(below))
-    )
-    return per_range.groupBy(*by).agg(
+def roc_auc_of_ranges(ranges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """The area from the wins and counts of the ranges: positives of a range also win against all negatives below it."""
+    # This window sees one row per range.
+    below = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    pos = F.col("_pos").cast("double")
+    lower = F.coalesce(F.sum("_neg").over(below), F.lit(0)).cast("double")
+    return ranges.withColumn("_wins", F.col("_wins") + pos * lower).groupBy(*by).agg(
         F.sum("_pos").alias("positives"),
         F.sum("_neg").alias("negatives"),
-        F.try_divide(F.sum("_wins"), F.sum(pos) * F.sum(neg)).alias("roc_auc"),
+        F.try_divide(F.sum("_wins"), F.sum(pos) * F.sum(F.col("_neg").cast("double"))).alias("roc_auc"),
     )

@@ -12,6 +12,7 @@ model has one row for each row_ix from 0 to n-1, and all models share the draws
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from math import inf, isfinite, nextafter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,7 +21,7 @@ from pyspark.sql import types as T
 
 from resamplia.functions.metrics import complete_pairs, metrics_from_sums, weighted_sums
 from resamplia.operators.joins import inner_join_nulls_match, kept
-from resamplia.operators.ordered import find_ranges, roc_auc_of_counts
+from resamplia.operators.ordered import find_ranges, roc_auc_of_ranges, wins_of_ranges
 from resamplia.operators.resample import added_draws, gather, scan, scan_rate, task_count, with_poisson_weight
 
 # Up to so many rows, narrow ones of at most some 64 bytes each, a join side is broadcast and a table is spread over all cores.
@@ -161,11 +162,33 @@ def bootstrap_metrics(pairs: DataFrame, times: int, seed: int, by: Sequence[str]
     return _scores(sums, models, by)
 
 
+# A score with more rows than a task's even share divided by this is dealt to several tasks; at most this times the tasks can be such.
+HOT_PART = 2
+# Parts of a hot score for each task, so that tasks get about equal numbers of them.
+PARTS_PER_TASK = 8
+
+
+def _auc_parts(rows: DataFrame, count: int, tasks: int) -> tuple[DataFrame, list[float]]:
+    """Rows with their range of scores (`_range`) and their part of it (`_part`), and the hot scores.
+
+    Ranges keep equal scores together, because wins are counted in the order of scores. A score that many rows share is a range of its
+    own: there, half of all pairs are won in any order, so its rows are dealt out by a hash of their number.
+    """
+    scores = rows.groupBy("estimate").count().where(F.col("count") > max(1, count // (HOT_PART * tasks)))
+    # No cut can be put below the lowest of all numbers.
+    hot = sorted(r["estimate"] for r in scores.where(F.col("estimate") > -inf).collect())
+    cuts = [c for score in hot for c in (nextafter(score, -inf), score) if isfinite(c)]
+    ranges = find_ranges(rows.select("estimate").distinct(), "estimate").with_cuts(cuts)
+    part = F.when(F.col("estimate").isin(hot), F.pmod(F.xxhash64("row_ix"), F.lit(PARTS_PER_TASK * tasks))).otherwise(0) if hot else F.lit(0)
+    return rows.withColumns({"_range": ranges.number("estimate"), "_part": part.cast("int")}), hot
+
+
 def bootstrap_auc(pairs: DataFrame, times: int, seed: int, first: int = 1) -> DataFrame:
     """ROC AUC per replicate of a 0/1 `truth` and a score `estimate`; every row must have both.
 
     The rows are moved once, to their range of scores, each with the replicates in which it is an added draw;
-    weights, counts per score and wins are computed there, and one row per replicate and range leaves.
+    weights, counts per score and wins are computed there, and one row per replicate and range leaves. Hot scores are counted in
+    several parts, whose counts are added: one row per replicate and part.
     """
     rows = complete_pairs(pairs).where(F.col("truth").isin(0, 1))
     _, count, size = checked_models(rows)
@@ -178,20 +201,27 @@ def bootstrap_auc(pairs: DataFrame, times: int, seed: int, first: int = 1) -> Da
     totals = _weighted(ones, rate, first, times, seed, ()).select("replicate", "drawn") if rate else frame.withColumn("drawn", F.lit(0).cast("bigint"))
     found = frame.join(totals, "replicate", "left")
     extra = added_draws(found, size, times - first + 1, seed).where("row_ix is not null").groupBy("row_ix").agg(F.collect_list("replicate").alias("_extra"))
-    ranges = find_ranges(rows.select("estimate").distinct(), "estimate")
-    placed = rows.join(extra, "row_ix", "left").withColumn("_range", ranges.number("estimate"))
-    placed = placed.repartition(task_count(spark, count * (times - first + 1), 20_000_000), "_range")
+    tasks = task_count(spark, count * (times - first + 1), 20_000_000)
+    ranged, hot = _auc_parts(rows, count, tasks)
     sequence = F.sequence(F.lit(first).cast("bigint"), F.lit(times).cast("bigint")) if rate else F.array().cast("array<bigint>")
     # Negative numbers mark added draws.
     both = F.concat(sequence, F.transform(F.coalesce("_extra", F.array().cast("array<bigint>")), lambda r: -r))
-    drawn = with_poisson_weight(placed, rate, first, times, seed, both)
-    return roc_auc_of_counts(
-        drawn.groupBy("replicate", "_range", F.col("estimate").alias("_score")).agg(
-            F.sum(F.when(F.col("truth") == 1, F.col("w")).otherwise(0)).alias("_pos"),
-            F.sum(F.when(F.col("truth") == 0, F.col("w")).otherwise(0)).alias("_neg"),
-        ),
-        ["replicate"],
-    )
+    sums = [F.sum(F.when(F.col("truth") == k, F.col("w")).otherwise(0)).alias(name) for name, k in (("_pos", 1), ("_neg", 0))]
+
+    def drawn(placed: DataFrame, *by: str) -> DataFrame:
+        moved = placed.join(extra, "row_ix", "left").repartition(tasks, *by)
+        return with_poisson_weight(moved, rate, first, times, seed, both)
+
+    is_hot = F.col("estimate").isin(hot) if hot else F.lit(False)
+    per_score = drawn(ranged.where(~is_hot), "_range").groupBy("replicate", "_range", F.col("estimate").alias("_score")).agg(*sums)
+    wins = wins_of_ranges(per_score, ["replicate"])
+    if hot:
+        # Counted in each part first, then over the parts.
+        parts = drawn(ranged.where(is_hot), "_range", "_part").groupBy("replicate", "_range", "_part").agg(*sums)
+        whole = parts.groupBy("replicate", "_range").agg(F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg"))
+        half = F.col("_pos").cast("double") * F.col("_neg").cast("double") / 2
+        wins = wins.unionByName(whole.withColumn("_wins", half))
+    return roc_auc_of_ranges(wins, ["replicate"])
 
 
 def poisson_metrics(pairs: DataFrame, times: int, seed: int, by: Sequence[str] = (), first: int = 1) -> DataFrame:

@@ -250,3 +250,53 @@ def test_gather_plan_has_one_shuffle(normal):
     plan = sets._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def hot_scores(spark, n=3000):
+    """A third of all rows has one score, another tenth the largest there is."""
+    score = F.when(F.col("id") % 3 == 0, 50.0).when(F.col("id") % 10 == 1, math.inf).when(F.col("id") % 50 == 2, -math.inf).otherwise((F.col("id") * 37 % 101).cast("double"))
+    return spark.range(0, n, 1, 5).select(F.col("id").alias("row_ix"), (F.col("id") * 7 % 5 < 2).cast("double").alias("truth"), score.alias("estimate"))
+
+
+def test_auc_with_hot_scores(spark):
+    pairs = hot_scores(spark)
+    found = {r.replicate: r for r in bootstrap_auc(pairs, 3, 3).collect()}
+    for replicate, rows in pd.DataFrame(analysis_sets(pairs, 3, 3).collect(), columns=["replicate", *pairs.columns]).groupby("replicate"):
+        ones, zeros = (Counter(rows[rows.truth == k].estimate) for k in (1, 0))
+        wins = sum(a * b * (1 if x > y else 0.5 if x == y else 0) for x, a in ones.items() for y, b in zeros.items())
+        assert (found[replicate].positives, found[replicate].negatives) == (ones.total(), zeros.total())
+        assert found[replicate].roc_auc == pytest.approx(wins / ones.total() / zeros.total(), abs=1e-12)
+
+
+def test_hot_scores_fill_no_task(spark):
+    """A third of all rows on one score: dealt out, no task gets above twice the mean."""
+    n, tasks = 30_000, 16
+    placed, hot = bootstrap._auc_parts(hot_scores(spark, n), n, tasks)
+    assert hot == [50.0, math.inf]
+    own = placed.where(F.col("estimate").isin(hot))
+    assert own.select("_range").distinct().count() == 2
+    assert placed.where(~F.col("estimate").isin(hot)).join(own.select("_range").distinct(), "_range").count() == 0
+    settings = {"spark.sql.adaptive.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        dealt = own.repartition(tasks, "_range", "_part").groupBy(F.spark_partition_id().alias("p")).count().collect()
+        sizes = [r["count"] for r in dealt] + [0] * (tasks - len(dealt))
+        assert max(sizes) <= 2 * sum(sizes) / tasks
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    # Numbers of ranges never fall when the score grows.
+    order = placed.groupBy("estimate").agg(F.min("_range").alias("a"), F.max("_range").alias("b")).orderBy("estimate").collect()
+    assert all(r.a == r.b for r in order) and all(x.b <= y.a for x, y in zip(order, order[1:]))
+
+
+def test_more_cuts_keep_the_inner_ones(spark):
+    from resamplia.operators.ordered import Ranges
+
+    keys = spark.range(0, 100).select(F.col("id").cast("double").alias("k"))
+    ranges = Ranges((20.0, 50.0), ((5.0, 10.0), (30.0,), ())).with_cuts([7.0, 50.0, 70.0])
+    rows = keys.select("k", ranges.number("k").alias("n")).orderBy("k").collect()
+    edges = [a.k for a, b in zip(rows, rows[1:]) if b.n != a.n]
+    assert edges == [5.0, 7.0, 10.0, 20.0, 30.0, 50.0, 70.0] and all(a.n <= b.n for a, b in zip(rows, rows[1:]))
