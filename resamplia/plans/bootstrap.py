@@ -20,11 +20,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from resamplia.functions.metrics import complete_pairs, metrics_from_sums, weighted_sums
-from resamplia.operators.joins import inner_join_nulls_match, kept
+from resamplia.operators.joins import SMALL_BYTES, counted_size, inner_join_nulls_match, is_small, kept
 from resamplia.operators.ordered import find_ranges, roc_auc_of_ranges, wins_of_ranges
 from resamplia.operators.resample import added_draws, gather, scan, scan_rate, task_count, with_poisson_weight
 
-# Up to so many rows, narrow ones of at most some 64 bytes each, a join side is broadcast and a table is spread over all cores.
+# Up to so many rows a join side is broadcast, if it has few bytes too (`operators.joins`), and a table is spread over all cores.
 # It decides the plan only: results are the same on either side.
 BROADCAST_ROWS = 1_000_000
 
@@ -73,11 +73,15 @@ def analysis_sets(pairs: DataFrame, times: int, seed: int, by: Sequence[str] = (
     return scan(complete_pairs(pairs), size, times, seed, first)
 
 
-def gathered_sets(pairs: DataFrame, times: int, seed: int, by: Sequence[str] = (), first: int = 1) -> DataFrame:
+def gathered_sets(
+    pairs: DataFrame, times: int, seed: int, by: Sequence[str] = (), first: int = 1, columns: Sequence[str] = ("truth", "estimate")
+) -> DataFrame:
     """As `analysis_sets`, from another random stream: draws are generated and looked up in the table. The
-    quickest way for small tables; a table of more than BROADCAST_ROWS rows is joined by a shuffle."""
+    quickest way for small tables; one of many rows or bytes is joined by a shuffle. Sets have row_ix, `by` and `columns`
+    only: what nobody asks for is neither counted nor sent."""
     _, rows, size = checked_models(pairs, by)
-    return gather(complete_pairs(pairs), size, times, seed, first, small=rows <= BROADCAST_ROWS)
+    known = complete_pairs(pairs).select("row_ix", *by, *columns)
+    return gather(known, size, times, seed, first, small=rows <= BROADCAST_ROWS and is_small(known, BROADCAST_ROWS))
 
 
 def _spread(pairs: DataFrame, rows: int, replicates: int) -> DataFrame:
@@ -151,7 +155,9 @@ def bootstrap_metrics(pairs: DataFrame, times: int, seed: int, by: Sequence[str]
     # Draw 0 stands for the weighted sums, the others for single rows.
     drawn = added_draws(found, size, times - first + 1, seed, by)
     lookup = data.withColumnsRenamed({name: f"_{name}" for name in (*by, "row_ix")})
-    lookup = F.broadcast(lookup) if rows <= BROADCAST_ROWS else lookup
+    # Besides numbers a row has the names of its model; the longest are counted in the table of models.
+    n, used = counted_size(models.select(*by)) if by else (1, 0)
+    lookup = F.broadcast(lookup) if rows <= BROADCAST_ROWS and rows * (64 + used // n) <= SMALL_BYTES else lookup
     same = F.col("row_ix") == F.col("_row_ix")
     for name in by:
         same = same & F.col(name).eqNullSafe(F.col(f"_{name}"))
