@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -45,9 +46,35 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_made: list[list[str]] = []
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[list[str]]:
+    """Within, shuffle files go as soon as the query that wrote them has ended, instead of when the driver collects its garbage; gives the
+    folders of the tables that `written` makes within."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, folders = spark.conf.get(key, None), []
+    spark.conf.set(key, "true")
+    _made.append(folders)
+    try:
+        yield folders
+    finally:
+        _made.remove(folders)
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def remove(spark: SparkSession, folders: Iterable[str]) -> None:
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """As `stored`, as a compressed table; for texts."""
     folder = new_folder(df.sparkSession, name)
+    for folders in _made:
+        folders.append(folder)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
