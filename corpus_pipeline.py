@@ -6,12 +6,15 @@ returns the packed pieces.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from resamplia.llm import decontamination, linedup, neardup, packing, toxicity
 from resamplia.llm.queries import TOKENIZER
-from resamplia.llm.shared import new_folder, stored, table
+from resamplia.llm.shared import new_folder, remove, stored, table, tidy
 
 # The general rule for near-duplicates: shingles of five words, similarity 0.8.
 SHINGLE, PERCENT = 5, 80
@@ -62,12 +65,34 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, TOKENIZER)
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_tables: list[str] = []
+
+
+def tidied(stage: Stage) -> Stage:
+    """The stage, which first removes the tables that the stage before has written on its way: its result is a table of its own by
+    now. They stay if `docs` still reads them."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = docs.inputFiles() if _tables else []
+        names = [folder.rstrip("/").rsplit("/", 1)[-1] for folder in _tables]
+        if not any(f"/{name}/" in file for name in names for file in read):
+            remove(spark, _tables)
+        with tidy(spark) as made:
+            out = stage(spark, docs, sf_dir)
+        _tables[:] = made
+        return out
+
+    return run
+
+
 STAGES = [
-    ("toxicity", remove_toxic),
-    ("line_dedup", dedup_lines),
-    ("near_dedup", dedup_documents),
-    ("decontamination", decontaminate),
-    ("packing", pack),
+    ("toxicity", tidied(remove_toxic)),
+    ("line_dedup", tidied(dedup_lines)),
+    ("near_dedup", tidied(dedup_documents)),
+    ("decontamination", tidied(decontaminate)),
+    ("packing", tidied(pack)),
 ]
 
 # SQL cannot express compression distances, signatures or tokenizers; tests compare with plain Python.
@@ -75,11 +100,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over `documents`; what each keeps is written to the shared folder and read again."""
+    """The stages over `documents`; what each keeps is written to the shared folder and read again, and goes when the next has
+    been written."""
     folder = new_folder(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
         path = f"{folder}/{name}.parquet"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        remove(spark, before)
+        docs, before = spark.read.parquet(path), [path]
+    remove(spark, _tables)
+    _tables.clear()
     return docs
