@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from resamplia.llm import chat, decontamination, html, linedup, merkle, mixing, neardup, neighbours, packing, pieces, ranked, toxicity, warc
-from resamplia.llm.shared import table
+from resamplia.llm.shared import stored, table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -89,7 +89,7 @@ def op9_html(spark: SparkSession, folder: str) -> DataFrame:
 
 def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     files = warc.write_archives(table(spark, folder, "pages"))
-    read = warc.read_archives(files, with_payload=False)
+    read = warc.revisits_ok(stored(warc.read_archives(files, with_payload=False)))
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

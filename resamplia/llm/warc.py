@@ -122,13 +122,14 @@ class _Members:
 
     def __iter__(self) -> Iterator[bytes]:
         while True:
-            member, plain = zlib.decompressobj(31), bytearray()
+            member, plain, begun = zlib.decompressobj(31), bytearray(), False
             while not member.eof:
                 chunk = self.rest or self.stream.read(CHUNK)
                 if not chunk:
-                    if plain:
+                    if begun:
                         raise ValueError("an archive ends within a record")
                     return
+                begun = True
                 plain += member.decompress(chunk)
                 self.rest = member.unused_data
             yield bytes(plain)
@@ -146,7 +147,7 @@ def parse(record: bytes) -> tuple[dict[str, str], bytes]:
     return fields, rest[:length]
 
 
-def _reader(with_payload: bool):
+def _reader(with_payload: bool, verify: bool):
     kinds = pa.schema(
         [("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()),
          ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.string()), ("digest_ok", pa.bool_())]
@@ -159,41 +160,63 @@ def _reader(with_payload: bool):
         page, other = fields.get("X-Page-ID"), fields.get("X-Refers-To-Page-ID")
         full = fields["WARC-Type"] == "response"
         url = fields.get("WARC-Target-URI")
+        own = digest(payload) if full else stated
+        size = int(answer["Content-Length"])
+        if verify and (own != stated or full and size != len(payload)):
+            raise ValueError(f"the payload of page {page} has not the stated digest or length")
         return [
             int(page) if page else None, unquote(url) if url is not None else None, fields["WARC-Type"],
-            int(other) if other else None, len(payload) if full else int(answer["Content-Length"]), stated,
-            payload.decode() if full and with_payload else None, digest(payload) == stated if full else None,
+            int(other) if other else None, len(payload) if full else size, own,
+            payload.decode(errors="strict" if verify else "replace") if full and with_payload else None, own == stated if full else None,
         ]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         for batch in batches:
-            for path in batch.column("path").to_pylist():
+            for path, expected in zip(batch.column("path").to_pylist(), batch.column("records").to_pylist(), strict=True):
                 system, name = fs.FileSystem.from_uri(path)
-                rows, size = [], 0
+                rows, size, found = [], 0, 0
                 with system.open_input_stream(name, compression=None) as stream:
                     for record in _Members(stream):
                         fields, block = parse(record)
                         if fields["WARC-Type"] not in ("response", "revisit"):
                             continue
                         rows.append(row(fields, block))
+                        found += 1
                         size += len(block)
                         if len(rows) >= 5000 or size > 1 << 23:
                             yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), kinds)], schema=kinds)
                             rows, size = [], 0
+                if expected is not None and found != expected:
+                    raise ValueError(f"{path} has {found} records, {expected} were written")
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), kinds)], schema=kinds)
 
     return run
 
 
-def read_archives(files: DataFrame, with_payload: bool = True) -> DataFrame:
+def read_archives(files: DataFrame, with_payload: bool = True, verify: bool = True) -> DataFrame:
     """The response and revisit records of the archives named in the column `path`.
 
-    digest_ok tells whether a full payload has the digest stated in its header (null for
-    revisits); payload is null for revisits. A broken member or a wrong length is an error.
+    payload_digest is computed from the payload that was read; of a revisit, which has none, it is the stated one. A payload of another
+    digest or length than stated is an error, and so are a broken or unfinished member, a wrong length of a record, and, where
+    `files` has a column `records`, another number of them. With verify=False digest_ok tells instead whether the digest is the
+    stated one (null for revisits). payload is null for revisits.
     """
-    files = files.select("path")
+    records = F.col("records").cast("long") if "records" in files.columns else F.lit(None).cast("long")
+    files = files.select("path", records.alias("records"))
     count = files.count()
-    return files.repartition(max(1, min(count, 100_000))).mapInArrow(_reader(with_payload), RECORDS)
+    return files.repartition(max(1, min(count, 100_000))).mapInArrow(_reader(with_payload, verify), RECORDS)
+
+
+def revisits_ok(read: DataFrame) -> DataFrame:
+    """`read`, an error where a revisit states another digest or length than the record it refers to has. Joined on page ids: no payload moves."""
+    own = read.filter("record_type = 'response'").select(F.col("page_id").alias("_page"), F.col("payload_digest").alias("_digest"), F.col("payload_bytes").alias("_bytes"))
+    # A page that was written several times has several full records; one of them is meant.
+    own = own.groupBy("_page").agg(F.collect_set(F.struct("_digest", "_bytes")).alias("_own"))
+    met = read.join(own, read["refers_to"] == own["_page"], "left")
+    right = F.array_contains("_own", F.struct(F.col("payload_digest").alias("_digest"), F.col("payload_bytes").alias("_bytes")))
+    wrong = F.raise_error(F.concat(F.lit("a revisit does not fit the record of page "), F.col("refers_to").cast("string")))
+    checked = F.when(F.col("refers_to").isNull() | F.coalesce(right, F.lit(False)), F.col("payload_digest")).otherwise(wrong)
+    return met.withColumn("payload_digest", checked).select(read.columns)
