@@ -41,6 +41,9 @@ NAMES = frozenset(
     "modal newsletter subscribe signup sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments "
     "disqus respond replies related recommended share sharing social search login pagination pager".split()
 )
+# What readers write, by class or id, also on articles and sections; and first parts of compound class names, such as comments-area or ad-slot.
+COMMENTS = frozenset("comment comments commentlist respond replies disqus".split())
+FIRST_PARTS = COMMENTS | frozenset("ad ads advert adverts advertisement cookie cookies consent gdpr newsletter sponsor sponsored promo".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 MAIN = frozenset("article main".split())
 CLOSES = {"li": ("li",), "p": ("p",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -83,11 +86,19 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
+def _named(words: set[str], ids: set[str]) -> tuple[bool, bool]:
+    """Do an element's class names (and, of comments, its ids) call it furniture, and does a whole name call it a reader's comment?"""
+    parts = {w: [x for x in re.split("[-_]+", w) if x] for w in words | ids}
+    remarks = not COMMENTS.isdisjoint(words | ids)
+    named = any(w in NAMES or parts[w] and (all(x in NAMES for x in parts[w]) or len(parts[w]) > 1 and parts[w][0] in FIRST_PARTS) for w in words)
+    return named or remarks, remarks
+
+
 def parse(html: str) -> Page:
     """Element paths and text runs. Missing end tags are supplied as browsers do for
-    paragraphs and list items; stray end tags are ignored. Names (whole class names, or compounds of names only; ids outside of
-    articles, except of headings and sections), roles, headers and forms make furniture unless the
-    element holds the main part."""
+    paragraphs and list items; stray end tags are ignored. Names (whole class names, compounds of names only or with a first part that says
+    enough; ids outside of articles, except of headings and sections), roles, headers and forms make furniture unless the
+    element holds the main part. Readers' comments are told by names and ids everywhere."""
     page = Page()
     stack: list[tuple[str, str, bool, tuple[int, ...]]] = []  # name, path, furniture by its element, numbers of elements that may be furniture
     marks: list[tuple[int, ...]] = []
@@ -157,14 +168,15 @@ def parse(html: str) -> Page:
         above = stack[-1] if stack else ("", "", False, ())
         inside = any(x[0] in MAIN for x in stack)
         words = set(given.get("class", "").lower().split())
-        if not inside and name not in HEADINGS and name != "section":
-            words |= set(given.get("id", "").lower().split())
-        named = any(w in NAMES or all(x in NAMES for x in re.split("[-_]+", w)) for w in words)
+        ids = set(given.get("id", "").lower().split()) if name not in HEADINGS else set()
+        if not inside and name != "section":
+            words |= ids
+        named, remarks = _named(words, ids)
         hidden = "hidden" in token[3].lower() and re.search(r"\shidden(?:\s|=|/|$)", _QUOTED.sub("", token[3]), re.I) is not None
         fixed = above[2] or name in FURNITURE or hidden and name not in NEVER
         maybe = above[3]
         header = not inside and (name == "header" or "header" in words)
-        if name not in NEVER and (name in FORMS or header or named or given.get("role", "").lower() in ROLES):
+        if name not in NEVER and (name in FORMS or header or named or given.get("role", "").lower() in ROLES) or remarks and name == "article":
             maybe = (*maybe, count)
             if name in FORMS and not named:
                 forms.add(count)

@@ -136,6 +136,28 @@ def test_scores_of_odd_rows(spark):
     assert all(r["train_tokens"] == 0 and r["n_known"] == 0 and r["base_score"] == 0 and math.isfinite(r["score"]) for r in alone)
 
 
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    """Several chunks, and pieces that would be others in another order of arrival."""
+    docs = table(spark, "/root/testdata/sf0.1", "documents").select("doc_id", "text")
+    held = queries.remainder(7) == 2
+    monkeypatch.setattr(mixing, "TOGETHER", 2)
+    three, seven = ({r["doc_id"]: r["score"] for r in mixing.score(docs.repartition(n), held).collect()} for n in (3, 7))
+    assert three == seven and len(three) == docs.count()
+
+
+def test_more_text_gives_better_scores(spark):
+    """What is learned grows: the documents of the small table cost fewer bits a byte beside ten times the text."""
+    held = queries.remainder(7) == 2
+    small = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text")
+    more = table(spark, "/root/testdata/sf0.1", "documents").select((F.col("doc_id") + 10**6).alias("doc_id"), "text")
+
+    def bits(docs):
+        some = mixing.score(docs, held).filter((F.col("doc_id") < 10**6) & held)
+        return some.agg(-F.sum("score") * F.log2(F.lit(10.0)) / F.sum("bytes")).first()[0]
+
+    assert bits(small.unionByName(more)) < 0.98 * bits(small)
+
+
 def test_the_code_probabilities_are_a_distribution():
     """Over all codes, the predicted chances of a first token sum to one."""
     import pyarrow as pa
@@ -280,3 +302,44 @@ def test_equal_vectors_of_repeated_pages(spark):
     rows = [(i, f"http://a.example/{i // 2}", f"<div><p>{'ab'[i // 2 % 2]} text</p><p>own {i // 2}</p></div>") for i in range(16)]
     got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert all(r["text"] == f"{'ab'[r['page_id'] // 2 % 2]} text\n\nown {r['page_id'] // 2}" for r in got)
+
+
+COMMENT_SHAPES = [
+    '<article class="post">{0}</article><section id="comments" class="comments-area"><article class="comment"><p>Noise</p></article></section>',
+    '<article>{0}<div class="comment-list"><p>Noise</p></div></article>',
+    '<article>{0}<div id="comments"><p>Noise</p></div></article>',
+    '<main><div class="entry">{0}</div><div class="comments-area"><p>Noise</p></div></main>',
+    '<div class="entry"><h1>Head</h1>{0}</div><div class="comments-area"><p>Noise</p></div>',
+    '<article>{0}<div class="cookie-bar">Noise</div></article>',
+    '<article>{0}<div class="ad-slot"><div>Noise</div></div></article>',
+    '<article class="comments-open">{0}</article><article class="comment even">Noise</article><article class="odd comment">Noise</article>',
+    '<article>{0}<ol class="commentlist"><li>Noise<li>Noise</ol><div id="respond"><form>Noise</form></div></article>',
+    '<article>{0}<section class="newsletter-signup">Noise</section><aside>Noise</aside></article>',
+]
+
+
+@pytest.mark.parametrize("shape", COMMENT_SHAPES)
+def test_comments_notices_and_adverts_are_left_out(shape):
+    story = "<p>First part of it.</p><p>Second part.</p>"
+    text = html.slot_text(html.parse("<html><body class='comments-open'>" + shape.format(story) + "</body></html>"), None, frozenset())
+    assert text.endswith("First part of it.\n\nSecond part.") and "Noise" not in text
+
+
+@pytest.mark.parametrize(
+    "inner",
+    [
+        '<h2 id="comments">On comments</h2><p>They matter.</p>',
+        '<section id="login"><p>How to log in.</p></section>',
+        '<p class="notice-period">Three months.</p>',
+        '<p class="admin adults-only address">Names that only begin alike.</p>',
+        '<p class="recommendation">Ours.</p>',
+    ],
+)
+def test_the_story_is_not_taken_for_comments(inner):
+    page = html.parse(f'<html><body><div class="wrap comments-open"><article class="post comment-status-open x"><p>Story.</p>{inner}</article></div></body></html>')
+    text = html.slot_text(page, None, frozenset())
+    assert text.startswith("Story.\n\n") and text.endswith(page.runs[-1].text)
+
+
+def test_a_page_of_nothing_but_a_comment_keeps_it():
+    assert html.slot_text(html.parse('<article class="comment"><p>All there is.</p></article>'), None, frozenset()) == "All there is."
