@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from resamplia.llm.components import components
 from resamplia.llm.postings import best_centres, few_pairs, key_filter, may_be_key, open_blocks, open_lists, postings, repeated
-from resamplia.llm.shared import pieces, stored, written
+from resamplia.llm.shared import forget, pieces, stored, written
 from resamplia.llm.words import LOWER, mix, numbers
 
 # Bytes of text whose shingles a task holds at once.
@@ -113,6 +113,7 @@ def _scan(n: int, bands: int, rows: int):
     """Each distinct line of a batch with its bands and its first occurrence there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in pieces(batches, "text", PIECE):
             first: dict[bytes, tuple] = {}
             count: dict[bytes, int] = {}
@@ -322,7 +323,7 @@ def _rebuild(names: list[str]):
                 parts = [] if text is None else text.split("\n")
                 drop = set(removed or ())
                 out.append(text if text is None or not drop else "\n".join(x for k, x in enumerate(parts) if k not in drop))
-                lines.append(sum(1 for x in parts if x.strip()))
+                lines.append(sum(1 for x in parts if normal(x.encode())))
                 gone.append(len(drop))
             columns = [pa.array(out, batch.column("text").type) if c == "text" else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(gone, pa.int64())], [*names, "n_lines", "n_removed"])

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructType
 
+from resamplia.llm.shared import memories
 from resamplia.llm.shared import pieces as batches_of
 
 # Distinct parts that one Python worker remembers, the longest of these, and remembered answers about pairs of pieces.
@@ -244,6 +245,7 @@ class PieceCoder:
 
 
 _coders: dict[bytes, PieceCoder] = {}
+memories.append(_coders.clear)
 
 
 def coder(data: bytes) -> PieceCoder:

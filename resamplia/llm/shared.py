@@ -51,17 +51,19 @@ _made: list[list[str]] = []
 
 @contextmanager
 def tidy(spark: SparkSession) -> Iterator[list[str]]:
-    """Within, shuffle files go as soon as the query that wrote them has ended, instead of when the driver collects its garbage; gives the
-    folders of the tables that `written` makes within."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before, folders = spark.conf.get(key, None), []
-    spark.conf.set(key, "true")
+    """Within, shuffle files go as soon as the query that wrote them has ended, instead of when the driver collects its garbage, and Python
+    gets fewer rows at a time; gives the folders of the tables that `written` makes within."""
+    own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+    before, folders = {key: spark.conf.get(key, None) for key in own}, []
+    for key, value in own.items():
+        spark.conf.set(key, value)
     _made.append(folders)
     try:
         yield folders
     finally:
         _made.remove(folders)
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def remove(spark: SparkSession, folders: Iterable[str]) -> None:
@@ -121,6 +123,16 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = PIECE_BY
             yield batch.slice(a, b - a)
 
 
+#: How to empty what modules remember in a Python worker. Workers are used again by other operators.
+memories: list[Callable[[], None]] = []
+
+
+def forget() -> None:
+    """Called at the beginning of tasks that need much memory themselves."""
+    for empty in memories:
+        empty()
+
+
 def by_pieces(column: str, work: Callable[[pa.RecordBatch], pa.RecordBatch | None]):
     """A function for mapInArrow that applies `work` to bounded pieces."""
 

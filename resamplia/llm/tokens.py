@@ -11,6 +11,8 @@ from functools import cache
 
 import numpy as np
 
+from resamplia.llm.shared import memories
+
 # Distinct words that one Python worker remembers; beyond that it starts anew.
 WORDS_KEPT = 400_000
 
@@ -136,6 +138,7 @@ def _byte_alphabet() -> dict[int, str]:
 
 
 _encoders: dict[str, WordEncoder] = {}
+memories.append(_encoders.clear)
 
 
 def encoder(path: str) -> WordEncoder:

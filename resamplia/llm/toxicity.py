@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from resamplia.llm.shared import pieces, texts
+from resamplia.llm.shared import forget, pieces, texts
 from resamplia.llm.words import LETTER_OR_DIGIT, find, mix
 
 WINDOW = 24
@@ -120,6 +120,7 @@ def _labelled(fit_on: Column, docs: DataFrame, labels: DataFrame, sample: int) -
 def _code_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each task: number of toxic and other texts that hold a code (code 0: all texts)."""
     sums: dict[int, list[int]] = {}
+    forget()
 
     def out():
         keys = list(sums)
