@@ -44,18 +44,22 @@ def right_justified(number: Column, width: Column) -> Column:
     return F.concat(F.repeat(F.lit(" "), (width - F.length(text)).cast("int")), text)
 
 
+# The texts of labels, titles and axes, as reports show them.
+WORKER, VIA, AXIS = "worker process", " via ", "Time (min:sec)\ntotal time: "
+
+
 def worker_label(code: Column, width: Column) -> Column:
-    return F.concat_ws(" ", F.lit("worker process"), right_justified(code, width))
+    return F.concat_ws(" ", F.lit(WORKER), right_justified(code, width))
 
 
 def panel_title(framework: Column, backend: Column, platform: Column) -> Column:
-    return F.concat(framework, F.lit(" via "), backend, F.lit(" ("), platform, F.lit(")"))
+    return F.concat(framework, F.lit(VIA), backend, F.lit(" ("), platform, F.lit(")"))
 
 
 def time_axis_label(seconds: Column) -> Column:
     """Axis text with the total time in whole seconds."""
     whole = F.ceil(seconds).cast("bigint").cast("string")
-    return F.concat(F.lit("Time (min:sec)\ntotal time: "), whole, F.lit("s"))
+    return F.concat(F.lit(AXIS), whole, F.lit("s"))
 
 
 def without(column: Column, pattern: str) -> Column:
