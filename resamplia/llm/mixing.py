@@ -16,11 +16,11 @@ the tasks that add them up, and get back the counts of the words they have.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +33,7 @@ CODES = 1 << CODE_BITS
 SPELLING = {"spell1": (1, 512), "spell2": (2, 4096), "spell3": (3, 16384), "spell4": (4, 16384)}
 CHUNK_BYTES = 16 << 20
 BLOCK = 1 << 15
-SLICES = 64
+SLICES, TOGETHER = 64, 32
 END = np.uint64(0x0DDBA11C0FFEE5ED)
 STATES = 5
 PIECE = 1 << 21
@@ -150,28 +150,45 @@ def _rows(rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), _PACKED, strict=True)], schema=_PACKED) if rows else _PACKED.empty_table()
 
 
+def _squeeze(counts: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(counts.tobytes())
+
+
+def _expand(blob: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
+
+
+def _in_order(table: pa.Table) -> pa.Table:
+    """The rows by their hashes, so that the same chunk always gives the same figures."""
+    names = np.array(table.column("order").to_pylist(), np.int64)
+    return table.take(pa.array(np.argsort(names, kind="stable")))
+
+
 def _count(parts: int):
-    """Of one chunk: each distinct token with its training count, packed by part, and slices of the context tables."""
+    """Of one chunk: each distinct token with its training count, packed by part, and slices of the context tables. Spelling
+    is learned from the distinct words of the chunk, each once, not from their frequencies."""
 
     def run(table: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _PACKED.empty_table()
         chunk = table.column("chunk")[0].as_py()
-        sums = {name: np.zeros(size, np.int64) for name, size in TABLES.items()}
-        keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-        for piece in _pieces(table):
+        cells: dict[str, list[np.ndarray]] = {name: [] for name in TABLES}
+        keys, counts, known = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.uint64)
+        for piece in _pieces(_in_order(table)):
             t = Tokens(piece.column("text"))
             train = np.repeat(~piece.column("held_out").to_numpy(zero_copy_only=False).astype(bool), np.diff(t.first))
             some, where, inverse = np.unique(t.hash, return_index=True, return_inverse=True)
             own = np.bincount(inverse, weights=train, minlength=len(some)).astype(np.int64)
             code = t.code[train]
             for name, context in (("before", t.before), ("endings", t.endings), ("letters", t.letters)):
-                sums[name] += np.bincount(context[train] * CODES + code, minlength=TABLES[name])
-            # Spelling is learned from words, not from their frequencies.
-            spelled = where[(own > 0) & (some != END)]
-            symbol, _, contexts = _spelling(t.lower, t.start[spelled], t.end[spelled])
+                cells[name].append((context[train] * CODES + code).astype(np.int32))
+            new = (own > 0) & (some != END)
+            if len(known):
+                new &= known[np.minimum(np.searchsorted(known, some), len(known) - 1)] != some
+            symbol, _, contexts = _spelling(t.lower, t.start[where[new]], t.end[where[new]])
             for name, context in contexts.items():
-                sums[name] += np.bincount(context * 257 + symbol, minlength=TABLES[name])
+                cells[name].append((context * 257 + symbol).astype(np.int32))
+            known = np.sort(np.concatenate([known, some[new]]))
             merged, inverse = np.unique(np.concatenate([keys, some]), return_inverse=True)
             counts = np.bincount(inverse, weights=np.concatenate([counts, own]), minlength=len(merged)).astype(np.int64)
             keys = merged
@@ -179,9 +196,10 @@ def _count(parts: int):
         order = np.argsort(part, kind="stable")
         begin = np.searchsorted(part[order], np.arange(parts + 1))
         rows = [("words", p, chunk, keys[order[a:b]].tobytes(), counts[order[a:b]].tobytes()) for p, (a, b) in enumerate(zip(begin[:-1], begin[1:], strict=True)) if b > a]
-        for name, table_ in sums.items():
-            for k, part_ in enumerate(np.array_split(table_, SLICES)):
-                rows.append((name, k, None, None, zlib.compress(part_.astype(np.int32).tobytes(), 1)))
+        for name in TABLES:
+            total = np.bincount(np.concatenate(cells.pop(name)), minlength=TABLES[name])
+            for k, slice_ in enumerate(np.array_split(total, SLICES)):
+                rows.append((name, k, chunk, None, _squeeze(slice_)))
         return _rows(rows)
 
     return run
@@ -191,8 +209,8 @@ def _add_up(table: pa.Table) -> pa.Table:
     """Of one part: the counts of all chunks added up, for each chunk its own words; or a slice of a context table."""
     kind, part = table.column("kind")[0].as_py(), table.column("part")[0].as_py()
     if kind != "words":
-        total = sum(np.frombuffer(zlib.decompress(x.as_py()), np.int32).astype(np.int64) for x in table.column("counts"))
-        return _rows([(kind, part, None, None, zlib.compress(total.tobytes(), 1))])
+        total = sum(_expand(x.as_py(), np.int64) for x in table.column("counts"))
+        return _rows([(kind, part, None, None, _squeeze(total))])
     each = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("keys")]
     flat = np.concatenate(each)
     keys, inverse = np.unique(flat, return_inverse=True)
@@ -328,7 +346,7 @@ def _score(tables):
             return kinds.empty_table()
         given = tables.value
         if "cells" not in given:  # once per worker
-            counts = {name: np.concatenate([np.frombuffer(zlib.decompress(x), np.int64) for x in given[name]]) if given[name] else np.zeros(size, np.int64) for name, size in TABLES.items()}
+            counts = {name: np.concatenate([_expand(x, np.int64) for x in given[name]]) if given[name] else np.zeros(size, np.int64) for name, size in TABLES.items()}
             given["by_code"] = counts["before"].reshape(-1, CODES).sum(axis=0)
             given["cells"] = {name: Cells(c, 257 if name in SPELLING else CODES) for name, c in counts.items()} | {"none": Cells(given["by_code"], CODES)}
         cells, by_code = given["cells"], given["by_code"]
@@ -341,11 +359,8 @@ def _score(tables):
         new = (single + 1) / (total + 2)
         mixer, spelling = Mixer(5, CODE_BITS, STATES), Mixer(len(SPELLING), 9, 1)
         match = new_match()
-        # In the order of their hashes, so that the same chunk always gives the same scores.
-        names = np.array([hash_ for hash_ in left.column("order").to_pylist()], np.int64)
-        left = left.take(pa.array(np.argsort(names, kind="stable")))
         out = []
-        for piece in _pieces(left):
+        for piece in _pieces(_in_order(left)):
             t = Tokens(piece.column("text"))
             c = counts[np.searchsorted(keys, t.hash)]
             train = np.repeat(~piece.column("held_out").to_numpy(zero_copy_only=False).astype(bool), np.diff(t.first))
@@ -389,11 +404,13 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     dealt = rows.withColumn("order", order).withColumn("chunk", F.pmod(order, F.lit(chunks)).cast("int"))
     parts = max(partitions(spark), chunks)
     counted = dealt.groupBy("chunk").applyInArrow(_count(parts), PACKED)
-    added = stored(counted.groupBy("kind", "part").applyInArrow(_add_up, PACKED))
+    # Tables are summed over TOGETHER chunks first, then over these sums.
+    level = F.when(F.col("kind") == "words", 0).otherwise(F.expr(f"chunk div {TOGETHER}"))
+    added = stored(counted.groupBy("kind", "part", level.alias("level")).applyInArrow(_add_up, PACKED))
     # Context tables have a fixed size; of the words only three totals are fetched.
     tables: dict = {}
     for name in TABLES:
-        slices = added.filter(F.col("kind") == name).select("part", "counts").collect()
+        slices = added.filter(F.col("kind") == name).groupBy("kind", "part").applyInArrow(_add_up, PACKED).select("part", "counts").collect()
         tables[name] = [bytes(r["counts"]) for r in sorted(slices, key=lambda r: r["part"])]
     # Big-endian numbers, which conv can read.
     number = lambda k: F.conv(F.hex(F.substring("counts", 8 * k + 1, 8)), 16, 10).cast("long")
