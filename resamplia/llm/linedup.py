@@ -15,13 +15,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from resamplia.llm.components import components
 from resamplia.llm.postings import best_centres, few_pairs, key_filter, may_be_key, open_blocks, open_lists, postings, repeated
-from resamplia.llm.shared import forget, pieces, stored, written
+from resamplia.llm.shared import forget, pieces, stored, tidy, written
 from resamplia.llm.words import LOWER, mix, numbers
 
 # Bytes of text whose shingles a task holds at once.
@@ -30,6 +31,8 @@ PIECE = 1 << 20
 SHINGLE, SIMILARITY = 8, 0.8
 BANDS, ROWS = 9, 4
 BLOCK = 1024
+# Lists of up to so many lines are compared together with others.
+AT_ONCE = 64
 SCAN = "rid binary, keys array<long>, codes binary, unnamed boolean, doc_id long, doc binary, line int"
 # Lists of up to so many lines are compared pair by pair, longer ones in blocks.
 FEW = 6
@@ -43,14 +46,16 @@ def normal(line: bytes) -> bytes:
 
 
 def line_id(line: bytes) -> bytes:
-    return hashlib.md5(line).digest()
+    return xxhash.xxh3_128_digest(line)
 
 
 def doc_key(doc_id: int | None, text: bytes) -> bytes:
     return hashlib.md5(f"{doc_id}\0".encode() + text).digest()
 
 
-_LOWER = LOWER.tobytes()
+_WHITE = " \t\r\x0b\x0c"
+# Small letters, and blanks for other white space within a line.
+_LOWER = LOWER.tobytes().translate(bytes.maketrans(b"\t\r\x0b\x0c", b"    "))
 
 
 def shingle_hashes(lines: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,15 +74,35 @@ def shingle_hashes(lines: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(runs[np.arange(counts.sum()) + np.repeat(start - begin, counts)]), begin
 
 
+def short_hashes(lines: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """As `shingle_hashes`, in 32 bits: enough for minima, which are checked afterwards."""
+    texts = [x.decode() for x in lines]
+    lengths = np.array([len(x) for x in texts])
+    pad = "\0" * n
+    points = np.frombuffer((pad.join(texts) + pad).encode("utf-32-le"), np.uint32)
+    runs = np.zeros(len(points), np.uint32)
+    for k, factor in enumerate((numbers(21, n) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)):
+        runs[: len(points) - k] += points[k:] * factor
+    counts = np.maximum(lengths - n + 1, 1)
+    start = np.cumsum(lengths + n) - lengths - n
+    edges = np.zeros(len(points) + 1, np.int8)
+    edges[start] = 1
+    edges[start + counts] = -1
+    x = runs[np.cumsum(edges[:-1], dtype=np.int8).view(bool)]
+    for shift, factor in ((16, 0x7FEB352D), (15, 0x846CA68B)):
+        x = (x ^ x >> np.uint32(shift)) * np.uint32(factor)
+    return x ^ x >> np.uint32(16), np.cumsum(counts) - counts
+
+
 def band_keys(lines: list[bytes], n: int, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the bands of each line, and a byte of each minimum."""
-    hashes, begin = shingle_hashes(lines, n)
-    short = (hashes >> np.uint64(32)).astype(np.uint32)
+    short, begin = short_hashes(lines, n)
     factors = (numbers(22, bands * rows) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
     out = np.zeros((len(lines), bands), np.uint64)
     codes = np.empty((len(lines), bands * rows), np.uint8)
+    product = np.empty_like(short)
     for k, factor in enumerate(factors):
-        least = np.minimum.reduceat(short * factor, begin)
+        least = np.minimum.reduceat(np.multiply(short, factor, out=product), begin)
         codes[:, k] = (least * np.uint32(0x9E3779B1)) >> np.uint32(24)
         out[:, k // rows] = mix(out[:, k // rows] + least.astype(np.uint64) + np.uint64(k + 1))
     return out, codes
@@ -92,7 +117,51 @@ def shingle_set(line: bytes, n: int) -> set[str]:
     return {text[i : i + n] for i in range(max(1, len(text) - n + 1))}
 
 
-def alike(x: set[str], y: set[str], similarity: float) -> bool:
+class Sets:
+    """Shingle sets of some lines. Eight characters of Latin-1 are eight bytes, so the shingles of lines that it can write are numbers,
+    read off these bytes; other lines have sets of texts, and `pair` gives two sets of the same kind."""
+
+    def __init__(self, lines: list[bytes], n: int):
+        self.lines, self.n = lines, n
+        own = [self._latin(x) if n == 8 else None for x in lines]
+        data = b"".join(x for x in own if x)
+        self.size = [len(x) if x else 0 for x in own]
+        self.begin = (np.cumsum(self.size) - self.size).tolist() if lines else []
+        self.numbers = np.ndarray(len(data) - 7, np.uint64, data, strides=1) if len(data) > 7 else None
+        self.known: dict[int, set[int] | None] = {}
+
+    @staticmethod
+    def _latin(line: bytes) -> bytes | None:
+        if line.isascii():
+            return line
+        try:
+            return line.decode().encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+
+    def _numbers(self, i: int) -> set[int] | None:
+        if self.size[i] < 8:
+            return None
+        return set(self.numbers[self.begin[i] : self.begin[i] + self.size[i] - 7].tolist())
+
+    def of(self, i: int, keep: bool) -> set[int] | None:
+        if not keep:
+            return self._numbers(i)
+        if i not in self.known:
+            if len(self.known) > 2000:
+                self.known.clear()
+            self.known[i] = self._numbers(i)
+        return self.known[i]
+
+    def pair(self, i: int, j: int, keep: bool = True) -> tuple[set, set]:
+        """The sets of two lines; `keep`: that of the first is likely to be asked for again, as that of the second always is."""
+        x, y = self.of(i, keep), self.of(j, True)
+        if x is None or y is None:
+            return shingle_set(self.lines[i], self.n), shingle_set(self.lines[j], self.n)
+        return x, y
+
+
+def alike(x: set, y: set, similarity: float) -> bool:
     if min(len(x), len(y)) < similarity * max(len(x), len(y)):
         return False
     both = len(x & y)
@@ -103,8 +172,12 @@ def _lines(batch: pa.RecordBatch) -> Iterator[tuple[int | None, bytes, int, byte
     for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
         if text:
             doc = doc_key(doc_id, text)
-            for k, raw in enumerate(text.translate(_LOWER).split(b"\n")):
-                line = normal(raw)
+            # As `normal`, for all lines at once.
+            text = text.translate(_LOWER)
+            while b"  " in text:
+                text = text.replace(b"  ", b" ")
+            for k, raw in enumerate(text.split(b"\n")):
+                line = raw.strip(b" ")
                 if line:
                     yield doc_id, doc, k, line
 
@@ -115,22 +188,25 @@ def _scan(n: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for batch in pieces(batches, "text", PIECE):
-            first: dict[bytes, tuple] = {}
-            count: dict[bytes, int] = {}
+            # The first occurrence, and how many there are.
+            first: dict[bytes, list] = {}
             for doc_id, doc, k, line in _lines(batch):
-                here = (doc_id is None, doc_id, doc, k)
-                count[line] = count.get(line, 0) + 1
-                if line not in first or (here[0], here[1] or 0, here[2], here[3]) < (first[line][0], first[line][1] or 0, *first[line][2:]):
-                    first[line] = here
+                seen = first.get(line)
+                if seen is None:
+                    first[line] = [doc_id is None, doc_id, doc, k, 1]
+                    continue
+                seen[4] += 1
+                if (doc_id is None, doc_id or 0, doc, k) < (seen[0], seen[1] or 0, seen[2], seen[3]):
+                    seen[:4] = doc_id is None, doc_id, doc, k
             if not first:
                 continue
             lines = list(first)
             keys, codes = band_keys(lines, n, bands, rows)
             keys = keys.view(np.int64)
-            unnamed, ids, docs, places = zip(*first.values(), strict=True)
+            unnamed, ids, docs, places, count = zip(*first.values(), strict=True)
             flat = pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(map(line_id, lines), pa.binary()), flat, pa.array([x.tobytes() for x in codes], pa.binary()), pa.array(unnamed), pa.array(ids, pa.int64()), pa.array(docs, pa.binary()), pa.array(places, pa.int32()), pa.array([count[x] for x in lines], pa.int64())],
+                [pa.array(map(line_id, lines), pa.binary()), flat, pa.array([x.tobytes() for x in codes], pa.binary()), pa.array(unnamed), pa.array(ids, pa.int64()), pa.array(docs, pa.binary()), pa.array(places, pa.int32()), pa.array(count, pa.int64())],
                 ["rid", "keys", "codes", "unnamed", "doc_id", "doc", "line", "copies"],
             )
 
@@ -171,13 +247,12 @@ def _collide(least: int):
 
 def _confirm(n: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[bytes, set[str]] = (b"", set())
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("u_words").to_pylist(), batch.column("v_words").to_pylist(), strict=True):
-                if last[0] != b:  # pairs come ordered by v
-                    last = (b, shingle_set(b, n))
-                keep.append(alike(shingle_set(a, n), last[1], similarity))
+            left, right = batch.column("u_words").to_pylist(), batch.column("v_words").to_pylist()
+            place: dict[bytes, int] = {}
+            second = [place.setdefault(x, len(place)) for x in right]
+            sets = Sets([*place, *left], n)
+            keep = [alike(*sets.pair(len(place) + i, j, keep=False), similarity) for i, j in enumerate(second)]
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("u").filter(keep), batch.column("v").filter(keep)], ["u", "v"])
 
@@ -264,9 +339,100 @@ def _compare(n: int, similarity: float, least: int, bands: int):
     return run
 
 
+def _sets_at_once(n: int, similarity: float, least: int, bands: int):
+    """`_compare` over the groups of a partition, which come one after the other: short ones many at a time."""
+    single, names = _compare(n, similarity, least, bands), ["key", "a", "b"]
+
+    def small(table: pa.Table, starts: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Groups of one block each."""
+        rid, words = table.column("rid").to_pylist(), table.column("words").to_pylist()
+        parts = table.column("component").to_pylist()
+        keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(len(rid), bands)
+        codes = np.frombuffer(b"".join(table.column("codes").to_pylist()), np.uint8).reshape(len(rid), -1)
+        number = {x: k for k, x in enumerate(dict.fromkeys(parts))}
+        comp = np.array([number[x] for x in parts])
+        group = np.repeat(np.arange(len(starts)), sizes)
+        here = np.logical_or.reduceat(keys == table.column("key").to_numpy()[:, None], starts).argmax(axis=1)
+        corner = {s: np.triu_indices(s, 1) for s in set(sizes.tolist())}
+        u = np.concatenate([a + corner[s][0] for a, s in zip(starts.tolist(), sizes.tolist(), strict=True)])
+        v = np.concatenate([a + corner[s][1] for a, s in zip(starts.tolist(), sizes.tolist(), strict=True)])
+        apart = comp[u] != comp[v]
+        u, v = u[apart], v[apart]
+        good = (codes[u] == codes[v]).sum(axis=1) >= least
+        u, v = u[good], v[good]
+        good = (keys[u] == keys[v]).argmax(axis=1) == here[group[u]]
+        parent = list(range(len(number)))
+
+        def root(x: int) -> int:
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        sets = Sets(words, n)
+        out: list[tuple[bytes, bytes]] = []
+        for i, j in zip(u[good].tolist(), v[good].tolist(), strict=True):
+            x, y = root(comp[i]), root(comp[j])
+            if x == y:
+                continue
+            if alike(*sets.pair(i, j), similarity):
+                parent[x] = y
+                out.append((rid[i], rid[j]))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], ["u", "v"])
+
+    def whole(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Some complete groups."""
+        changes = np.zeros(table.num_rows, bool)
+        changes[0] = True
+        for c in names:
+            x = table.column(c).to_numpy()
+            changes[1:] |= x[1:] != x[:-1]
+        starts = np.flatnonzero(changes)
+        sizes = np.diff([*starts, table.num_rows])
+        alone = (sizes > AT_ONCE) | (table.column("a").to_numpy() != table.column("b").to_numpy())[starts]
+        for a, size in zip(starts[alone].tolist(), sizes[alone].tolist(), strict=True):
+            yield from single(table.slice(a, size)).to_batches()
+        few = np.repeat(~alone, sizes)
+        if few.any():
+            own = sizes[~alone]
+            yield from small(table.filter(pa.array(few)), np.cumsum(own) - own, own)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # The last group may go on in the next batch.
+            last = np.ones(batch.num_rows, bool)
+            for c in names:
+                x = batch.column(c).to_numpy()
+                last &= x == x[-1]
+            cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+            if rest and (cut or any(rest[-1].column(c)[-1].as_py() != batch.column(c)[0].as_py() for c in names)):
+                same = all(rest[-1].column(c)[-1].as_py() == batch.column(c)[0].as_py() for c in names)
+                yield from whole(pa.Table.from_batches([*rest, batch.slice(0, cut)] if same else rest))
+                if not same and cut:
+                    yield from whole(pa.Table.from_batches([batch.slice(0, cut)]))
+                rest = [batch.slice(cut)]
+            else:
+                if cut:
+                    yield from whole(pa.Table.from_batches([batch.slice(0, cut)]))
+                rest.append(batch.slice(cut))
+        if rest:
+            yield from whole(pa.Table.from_batches(rest))
+
+    return run
+
+
 def line_components(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
     """Distinct lines that occur again or have a line alike: rid, component, and the place that stays (kept_doc,
     kept_line); and the places (rid, doc, line) of these and some other lines."""
+    with tidy(docs.sparkSession):  # many steps, whose shuffle files need not wait for each other
+        return _line_components(docs, shingle, similarity, bands, rows)
+
+
+def _line_components(docs: DataFrame, shingle: int, similarity: float, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text")
     least = least_matches(bands * rows, similarity)
@@ -298,7 +464,8 @@ def line_components(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     lists = open_lists(entries, united)
     few = few_pairs(lists, FEW).join(best, ["u", "v"], "left_anti").join(best.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_anti")
     dealt = open_blocks(lists.filter(F.col("n") > FEW), BLOCK).join(known, "rid")
-    found = dealt.groupBy("key", "a", "b").applyInArrow(_compare(shingle, similarity, least, bands), "u binary, v binary")
+    groups = dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
+    found = groups.mapInArrow(_sets_at_once(shingle, similarity, least, bands), "u binary, v binary")
     more = stored(confirmed(few).unionByName(found))
     final = components(united.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
     labelled = reps.join(final.select(F.col("node").alias("rid"), "component"), "rid", "left").filter("copies > 1 or component is not null")
@@ -323,7 +490,7 @@ def _rebuild(names: list[str]):
                 parts = [] if text is None else text.split("\n")
                 drop = set(removed or ())
                 out.append(text if text is None or not drop else "\n".join(x for k, x in enumerate(parts) if k not in drop))
-                lines.append(sum(1 for x in parts if normal(x.encode())))
+                lines.append(sum(1 for x in parts if x.strip(_WHITE)))
                 gone.append(len(drop))
             columns = [pa.array(out, batch.column("text").type) if c == "text" else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(gone, pa.int64())], [*names, "n_lines", "n_removed"])

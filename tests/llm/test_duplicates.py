@@ -6,6 +6,7 @@ import collections
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,6 +119,76 @@ def test_least_matches():
     assert neardup.least_matches(48, 85) == 30 and neardup.least_matches(128, 85) == 92
 
 
+def test_shingle_sets_of_any_kind():
+    """Sets of numbers and of texts agree on what is alike."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 60))) for letters in ["ab ", "aé ", "ab字", "ßÿab"] for _ in range(40)]
+    texts += [t + "x" for t in texts[:80]] + ["", "a" * 7, "a" * 8, "a" * 9]
+    lines = [t.encode() for t in texts if t]
+    sets = linedup.Sets(lines, 8)
+    for i in range(len(lines)):
+        for j in rng.sample(range(len(lines)), 30):
+            want = linedup.alike(linedup.shingle_set(lines[i], 8), linedup.shingle_set(lines[j], 8), 0.8)
+            assert linedup.alike(*sets.pair(i, j), 0.8) == want == linedup.alike(*sets.pair(i, j, keep=False), 0.8)
+    assert linedup.Sets([], 8).known == {} and linedup.alike(*linedup.Sets([b"abcd", b"abcd"], 3).pair(0, 1), 0.8)
+
+
+@pytest.mark.parametrize("size", [3, 1 << 16])
+def test_groups_compared_together_or_alone(size, monkeypatch):
+    """The links of a list are the same whether it is compared with others or alone, in batches cut anywhere."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(linedup, "AT_ONCE", size)
+    rng = random.Random(1)
+    base = ["the quick brown fox jumps over it", "pack my box with five dozen jugs", "sphinx of black quartz judge my vow"]
+    base = [" ".join(b + str(k) for k in range(4)) for b in base]
+    lines = [x.encode() for x in dict.fromkeys(b[:k] + rng.choice("abc") + b[k + rng.randint(0, 1) :] for b in base for k in range(6, 60, 2))]
+    keys, codes = linedup.band_keys(lines, 8, 9, 4)
+    rows = []
+    for key in sorted(set(keys.ravel().tolist())):
+        members = [i for i in range(len(lines)) if key in keys[i]]
+        if len(members) > 1:
+            rows += [(np.uint64(key).view(np.int64).item(), 0, 0, i) for i in members]
+    names = {i: linedup.line_id(x) for i, x in enumerate(lines)}
+    table = pa.table({
+        "key": [r[0] for r in rows], "a": pa.array([0] * len(rows), pa.int32()), "b": pa.array([0] * len(rows), pa.int32()), "own": pa.array([0] * len(rows), pa.int32()),
+        "rid": [names[r[3]] for r in rows], "component": [names[r[3]] for r in rows], "keys": pa.array([keys[r[3]].view(np.int64) for r in rows]),
+        "codes": [codes[r[3]].tobytes() for r in rows], "words": [lines[r[3]] for r in rows],
+    })
+    run = linedup._sets_at_once(8, 0.8, linedup.least_matches(36, 0.8), 9)
+    found = set()
+    for step in (1, 7, 10_000):
+        union = Union(len(lines))
+        back = {n: i for i, n in names.items()}
+        for batch in run(iter(table.to_batches(step))):
+            for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+                assert linedup.alike(linedup.shingle_set(lines[back[u]], 8), linedup.shingle_set(lines[back[v]], 8), 0.8)
+                union.join(back[u], back[v])
+        found.add(tuple(union.root(i) == union.root(j) for i in range(len(lines)) for j in range(i)))
+    assert len(found) == 1 and any(next(iter(found)))
+
+
+@pytest.mark.parametrize("most", [4, 500_000])
+def test_components_in_several_steps(spark, most):
+    """Paths, stars and cycles whose links are united a few at a time."""
+    rng = random.Random(most)
+    links = [(k, k + 1) for k in range(150)] + [(1000, k) for k in range(1001, 1200)] + [(2000 + k, 2000 + (k + 1) % 40) for k in range(40)] + [(1100, 150)]
+    rng.shuffle(links)
+    union = Union(3000)
+    for a, b in links:
+        union.join(a, b)
+    least = {}
+    for k in range(3000):
+        least[union.root(k)] = min(k, least.get(union.root(k), k))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5" if most == 4 else before)
+    try:
+        got = {tuple(r) for r in components(spark.createDataFrame(links, "u long, v long").repartition(6), most).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == {(k, least[union.root(k)]) for k in {x for link in links for x in link}}
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_components(spark, seed):
     rng = random.Random(seed)
