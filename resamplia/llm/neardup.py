@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from resamplia.llm.components import components
 from resamplia.llm.postings import best_centres, few_pairs, key_filter, may_be_key, open_blocks, open_lists, postings, repeated
-from resamplia.llm.shared import pieces, stored, texts, written
+from resamplia.llm.shared import forget, pieces, stored, texts, written
 from resamplia.llm.words import NOT_SPACE, find, mix, numbers, shingle_sets
 
 SHINGLE, PERCENT = 3, 85
@@ -68,6 +68,7 @@ def set_id(s: np.ndarray) -> bytes:
 
 def _scan(n: int, posted: int, more: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in pieces(batches, "text"):
             w = find(*texts(batch.column("text")), NOT_SPACE)
             sets = shingle_sets(w.hash, w.first, n)
@@ -162,7 +163,7 @@ def _compare(n: int, percent: int, collisions: int, posted: int):
         if us:
             u, v, h = (np.concatenate(x) for x in (us, vs, hits))
             rid, texts_ = table.column("rid").to_pylist(), table.column("text")
-            sets: dict[int, frozenset[int]] = {}
+            sets: dict[int, np.ndarray] = {}
             parent = list(range(len(names)))
 
             def root(x: int) -> int:
@@ -178,8 +179,8 @@ def _compare(n: int, percent: int, collisions: int, posted: int):
                     continue
                 for m in (i, j):
                     if m not in sets:
-                        sets[m] = frozenset(word_sets(texts_.slice(m, 1).combine_chunks(), n)[0].tolist())
-                both = len(sets[i] & sets[j])
+                        sets[m] = word_sets(texts_.slice(m, 1).combine_chunks(), n)[0]
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
                     parent[x] = y
                     out.append((rid[i], rid[j]))

@@ -52,8 +52,8 @@ _made: list[list[str]] = []
 @contextmanager
 def tidy(spark: SparkSession) -> Iterator[list[str]]:
     """Within, shuffle files go as soon as the query that wrote them has ended, instead of when the driver collects its garbage, and Python
-    gets fewer rows at a time; gives the folders of the tables that `written` makes within."""
-    own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+    gets fewer bytes at a time; gives the folders of the tables that `written` makes within."""
+    own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(2 * PIECE_BYTES)}
     before, folders = {key: spark.conf.get(key, None) for key in own}, []
     for key, value in own.items():
         spark.conf.set(key, value)
@@ -61,7 +61,7 @@ def tidy(spark: SparkSession) -> Iterator[list[str]]:
     try:
         yield folders
     finally:
-        _made.remove(folders)
+        _made.pop()
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
@@ -131,6 +131,7 @@ def forget() -> None:
     """Called at the beginning of tasks that need much memory themselves."""
     for empty in memories:
         empty()
+    pa.default_memory_pool().release_unused()
 
 
 def by_pieces(column: str, work: Callable[[pa.RecordBatch], pa.RecordBatch | None]):
