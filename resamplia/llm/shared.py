@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -72,6 +73,13 @@ def remove(spark: SparkSession, folders: Iterable[str]) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Has the driver look for steps that nothing refers to any more. Where spark.cleaner.referenceTracking.cleanCheckpoints is set, what
+    `stored` wrote for them goes; else nothing changes."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """As `stored`, as a compressed table; for texts."""
     folder = new_folder(df.sparkSession, name)
