@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from resamplia.llm import decontamination, linedup, neardup, packing, toxicity
 from resamplia.llm.queries import TOKENIZER
-from resamplia.llm.shared import new_folder, remove, stored, table, tidy
+from resamplia.llm.shared import new_folder, remove, stored, sweep, table, tidy
 
 # The general rule for near-duplicates: shingles of five words, similarity 0.8.
 SHINGLE, PERCENT = 5, 80
@@ -70,8 +70,8 @@ _tables: list[str] = []
 
 
 def tidied(stage: Stage) -> Stage:
-    """The stage, which first removes the tables that the stage before has written on its way: its result is a table of its own by
-    now. They stay if `docs` still reads them."""
+    """The stage, which first removes the tables that the stage before has written on its way, and what it stored: its result is a
+    table of its own by now. They stay if `docs` still reads them."""
 
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,6 +79,7 @@ def tidied(stage: Stage) -> Stage:
         names = [folder.rstrip("/").rsplit("/", 1)[-1] for folder in _tables]
         if not any(f"/{name}/" in file for name in names for file in read):
             remove(spark, _tables)
+        sweep(spark)
         with tidy(spark) as made:
             out = stage(spark, docs, sf_dir)
         _tables[:] = made
