@@ -31,7 +31,10 @@ from resamplia.operators.store import stored
 from resamplia.plans.bootstrap import checked_models, frame_of
 
 # Rows of a task's table, replicates that one task scores, draws it is sent at most, and states that are merged at a time.
-PIECE_ROWS, PIECE_SETS, PIECE_DRAWS, FAN = 1 << 16, 500, 1_000_000, 32
+PIECE_ROWS, PIECE_SETS, PIECE_DRAWS, FAN = 1 << 18, 2500, 1_000_000, 32
+
+# States that one task merges, about.
+TASK_STATES = 50_000
 
 
 def _unit(metric: SetMetric, by: list[str], columns: list[str], schema: pa.Schema, rate: float, seed: int, span: int, size: int):
@@ -51,6 +54,8 @@ def _unit(metric: SetMetric, by: list[str], columns: list[str], schema: pa.Schem
         for i, name in enumerate(names):
             of.setdefault(name, []).append(i)
         models = {name: np.array(i) for name, i in of.items()}
+        # What many replicates share is worked out once.
+        prepared = {name: metric.prepare({c: v[at] for c, v in values.items()}) for name, at in models.items()}
         single = asked.filter(asked["row_ix"].is_valid())
         order = np.argsort(single["replicate"].to_numpy(), kind="stable")
         drawn, extra = single["replicate"].to_numpy()[order], single["row_ix"].to_numpy()[order] - low
@@ -67,8 +72,11 @@ def _unit(metric: SetMetric, by: list[str], columns: list[str], schema: pa.Schem
             w = weight[place[models[key]]]
             hit = np.flatnonzero(w)
             if len(hit):
-                at = models[key][hit]
-                state = metric.update({c: v[at] for c, v in values.items()}, w[hit], pickle.loads(question) if question else None)
+                at, asking = models[key][hit], pickle.loads(question) if question else None
+                if prepared[key] is None:
+                    state = metric.update({c: v[at] for c, v in values.items()}, w[hit], asking)
+                else:
+                    state = metric.weigh(prepared[key], w, asking)
                 out["first"].append(models[key][0])
                 out["replicate"].append(replicate)
                 out["state"].append(pickle.dumps(state))
@@ -99,14 +107,16 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str], metric: Mergeable)
         yield done()
 
 
-def merge_states(states: DataFrame, metric: Mergeable, by: Sequence[str], pieces: int) -> DataFrame:
-    """(by, state) from the states (by, _piece, state) of the pieces 0..pieces-1, FAN pieces at a time."""
+def merge_states(states: DataFrame, metric: Mergeable, by: Sequence[str], pieces: int, sets: int = 1) -> DataFrame:
+    """(by, state) from the states (by, _piece, state) of the pieces 0..pieces-1, FAN pieces at a time; `sets` is the number of keys, if
+    it is known and large."""
     keys = [*by, "_piece"]
     spark, schema = states.sparkSession, T.StructType([states.schema[c] for c in (*keys, "state")])
     while pieces > 1:
+        tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(sets * pieces / TASK_STATES))
         pieces = ceil(pieces / FAN)
         grouped = states.withColumn("_piece", F.expr(f"_piece div {FAN}").cast("bigint"))
-        dealt = grouped.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+        dealt = grouped.repartition(tasks, *keys)
         states = dealt.sortWithinPartitions(*keys).select(*schema.fieldNames()).mapInArrow(lambda b: _runs(b, keys, metric), schema)
     return states.drop("_piece")
 
@@ -141,7 +151,7 @@ def set_metrics(pairs: DataFrame, times: int, seed: int, metric: SetMetric, by:
     span = max(1, PIECE_ROWS * size // rows)
     pieces = ceil(size / span)
     added = int(sets * (1.0 - rate) * size)
-    groups = max(ceil(sets / PIECE_SETS), ceil(added / (pieces * PIECE_DRAWS)), ceil(task_count(spark, rows * sets, 50_000_000) / pieces))
+    groups = max(ceil(sets / PIECE_SETS), ceil(added / (pieces * PIECE_DRAWS)), ceil(task_count(spark, rows * sets, 400_000_000) / pieces))
     groups = min(groups, sets)
     group = F.expr(f"(replicate - {first}) * {groups} div {sets}").alias("_group")
     data = complete_pairs(pairs).select(
@@ -165,8 +175,9 @@ def set_metrics(pairs: DataFrame, times: int, seed: int, metric: SetMetric, by:
         own = draws if done is None else draws.join(open_sets.select("replicate").distinct(), "replicate", "left_semi")
         sent = own.select("replicate", "row_ix", F.expr(f"row_ix div {span}").alias("_piece"), group)
         asked = wanted.unionByName(sent, allowMissingColumns=True)
-        units = data.groupBy("_piece", "_group").cogroup(asked.groupBy("_piece", "_group"))
-        states = merge_states(units.applyInArrow(unit, state_schema), metric, keys, pieces)
+        # Twice the units: few partitions get several of them.
+        left, right = (d.repartition(2 * pieces * groups, "_piece", "_group").groupBy("_piece", "_group") for d in (data, asked))
+        states = merge_states(left.cogroup(right).applyInArrow(unit, state_schema), metric, keys, pieces, sets * (rows // size))
         met = inner_join_nulls_match(open_sets, states, keys, "left")
         # A row per set: few. Stored, so that no round runs again and none carries the plans of those before.
         found = stored(met.select(*keys, "_question", "state").mapInArrow(_finish(metric, keys), result_schema))
