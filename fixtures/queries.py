@@ -14,6 +14,7 @@ from resamplia.functions.metrics import METRICS, complete_pairs, metric_aggregat
 from resamplia.functions.scalars import epoch_seconds, file_path, without
 from resamplia.functions.states import QuantileMetric, Rows, SumMetric
 from resamplia.operators import checks, ordered
+from resamplia.operators.joins import kept
 from resamplia.operators.store import new_folder
 from resamplia.plans import bootstrap, increments, monitor, speedup
 from resamplia.plans.set_metrics import set_metrics
@@ -71,9 +72,10 @@ def drawn_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 def bootstrap_draws(spark: SparkSession, folder: str) -> DataFrame:
     """How often each document was drawn, and the values drawn with it."""
-    drawn = drawn_rows(spark, folder)
+    drawn = bootstrap.analysis_sets(views.model_pairs(spark, folder), TIMES, SEED, copy="copy")
+    # A replicate has a first copy of each row that it draws.
     return drawn.groupBy("row_ix").agg(
-        F.count("*").alias("n"), F.count_distinct("replicate").alias("replicates"), F.sum("truth").alias("truth"), F.sum("estimate").alias("estimate")
+        F.count("*").alias("n"), F.count_if(F.col("copy") == 1).alias("replicates"), F.sum("truth").alias("truth"), F.sum("estimate").alias("estimate")
     )
 
 
@@ -133,7 +135,8 @@ def bootstrap_ci_by_model(spark: SparkSession, folder: str) -> DataFrame:
 
 def bootstrap_ci_sketch(spark: SparkSession, folder: str) -> DataFrame:
     """Do the limits of small sketches enclose the exact limits, as far in ranks as they say? The scores are ranked by counting."""
-    scores = to_long(scored_by_model(spark, folder), ["replicate", "model"])
+    # Read three times, made once: a row per replicate and model.
+    scores = to_long(kept(scored_by_model(spark, folder)), ["replicate", "model"])
     keys = ["model", "metric"]
     found = percentile_bounds(scores, keys, size=128).where("replicates > 0")
     exact = bootstrap.percentile_ci(scores, keys).select(*[F.col(c).alias(f"_{c}") for c in keys], F.col("lower").alias("low"), F.col("upper").alias("high"))

@@ -6,11 +6,12 @@ so a retried task, another partition count or another cluster gives the same dra
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from decimal import Decimal, localcontext
 from math import ceil, floor, log2, sqrt
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +28,8 @@ ADDED = 1
 
 
 def _hash63(seed: int, *counters: str | int) -> Column:
-    """Uniform integer in [0, 2^63)."""
-    values = [F.lit(v).cast("bigint") if isinstance(v, int) else F.col(v) for v in (seed, *counters)]
+    """Uniform integer in [0, 2^63); narrower integers count as 64 bits, as in `PoissonWeights`."""
+    values = [(F.lit(v) if isinstance(v, int) else F.col(v)).cast("bigint") for v in (seed, *counters)]
     return F.shiftrightunsigned(F.xxhash64(*values), 1)
 
 
@@ -75,33 +76,32 @@ def poisson_thresholds(rate: float) -> list[int]:
     return limits
 
 
-def with_poisson_weight(df: DataFrame, rate: float, first: int, last: int, seed: int, replicates: Column | None = None) -> DataFrame:
+def with_poisson_weight(df: DataFrame, rate: float, first: int, last: int, seed: int) -> DataFrame:
     """Every row once per replicate in which its Poisson(rate) weight `w` is positive.
 
-    Weights depend on (seed, replicate, row_ix) alone: no join, no shuffle, one pass. `replicates` may give the numbers
-    for each row; a negative one stands for one single draw in that replicate.
+    Weights depend on (seed, replicate, row_ix) alone: no join, no shuffle, one pass.
     """
     limits = poisson_thresholds(rate)
     w = F.lit(len(limits))
     for k in range(len(limits) - 1, 0, -1):
         w = F.when(F.col("_u") < limits[k], k).otherwise(w)
-    if replicates is None:
-        numbers = F.sequence(F.lit(first).cast("bigint"), F.lit(last).cast("bigint"))
-        drawn = df.withColumn("replicate", F.explode(numbers)).withColumn("_u", _hash63(seed, "replicate", "row_ix"))
-        return drawn.where(F.col("_u") >= limits[0]).withColumn("w", w.cast("bigint")).drop("_u")
-    drawn = df.withColumn("replicate", F.explode(replicates)).withColumn("_u", _hash63(seed, "replicate", "row_ix"))
-    drawn = drawn.where((F.col("_u") >= limits[0]) | (F.col("replicate") < 0) if limits else F.col("replicate") < 0)
-    return drawn.withColumn("w", F.when(F.col("replicate") < 0, 1).otherwise(w).cast("bigint")).withColumn("replicate", F.abs("replicate")).drop("_u")
+    numbers = F.sequence(F.lit(first).cast("bigint"), F.lit(last).cast("bigint"))
+    drawn = df.withColumn("replicate", F.explode(numbers)).withColumn("_u", _hash63(seed, "replicate", "row_ix"))
+    return drawn.where(F.col("_u") >= limits[0]).withColumn("w", w.cast("bigint")).drop("_u")
 
 
 class PoissonWeights:
-    """The weights of `with_poisson_weight` for the rows low..high-1 in numpy, one replicate at a time: for functions that run in
-    Python workers anyway, so that no drawn row has to be sent to them."""
+    """The weights of `with_poisson_weight` for the rows low..high-1, or the rows given, in numpy, one replicate at a time: for
+    functions that run in Python workers anyway, so that no drawn row has to be sent to them."""
 
-    def __init__(self, rate: float, seed: int, low: int, high: int):
-        self.limits, self.n = np.array(poisson_thresholds(rate), np.uint64), high - low
-        self.start = self._hash(np.array([seed], np.uint64), np.array([START], np.uint64))
-        self.rows = self._spread(np.arange(low, high, dtype=np.uint64))
+    # Rows that are hashed at a time (they stay in the cache of a core), and weights that are told apart by comparing all rows.
+    BLOCK, COMMON = 1 << 13, 4
+
+    def __init__(self, rate: float, seed: int, low: int, high: int, rows: np.ndarray | None = None):
+        numbers = np.arange(low, high) if rows is None else rows
+        self.limits, self.n = np.array(poisson_thresholds(rate), np.int64), len(numbers)
+        self.start = self._hash(np.array([seed]).astype(np.uint64), np.array([START], np.uint64))
+        self.rows = self._spread(numbers.astype(np.uint64))
 
     @staticmethod
     def _turn(x: np.ndarray, bits: int) -> np.ndarray:
@@ -112,10 +112,18 @@ class PoissonWeights:
 
     def _finish(self, spread: np.ndarray, before: np.ndarray) -> np.ndarray:
         h = (before + np.uint64(PRIMES[4]) + np.uint64(8)) ^ spread
-        h = self._turn(h, 27) * np.uint64(PRIMES[0]) + np.uint64(PRIMES[3])
-        h = (h ^ h >> np.uint64(33)) * np.uint64(PRIMES[1])
-        h = (h ^ h >> np.uint64(29)) * np.uint64(PRIMES[2])
-        return h ^ h >> np.uint64(32)
+        rest = h >> np.uint64(37)
+        h <<= np.uint64(27)
+        h |= rest
+        h *= np.uint64(PRIMES[0])
+        h += np.uint64(PRIMES[3])
+        for bits, prime in ((33, PRIMES[1]), (29, PRIMES[2])):
+            np.right_shift(h, np.uint64(bits), out=rest)
+            h ^= rest
+            h *= np.uint64(prime)
+        np.right_shift(h, np.uint64(32), out=rest)
+        h ^= rest
+        return h
 
     def _hash(self, value: np.ndarray, before: np.ndarray) -> np.ndarray:
         """One 64-bit integer hashed on top of a hash."""
@@ -123,10 +131,20 @@ class PoissonWeights:
 
     def of(self, replicate: int) -> np.ndarray:
         weight = np.zeros(self.n, np.int64)
-        if len(self.limits):
-            u = self._finish(self.rows, self._hash(np.array([replicate], np.uint64), self.start)) >> np.uint64(1)
-            drawn = np.flatnonzero(u >= self.limits[0])
-            weight[drawn] = np.searchsorted(self.limits, u[drawn], "right")
+        if not len(self.limits):
+            return weight
+        before = self._hash(np.array([replicate], np.uint64), self.start)
+        for low in range(0, self.n, self.BLOCK):
+            u = self._finish(self.rows[low : low + self.BLOCK], before)
+            u >>= np.uint64(1)
+            u = u.view(np.int64)
+            some = (u >= self.limits[0]).view(np.int8)
+            for limit in self.limits[1 : self.COMMON]:
+                some += (u >= limit).view(np.int8)
+            weight[low : low + self.BLOCK] = some
+            if len(self.limits) > self.COMMON:
+                rare = np.flatnonzero(u >= self.limits[self.COMMON])
+                weight[low + rare] = np.searchsorted(self.limits, u[rare], "right")
         return weight
 
 
@@ -135,20 +153,39 @@ def scan_rate(size: int) -> float:
     return 1.0 - 0.5 ** max(0, floor(log2(sqrt(size) / MARGIN)))
 
 
+def _poisson_totals(rate: float, size: int, seed: int, first: int, times: int, pieces: int, groups: int):
+    """Total weights of a piece of the rows in a group of the replicates; ids number the pairs of both."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number in batch.column(0).to_pylist():
+                piece, group = divmod(number, groups)
+                sets = np.arange(first + group * (times - first + 1) // groups, first + (group + 1) * (times - first + 1) // groups)
+                total = np.zeros(len(sets), np.int64)
+                low, high = piece * size // pieces, (piece + 1) * size // pieces
+                for at in range(low, high, PoissonWeights.BLOCK):
+                    weights = PoissonWeights(rate, seed, at, min(at + PoissonWeights.BLOCK, high))
+                    total += [int(weights.of(b).sum()) for b in sets.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(sets), pa.array(total)], ["replicate", "drawn"])
+
+    return run
+
+
 def scan_totals(spark: SparkSession, size: int, times: int, seed: int, first: int = 1) -> DataFrame:
     """(replicate, missing): draws a replicate still needs after its Poisson pass.
 
     Row indexes are dense, so this pass reads no table.
     """
-    rows = spark.range(0, size, 1, task_count(spark, size * (times - first + 1), 200_000_000))
     replicates = spark.range(first, times + 1, 1, 1).select(F.col("id").alias("replicate"))
-    rate = scan_rate(size)
+    rate, sets = scan_rate(size), times - first + 1
     if rate == 0.0:
         return replicates.select("replicate", F.lit(size).cast("bigint").alias("missing"))
-    weighted = with_poisson_weight(
-        rows.select(F.col("id").alias("row_ix")), rate, first, times, seed
-    )
-    totals = weighted.groupBy("replicate").agg(F.sum("w").alias("drawn"))
+    tasks = task_count(spark, size * sets, 200_000_000)
+    pieces = min(tasks, ceil(size / PoissonWeights.BLOCK))
+    groups = min(sets, ceil(tasks / pieces))
+    units = spark.range(0, pieces * groups, 1, pieces * groups)
+    weighted = units.mapInArrow(_poisson_totals(rate, size, seed, first, times, pieces, groups), "replicate long, drawn long")
+    totals = weighted.groupBy("replicate").agg(F.sum("drawn").alias("drawn"))
     missing = F.lit(size) - F.coalesce(F.col("drawn"), F.lit(0))
     return replicates.join(totals, "replicate", "left").select(
         "replicate",
@@ -175,51 +212,58 @@ def scan_top_up(spark: SparkSession, size: int, times: int, seed: int, first: in
     ).select("replicate", _random_row(seed, size, "replicate", "draw", ADDED))
 
 
-def added_draws(totals: DataFrame, size: int, replicates: int, seed: int, by: Sequence[str] = ()) -> DataFrame:
-    """Each row of `totals` (replicate, by, drawn, ...) once with a null row_ix, and once, its other values null, for each
-    draw that the replicate still lacks of `size`, with the row_ix drawn."""
-    others = [c for c in totals.columns if c not in ("replicate", "drawn", *by)]
-    missing = F.lit(size) - F.coalesce(F.col("drawn"), F.lit(0))
-    checked = F.when(missing >= 0, missing).otherwise(F.raise_error(F.lit("a replicate drew too many rows; use another seed")))
-    step = 4096
-    counted = totals.withColumn("_missing", checked.cast("bigint"))
-    chunks = counted.withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_missing") / step))))
-    # Spread the chunks first: one task must not expand all replicates.
-    spread = chunks.repartition(task_count(totals.sparkSession, int(replicates * (1.0 - scan_rate(size)) * size), 4_000_000), "replicate", "_chunk")
-    # Chunk 0 is the row itself, as draw 0; chunk k has up to `step` draws.
-    last = F.least(F.col("_missing"), F.col("_chunk") * step)
-    numbers = F.when(F.col("_chunk") == 0, F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence((F.col("_chunk") - 1) * step + 1, last))
-    single = spread.withColumn("draw", F.explode(numbers))
-    row = F.when(F.col("draw") > 0, _random_row(seed, size, "replicate", "draw", ADDED)).alias("row_ix")
-    return single.select("replicate", *by, *[F.when(F.col("draw") == 0, F.col(c)).alias(c) for c in others], row)
+# Parts in which a table is broadcast at most: each draw is generated once for every part.
+PARTS = 16
 
 
-def gather(pairs: DataFrame, size: int, times: int, seed: int, first: int = 1, small: bool = True) -> DataFrame:
-    """Analysis sets by looking up drawn rows in `pairs`, which is broadcast if the caller has counted few rows."""
+def gather(pairs: DataFrame, size: int, times: int, seed: int, first: int = 1, parts: int = 1) -> DataFrame:
+    """Analysis sets by looking up drawn rows in `pairs`, which is broadcast in `parts` ranges of row_ix that the caller has counted
+    to be small; with parts=0 draws are joined by a shuffle."""
     drawn = draws(pairs.sparkSession, size, times, seed, first)
-    return drawn.join(F.broadcast(pairs) if small else pairs, "row_ix").select("replicate", *pairs.columns)
+    if parts < 2:
+        return drawn.join(F.broadcast(pairs) if parts else pairs, "row_ix").select("replicate", *pairs.columns)
+    part, found = F.expr(f"row_ix div {ceil(size / parts)}"), None
+    for k in range(parts):
+        some = drawn.where(part == k).join(F.broadcast(pairs.where(part == k)), "row_ix").select("replicate", *pairs.columns)
+        found = some if found is None else found.unionByName(some)
+    return found
+
+
+# An added draw as one negative integer: the place of its replicate, and how often the replicate draws the row so.
+SHIFT = 32
 
 
-def scan(pairs: DataFrame, size: int, times: int, seed: int, first: int = 1) -> DataFrame:
+def scan(pairs: DataFrame, size: int, times: int, seed: int, first: int = 1, rows: int | None = None, copy: str | None = None) -> DataFrame:
     """Analysis sets of exactly `size` draws without moving size * times draws.
 
     Poisson(rate) weights with a rate a little below 1 are multinomial given their total, so
-    adding the missing draws one by one gives exactly `size` draws with replacement. The
-    weights come from one pass over the rows; only the added draws, 8 to 16 times sqrt(size)
-    per replicate, are joined.
+    adding the missing draws one by one gives exactly `size` draws with replacement. Rows move once, with the replicates in which they are
+    added draws (8 to 16 times sqrt(size) per replicate); all draws of a row are made in one task, and the result is partitioned by
+    row_ix. `rows` is the number of rows of `pairs`, if it is not `size`; `copy` names a column that numbers the copies of a row in a set.
     """
-    spark = pairs.sparkSession
-    replicates = times - first + 1
-    tasks = task_count(spark, size * replicates, 200_000_000)
-    # Both branches below share this shuffle: its filter must be the one the join asks for.
+    spark, sets = pairs.sparkSession, times - first + 1
+    tasks = task_count(spark, (rows or size) * sets, 100_000_000)
     spread = pairs.where(F.col("row_ix").isNotNull()).repartition(tasks, "row_ix")
-    columns = ["replicate", *pairs.columns]
-    # Uniform keys, and at most a few million added draws per task: hash them, sort nothing.
-    added = scan_top_up(spark, size, times, seed, first).hint("shuffle_hash")
-    top_up = added.join(spread, "row_ix").select(*columns)
+    added = scan_top_up(spark, size, times, seed, first).repartition(tasks, "row_ix").groupBy("row_ix", "replicate").agg(F.count("*").alias("_m"))
+    packed = -(F.shiftleft(F.col("replicate") - (first - 1), SHIFT) + F.col("_m"))
+    extra = added.groupBy("row_ix").agg(F.collect_list(packed).alias("_extra"))
+    # Uniform keys, one row each: hash them, sort nothing.
+    moved = spread.join(extra.hint("shuffle_hash"), "row_ix", "left")
     rate = scan_rate(size)
-    if rate == 0.0:
-        return top_up
-    weighted = with_poisson_weight(spread, rate, first, times, seed)
-    copies = weighted.select(*columns, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("w"))))
-    return copies.select(*columns).unionByName(top_up)
+    numbers = F.sequence(F.lit(1).cast("bigint"), F.lit(sets).cast("bigint")) if rate else F.array().cast("array<bigint>")
+    entry = F.explode(F.concat(numbers, F.coalesce("_extra", F.array().cast("array<bigint>"))))
+    replicate = F.when(F.col("_entry") > 0, F.col("_entry")).otherwise(F.shiftright(-F.col("_entry"), SHIFT)) + F.lit(first - 1).cast("bigint")
+    drawn = moved.select(*pairs.columns, entry.alias("_entry")).withColumn("replicate", replicate)
+    limits = poisson_thresholds(rate)
+    drawn = drawn.withColumn("_u", _hash63(seed, "replicate", "row_ix"))
+    if limits:
+        drawn = drawn.where((F.col("_u") >= limits[0]) | (F.col("_entry") < 0))
+    w = F.lit(len(limits))
+    for k in range(len(limits) - 1, -1, -1):
+        w = F.when(F.col("_u") < limits[k], k).otherwise(w)
+    drawn = drawn.withColumn("_w", w)
+    # The copies of a weight are looked up; those of added draws follow them.
+    copies = F.array(*[F.array(*[F.lit(c) for c in range(1, k + 1)]) for k in range(1, len(limits) + 1)]) if limits else F.array().cast("array<array<int>>")
+    later = F.sequence(F.col("_w") + 1, F.col("_w") + (-F.col("_entry")).bitwiseAND(F.lit((1 << SHIFT) - 1).cast("bigint")).cast("int"))
+    number = F.explode(F.when(F.col("_entry") > 0, F.get(copies, F.col("_w") - 1)).otherwise(later))
+    return drawn.select("replicate", *pairs.columns, number.alias(copy or "_copy")).select("replicate", *pairs.columns, *([copy] if copy else []))

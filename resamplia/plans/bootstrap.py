@@ -12,17 +12,21 @@ model has one row for each row_ix from 0 to n-1, and all models share the draws
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from math import inf, isfinite, nextafter
+from math import ceil, inf, isfinite, nextafter
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from resamplia.functions.metrics import complete_pairs, metrics_from_sums, weighted_sums
-from resamplia.operators.joins import SMALL_BYTES, counted_size, inner_join_nulls_match, is_small, kept
-from resamplia.operators.ordered import find_ranges, roc_auc_of_ranges, wins_of_ranges
-from resamplia.operators.resample import added_draws, gather, scan, scan_rate, task_count, with_poisson_weight
+from resamplia.operators.joins import SMALL_BYTES, counted_size, inner_join_nulls_match, kept
+from resamplia.operators.ordered import RANGES, find_ranges, roc_auc_of_ranges
+from resamplia.operators.resample import PARTS, PoissonWeights, gather, scan, scan_rate, scan_top_up, task_count, with_poisson_weight
 
 # Up to so many rows a join side is broadcast, if it has few bytes too (`operators.joins`), and a table is spread over all cores.
 # It decides the plan only: results are the same on either side.
@@ -63,25 +67,29 @@ def checked_models(pairs: DataFrame, by: Sequence[str] = (), dense: bool = True)
     return models, rows, most
 
 
-def analysis_sets(pairs: DataFrame, times: int, seed: int, by: Sequence[str] = (), first: int = 1) -> DataFrame:
+def analysis_sets(pairs: DataFrame, times: int, seed: int, by: Sequence[str] = (), first: int = 1, copy: str | None = None) -> DataFrame:
     """(replicate, *pairs columns): for every replicate first..times, n rows drawn with
     replacement, duplicates kept; draws of rows that lack a value are left out.
 
-    Lazy; nothing is stored. A single replicate k is first=k, times=k: the others are not generated.
+    Lazy; nothing is stored. A single replicate k is first=k, times=k: the others are not generated. All draws of a row are in one
+    task, so groups by row_ix need no shuffle; `copy` names a column that numbers the copies of a row in a replicate from 1.
     """
-    _, _, size = checked_models(pairs, by)
-    return scan(complete_pairs(pairs), size, times, seed, first)
+    _, rows, size = checked_models(pairs, by)
+    return scan(complete_pairs(pairs), size, times, seed, first, rows, copy)
 
 
 def gathered_sets(
     pairs: DataFrame, times: int, seed: int, by: Sequence[str] = (), first: int = 1, columns: Sequence[str] = ("truth", "estimate")
 ) -> DataFrame:
     """As `analysis_sets`, from another random stream: draws are generated and looked up in the table. The
-    quickest way for small tables; one of many rows or bytes is joined by a shuffle. Sets have row_ix, `by` and `columns`
-    only: what nobody asks for is neither counted nor sent."""
+    quickest way for small tables; larger ones are broadcast in parts, each within the limits, up to PARTS of them, above which draws are
+    joined by a shuffle. Sets have row_ix, `by` and `columns` only: what nobody asks for is neither counted nor sent."""
     _, rows, size = checked_models(pairs, by)
     known = complete_pairs(pairs).select("row_ix", *by, *columns)
-    return gather(known, size, times, seed, first, small=rows <= BROADCAST_ROWS and is_small(known, BROADCAST_ROWS))
+    parts = max(1, ceil(rows / BROADCAST_ROWS))
+    if parts <= PARTS:
+        parts = max(parts, ceil(counted_size(known)[1] / SMALL_BYTES))
+    return gather(known, size, times, seed, first, parts if parts <= PARTS else 0)
 
 
 def _spread(pairs: DataFrame, rows: int, replicates: int) -> DataFrame:
@@ -93,15 +101,16 @@ def _spread(pairs: DataFrame, rows: int, replicates: int) -> DataFrame:
 
 def _centred(pairs: DataFrame, models: DataFrame, by: Sequence[str]) -> DataFrame:
     """row_ix, by, and the values around the centres of their model; null where a value is missing."""
-    centres = models.select(*by, "_truth", "_estimate")
+    number = ["_model"] if "_model" in models.columns else []
+    centres = models.select(*by, *number, "_truth", "_estimate")
     if by:
         joined = inner_join_nulls_match(pairs, centres, by)
     else:
-        truth, estimate = centres.first()
-        joined = pairs.withColumns({"_truth": F.lit(truth).cast("double"), "_estimate": F.lit(estimate).cast("double")})
+        *_, truth, estimate = centres.first()
+        joined = pairs.withColumns({name: F.lit(1).cast("bigint") for name in number} | {"_truth": F.lit(truth).cast("double"), "_estimate": F.lit(estimate).cast("double")})
     known = F.col("truth").isNotNull() & F.col("estimate").isNotNull() & ~F.isnan("truth") & ~F.isnan("estimate")
     return joined.select(
-        "row_ix", *by, known.cast("double").alias("known"),
+        "row_ix", *by, *number, known.cast("double").alias("known"),
         F.when(known, F.col("truth") - F.col("_truth")).alias("y"), F.when(known, F.col("estimate") - F.col("_estimate")).alias("p"),
         F.when(known, F.col("truth") - F.col("estimate")).alias("error"),
     )
@@ -136,36 +145,85 @@ def frame_of(models: DataFrame, by: Sequence[str], first: int, times: int) -> Da
     return models.select(*by, F.explode(replicates).alias("replicate"))
 
 
+# Rows of a piece (of all models), replicates that are scored at a time, weights in memory, and draws that a piece is sent at most.
+PIECE_ROWS, PIECE_SETS, WEIGHTS, PIECE_DRAWS = 1 << 15, 5000, 1 << 20, 1 << 20
+
+
+def _sums_of_piece(rate: float, seed: int, span: int, size: int, first: int, times: int, groups: int, schema: pa.Schema):
+    """Rows of one piece, and the added draws of one group of replicates: weighted sums for each replicate and model."""
+
+    def terms(rows: pa.Table) -> np.ndarray:
+        y, p, error = (rows[c].to_numpy(zero_copy_only=False) for c in ("y", "p", "error"))
+        known = rows["known"].to_numpy() > 0
+        with np.errstate(all="ignore"):
+            return np.where(known[:, None], np.stack([np.ones(len(y)), y, p, y * y, p * p, y * p, abs(error), error * error], axis=1), 0.0)
+
+    def run(key: tuple, rows: pa.Table, added: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return schema.empty_table()
+        low, group = key[0].as_py() * span, key[1].as_py()
+        n, sets = min(low + span, size) - low, times - first + 1
+        weights = PoissonWeights(rate, seed, low, low + n)
+        models, model = np.unique(rows["_model"].to_numpy(), return_inverse=True)
+        values = np.zeros((n, len(models), len(SUMS)))
+        values[rows["row_ix"].to_numpy() - low, model] = terms(rows)
+        values = values.reshape(n, -1)
+        # A value that is not finite counts only where its row is drawn.
+        odd = np.flatnonzero(~np.isfinite(values).all(axis=1))
+        odd_values, values[odd] = values[odd], 0.0
+        replicate = added["replicate"].to_numpy()
+        order = np.argsort(replicate, kind="stable")
+        replicate, place = replicate[order], (added["row_ix"].to_numpy() - low)[order]
+        begin, end = first - (-group * sets // groups), first - (-(group + 1) * sets // groups)
+        step, found = max(1, WEIGHTS // n), []
+        for b in range(begin, end, step):
+            some = range(b, min(b + step, end))
+            w = np.stack([weights.of(r) for r in some])
+            mine = slice(*np.searchsorted(replicate, [some.start, some.stop]))
+            w += np.bincount((replicate[mine] - b) * n + place[mine], minlength=w.size).reshape(w.shape)
+            sums = w.astype(np.float64) @ values
+            with np.errstate(all="ignore"):
+                for row, value in zip(odd, odd_values, strict=True):
+                    hit = np.flatnonzero(w[:, row])
+                    sums[hit] += w[hit, row, None] * value
+            found.append(sums)
+        sums = np.concatenate(found).reshape(-1, len(SUMS))
+        keys = [np.repeat(np.arange(begin, end), len(models)), np.tile(models, end - begin)]
+        return pa.Table.from_arrays([pa.array(c) for c in (*keys, *sums.T.copy())], schema=schema)
+
+    return run
+
+
 def bootstrap_metrics(pairs: DataFrame, times: int, seed: int, by: Sequence[str] = (), first: int = 1) -> DataFrame:
     """rmse, rsq, mae, ccc and n, one row for every replicate first..times and model.
 
-    n counts the draws that have both values; a replicate without any has null metrics. The rows are read once: Poisson
-    weights give sums per replicate, the draws that a replicate still lacks are looked up and added to its sums. No row is copied or
-    moved per draw.
+    n counts the draws that have both values; a replicate without any has null metrics. A task gets the rows of a piece, with all
+    models, and the added draws of these rows. It makes the weights of the rows for each replicate, and their product with the terms
+    of the sums is all that leaves it. No row is copied or moved per draw.
     """
     models, rows, size = checked_models(pairs, by)
-    data = _centred(pairs.select("row_ix", *by, "truth", "estimate"), models, by)
+    spark, sets = pairs.sparkSession, times - first + 1
+    # One row per model: their numbers travel instead of their names.
+    numbered = models.withColumn("_model", F.row_number().over(Window.orderBy(*by)).cast("bigint")) if by else models.withColumn("_model", F.lit(1).cast("bigint"))
+    numbered = kept(numbered)
+    data = _centred(pairs.select("row_ix", *by, "truth", "estimate"), numbered, by)
     rate = scan_rate(size)
-    frame = frame_of(models, by, first, times)
-    if rate:
-        spread = _spread(data, rows, times - first + 1)
-        found = inner_join_nulls_match(frame, _weighted(spread, rate, first, times, seed, by), ["replicate", *by], "left")
-    else:
-        found = frame.withColumns({name: F.lit(0.0) for name in SUMS} | {"drawn": F.lit(0).cast("bigint")})
-    # Draw 0 stands for the weighted sums, the others for single rows.
-    drawn = added_draws(found, size, times - first + 1, seed, by)
-    lookup = data.withColumnsRenamed({name: f"_{name}" for name in (*by, "row_ix")})
-    # Besides numbers a row has the names of its model; the longest are counted in the table of models.
-    n, used = counted_size(models.select(*by)) if by else (1, 0)
-    lookup = F.broadcast(lookup) if rows <= BROADCAST_ROWS and rows * (64 + used // n) <= SMALL_BYTES else lookup
-    same = F.col("row_ix") == F.col("_row_ix")
-    for name in by:
-        same = same & F.col(name).eqNullSafe(F.col(f"_{name}"))
-    met = drawn.join(lookup, same, "left")
-    one = F.col("known")
-    single = dict(zip(SUMS, (one, F.col("y"), F.col("p"), F.col("y") * F.col("y"), F.col("p") * F.col("p"), F.col("y") * F.col("p"), F.abs("error"), F.col("error") * F.col("error")), strict=True))
-    sums = met.groupBy("replicate", *by).agg(*[F.sum(F.when(F.col("row_ix").isNull(), F.col(name)).otherwise(single[name])).alias(name) for name in SUMS])
-    return _scores(sums, models, by)
+    added = int(sets * (1.0 - rate) * size)
+    span = ceil(size / min(size, max(ceil(rows / PIECE_ROWS), ceil(added / PIECE_DRAWS), task_count(spark, size * sets, 200_000_000))))
+    pieces = ceil(size / span)
+    groups = min(sets, max(ceil(sets / PIECE_SETS), ceil(added / (pieces * PIECE_DRAWS))))
+    # Twice the units: few partitions get several of them.
+    tasks, unit = 2 * pieces * groups, ["_piece", "_group"]
+    piece = F.expr(f"row_ix div {span}").alias("_piece")
+    each = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint"))).alias("_group")
+    dealt = data.select(piece, "row_ix", "_model", "known", "y", "p", "error", each).repartition(tasks, *unit)
+    draws = scan_top_up(spark, size, times, seed, first)
+    sent = draws.select(piece, F.expr(f"(replicate - {first}) * {groups} div {sets}").alias("_group"), "replicate", "row_ix").repartition(tasks, *unit)
+    schema = T.StructType([T.StructField("replicate", T.LongType()), T.StructField("_model", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in SUMS]])
+    found = dealt.groupBy(*unit).cogroup(sent.groupBy(*unit)).applyInArrow(_sums_of_piece(rate, seed, span, size, first, times, groups, to_arrow_schema(schema)), schema)
+    sums = found.groupBy("replicate", "_model").agg(*[F.sum(c).alias(c) for c in SUMS])
+    frame = frame_of(numbered, [*by, "_model"], first, times)
+    return _scores(frame.join(sums, ["replicate", "_model"], "left").drop("_model"), models, by)
 
 
 # A score with more rows than a task's even share divided by this is dealt to several tasks; at most this times the tasks can be such.
@@ -184,11 +242,48 @@ def _auc_parts(rows: DataFrame, count: int, tasks: int) -> tuple[DataFrame, list
     # No cut can be put below the lowest of all numbers.
     hot = sorted(r["estimate"] for r in scores.where(F.col("estimate") > -inf).collect())
     cuts = [c for score in hot for c in (nextafter(score, -inf), score) if isfinite(c)]
-    ranges = find_ranges(rows.select("estimate").distinct(), "estimate").with_cuts(cuts)
+    # Percentiles of rows, not of distinct scores: ranges have about equal rows.
+    ranges = find_ranges(rows.select("estimate"), "estimate").with_cuts(cuts)
     part = F.when(F.col("estimate").isin(hot), F.pmod(F.xxhash64("row_ix"), F.lit(PARTS_PER_TASK * tasks))).otherwise(0) if hot else F.lit(0)
     return rows.withColumns({"_range": ranges.number("estimate"), "_part": part.cast("int")}), hot
 
 
+def _wins_of_units(rate: float, seed: int, first: int, times: int, groups: int, schema: pa.Schema):
+    """Rows of a range (or of a part of it) and the added draws among them: pairs won, positives and negatives for each replicate
+    of a group."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        group, sets = key[2].as_py(), times - first + 1
+        begin, end = first - (-group * sets // groups), first - (-(group + 1) * sets // groups)
+        # An added draw comes with its row, which is there too: their numbers tell which.
+        own, single = rows.filter(pc.greater_equal(rows["_entry"], 0)), rows.filter(pc.less(rows["_entry"], 0))
+        own = own.take(np.argsort(own["estimate"].to_numpy(), kind="stable"))
+        number, score = own["row_ix"].to_numpy(), own["estimate"].to_numpy()
+        n = len(number)
+        starts = np.flatnonzero(np.append(True, score[1:] != score[:-1]))
+        positive = own["truth"].to_numpy() == 1
+        by_number = np.argsort(number)
+        replicate = -single["_entry"].to_numpy()
+        order = np.argsort(replicate, kind="stable")
+        replicate, place = replicate[order], by_number[np.searchsorted(number, single["row_ix"].to_numpy()[order], sorter=by_number)]
+        weights = PoissonWeights(rate, seed, 0, 0, number)
+        step, found = max(1, WEIGHTS // n), []
+        for b in range(begin, end, step):
+            some = range(b, min(b + step, end))
+            w = np.stack([weights.of(r) for r in some])
+            mine = slice(*np.searchsorted(replicate, [some.start, some.stop]))
+            w += np.bincount((replicate[mine] - b) * n + place[mine], minlength=w.size).reshape(w.shape)
+            every, pos = (np.add.reduceat(x, starts, axis=1) for x in (w, w * positive))
+            neg = every - pos
+            wins = (pos * (np.cumsum(neg, axis=1) - neg / 2)).sum(axis=1)
+            found.append((wins, pos.sum(axis=1), neg.sum(axis=1)))
+        wins, pos, neg = (np.concatenate(x) for x in zip(*found, strict=True))
+        constant = [pa.array([k.as_py()] * (end - begin), pa.int32()) for k in key[:2]]
+        return pa.Table.from_arrays([pa.array(np.arange(begin, end)), *constant, pa.array(wins), pa.array(pos), pa.array(neg)], schema=schema)
+
+    return run
+
+
 def bootstrap_auc(pairs: DataFrame, times: int, seed: int, first: int = 1) -> DataFrame:
     """ROC AUC per replicate of a 0/1 `truth` and a score `estimate`; every row must have both.
 
@@ -198,32 +293,28 @@ def bootstrap_auc(pairs: DataFrame, times: int, seed: int, first: int = 1) -> Da
     """
     rows = complete_pairs(pairs).where(F.col("truth").isin(0, 1))
     _, count, size = checked_models(rows)
-    rate = scan_rate(size)
-    spark = pairs.sparkSession
-    ones = spark.range(0, size, 1, task_count(spark, size * (times - first + 1), 200_000_000)).select(
-        F.col("id").alias("row_ix"), *[F.lit(0.0).alias(name) for name in ("known", "y", "p", "error")]
-    )
-    frame = spark.range(first, times + 1).select(F.col("id").alias("replicate"))
-    totals = _weighted(ones, rate, first, times, seed, ()).select("replicate", "drawn") if rate else frame.withColumn("drawn", F.lit(0).cast("bigint"))
-    found = frame.join(totals, "replicate", "left")
-    extra = added_draws(found, size, times - first + 1, seed).where("row_ix is not null").groupBy("row_ix").agg(F.collect_list("replicate").alias("_extra"))
-    tasks = task_count(spark, count * (times - first + 1), 20_000_000)
+    rate, sets, spark = scan_rate(size), times - first + 1, pairs.sparkSession
+    extra = scan_top_up(spark, size, times, seed, first).groupBy("row_ix").agg(F.collect_list("replicate").alias("_extra"))
+    tasks = task_count(spark, count * sets, 20_000_000)
     ranged, hot = _auc_parts(rows, count, tasks)
-    sequence = F.sequence(F.lit(first).cast("bigint"), F.lit(times).cast("bigint")) if rate else F.array().cast("array<bigint>")
-    # Negative numbers mark added draws.
-    both = F.concat(sequence, F.transform(F.coalesce("_extra", F.array().cast("array<bigint>")), lambda r: -r))
-    sums = [F.sum(F.when(F.col("truth") == k, F.col("w")).otherwise(0)).alias(name) for name, k in (("_pos", 1), ("_neg", 0))]
-
-    def drawn(placed: DataFrame, *by: str) -> DataFrame:
+    # Each row once for each group of replicates, and once, with a negative number, for each added draw.
+    groups = min(sets, max(ceil(sets / PIECE_SETS), ceil(count * sets / (RANGES * 200_000_000))))
+    numbers = F.sequence(F.lit(0).cast("bigint"), F.lit(groups - 1).cast("bigint"))
+    both = F.concat(numbers, F.transform(F.coalesce("_extra", F.array().cast("array<bigint>")), lambda r: -r))
+    group = F.when(F.col("_entry") >= 0, F.col("_entry")).otherwise(F.expr(f"(-_entry - {first}) * {groups} div {sets}"))
+    schema = "replicate long, _range int, _part int, _wins double, _pos long, _neg long"
+    unit = _wins_of_units(rate, seed, first, times, groups, to_arrow_schema(T.StructType.fromDDL(schema)))
+
+    def counted(placed: DataFrame, *by: str) -> DataFrame:
         moved = placed.join(extra, "row_ix", "left").repartition(tasks, *by)
-        return with_poisson_weight(moved, rate, first, times, seed, both)
+        each = moved.select("row_ix", "truth", "estimate", "_range", "_part", F.explode(both).alias("_entry")).withColumn("_group", group)
+        return each.groupBy("_range", "_part", "_group").applyInArrow(unit, schema)
 
     is_hot = F.col("estimate").isin(hot) if hot else F.lit(False)
-    per_score = drawn(ranged.where(~is_hot), "_range").groupBy("replicate", "_range", F.col("estimate").alias("_score")).agg(*sums)
-    wins = wins_of_ranges(per_score, ["replicate"])
+    wins = counted(ranged.where(~is_hot), "_range").drop("_part")
     if hot:
         # Counted in each part first, then over the parts.
-        parts = drawn(ranged.where(is_hot), "_range", "_part").groupBy("replicate", "_range", "_part").agg(*sums)
+        parts = counted(ranged.where(is_hot), "_range", "_part")
         whole = parts.groupBy("replicate", "_range").agg(F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg"))
         half = F.col("_pos").cast("double") * F.col("_neg").cast("double") / 2
         wins = wins.unionByName(whole.withColumn("_wins", half))
