@@ -130,21 +130,28 @@ class PoissonWeights:
         return self._finish(self._spread(value), before)
 
     def of(self, replicate: int) -> np.ndarray:
-        weight = np.zeros(self.n, np.int64)
-        if not len(self.limits):
+        return self.matrix(replicate, replicate + 1)[0]
+
+    def matrix(self, begin: int, end: int) -> np.ndarray:
+        """Weights of the replicates begin..end-1, a row for each; few rows are hashed for several replicates at a time."""
+        weight = np.zeros((end - begin, self.n), np.int64)
+        if not len(self.limits) or not self.n:
             return weight
-        before = self._hash(np.array([replicate], np.uint64), self.start)
-        for low in range(0, self.n, self.BLOCK):
-            u = self._finish(self.rows[low : low + self.BLOCK], before)
-            u >>= np.uint64(1)
-            u = u.view(np.int64)
-            some = (u >= self.limits[0]).view(np.int8)
-            for limit in self.limits[1 : self.COMMON]:
-                some += (u >= limit).view(np.int8)
-            weight[low : low + self.BLOCK] = some
-            if len(self.limits) > self.COMMON:
-                rare = np.flatnonzero(u >= self.limits[self.COMMON])
-                weight[low + rare] = np.searchsorted(self.limits, u[rare], "right")
+        before = self._hash(np.arange(begin, end).astype(np.uint64), self.start)[:, None]
+        step = max(1, self.BLOCK // self.n)
+        for top in range(0, end - begin, step):
+            for low in range(0, self.n, self.BLOCK):
+                u = self._finish(self.rows[low : low + self.BLOCK], before[top : top + step])
+                u >>= np.uint64(1)
+                u = u.view(np.int64)
+                some = (u >= self.limits[0]).view(np.int8)
+                for limit in self.limits[1 : self.COMMON]:
+                    some += (u >= limit).view(np.int8)
+                part = weight[top : top + step, low : low + self.BLOCK]
+                part[...] = some
+                if len(self.limits) > self.COMMON:
+                    rare = np.nonzero(u >= self.limits[self.COMMON])
+                    part[rare] = np.searchsorted(self.limits, u[rare], "right")
         return weight
 
 

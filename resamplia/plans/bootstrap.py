@@ -178,7 +178,7 @@ def _sums_of_piece(rate: float, seed: int, span: int, size: int, first: int, tim
         step, found = max(1, WEIGHTS // n), []
         for b in range(begin, end, step):
             some = range(b, min(b + step, end))
-            w = np.stack([weights.of(r) for r in some])
+            w = weights.matrix(some.start, some.stop)
             mine = slice(*np.searchsorted(replicate, [some.start, some.stop]))
             w += np.bincount((replicate[mine] - b) * n + place[mine], minlength=w.size).reshape(w.shape)
             sums = w.astype(np.float64) @ values
@@ -270,7 +270,7 @@ def _wins_of_units(rate: float, seed: int, first: int, times: int, groups: int,
         step, found = max(1, WEIGHTS // n), []
         for b in range(begin, end, step):
             some = range(b, min(b + step, end))
-            w = np.stack([weights.of(r) for r in some])
+            w = weights.matrix(some.start, some.stop)
             mine = slice(*np.searchsorted(replicate, [some.start, some.stop]))
             w += np.bincount((replicate[mine] - b) * n + place[mine], minlength=w.size).reshape(w.shape)
             every, pos = (np.add.reduceat(x, starts, axis=1) for x in (w, w * positive))

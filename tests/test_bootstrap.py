@@ -300,3 +300,19 @@ def test_more_cuts_keep_the_inner_ones(spark):
     rows = keys.select("k", ranges.number("k").alias("n")).orderBy("k").collect()
     edges = [a.k for a, b in zip(rows, rows[1:]) if b.n != a.n]
     assert edges == [5.0, 7.0, 10.0, 20.0, 30.0, 50.0, 70.0] and all(a.n <= b.n for a, b in zip(rows, rows[1:]))
+
+
+def test_infinite_values_count_where_they_are_drawn(spark):
+    rows = [(i, 1.0 * i, math.inf if i == 7 else i + 1.0) for i in range(400)]
+    pairs = spark.createDataFrame(rows, "row_ix long, truth double, estimate double")
+    drawn = analysis_sets(pairs, 40, 2).groupBy("replicate").agg(F.max("estimate").alias("top")).collect()
+    found = {r.replicate: r.rmse for r in bootstrap_metrics(pairs, 40, 2).collect()}
+    assert found == {r.replicate: pytest.approx(1.0) if r.top < math.inf else math.inf for r in drawn}
+    assert math.inf in found.values() and min(found.values()) == pytest.approx(1.0)
+
+
+def test_no_task_sorts_rows_per_draw(spark):
+    """Rows and added draws are dealt by piece into a counted number of tasks; names of models stay behind."""
+    pairs = spark.range(0, 600).select(F.col("id").alias("row_ix"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("model"), F.col("id").cast("double").alias("truth"), F.lit(1.0).alias("estimate"))
+    plan = bootstrap_metrics(pairs, 20, 1, by=["model"])._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and plan.count("REPARTITION_BY_NUM") >= 2

@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -136,3 +137,32 @@ def test_dense_index(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert is_dense(dense_index(df.select(F.lit("a").alias("y"))))
     assert not is_dense(spark.createDataFrame([(0,), (0,), (2,)], "row_ix long"))
+
+
+def test_weights_of_several_replicates_at_once(spark):
+    from resamplia.operators.resample import PoissonWeights
+
+    rows = [5, 3, 1_000_000_007, 40]
+    found = PoissonWeights(0.75, 9, 0, 0, np.array(rows)).matrix(4, 3004)
+    table = spark.createDataFrame([(r,) for r in rows], "row_ix long")
+    want = {(r["replicate"], r["row_ix"]): r["w"] for r in with_poisson_weight(table, 0.75, 4, 3003, 9).collect()}
+    assert {(4 + b, rows[i]): int(found[b, i]) for b, i in zip(*np.nonzero(found))} == want
+
+
+def test_draws_of_a_row_are_in_one_task(spark):
+    """Groups by row_ix need no shuffle, and copies of a row in a set are numbered from 1."""
+    sets = scan(pairs_of(spark, 500), 500, 20, 8, copy="copy")
+    grouped = sets.groupBy("row_ix").agg(F.count("*").alias("n"), F.count_if(F.col("copy") == 1).alias("replicates"))
+    plan = grouped._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Generate explode(")]
+    drawn = sets.collect()
+    copies = Counter((r.replicate, r.row_ix) for r in drawn)
+    assert sorted((r.replicate, r.row_ix, r.copy) for r in drawn) == sorted((*k, c) for k, n in copies.items() for c in range(1, n + 1))
+    assert {r.row_ix: r.replicates for r in grouped.collect()} == Counter(k[1] for k in copies)
+
+
+def test_tables_are_broadcast_in_parts(spark):
+    from resamplia.operators.resample import gather
+
+    found = [Counter(map(tuple, gather(pairs_of(spark, 101), 101, 6, 3, parts=k).collect())) for k in (0, 1, 4)]
+    assert found[0] == found[1] == found[2] and found[0].total() == 606

@@ -141,3 +141,12 @@ def test_nothing_depends_on_partitions(spark):
     one = set_metrics(pairs.repartition(1), 5, 3, error_sum(), ["model"]).collect()
     many = set_metrics(pairs.repartition(9), 5, 3, error_sum(), ["model"]).collect()
     assert sorted(one, key=repr) == sorted(many, key=repr)
+
+
+def test_rounds_end_at_one_value():
+    """Many draws of one value: the second round knows that it is the only one there."""
+    metric = QuantileMetric("x", lambda rows: rows["v"])
+    rows, weight = {"v": np.array([1.0, 37.25, 900.0])}, np.array([100_000, 300_001, 100_000])
+    asked = metric.finish(metric.update(rows, weight, None), None)
+    half = metric.merge(metric.update(rows, weight // 2, asked.question), metric.update(rows, weight - weight // 2, asked.question))
+    assert metric.finish(half, asked.question) == {"x": 37.25}
