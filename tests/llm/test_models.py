@@ -176,6 +176,40 @@ def test_the_code_probabilities_are_a_distribution():
     assert math.isclose(np.exp2(logs).sum(), 1, rel_tol=1e-9)
 
 
+def test_equal_symbols_are_scored_once(monkeypatch):
+    """Words that are spelled alike take no more columns than one of them, count as often as they occur and cost the same."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    cells = {name: mixing.Sums(rng.integers(9, 99, mixing.TABLES[name]), 257) for name in mixing.SPELLING}
+    columns, bits = [], mixing.Mixer.bits
+    monkeypatch.setattr(mixing.Mixer, "bits", lambda self, table, *rest: columns.append(table.shape[1]) or bits(self, table, *rest))
+    found = []
+    for text, times in (("spelled differently", 1), ("spelled differently " * 50, 50)):
+        t, mixer = mixing.Tokens(pa.array([text])), mixing.Mixer(len(cells), 9, 1)
+        words = np.flatnonzero(t.hash != mixing.END)
+        mixing._score_spelling(t, words, cells, mixer, learn=True)
+        found.append((mixing._score_spelling(t, words, cells, mixing.Mixer(len(cells), 9, 1), learn=False)[:2], (mixer.seen - 4) / times, (mixer.energy - 50) / times))
+    assert set(columns) == {len("spelled") + len("differently") + 2}
+    assert all(np.allclose(x, y) for x, y in zip(*found, strict=True))
+
+
+def test_chances_of_nodes_without_the_own_bit():
+    rng = np.random.default_rng(3)
+    counts = rng.integers(1, 9, (3, 16))
+    levels = mixing.Cells(counts.ravel(), 16).levels
+    for context, code, own in ((0, 5, 0), (1, 0, 1), (2, 15, 1), (2, 6, 1)):
+        for d in range(4):
+            size = 16 >> d
+            low = code // size * size
+            zeros, ones = counts[context, low : low + size // 2].sum(), counts[context, low + size // 2 : low + size].sum()
+            bit = int(code >= low + size // 2)
+            a, b = (ones - bit, zeros - (1 - bit)) if own else (ones, zeros)
+            assert math.isclose(levels[d][3 * ((context << d) + (code >> (4 - d))) + own * (1 + bit)], math.log((a + 0.3) / (b + 0.3)), abs_tol=1e-12)
+    large = mixing.Sums(np.array([1 << 31, 1, 5, 7]), 2).sums
+    assert large.dtype == np.int64 and large.tolist() == [0, 1 << 31, (1 << 31) + 1, 0, 5, 12]
+
+
 def plain_nearest(data, queries_, k):
     out = {}
     for q, x in queries_:
