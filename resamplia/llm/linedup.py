@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ BANDS, ROWS = 9, 4
 BLOCK = 1024
 # Lists of up to so many lines are compared together with others.
 AT_ONCE = 64
-SCAN = "rid binary, keys array<long>, codes binary, unnamed boolean, doc_id long, doc binary, line int"
+SCAN = "rid binary, keys binary, first binary, copies long"
 # Lists of up to so many lines are compared pair by pair, longer ones in blocks.
 FEW = 6
 # A pair that is just similar enough agrees in so few of the minima once in some 10,000.
@@ -53,6 +54,11 @@ def doc_key(doc_id: int | None, text: bytes) -> bytes:
     return hashlib.md5(f"{doc_id}\0".encode() + text).digest()
 
 
+def place_key(doc_id: int | None, doc: bytes, line: int) -> bytes:
+    """A place in the order in which places stay: by doc_id, null last, by doc, by line."""
+    return struct.pack(">?Q16sI", doc_id is None, (doc_id or 0) + (1 << 63), doc, line)
+
+
 _WHITE = " \t\r\x0b\x0c"
 # Small letters, and blanks for other white space within a line.
 _LOWER = LOWER.tobytes().translate(bytes.maketrans(b"\t\r\x0b\x0c", b"    "))
@@ -119,7 +125,7 @@ def shingle_set(line: bytes, n: int) -> set[str]:
 
 class Sets:
     """Shingle sets of some lines. Eight characters of Latin-1 are eight bytes, so the shingles of lines that it can write are numbers,
-    read off these bytes; other lines have sets of texts, and `pair` gives two sets of the same kind."""
+    read off these bytes, and a set is a sorted array; other lines have sets of texts, and `pair` gives two sets of the same kind."""
 
     def __init__(self, lines: list[bytes], n: int):
         self.lines, self.n = lines, n
@@ -128,7 +134,7 @@ class Sets:
         self.size = [len(x) if x else 0 for x in own]
         self.begin = (np.cumsum(self.size) - self.size).tolist() if lines else []
         self.numbers = np.ndarray(len(data) - 7, np.uint64, data, strides=1) if len(data) > 7 else None
-        self.known: dict[int, set[int] | None] = {}
+        self.known: dict[int, np.ndarray | None] = {}
 
     @staticmethod
     def _latin(line: bytes) -> bytes | None:
@@ -139,12 +145,15 @@ class Sets:
         except UnicodeEncodeError:
             return None
 
-    def _numbers(self, i: int) -> set[int] | None:
+    def _numbers(self, i: int) -> np.ndarray | None:
         if self.size[i] < 8:
             return None
-        return set(self.numbers[self.begin[i] : self.begin[i] + self.size[i] - 7].tolist())
+        runs = np.sort(self.numbers[self.begin[i] : self.begin[i] + self.size[i] - 7])
+        new = np.ones(len(runs), bool)
+        np.not_equal(runs[1:], runs[:-1], out=new[1:])
+        return runs[new]
 
-    def of(self, i: int, keep: bool) -> set[int] | None:
+    def of(self, i: int, keep: bool) -> np.ndarray | None:
         if not keep:
             return self._numbers(i)
         if i not in self.known:
@@ -153,7 +162,7 @@ class Sets:
             self.known[i] = self._numbers(i)
         return self.known[i]
 
-    def pair(self, i: int, j: int, keep: bool = True) -> tuple[set, set]:
+    def pair(self, i: int, j: int, keep: bool = True) -> tuple[set, set] | tuple[np.ndarray, np.ndarray]:
         """The sets of two lines; `keep`: that of the first is likely to be asked for again, as that of the second always is."""
         x, y = self.of(i, keep), self.of(j, True)
         if x is None or y is None:
@@ -161,10 +170,16 @@ class Sets:
         return x, y
 
 
-def alike(x: set, y: set, similarity: float) -> bool:
+def alike(x: set | np.ndarray, y: set | np.ndarray, similarity: float) -> bool:
+    """Two sets of texts, or two sorted arrays without repeats."""
     if min(len(x), len(y)) < similarity * max(len(x), len(y)):
         return False
-    both = len(x & y)
+    if isinstance(x, set):
+        both = len(x & y)
+    else:
+        merged = np.concatenate([x, y])
+        merged.sort()
+        both = int(np.count_nonzero(merged[1:] == merged[:-1]))
     return both >= similarity * (len(x) + len(y) - both)
 
 
@@ -201,18 +216,37 @@ def _scan(n: int, bands: int, rows: int):
             if not first:
                 continue
             lines = list(first)
-            keys, codes = band_keys(lines, n, bands, rows)
-            keys = keys.view(np.int64)
-            unnamed, ids, docs, places, count = zip(*first.values(), strict=True)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1, dtype=np.int32) * bands), pa.array(keys.ravel()))
+            keys, _ = band_keys(lines, n, bands, rows)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(map(line_id, lines), pa.binary()), flat, pa.array([x.tobytes() for x in codes], pa.binary()), pa.array(unnamed), pa.array(ids, pa.int64()), pa.array(docs, pa.binary()), pa.array(places, pa.int32()), pa.array(count, pa.int64())],
-                ["rid", "keys", "codes", "unnamed", "doc_id", "doc", "line", "copies"],
+                [pa.array(map(line_id, lines), pa.binary()), _rows_of(keys), pa.array([place_key(*x[1:4]) for x in first.values()], pa.binary()), pa.array([x[4] for x in first.values()], pa.int64())],
+                ["rid", "keys", "first", "copies"],
             )
 
     return run
 
 
+def _rows_of(table: np.ndarray) -> pa.Array:
+    """The bytes of each row."""
+    width = table.shape[1] * table.itemsize
+    offsets = np.arange(len(table) + 1, dtype=np.int32) * np.int32(width)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(table), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(table))])
+
+
+def _lists(keys: np.ndarray, bands: int) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(keys) // bands + 1, dtype=np.int32) * np.int32(bands)), pa.array(keys))
+
+
+def _bands(n: int, bands: int, rows: int):
+    """Lines with the keys of their bands and a byte of each minimum."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "words", PIECE):
+            keys, codes = band_keys(batch.column("words").to_pylist(), n, bands, rows)
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("words"), _lists(keys.view(np.int64).ravel(), bands), _rows_of(codes)], ["rid", "words", "keys", "codes"])
+
+    return run
+
+
 def _chosen(bits):
     """All places of the lines that may be in the filter; at the first one in a batch also the text."""
 
@@ -436,8 +470,9 @@ def _line_components(docs: DataFrame, shingle: int, similarity: float, bands: in
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text")
     least = least_matches(bands * rows, similarity)
-    scan = texts.mapInArrow(_scan(shingle, bands, rows), SCAN + ", copies long")
-    reps = written(scan.groupBy("rid").agg(F.first("keys").alias("keys"), F.first("codes").alias("codes"), F.min(F.struct("unnamed", "doc_id", "doc", "line")).alias("first"), F.sum("copies").alias("copies")), "lines")
+    # Few lines occur in several batches of a task, so they are not sorted and merged before they are dealt.
+    scan = texts.mapInArrow(_scan(shingle, bands, rows), SCAN).repartition("rid")
+    reps = written(scan.groupBy("rid").agg(F.first("keys").alias("keys"), F.min("first").alias("first"), F.sum("copies").alias("copies")), "lines")
     keys = stored(repeated(reps, "keys", reps.count() * bands))
     lists = postings(reps, "rid", "keys", keys)
     weights = lists.groupBy("rid").agg(F.sum("n").alias("weight"), F.collect_list("key").alias("keys"))
@@ -450,7 +485,8 @@ def _line_components(docs: DataFrame, shingle: int, similarity: float, bands: in
     bits = spark.sparkContext.broadcast(key_filter(wanted.unionByName(again).select(_little("rid"))))
     places = written(texts.mapInArrow(_chosen(bits), "rid binary, doc binary, line int, words binary"), "lines")
     words = places.filter("words is not null").select("rid", "words").dropDuplicates(["rid"]).join(wanted, "rid", "left_semi")
-    known = written(words.join(reps.select("rid", F.col("keys").alias("keys"), "codes"), "rid"), "lines")
+    # Only these lines are compared; their bands are made again, which is less than to shuffle those of all lines.
+    known = written(words.mapInArrow(_bands(shingle, bands, rows), "rid binary, words binary, keys array<long>, codes binary"), "lines")
 
     def of(side: str, name: str) -> DataFrame:
         return known.select(F.col("rid").alias(side), F.col(name).alias(f"{side}_{name}"))
@@ -471,7 +507,8 @@ def _line_components(docs: DataFrame, shingle: int, similarity: float, bands: in
     labelled = reps.join(final.select(F.col("node").alias("rid"), "component"), "rid", "left").filter("copies > 1 or component is not null")
     labelled = labelled.select("rid", F.coalesce("component", "rid").alias("component"), "first")
     kept = labelled.groupBy("component").agg(F.min("first").alias("k"))
-    stays = labelled.join(kept, "component").select("rid", "component", F.col("k.doc").alias("kept_doc"), F.col("k.line").alias("kept_line"))
+    line = F.conv(F.hex(F.substring("k", 26, 4)), 16, 10).cast("int")
+    stays = labelled.join(kept, "component").select("rid", "component", F.substring("k", 10, 16).alias("kept_doc"), line.alias("kept_line"))
     return stays, places.select("rid", "doc", "line")
 
 

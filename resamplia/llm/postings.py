@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,10 +20,17 @@ GROUP_KEYS = 1_000_000
 FILTER_BITS = 1 << 24
 
 
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all rows, one after the other, and how many each row has. A row is a list of keys or their bytes."""
+    if pa.types.is_binary(lists.type):
+        return np.frombuffer(b"".join(lists.to_pylist()), np.uint64), pc.binary_length(lists).to_numpy() // 8
+    return lists.flatten().to_numpy().view(np.uint64), np.diff(lists.offsets.to_numpy())
+
+
 def _pack(column: str, groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, counts = np.unique(batch.column(column).flatten().to_numpy().view(np.uint64), return_counts=True)
+            keys, counts = np.unique(_flat(batch.column(column))[0], return_counts=True)
             group = (keys % np.uint64(groups)).astype(np.int32)
             order = np.argsort(group, kind="stable")
             names, begin = np.unique(group[order], return_index=True)
@@ -44,7 +52,7 @@ def _merge(table: pa.Table) -> pa.Table:
 
 
 def repeated(df: DataFrame, column: str, total: int) -> DataFrame:
-    """(key, n) of the keys that occur n > 1 times in the array column; `total` is about the number of keys."""
+    """(key, n) of the keys that occur n > 1 times in the column of lists of keys, or of their bytes; `total` is about the number of keys."""
     groups = max(1, total // GROUP_KEYS)
     return df.select(column).mapInArrow(_pack(column, groups), "g int, keys binary, counts binary").groupBy("g").applyInArrow(_merge, "key long, n long")
 
@@ -66,9 +74,8 @@ def may_be_key(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 def _rows(id_column: str, column: str, bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(column)
-            keys = lists.flatten().to_numpy().view(np.uint64)
-            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            keys, sizes = _flat(batch.column(column))
+            row = np.repeat(np.arange(batch.num_rows), sizes)
             hit = np.flatnonzero(may_be_key(bits.value, keys))
             yield pa.RecordBatch.from_arrays([batch.column(id_column).take(pa.array(row[hit])), pa.array(keys[hit].view(np.int64))], [id_column, "key"])
 

@@ -277,3 +277,41 @@ def test_shingle_hashes_are_those_of_single_lines():
         assert (together[a:b] == alone).all()
         distinct = {line[i : i + 8] for i in range(max(1, len(line) - 7))}
         assert len(set(alone.tolist())) == len(distinct)
+
+
+def test_scanned_lines_are_narrow():
+    """A line goes to its group as four values of 16, 72, 29 and 8 bytes; its minima are made again where lines are compared."""
+    import pyarrow as pa
+
+    docs = [(3, "one line here\nand another line"), (None, "ONE  line here"), (-2, "one line here\none line here")]
+    batch = pa.RecordBatch.from_arrays([pa.array([d for d, _ in docs], pa.int64()), pa.array([t for _, t in docs])], ["doc_id", "text"])
+    (out,) = linedup._scan(8, 9, 4)(iter([batch]))
+    assert out.schema.names == ["rid", "keys", "first", "copies"]
+    rows = {r["rid"]: r for r in out.to_pylist()}
+    lines = [b"one line here", b"and another line"]
+    assert set(rows) == {linedup.line_id(x) for x in lines} and all((len(r["rid"]), len(r["keys"]), len(r["first"])) == (16, 72, 29) for r in rows.values())
+    assert [rows[linedup.line_id(x)]["copies"] for x in lines] == [4, 1]
+    assert rows[linedup.line_id(lines[0])]["first"] == linedup.place_key(-2, linedup.doc_key(-2, docs[2][1].encode()), 0)
+    keys, codes = linedup.band_keys(lines, 8, 9, 4)
+    again = pa.RecordBatch.from_arrays([pa.array([linedup.line_id(x) for x in lines]), pa.array(lines)], ["rid", "words"])
+    (made,) = linedup._bands(8, 9, 4)(iter([again]))
+    assert [r["codes"] for r in made.to_pylist()] == [x.tobytes() for x in codes] and [r["keys"] for r in made.to_pylist()] == keys.view(np.int64).tolist()
+    assert [rows[linedup.line_id(x)]["keys"] for x in lines] == [k.tobytes() for k in keys]
+
+
+def test_places_stay_in_order_as_bytes():
+    rng = random.Random(5)
+    ids = [None, 0, 1, -1, 2**63 - 1, -(2**63), *(rng.randrange(-(2**40), 2**40) for _ in range(40))]
+    places = [(d, rng.randbytes(16), rng.randrange(10**6)) for d in ids for _ in range(4)]
+    assert sorted(places, key=lambda p: (p[0] is None, p[0] or 0, *p[1:])) == sorted(places, key=lambda p: linedup.place_key(*p))
+
+
+def test_sets_of_numbers_are_sorted_arrays():
+    """Compared by one sort of both, without sets of Python's integers."""
+    lines = [b"a line that repeats, a line that repeats, a line", b"a line that repeats, a line that repeats, a lime", "dünn und dünner".encode(), "ein ş hier drin".encode()]
+    sets = linedup.Sets(lines, 8)
+    for i, j in ((0, 1), (0, 2), (2, 2), (3, 3), (0, 3)):
+        x, y = sets.pair(i, j)
+        assert isinstance(x, set) == (3 in (i, j)) and len(x) == len(linedup.shingle_set(lines[i], 8)) and len(y) == len(linedup.shingle_set(lines[j], 8))
+        for percent in (0.5, 0.8, 0.9, 0.99):
+            assert linedup.alike(x, y, percent) == linedup.alike(linedup.shingle_set(lines[i], 8), linedup.shingle_set(lines[j], 8), percent)
