@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from resamplia.llm.shared import stored
+from resamplia.llm.shared import released, stored
 
 # Nodes that a task unites at once; what it holds beyond is united on its own. Any division of the links gives the same components.
 NODES = 200_000
@@ -64,7 +64,7 @@ def components(links: DataFrame, most: int = NODES) -> DataFrame:
         seed = F.lit(len(labels))
         meet = F.when(F.xxhash64("u", seed) < F.xxhash64("v", seed), F.col("u")).otherwise(F.col("v"))
         dealt = now.withColumn("_meet", meet).hint("rebalance", "_meet").sortWithinPartitions("_meet").drop("_meet")
-        found = stored(dealt.mapInArrow(_unite(most), schema))
+        found = stored(dealt.mapInArrow(released(_unite(most)), schema))
         least = found.groupBy("node").agg(F.min("root").alias("component"), F.max("root").alias("_most"))
         least = stored(least)
         labels.append(least.select("node", "component"))

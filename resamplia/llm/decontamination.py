@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from resamplia.llm.postings import key_filter, may_be_key
-from resamplia.llm.shared import pieces, stored, texts
+from resamplia.llm.shared import HASHED_BYTES, pieces, released, stored, texts
 from resamplia.llm.words import LETTER_OR_DIGIT, LOWER, find, shingles
 
 SIZE = 13
@@ -29,7 +29,7 @@ WINDOWS = "item_id string, size int, words array<string>, keys array<long>"
 
 def _windows(size: int, shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", HASHED_BYTES):
             data, offsets = texts(batch.column("text"))
             w = find(data, offsets, LETTER_OR_DIGIT)
             plain = LOWER[data].tobytes()
@@ -56,7 +56,7 @@ def _count_keys(bits, lengths: list[int]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, int] = {}
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", HASHED_BYTES):
             w = find(*texts(batch.column("text")), LETTER_OR_DIGIT)
             for n in lengths:
                 keys, _ = shingles(w.hash, w.first, n)
@@ -76,7 +76,7 @@ def _probe(bits, lengths: list[int], size: int):
     place, and the words around it that a window could cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", HASHED_BYTES):
             data, offsets = texts(batch.column("text"))
             w = find(data, offsets, LETTER_OR_DIGIT)
             plain = LOWER[data].tobytes()
@@ -131,11 +131,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, shing
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter("item_id is not null")
-    windows = stored(items.mapInArrow(_windows(size, shingle), WINDOWS))
+    windows = stored(items.mapInArrow(released(_windows(size, shingle)), WINDOWS))
     lengths = list(range(1, shingle + 1))  # shorter items have shorter shingles
     bits = spark.sparkContext.broadcast(key_filter(windows.select(F.explode("keys").alias("key"))))
     texts_only = docs.select("text")
-    counts = texts_only.mapInArrow(_count_keys(bits, lengths), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counts = texts_only.mapInArrow(released(_count_keys(bits, lengths)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
     # Windows of equal words are one; each gets the place of its rarest shingle.
     distinct = windows.groupBy("size", "words").agg(F.first("keys").alias("keys"), F.collect_set("item_id").alias("items"))
@@ -149,7 +149,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, shing
 
     keyed = docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("_text"))
     hit_type = "array<struct<at:long,key:long,before:long,around:string>>"
-    probed = stored(keyed.mapInArrow(_probe(chosen, lengths, size), f"doc_id long, _text string, n_words long, hits {hit_type}"))
+    probed = stored(keyed.mapInArrow(released(_probe(chosen, lengths, size)), f"doc_id long, _text string, n_words long, hits {hit_type}"))
     places = probed.filter("size(hits) > 0").select("doc_id", "_text", "n_words", F.explode("hits").alias("h")).select("doc_id", "_text", "n_words", "h.*")
     start = F.col("at") - F.col("shift")
     met = places.join(prefixes, "key").filter((start >= 0) & (start + F.col("size") <= F.col("n_words")))

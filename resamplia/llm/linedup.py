@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from resamplia.llm.components import components
 from resamplia.llm.postings import best_centres, few_pairs, key_filter, may_be_key, open_blocks, open_lists, postings, repeated
-from resamplia.llm.shared import forget, pieces, stored, tidy, written
+from resamplia.llm.shared import forget, pieces, released, stored, tidy, written
 from resamplia.llm.words import LOWER, mix, numbers
 
 # Bytes of text whose shingles a task holds at once.
@@ -32,6 +32,8 @@ PIECE = 1 << 20
 SHINGLE, SIMILARITY = 8, 0.8
 BANDS, ROWS = 9, 4
 BLOCK = 1024
+# Shingles, and pairs, of a block that are in a table at once.
+COLUMNS, PAIRS = 512, 1 << 16
 # Lists of up to so many lines are compared together with others.
 AT_ONCE = 64
 SCAN = "rid binary, keys binary, first binary, copies long"
@@ -305,9 +307,9 @@ def _common(lines: list[bytes], left: np.ndarray, right: np.ndarray, n: int) ->
     row, code = row[shared], code[shared]
     _, column = np.unique(code, return_inverse=True)
     common = np.zeros((len(left), len(right)), np.float32)
-    for low in range(0, int(column.max(initial=-1)) + 1, 4096):
-        part = (column >= low) & (column < low + 4096)
-        flags = np.zeros((len(lines), 4096), np.float32)
+    for low in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+        part = (column >= low) & (column < low + COLUMNS)
+        flags = np.zeros((len(lines), COLUMNS), np.float32)
         flags[row[part], column[part] - low] = 1
         common += flags[left] @ flags[right].T
     return common, size
@@ -335,9 +337,10 @@ def _compare(n: int, similarity: float, least: int, bands: int):
             others = others[comp[others] != comp[i]]
             same = keys[others] == keys[i]
             good = ((codes[others] == codes[i]).sum(axis=1) >= least) & (same.argmax(axis=1) == here)
-            us.append(np.full(good.sum(), i))
-            vs.append(others[good])
-        u, v = (np.concatenate(x) if x else np.empty(0, int) for x in (us, vs))
+            us.append(np.full(good.sum(), i, np.int32))
+            vs.append(others[good].astype(np.int32))
+        u, v = (np.concatenate(x) if x else np.empty(0, np.int32) for x in (us, vs))
+        del us, vs
         parent = list(range(len(names)))
 
         def root(x: int) -> int:
@@ -354,8 +357,11 @@ def _compare(n: int, similarity: float, least: int, bands: int):
             place[right] = np.arange(len(right))
             row = np.zeros(len(rid), int)
             row[left] = np.arange(len(left))
-            both = common[row[u], place[v]]
-            near = both >= similarity * (size[u] + size[v] - both)
+            near = np.empty(len(u), bool)
+            for k in range(0, len(u), PAIRS):
+                x, y = u[k : k + PAIRS], v[k : k + PAIRS]
+                both = common[row[x], place[y]]
+                near[k : k + PAIRS] = both >= similarity * (size[x] + size[y] - both)
             u, v = u[near], v[near]
         sets: dict[int, set[str]] = {}
         for i, j in zip(u.tolist(), v.tolist(), strict=True):
@@ -471,7 +477,7 @@ def _line_components(docs: DataFrame, shingle: int, similarity: float, bands: in
     texts = docs.select("doc_id", "text")
     least = least_matches(bands * rows, similarity)
     # Few lines occur in several batches of a task, so they are not sorted and merged before they are dealt.
-    scan = texts.mapInArrow(_scan(shingle, bands, rows), SCAN).repartition("rid")
+    scan = texts.mapInArrow(released(_scan(shingle, bands, rows)), SCAN).repartition("rid")
     reps = written(scan.groupBy("rid").agg(F.first("keys").alias("keys"), F.min("first").alias("first"), F.sum("copies").alias("copies")), "lines")
     keys = stored(repeated(reps, "keys", reps.count() * bands))
     lists = postings(reps, "rid", "keys", keys)
@@ -483,17 +489,17 @@ def _line_components(docs: DataFrame, shingle: int, similarity: float, bands: in
     wanted = entries.select("rid").distinct()
     again = reps.filter("copies > 1").select("rid")
     bits = spark.sparkContext.broadcast(key_filter(wanted.unionByName(again).select(_little("rid"))))
-    places = written(texts.mapInArrow(_chosen(bits), "rid binary, doc binary, line int, words binary"), "lines")
+    places = written(texts.mapInArrow(released(_chosen(bits)), "rid binary, doc binary, line int, words binary"), "lines")
     words = places.filter("words is not null").select("rid", "words").dropDuplicates(["rid"]).join(wanted, "rid", "left_semi")
     # Only these lines are compared; their bands are made again, which is less than to shuffle those of all lines.
-    known = written(words.mapInArrow(_bands(shingle, bands, rows), "rid binary, words binary, keys array<long>, codes binary"), "lines")
+    known = written(words.mapInArrow(released(_bands(shingle, bands, rows)), "rid binary, words binary, keys array<long>, codes binary"), "lines")
 
     def of(side: str, name: str) -> DataFrame:
         return known.select(F.col("rid").alias(side), F.col(name).alias(f"{side}_{name}"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         met = pairs.join(of("u", "codes"), "u").join(of("v", "codes"), "v").mapInArrow(_collide(least), "u binary, v binary")
-        return met.join(of("u", "words"), "u").join(of("v", "words"), "v").mapInArrow(_confirm(shingle, similarity), "u binary, v binary")
+        return met.join(of("u", "words"), "u").join(of("v", "words"), "v").mapInArrow(released(_confirm(shingle, similarity)), "u binary, v binary")
 
     links = stored(confirmed(best))
     united = components(links)
@@ -501,7 +507,7 @@ def _line_components(docs: DataFrame, shingle: int, similarity: float, bands: in
     few = few_pairs(lists, FEW).join(best, ["u", "v"], "left_anti").join(best.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_anti")
     dealt = open_blocks(lists.filter(F.col("n") > FEW), BLOCK).join(known, "rid")
     groups = dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
-    found = groups.mapInArrow(_sets_at_once(shingle, similarity, least, bands), "u binary, v binary")
+    found = groups.mapInArrow(released(_sets_at_once(shingle, similarity, least, bands)), "u binary, v binary")
     more = stored(confirmed(few).unionByName(found))
     final = components(united.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
     labelled = reps.join(final.select(F.col("node").alias("rid"), "component"), "rid", "left").filter("copies > 1 or component is not null")
@@ -550,4 +556,4 @@ def dedup_lines(docs: DataFrame, **options) -> DataFrame:
     joined = docs.withColumn("_doc", key).join(gone.withColumnRenamed("doc", "_gone"), F.col("_doc") == F.col("_gone"), "left").drop("_doc", "_gone")
     names = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
-    return joined.mapInArrow(_rebuild(names), schema)
+    return joined.mapInArrow(released(_rebuild(names)), schema)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from resamplia.llm.components import components
 from resamplia.llm.postings import best_centres, few_pairs, key_filter, may_be_key, open_blocks, open_lists, postings, repeated
-from resamplia.llm.shared import forget, pieces, stored, texts, written
+from resamplia.llm.shared import HASHED_BYTES, forget, pieces, released, stored, texts, written
 from resamplia.llm.words import NOT_SPACE, find, mix, numbers, shingle_sets
 
 SHINGLE, PERCENT = 3, 85
@@ -69,7 +69,7 @@ def set_id(s: np.ndarray) -> bytes:
 def _scan(n: int, posted: int, more: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", HASHED_BYTES):
             w = find(*texts(batch.column("text")), NOT_SPACE)
             sets = shingle_sets(w.hash, w.first, n)
             some = [i for i, s in enumerate(sets) if len(s)]
@@ -98,7 +98,7 @@ def _texts(n: int, bits):
     """Texts of the documents whose `key` may be in the filter, with the ids of their sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", HASHED_BYTES):
             keys = batch.column("key").to_numpy().view(np.uint64)
             some = batch.column("text").filter(pa.array(may_be_key(bits.value, keys)))
             yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in word_sets(some, n)], pa.binary()), some], ["rid", "text"])
@@ -125,7 +125,7 @@ def confirm(pairs: DataFrame, known: DataFrame, n: int, percent: int) -> DataFra
     """The pairs (u, v) of set ids that are similar enough by the full sets of their texts (rid, text)."""
     of = lambda side: known.select(F.col("rid").alias(side), F.col("text").alias(f"{side}_text"))
     met = pairs.join(of("u"), "u").join(of("v"), "v")
-    return met.mapInArrow(_confirm(n, percent), "u binary, v binary")
+    return met.mapInArrow(released(_confirm(n, percent)), "u binary, v binary")
 
 
 def _compare(n: int, percent: int, collisions: int, posted: int):
@@ -219,7 +219,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     rows = docs.select("doc_id", "text")
     own_text = ["_text"] if by_text else []
     scanned = rows.withColumn("_text", F.md5(F.coalesce("text", F.lit("")).cast("binary"))) if by_text else rows
-    scan = stored(scanned.mapInArrow(_scan(shingle, posted, more), SCAN + ", _text string" * by_text))
+    scan = stored(scanned.mapInArrow(released(_scan(shingle, posted, more)), SCAN + ", _text string" * by_text))
     first = [F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_text")).alias("first")] * by_text
     reps = stored(
         scan.filter("rid is not null").groupBy("rid").agg(F.first("posts").alias("posts"), F.first("more").alias("more"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), *first)
@@ -239,7 +239,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     def texts_of(ids: DataFrame) -> DataFrame:
         chosen = ids.join(reps, "rid").select("rid", F.xxhash64("doc_id").alias("key"))
         bits = docs.sparkSession.sparkContext.broadcast(key_filter(chosen))
-        found = rows.withColumn("key", F.xxhash64("doc_id")).mapInArrow(_texts(shingle, bits), "rid binary, text string")
+        found = rows.withColumn("key", F.xxhash64("doc_id")).mapInArrow(released(_texts(shingle, bits)), "rid binary, text string")
         return written(found.join(chosen.select("rid"), "rid", "left_semi").dropDuplicates(["rid"]), "near-duplicates")
 
     members = best.select(F.col("u").alias("rid")).unionByName(best.select(F.col("v").alias("rid"))).distinct()
@@ -258,7 +258,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     # In short lists, pair by pair; those that collide often enough are confirmed like the others.
     pairs = few_pairs(lists, FEW)
     of = lambda side: sketches.select(F.col("rid").alias(side), F.col("posts").alias(f"{side}_posts"), F.col("more").alias(f"{side}_more"))
-    near = pairs.join(of("u"), "u").join(of("v"), "v").mapInArrow(_collide(collisions, posted), "u binary, v binary")
+    near = pairs.join(of("u"), "u").join(of("v"), "v").mapInArrow(released(_collide(collisions, posted)), "u binary, v binary")
     near = stored(near.join(best, ["u", "v"], "left_anti"))
     long_lists = lists.filter(F.col("n") > FEW)
     needed = near.select(F.col("u").alias("rid")).unionByName(near.select(F.col("v").alias("rid"))).unionByName(long_lists.select("rid")).distinct()

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from resamplia.llm.shared import pieces, stored
+from resamplia.llm.shared import HASHED_BYTES, pieces, released, stored
 from resamplia.llm.tokens import encoder
 
 CAPACITY = 4096
@@ -33,7 +33,7 @@ def _cutter(tokenizer: str, capacity: int, end_id: int):
 
         task = TaskContext.get().partitionId()
         ranks = np.zeros(capacity + 1, np.int64)
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", HASHED_BYTES):
             out: list[list] = [[], [], [], [], []]
             coded = encoder(tokenizer).encode(batch.column("text").to_pylist())
             for doc, ids in zip(batch.column("doc_id").to_pylist(), coded, strict=True):
@@ -136,7 +136,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     path of a tokenizers file whose pre-tokenizer splits at white space.
     """
     spark = docs.sparkSession
-    cut = stored(docs.select("doc_id", "text").mapInArrow(_cutter(tokenizer, capacity, end_id), PIECES))
+    cut = stored(docs.select("doc_id", "text").mapInArrow(released(_cutter(tokenizer, capacity, end_id)), PIECES))
     counts = cut.groupBy("length", "_task").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     counts = stored(counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))))

@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from resamplia.llm.shared import released
+
 # Keys that one task sorts, and bits of the filter that tasks apply to their keys.
 GROUP_KEYS = 1_000_000
 FILTER_BITS = 1 << 24
@@ -54,7 +56,7 @@ def _merge(table: pa.Table) -> pa.Table:
 def repeated(df: DataFrame, column: str, total: int) -> DataFrame:
     """(key, n) of the keys that occur n > 1 times in the column of lists of keys, or of their bytes; `total` is about the number of keys."""
     groups = max(1, total // GROUP_KEYS)
-    return df.select(column).mapInArrow(_pack(column, groups), "g int, keys binary, counts binary").groupBy("g").applyInArrow(_merge, "key long, n long")
+    return df.select(column).mapInArrow(released(_pack(column, groups)), "g int, keys binary, counts binary").groupBy("g").applyInArrow(_merge, "key long, n long")
 
 
 def key_filter(keys: DataFrame) -> np.ndarray:
@@ -64,11 +66,12 @@ def key_filter(keys: DataFrame) -> np.ndarray:
     rows = words.collect()
     bits = np.zeros(FILTER_BITS // 64, np.int64)
     bits[[r["w"] for r in rows]] = [r["b"] for r in rows]
-    return np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool)
+    return bits.view(np.uint8)
 
 
 def may_be_key(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    return bits[(keys & np.uint64(FILTER_BITS - 1)).astype(np.int64)]
+    slot = (keys & np.uint64(FILTER_BITS - 1)).astype(np.uint32)
+    return (bits[slot >> np.uint32(3)] >> (slot & np.uint32(7)).astype(np.uint8) & np.uint8(1)).view(bool)
 
 
 def _rows(id_column: str, column: str, bits):
@@ -86,7 +89,7 @@ def postings(df: DataFrame, id_column: str, column: str, keys: DataFrame) -> Dat
     """(id, key, n) for the keys listed in `keys` (key, n)."""
     bits = df.sparkSession.sparkContext.broadcast(key_filter(keys))
     kind = dict(df.dtypes)[id_column]
-    return df.select(id_column, column).mapInArrow(_rows(id_column, column, bits), f"{id_column} {kind}, key long").join(keys, "key")
+    return df.select(id_column, column).mapInArrow(released(_rows(id_column, column, bits)), f"{id_column} {kind}, key long").join(keys, "key")
 
 
 def best_centres(entries: DataFrame) -> DataFrame:

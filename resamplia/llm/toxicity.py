@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from resamplia.llm.shared import forget, pieces, texts
+from resamplia.llm.shared import HASHED_BYTES, forget, pieces, released, texts
 from resamplia.llm.words import LETTER_OR_DIGIT, find, mix
 
 WINDOW = 24
@@ -126,7 +126,7 @@ def _code_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = list(sums)
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([sums[k][1] for k in keys], pa.int64()), pa.array([sums[k][0] for k in keys], pa.int64())], ["code", "toxic", "ordinary"])
 
-    for batch in pieces(batches, "text"):
+    for batch in pieces(batches, "text", HASHED_BYTES):
         found, first = codes(*texts(batch.column("text")))
         for i, toxic in enumerate(batch.column("toxic").to_pylist()):
             for code in {0, *found[2 * first[i] : 2 * first[i + 1]].view(np.int64).tolist()}:
@@ -138,7 +138,7 @@ def _code_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _dictionaries(rows: DataFrame) -> tuple[list[int], list[int]]:
-    counts = rows.select("text", "toxic").mapInArrow(_code_rows, "code long, toxic long, ordinary long").groupBy("code").agg(F.sum("toxic").alias("t"), F.sum("ordinary").alias("o"))
+    counts = rows.select("text", "toxic").mapInArrow(released(_code_rows), "code long, toxic long, ordinary long").groupBy("code").agg(F.sum("toxic").alias("t"), F.sum("ordinary").alias("o"))
     counts = counts.filter("t + o >= 3").cache()
     try:
         total = counts.filter("code = 0").first()
@@ -159,7 +159,7 @@ def _distances(model_json: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distance = Distance(Model.from_json(model_json))
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", HASHED_BYTES):
             found, first = codes(*texts(batch.column("text")))
             raw = found.tobytes()
             rows = [distance.windows(raw[16 * first[i] : 16 * first[i + 1]]) for i in range(batch.num_rows)]
@@ -193,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_on: Column | None = None, samp
         bare = Model(*_dictionaries(rows.filter("half = 0")), [], [], 0.0, 0.5)
         ordinary, toxic = _dictionaries(rows)
         half = rows.filter("half = 1").select("text", "toxic")
-        seen = half.mapInArrow(_distances(bare.to_json()), "toxic int, distances array<int>").collect()
+        seen = half.mapInArrow(released(_distances(bare.to_json())), "toxic int, distances array<int>").collect()
     finally:
         rows.unpersist()
     y = np.array([r["toxic"] for r in seen], float)
@@ -213,7 +213,7 @@ def _scorer(model_json: str):
         model = Model.from_json(model_json)
         distance = Distance(model)
         weights = np.array(model.weights)
-        for batch in pieces(batches, "text"):
+        for batch in pieces(batches, "text", HASHED_BYTES):
             found, first = codes(*texts(batch.column("text")))
             raw = found.tobytes()
             scores = []
@@ -235,4 +235,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
     docs = docs.drop("toxicity")
     schema = T.StructType([*docs.schema.fields, T.StructField("toxicity", T.DoubleType())])
-    return docs.mapInArrow(_scorer(model.to_json()), schema)
+    return docs.mapInArrow(released(_scorer(model.to_json())), schema)
