@@ -23,11 +23,13 @@ from pyspark.sql import types as T
 
 from resamplia.llm.components import components
 from resamplia.llm.postings import best_centres, few_pairs, key_filter, may_be_key, open_blocks, open_lists, postings, repeated
-from resamplia.llm.shared import forget, pieces, released, stored, tidy, written
+from resamplia.llm.shared import forget, partitions, pieces, released, stored, tidy, written
 from resamplia.llm.words import LOWER, mix, numbers
 
 # Bytes of text whose shingles a task holds at once.
 PIECE = 1 << 20
+# Bytes of text whose shingles are hashed at once.
+CACHED = 1 << 16
 # Characters of a shingle; least similarity. 9 bands of 4 miss a pair at 0.8 once in 120, at 0.9 once in 15,000.
 SHINGLE, SIMILARITY = 8, 0.8
 BANDS, ROWS = 9, 4
@@ -36,7 +38,10 @@ BLOCK = 1024
 COLUMNS, PAIRS = 512, 1 << 16
 # Lists of up to so many lines are compared together with others.
 AT_ONCE = 64
-SCAN = "rid binary, keys binary, first binary, copies long"
+# Lines go to their groups in packed rows: the values of many lines, one after the other, in each column.
+PACKED = "rid binary, keys binary, first binary, copies binary"
+# Bytes of lines that a task packs at once, lines of a merged row, bytes of a line's id and of its first place.
+HELD, TOGETHER, ID, PLACE = 1 << 23, 2048, 16, 29
 # Lists of up to so many lines are compared pair by pair, longer ones in blocks.
 FEW = 6
 # A pair that is just similar enough agrees in so few of the minima once in some 10,000.
@@ -61,7 +66,7 @@ def place_key(doc_id: int | None, doc: bytes, line: int) -> bytes:
     return struct.pack(">?Q16sI", doc_id is None, (doc_id or 0) + (1 << 63), doc, line)
 
 
-_WHITE = " \t\r\x0b\x0c"
+_WHITE = b" \t\r\x0b\x0c"
 # Small letters, and blanks for other white space within a line.
 _LOWER = LOWER.tobytes().translate(bytes.maketrans(b"\t\r\x0b\x0c", b"    "))
 
@@ -84,36 +89,48 @@ def shingle_hashes(lines: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def short_hashes(lines: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     """As `shingle_hashes`, in 32 bits: enough for minima, which are checked afterwards."""
-    texts = [x.decode() for x in lines]
-    lengths = np.array([len(x) for x in texts])
-    pad = "\0" * n
-    points = np.frombuffer((pad.join(texts) + pad).encode("utf-32-le"), np.uint32)
+    pad = b"\0" * n
+    text = pad.join(lines) + pad
+    if text.isascii():
+        lengths = np.fromiter(map(len, lines), np.int64, len(lines))
+        points = np.frombuffer(text, np.uint8).astype(np.uint32)
+    else:
+        lengths = np.array([len(x.decode()) for x in lines])
+        points = np.frombuffer(text.decode().encode("utf-32-le"), np.uint32)
     runs = np.zeros(len(points), np.uint32)
+    product = np.empty_like(runs)
     for k, factor in enumerate((numbers(21, n) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)):
-        runs[: len(points) - k] += points[k:] * factor
+        runs[: len(points) - k] += np.multiply(points[k:], factor, out=product[k:])
     counts = np.maximum(lengths - n + 1, 1)
     start = np.cumsum(lengths + n) - lengths - n
     edges = np.zeros(len(points) + 1, np.int8)
     edges[start] = 1
     edges[start + counts] = -1
     x = runs[np.cumsum(edges[:-1], dtype=np.int8).view(bool)]
+    other = product[: len(x)]
     for shift, factor in ((16, 0x7FEB352D), (15, 0x846CA68B)):
-        x = (x ^ x >> np.uint32(shift)) * np.uint32(factor)
-    return x ^ x >> np.uint32(16), np.cumsum(counts) - counts
+        x ^= np.right_shift(x, np.uint32(shift), out=other)
+        x *= np.uint32(factor)
+    x ^= np.right_shift(x, np.uint32(16), out=other)
+    return x, np.cumsum(counts) - counts
 
 
 def band_keys(lines: list[bytes], n: int, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the bands of each line, and a byte of each minimum."""
-    short, begin = short_hashes(lines, n)
     factors = (numbers(22, bands * rows) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-    out = np.zeros((len(lines), bands), np.uint64)
-    codes = np.empty((len(lines), bands * rows), np.uint8)
-    product = np.empty_like(short)
-    for k, factor in enumerate(factors):
-        least = np.minimum.reduceat(np.multiply(short, factor, out=product), begin)
-        codes[:, k] = (least * np.uint32(0x9E3779B1)) >> np.uint32(24)
-        out[:, k // rows] = mix(out[:, k // rows] + least.astype(np.uint64) + np.uint64(k + 1))
-    return out, codes
+    least = np.empty((bands * rows, len(lines)), np.uint32)
+    # So few lines at a time that their hashes stay in the processor's cache while they are multiplied again and again.
+    ends = np.cumsum(np.fromiter(map(len, lines), np.int64, len(lines)))
+    cuts = (np.flatnonzero(np.diff(ends // CACHED)) + 1).tolist()
+    for a, b in zip([0, *cuts], [*cuts, len(lines)], strict=True):
+        short, begin = short_hashes(lines[a:b], n)
+        product = np.empty_like(short)
+        for k, factor in enumerate(factors):
+            np.minimum.reduceat(np.multiply(short, factor, out=product), begin, out=least[k, a:b])
+    out = np.zeros((bands, len(lines)), np.uint64)
+    for k in range(bands * rows):
+        out[k // rows] = mix(out[k // rows] + least[k] + np.uint64(k + 1))
+    return np.ascontiguousarray(out.T), np.ascontiguousarray(((least * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).T)
 
 
 def least_matches(minima: int, similarity: float) -> int:
@@ -227,11 +244,90 @@ def _scan(n: int, bands: int, rows: int):
     return run
 
 
-def _rows_of(table: np.ndarray) -> pa.Array:
-    """The bytes of each row."""
+def _unpacked(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+    """The bytes of each value; a row holds one or several."""
+    parts = [np.empty(0, np.uint8)]
+    for x in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        if len(x):
+            offsets = np.frombuffer(x.buffers()[1], np.int32)
+            parts.append(np.frombuffer(x.buffers()[2], np.uint8)[offsets[x.offset] : offsets[x.offset + len(x)]])
+    return (parts[1] if len(parts) == 2 else np.concatenate(parts)).reshape(-1, width)
+
+
+def _deal(scan, groups: int, bands: int):
+    """What `scan` finds, packed: a row for each group that has lines, whose number follows from their ids."""
+
+    def packed(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+        group = columns[0].view(np.uint64)[:, 1] % np.uint64(groups)
+        order = np.argsort(group, kind="stable")
+        some, begin = np.unique(group[order], return_index=True)
+        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(_rows_of(x[order], begin) for x in columns)], ["g", "rid", "keys", "first", "copies"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in scan(batches):
+            held.append([_unpacked(batch.column(c), width) for c, width in (("rid", ID), ("keys", 8 * bands), ("first", PLACE))])
+            held[-1].append(batch.column("copies").to_numpy().view(np.uint8).reshape(-1, 8))
+            size += batch.nbytes
+            if size >= HELD:
+                yield packed(held)
+                held, size = [], 0
+        if held:
+            yield packed(held)
+
+    return run
+
+
+def _merge(bands: int):
+    """The distinct lines of a group with their first places and how many there are, packed."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rid, keys, first, copies = (_unpacked(table.column(c), width) for c, width in (("rid", ID), ("keys", 8 * bands), ("first", PLACE), ("copies", 8)))
+        high, low = rid.view(np.uint64).T
+        order = np.lexsort((low, high))
+        new = np.ones(len(order), bool)
+        new[1:] = (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])
+        begin = np.flatnonzero(new)
+        total = np.add.reduceat(copies.view(np.int64).ravel()[order], begin)
+        sizes = np.diff([*begin, len(order)])
+        one, least = order[begin], order[begin]
+        # Places are compared as bytes, where a line has several.
+        line = np.repeat(np.arange(len(begin)), sizes)
+        several = (sizes > 1)[line]
+        line, rows = line[several], order[several]
+        if len(rows):
+            places = np.zeros((len(rows), 32), np.uint8)
+            places[:, :PLACE] = first[rows]
+            sorted_places = np.lexsort((*places.view(">u8").astype(np.uint64).T[::-1], line))
+            names, at = np.unique(line[sorted_places], return_index=True)
+            least[names] = rows[sorted_places[at]]
+        starts = np.arange(0, len(one), TOGETHER)
+        return pa.table([_rows_of(x, starts) for x in (rid[one], keys[one], first[least], total.view(np.uint8).reshape(-1, 8))], ["rid", "keys", "first", "copies"])
+
+    return run
+
+
+def _occurrences(bits=None):
+    """Of packed lines a row for each that occurs again or may be in the filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rid, first = _unpacked(batch.column("rid"), ID), _unpacked(batch.column("first"), PLACE)
+            copies = _unpacked(batch.column("copies"), 8).view(np.int64).ravel()
+            wanted = copies > 1
+            if bits is not None:
+                wanted |= may_be_key(bits.value[0], rid.view(np.uint64)[:, 0])
+            yield pa.RecordBatch.from_arrays([_rows_of(rid[wanted]), _rows_of(first[wanted]), pa.array(copies[wanted])], ["rid", "first", "copies"])
+
+    return run
+
+
+def _rows_of(table: np.ndarray, begin: np.ndarray | None = None) -> pa.Array:
+    """The bytes of each row, or of the rows from each of `begin` to the next one together."""
     width = table.shape[1] * table.itemsize
-    offsets = np.arange(len(table) + 1, dtype=np.int32) * np.int32(width)
-    return pa.BinaryArray.from_buffers(pa.binary(), len(table), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(table))])
+    offsets = (np.arange(len(table) + 1) if begin is None else np.append(begin, len(table))).astype(np.int32) * np.int32(width)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(table))])
 
 
 def _lists(keys: np.ndarray, bands: int) -> pa.Array:
@@ -250,7 +346,7 @@ def _bands(n: int, bands: int, rows: int):
 
 
 def _chosen(bits):
-    """All places of the lines that may be in the filter; at the first one in a batch also the text."""
+    """All places of the lines that may be in the second filter; if they may be in the first, at the first place in a batch also the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
@@ -258,8 +354,9 @@ def _chosen(bits):
             ids = [line_id(x[3]) for x in found]
             keys = np.frombuffer(b"".join(i[:8] for i in ids), np.uint64) if ids else np.empty(0, np.uint64)
             rows, seen = [], set()
-            for i in np.flatnonzero(may_be_key(bits.value, keys)).tolist():
-                rows.append((ids[i], found[i][1], found[i][2], None if ids[i] in seen else found[i][3]))
+            hit = np.flatnonzero(may_be_key(bits.value[1], keys))
+            for i, listed in zip(hit.tolist(), may_be_key(bits.value[0], keys[hit]).tolist(), strict=True):
+                rows.append((ids[i], found[i][1], found[i][2], found[i][3] if listed and ids[i] not in seen else None))
                 seen.add(ids[i])
             if rows:
                 kinds = (pa.binary(), pa.binary(), pa.int32(), pa.binary())
@@ -476,19 +573,23 @@ def _line_components(docs: DataFrame, shingle: int, similarity: float, bands: in
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text")
     least = least_matches(bands * rows, similarity)
-    # Few lines occur in several batches of a task, so they are not sorted and merged before they are dealt.
-    scan = texts.mapInArrow(released(_scan(shingle, bands, rows)), SCAN).repartition("rid")
-    reps = written(scan.groupBy("rid").agg(F.first("keys").alias("keys"), F.min("first").alias("first"), F.sum("copies").alias("copies")), "lines")
-    keys = stored(repeated(reps, "keys", reps.count() * bands))
-    lists = postings(reps, "rid", "keys", keys)
+    # As many groups as tasks and more, so that a group is small.
+    dealt = _deal(_scan(shingle, bands, rows), 2 * partitions(spark), bands)
+    scan = texts.mapInArrow(released(dealt), f"g int, {PACKED}")
+    reps = written(scan.groupBy("g").applyInArrow(_merge(bands), PACKED), "lines")
+    total = (reps.agg(F.sum(F.octet_length("rid"))).first()[0] or 0) // ID
+    keys = stored(repeated(reps, "keys", total * bands))
+    lists = postings(reps, "rid", "keys", keys, ID)
     weights = lists.groupBy("rid").agg(F.sum("n").alias("weight"), F.collect_list("key").alias("keys"))
     entries = stored(weights.select("rid", "weight", F.explode("keys").alias("key")))
     best = stored(best_centres(entries))
 
     # Places of the lines that are in some list or occur again, and texts of the former.
     wanted = entries.select("rid").distinct()
-    again = reps.filter("copies > 1").select("rid")
-    bits = spark.sparkContext.broadcast(key_filter(wanted.unionByName(again).select(_little("rid"))))
+    occurrences = "rid binary, first binary, copies long"
+    again = reps.select("rid", "first", "copies").mapInArrow(_occurrences(), occurrences)
+    listed = key_filter(wanted.select(_little("rid")))
+    bits = spark.sparkContext.broadcast((listed, listed | key_filter(again.select(_little("rid")))))
     places = written(texts.mapInArrow(released(_chosen(bits)), "rid binary, doc binary, line int, words binary"), "lines")
     words = places.filter("words is not null").select("rid", "words").dropDuplicates(["rid"]).join(wanted, "rid", "left_semi")
     # Only these lines are compared; their bands are made again, which is less than to shuffle those of all lines.
@@ -503,15 +604,16 @@ def _line_components(docs: DataFrame, shingle: int, similarity: float, bands: in
 
     links = stored(confirmed(best))
     united = components(links)
-    lists = open_lists(entries, united)
+    lists = stored(open_lists(entries, united))
     few = few_pairs(lists, FEW).join(best, ["u", "v"], "left_anti").join(best.select(F.col("v").alias("u"), F.col("u").alias("v")), ["u", "v"], "left_anti")
     dealt = open_blocks(lists.filter(F.col("n") > FEW), BLOCK).join(known, "rid")
     groups = dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
     found = groups.mapInArrow(released(_sets_at_once(shingle, similarity, least, bands)), "u binary, v binary")
     more = stored(confirmed(few).unionByName(found))
     final = components(united.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
-    labelled = reps.join(final.select(F.col("node").alias("rid"), "component"), "rid", "left").filter("copies > 1 or component is not null")
-    labelled = labelled.select("rid", F.coalesce("component", "rid").alias("component"), "first")
+    some = reps.select("rid", "first", "copies").mapInArrow(released(_occurrences(bits)), occurrences)
+    labelled = some.join(final.select(F.col("node").alias("rid"), "component"), "rid", "left").filter("copies > 1 or component is not null")
+    labelled = stored(labelled.select("rid", F.coalesce("component", "rid").alias("component"), "first"))
     kept = labelled.groupBy("component").agg(F.min("first").alias("k"))
     line = F.conv(F.hex(F.substring("k", 26, 4)), 16, 10).cast("int")
     stays = labelled.join(kept, "component").select("rid", "component", F.substring("k", 10, 16).alias("kept_doc"), line.alias("kept_line"))
@@ -529,13 +631,13 @@ def _rebuild(names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             out, lines, gone = [], [], []
-            for text, removed in zip(batch.column("text").to_pylist(), batch.column("_removed").to_pylist(), strict=True):
-                parts = [] if text is None else text.split("\n")
+            for text, removed in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("_removed").to_pylist(), strict=True):
+                parts = [] if text is None else text.split(b"\n")
                 drop = set(removed or ())
-                out.append(text if text is None or not drop else "\n".join(x for k, x in enumerate(parts) if k not in drop))
+                out.append(text if text is None or not drop else b"\n".join(x for k, x in enumerate(parts) if k not in drop))
                 lines.append(sum(1 for x in parts if x.strip(_WHITE)))
                 gone.append(len(drop))
-            columns = [pa.array(out, batch.column("text").type) if c == "text" else batch.column(c) for c in names]
+            columns = [pa.array(out, pa.binary()).cast(batch.column("text").type) if c == "text" and any(gone) else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(lines, pa.int64()), pa.array(gone, pa.int64())], [*names, "n_lines", "n_removed"])
 
     return run

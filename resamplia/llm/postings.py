@@ -74,22 +74,28 @@ def may_be_key(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[slot >> np.uint32(3)] >> (slot & np.uint32(7)).astype(np.uint8) & np.uint8(1)).view(bool)
 
 
-def _rows(id_column: str, column: str, bits):
+def _rows(id_column: str, column: str, bits, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, sizes = _flat(batch.column(column))
-            row = np.repeat(np.arange(batch.num_rows), sizes)
+            ids = batch.column(id_column)
+            if width and batch.num_rows:
+                data = b"".join(ids.to_pylist())
+                ids = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(data) // width, [None, pa.py_buffer(data)]).cast(pa.binary())
+                sizes = len(keys) // len(ids)
+            row = np.repeat(np.arange(len(ids)), sizes)
             hit = np.flatnonzero(may_be_key(bits.value, keys))
-            yield pa.RecordBatch.from_arrays([batch.column(id_column).take(pa.array(row[hit])), pa.array(keys[hit].view(np.int64))], [id_column, "key"])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[hit])), pa.array(keys[hit].view(np.int64))], [id_column, "key"])
 
     return run
 
 
-def postings(df: DataFrame, id_column: str, column: str, keys: DataFrame) -> DataFrame:
-    """(id, key, n) for the keys listed in `keys` (key, n)."""
+def postings(df: DataFrame, id_column: str, column: str, keys: DataFrame, width: int = 0) -> DataFrame:
+    """(id, key, n) for the keys listed in `keys` (key, n). `width`: a row holds many ids of so many bytes, and the bytes of their keys,
+    of which each has equally many."""
     bits = df.sparkSession.sparkContext.broadcast(key_filter(keys))
     kind = dict(df.dtypes)[id_column]
-    return df.select(id_column, column).mapInArrow(released(_rows(id_column, column, bits)), f"{id_column} {kind}, key long").join(keys, "key")
+    return df.select(id_column, column).mapInArrow(released(_rows(id_column, column, bits, width)), f"{id_column} {kind}, key long").join(keys, "key")
 
 
 def best_centres(entries: DataFrame) -> DataFrame:

@@ -315,3 +315,64 @@ def test_sets_of_numbers_are_sorted_arrays():
         assert isinstance(x, set) == (3 in (i, j)) and len(x) == len(linedup.shingle_set(lines[i], 8)) and len(y) == len(linedup.shingle_set(lines[j], 8))
         for percent in (0.5, 0.8, 0.9, 0.99):
             assert linedup.alike(x, y, percent) == linedup.alike(linedup.shingle_set(lines[i], 8), linedup.shingle_set(lines[j], 8), percent)
+
+
+def test_lines_are_dealt_in_packed_rows(monkeypatch):
+    """A task sends a row per group, not one per line; merged, each distinct line has its keys, first place and count."""
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    docs = [(rng.choice([None, 5, -3, 2**40, i]), "\n".join(rng.choice(["common", f"line {rng.randrange(60)}", f"çé {rng.random()}", ""]) for _ in range(rng.randrange(6)))) for i in range(90)]
+    tables = [pa.RecordBatch.from_arrays([pa.array([d for d, _ in docs[k : k + 10]], pa.int64()), pa.array([t for _, t in docs[k : k + 10]])], ["doc_id", "text"]) for k in range(0, 90, 10)]
+    plain: dict[bytes, list] = {}
+    for table in tables:
+        for doc_id, doc, k, line in linedup._lines(table):
+            plain.setdefault(line, []).append(linedup.place_key(doc_id, doc, k))
+    scan = linedup._scan(8, 9, 4)
+    (dealt,) = linedup._deal(scan, 5, 9)(iter(tables))
+    assert sorted(dealt.column("g").to_pylist()) == list(range(5)) and sum(b.num_rows for b in scan(iter(tables))) > len(plain) > 100
+    monkeypatch.setattr(linedup, "HELD", 1)
+    parts = list(linedup._deal(scan, 5, 9)(iter(tables)))
+    assert len(parts) == 9
+    monkeypatch.setattr(linedup, "TOGETHER", 7)
+    found = {}
+    for g in range(5):
+        of = pa.Table.from_batches([p.filter(pa.array([x == g for x in p.column("g").to_pylist()])) for p in parts]).drop_columns(["g"])
+        merged = linedup._merge(9)(of)
+        values = [linedup._unpacked(merged.column(c), width) for c, width in (("rid", 16), ("keys", 72), ("first", 29), ("copies", 8))]
+        assert merged.num_rows == -(-len(values[0]) // 7)
+        for rid, keys, first, copies in zip(*values, strict=True):
+            assert rid.tobytes() not in found
+            found[rid.tobytes()] = keys.tobytes(), first.tobytes(), int(copies.view(np.int64)[0])
+        again = linedup._occurrences()(iter(merged.to_batches()))
+        assert {r["rid"] for b in again for r in b.to_pylist()} == {x.tobytes() for x, n in zip(values[0], values[3].view(np.int64).ravel(), strict=True) if n > 1}
+    keys, _ = linedup.band_keys(list(plain), 8, 9, 4)
+    assert found == {linedup.line_id(x): (k.tobytes(), min(p), len(p)) for (x, p), k in zip(plain.items(), keys, strict=True)}
+
+
+def test_bands_do_not_depend_on_how_many_lines_are_hashed_at_once(monkeypatch):
+    rng = random.Random(8)
+    lines = ["".join(rng.choice("abé😀 \0"[: rng.choice([2, 6])]) for _ in range(rng.randrange(1, 60))).encode() for _ in range(80)]
+    whole = linedup.band_keys(lines, 8, 9, 4)
+    for cached in (1, 100, 700):
+        monkeypatch.setattr(linedup, "CACHED", cached)
+        for x, y in zip(whole, linedup.band_keys(lines, 8, 9, 4), strict=True):
+            assert x.dtype == y.dtype and (x == y).all()
+
+
+def test_only_listed_lines_send_their_text():
+    """Lines that merely occur again need their places, not their text."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from resamplia.llm import postings
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2], pa.int64()), pa.array(["listed\nagain\nother", "again\nlisted"])], ["doc_id", "text"])
+    slots = {x: int.from_bytes(linedup.line_id(x)[:8], "little") % postings.FILTER_BITS for x in (b"listed", b"again", b"other")}
+    listed, either = (np.zeros(postings.FILTER_BITS // 8, np.uint8) for _ in range(2))
+    for name, bits in ((b"listed", listed), (b"listed", either), (b"again", either)):
+        bits[slots[name] >> 3] |= 1 << (slots[name] & 7)
+    (out,) = linedup._chosen(SimpleNamespace(value=(listed, either)))(iter([batch]))
+    got = [(r["rid"], r["line"], r["words"]) for r in out.to_pylist()]
+    assert got == [(linedup.line_id(x), k, w) for x, k, w in ((b"listed", 0, b"listed"), (b"again", 1, None), (b"again", 0, None), (b"listed", 1, None))]
