@@ -311,13 +311,15 @@ class _Chunk:
         return node, item
 
     def score(self, leaf: np.ndarray, item: np.ndarray, best: _Best) -> None:
-        """Exact scores of all documents of the leaves for the items they are paired with."""
+        """Exact scores of all documents of the leaves for the items they are paired with. There are no pairs if the bounds exclude the
+        whole chunk."""
         _, first, term = self.items[-1]
         order = np.argsort(leaf, kind="stable")
         leaves, begin = np.unique(leaf[order], return_index=True)
+        begin = np.append(begin, len(order))
         ends = np.append(self.cuts[1:], len(self.ids))
         found = []
-        for k, a, b in zip(leaves.tolist(), begin.tolist(), [*begin[1:].tolist(), len(order)], strict=True):
+        for k, a, b in zip(leaves.tolist(), begin[:-1].tolist(), begin[1:].tolist(), strict=True):
             docs = np.arange(self.cuts[k], ends[k])
             table = np.zeros((len(docs), self.width), np.int64)
             inside = slice(self.first[docs[0]], self.first[docs[-1] + 1])

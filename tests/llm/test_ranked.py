@@ -131,3 +131,34 @@ def test_bounds_hold_and_prune(monkeypatch):
     assert len(chunk.open_pairs(best.threshold)[0]) < 0.3 * 24 * len(chunk.cuts)
     got = sorted(zip(order[best.item].tolist(), best.doc.tolist(), best.score.tolist(), strict=True))
     assert got == sorted((i, d, s) for i, r, d, s in want if r <= 3)
+
+
+def two_chunks(spark, first, second):
+    """Each list of documents becomes a chunk of its own."""
+    return spark.createDataFrame(spark.sparkContext.parallelize([first, second], 2).flatMap(list), "doc_id long, text string")
+
+
+def test_a_chunk_that_the_bounds_exclude_for_all_items(spark):
+    strong, weak = [(k, "x y z") for k in range(12)], [(100 + k, f"z {'pad ' * 40}") for k in range(12)]
+    items = [(1, "x y z"), (2, "x z"), (3, "y z")]
+    frame = two_chunks(spark, strong, weak)
+    assert rows(ranked.search(frame, spark.createDataFrame(items, "item_id long, text string"))) == plain(strong + weak, items)
+
+
+def test_a_chunk_whose_terms_all_weigh_nothing(spark):
+    """A term that all of 500 documents and more have adds nothing."""
+    some_x, all_only = [(k, "all x") for k in range(12)], [(100 + k, "all") for k in range(600)]
+    items = [(1, "all x"), (2, "all")]
+    frame = two_chunks(spark, some_x, all_only)
+    found = rows(ranked.search(frame, spark.createDataFrame(items, "item_id long, text string")))
+    assert found == plain(some_x + all_only, items) and len(found) == 10
+
+
+def test_no_pairs_to_score():
+    vocabulary = {"x": 0, "y": 1}
+    items = ranked._Items(np.array([0, 2]), np.array([0, 1]), np.array([0]), np.array([0], np.int8), np.array([1000, 1000]), 3, 6, 1)
+    chunk = ranked._Chunk(counted([(1, "x"), (2, "y"), (3, "x y")], vocabulary), items)
+    best = ranked._Best(1, 1, np.array([1 << 40]))
+    leaf, item = chunk.open_pairs(best.threshold)
+    chunk.score(leaf, item, best)
+    assert not len(leaf) and best.rows().num_rows == 0 and best.threshold.tolist() == [1 << 40]
