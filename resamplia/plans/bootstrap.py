@@ -24,7 +24,8 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from resamplia.functions.metrics import complete_pairs, metrics_from_sums, weighted_sums
-from resamplia.operators.joins import SMALL_BYTES, counted_size, inner_join_nulls_match, kept
+from resamplia.operators import joins
+from resamplia.operators.joins import counted_size, inner_join_nulls_match, kept
 from resamplia.operators.ordered import RANGES, find_ranges, roc_auc_of_ranges
 from resamplia.operators.resample import PARTS, PoissonWeights, gather, scan, scan_rate, scan_top_up, task_count, with_poisson_weight
 
@@ -82,14 +83,14 @@ def gathered_sets(
     pairs: DataFrame, times: int, seed: int, by: Sequence[str] = (), first: int = 1, columns: Sequence[str] = ("truth", "estimate")
 ) -> DataFrame:
     """As `analysis_sets`, from another random stream: draws are generated and looked up in the table. The
-    quickest way for small tables; larger ones are broadcast in parts, each within the limits, up to PARTS of them, above which draws are
-    joined by a shuffle. Sets have row_ix, `by` and `columns` only: what nobody asks for is neither counted nor sent."""
+    quickest way for small tables; those of more rows are broadcast in parts, up to PARTS of them. Above that, or if the rows are so wide
+    that a part has too many bytes, draws are joined by a shuffle. Sets have row_ix, `by` and `columns` only: what nobody asks for is
+    neither counted nor sent."""
     _, rows, size = checked_models(pairs, by)
     known = complete_pairs(pairs).select("row_ix", *by, *columns)
     parts = max(1, ceil(rows / BROADCAST_ROWS))
-    if parts <= PARTS:
-        parts = max(parts, ceil(counted_size(known)[1] / SMALL_BYTES))
-    return gather(known, size, times, seed, first, parts if parts <= PARTS else 0)
+    small = parts <= PARTS and counted_size(known)[1] <= parts * joins.SMALL_BYTES
+    return gather(known, size, times, seed, first, parts if small else 0)
 
 
 def _spread(pairs: DataFrame, rows: int, replicates: int) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from resamplia.operators import joins
 from resamplia.operators.joins import counted_size, inner_join_nulls_match, is_small, kept, release, small_side
+from resamplia.plans import bootstrap
 from resamplia.plans.bootstrap import gathered_sets
 
 
@@ -79,3 +80,14 @@ def test_gathered_sets_have_the_columns_asked_for(spark, monkeypatch):
         assert "BroadcastHashJoin" not in plan(gathered_sets(pairs, 3, 1, columns=["text"]))
     finally:
         spark.conf.set(key, before)
+
+
+def test_gathered_sets_of_many_narrow_rows_are_broadcast_in_parts(spark, monkeypatch):
+    pairs = spark.range(50).select(F.col("id").alias("row_ix"), F.col("id").cast("double").alias("truth"), F.lit(1.0).alias("estimate"))
+    monkeypatch.setattr(bootstrap, "BROADCAST_ROWS", 20)
+    monkeypatch.setattr(joins, "SMALL_BYTES", 1000)
+    sets = gathered_sets(pairs, 3, 1)
+    assert plan(sets).count("BroadcastHashJoin") == 3 and sets.count() == 150
+    monkeypatch.setattr(joins, "SMALL_BYTES", 700)
+    sets = gathered_sets(pairs, 3, 1)
+    assert plan(sets).count("BroadcastHashJoin") < 2 and sets.count() == 150
